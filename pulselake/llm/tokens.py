@@ -11,6 +11,7 @@ in the lowest bits. ``ranks.parquet`` beside the shards maps ranks to ids.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from array import array
 from collections.abc import Iterable, Iterator
@@ -24,7 +25,14 @@ from pyspark.sql import functions as F
 from pulselake.llm.common import columns, doc_hash, drop_path, parallel, record_batch, scratch_root, slices, utf8, write_table
 
 #: Entries kept in a worker's cache of encoded pieces, and the longest piece kept.
-CACHE_PIECES, CACHE_CHARS = 400_000, 40
+CACHE_PIECES, CACHE_CHARS = 800_000, 40
+
+#: A space or line break that doesn't stand alone before another character, and other white space.
+_RUN = re.compile(r" (?:\s|\Z)|\n(?:\s|\Z)|\s\n")
+_OTHER_SPACE = re.compile(r"[^\S \n]")
+
+#: Marks that are cut from a word before them (but for apostrophes, which begin endings like 's).
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
@@ -32,9 +40,11 @@ _ENCODERS: dict[str, "PieceEncoder"] = {}
 class PieceEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, remembering pieces.
 
-    These tokenizers cut a text before each space that follows and precedes another character, so
-    such pieces encode alone as they do in the text. A text with a run of spaces is encoded whole.
-    Only ids are kept: 2 bytes each, or 4 for vocabularies above 65,536.
+    These tokenizers cut a text before each space or line break that stands alone before another
+    character, and a word from marks after it, so these pieces encode alone as they do in the text.
+    A text with other white space next to a space or line break is encoded whole. New pieces are
+    encoded as lines of one text, which saves much of the cost of small calls. Only ids are kept:
+    2 bytes each, or 4 for vocabularies above 65,536.
     """
 
     def __init__(self, path: str):
@@ -44,7 +54,9 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.pieces: dict[str, bytes] = {}
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.pieces: dict[str, bytes] = {}  # by the line break and what follows, or by what follows a space
+        self.marks: dict[str, bytes] = {}
 
     @classmethod
     def at(cls, path: str) -> "PieceEncoder":
@@ -55,32 +67,70 @@ class PieceEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, split, new = self.pieces, [], set()
-        for t in texts:
-            parts = t.split(" ")
-            if "" in parts:
-                split.append(None)
-                continue
-            head, rest = parts[0], parts[1:]
-            split.append((head, rest))
-            new.add(head)
-            new.update(" " + p for p in set(rest) if " " + p not in known)
-        new = [p for p in new if p not in known]
-        fresh = dict(zip(new, self._whole(new), strict=True)) if new else {}
-        get = lambda p: fresh[p] if p in fresh else known[p]
-        out = []
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                out.append(self._whole([t])[0])
+    def _lines(self, pieces: list[str], before: str) -> dict[str, bytes]:
+        """Ids of pieces, encoded as lines of a text: with a space before each, or with their own
+        line breaks (``before`` is empty)."""
+        found = {}
+        for at in range(0, len(pieces), 1000):
+            part = pieces[at : at + 1000]
+            text = before + ("\n" + before).join(part) if before else "".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.code)
+            breaks = np.flatnonzero(ids == self.line[0])
+            ends = (np.append(breaks if before else breaks[1:], len(ids)) * ids.itemsize).tolist()
+            if len(ends) != len(part):
+                raise ValueError("this tokenizer doesn't cut at line breaks")
+            raw, start, skip = ids.tobytes(), 0, ids.itemsize if before else 0
+            for p, end in zip(part, ends, strict=True):
+                found[p] = raw[start:end]
+                start = end + skip
+        return found
+
+    def _new(self, pieces: list[str]) -> None:
+        """Encodes pieces that aren't known yet."""
+        known, marked, plain = self.pieces, [], set()
+        for p in pieces:
+            core = p.rstrip(_MARKS)
+            if len(core) < len(p) and core.lstrip("\n").isalpha():
+                marked.append((p, core, p[len(core) :]))
+                if core not in known:
+                    plain.add(core)
             else:
-                out.append(get(s[0]) + b"".join([get(" " + p) for p in s[1]]))
-        if len(known) + len(fresh) > CACHE_PIECES:
-            known.clear()
-        known.update((p, b) for p, b in fresh.items() if len(p) <= CACHE_CHARS)
+                plain.add(p)
+        single = len(self.line) == 1
+        lines = [p for p in plain if single and not p[-1].isspace()]
+        known.update(self._lines([p for p in lines if p[0] != "\n"], " "))
+        known.update(self._lines([p for p in lines if p[0] == "\n"], ""))
+        rest = [p for p in plain if p not in known]
+        known.update(zip(rest, self._whole([p if p[0] == "\n" else " " + p for p in rest]), strict=True))
+        marks = list({m for _, _, m in marked}.difference(self.marks))
+        self.marks.update(zip(marks, self._whole(marks), strict=True))
+        known.update((p, known[core] + self.marks[m]) for p, core, m in marked)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [[t] if _has_runs(t) else t.replace("\n", " \n").split(" ") for t in texts]
+        seen: set[str] = set()
+        for s in split:
+            seen.update(s[1:])
+        if len(self.pieces) > CACHE_PIECES:  # what this batch has stays
+            self.pieces = {p: self.pieces[p] for p in seen if p in self.pieces}
+        if len(self.marks) > CACHE_PIECES:
+            self.marks = {}
+        known = self.pieces
+        new = list(seen.difference(known))
+        self._new(new)
+        heads = self._whole([s[0] for s in split])
+        out = [h + b"".join(map(known.__getitem__, s[1:])) for h, s in zip(heads, split, strict=True)]
+        for p in new:
+            if len(p) > CACHE_CHARS:
+                del known[p]
         return out
 
 
+def _has_runs(text: str) -> bool:
+    """Whether ``_RUN`` is found, which most texts tell without it."""
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:].isspace() or (_OTHER_SPACE.search(text) is not None and _RUN.search(text) is not None)
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Ids of every whole text and ``end_id`` after them: doc_id, text_hash, n_tokens, ids (binary,
     little-endian, 2 or 4 bytes an id by the size of the vocabulary). Null text: only ``end_id``.
@@ -108,12 +158,12 @@ def id_counts(tokenized: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids, n in zip(*columns(batch, "ids", "n_tokens"), strict=True):
-                got = np.bincount(as_ids(ids, n))
-                if len(got) > len(total):
-                    total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-                total[: len(got)] += got
+        for batch in slices(batches, "ids"):
+            ids, n = columns(batch, "ids", "n_tokens")
+            got = np.bincount(as_ids(b"".join(ids), sum(n)))
+            if len(got) > len(total):
+                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
+            total[: len(got)] += got
         seen = np.flatnonzero(total)
         yield record_batch(pa.schema([("id", pa.int64()), ("n", pa.int64())]), [pa.array(seen), pa.array(total[seen])])
 
@@ -128,25 +178,39 @@ WIDTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)]
 _MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
-def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of uint32 values."""
+def _padded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands if every document begins a control byte; and the documents' starts."""
+    starts = np.concatenate([[0], np.cumsum(-(-lengths // 4) * 4)])
+    shift = starts[:-1] - (np.cumsum(lengths) - lengths)
+    return np.repeat(shift, lengths) + np.arange(lengths.sum()), starts
+
+
+def encode_values(values: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """Control and data bytes of documents whose uint32 values lie one after another."""
     v = np.ascontiguousarray(values, "<u4")
     code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]].tobytes()
-    padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
-    padded[: len(v)] = code
-    return (padded.reshape(-1, 4) * _SHIFTS).sum(1, dtype=np.uint8).tobytes(), data
-
-
-def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` values of (control, data): widths by table lookup, then one gather."""
-    widths = WIDTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
+    place, starts = _padded(lengths)
+    padded = np.zeros(starts[-1], np.uint8)
+    padded[place] = code
+    control = (padded.reshape(-1, 4) * _SHIFTS).sum(1, dtype=np.uint8).tobytes()
+    ends = np.concatenate([[0], np.cumsum(code, dtype=np.int64) + np.arange(1, len(v) + 1)])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+    cuts = (starts // 4).tolist()
+    return [control[a:b] for a, b in zip(cuts, cuts[1:])], [data[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
+
+
+def decode_values(controls: list[bytes], datas: list[bytes], lengths: np.ndarray) -> np.ndarray:
+    """The values of documents, one after another: widths by table lookup, then one gather."""
+    place, starts = _padded(lengths)
+    control, data = b"".join(controls), b"".join(datas)
+    if 4 * len(control) != starts[-1]:
+        raise ValueError("control bytes and lengths don't agree")
+    widths = WIDTHS[np.frombuffer(control, np.uint8)].ravel()[place]
     ends = np.cumsum(widths)
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    if n and ends[-1] != len(data):
+    if (ends[-1] if len(ends) else 0) != len(data):
         raise ValueError("control and data bytes don't agree")
     at = (ends - widths)[:, None] + np.arange(4)
-    return raw[at].view("<u4").ravel() & _MASKS[widths]
+    return np.frombuffer(data + b"\0\0\0", np.uint8)[at].view("<u4").ravel() & _MASKS[widths]
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0) -> str:
@@ -165,11 +229,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     id_type = tokenized.schema["doc_id"].dataType.simpleString()
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids"):
+        for batch in slices(batches, "ids", 1 << 20):
             ids, n = columns(batch, "ids", "n_tokens")
-            pairs = [encode_values(rank_of[as_ids(i, k)]) for i, k in zip(ids, n, strict=True)]
+            control, data = encode_values(rank_of[as_ids(b"".join(ids), sum(n))], np.array(n, np.int64))
             schema = pa.schema([*[batch.schema.field(i) for i in range(4)], pa.field("control", pa.binary()), pa.field("data", pa.binary())])
-            yield record_batch(schema, [*batch.columns[:4], [p[0] for p in pairs], [p[1] for p in pairs]])
+            yield record_batch(schema, [*batch.columns[:4], control, data])
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = TaskContext.get().partitionId(), 0
@@ -200,9 +264,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     offsets = {r["shard"]: r["before"] for r in before.collect()}  # a number for each shard
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "data", 4 << 20):
+        for batch in slices(batches, "data", 1 << 20):
             shard, start, n, control, data = columns(batch, "shard", "start_in_shard", "n_tokens", "control", "data")
-            ids = [ranks[decode_values(c, d, k)].tobytes() for c, d, k in zip(control, data, n, strict=True)]
+            raw = ranks[decode_values(control, data, np.array(n, np.int64))].tobytes()
+            cuts = np.concatenate([[0], 4 * np.cumsum(n)]).tolist()
+            ids = [raw[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
             schema = pa.schema([batch.schema.field(0), pa.field("start", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("ids", pa.binary())])
             yield record_batch(schema, [batch.column(0), [offsets[s] + x for s, x in zip(shard, start, strict=True)], n, ids])
 
