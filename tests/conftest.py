@@ -14,7 +14,7 @@ def spark():
 
     folder = tempfile.mkdtemp(prefix="spark-")
     conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.local.dir": folder, "spark.sql.warehouse.dir": f"{folder}/warehouse", "spark.driver.memory": "4g"}
-    session = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
+    session = SparkSession.builder.master("local[3]").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     ship(session)
     yield session
