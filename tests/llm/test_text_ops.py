@@ -1,3 +1,4 @@
+import functools
 import itertools
 import random
 import re
@@ -14,10 +15,15 @@ from tests.llm.edges import TEXTS, no_documents, odd_documents
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def bpe_ids(text):
+@functools.cache
+def bpe():
     t = Tokenizer.from_file(BPE)
     t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 0]
+    return t
+
+
+def bpe_ids(text):
+    return [*bpe().encode(text or "", add_special_tokens=False).ids, 0]
 
 
 # --- URLs ---
@@ -301,7 +307,7 @@ def test_reparameterised_questions_are_caught(spark):
 
 
 def test_slots_must_agree():
-    item = "If Tom has 4 apples and gives Tom 4 more of the apples that he bought yesterday"
+    item = "If Tom has 4 apples and Tom gives 4 away"  # one window
     index = decontaminate.Index([(1, item.encode())], 10, 6)
     assert index.matches(item.replace("4", "9").encode())
     assert not index.matches(item.replace("4 apples", "9 apples").encode())
