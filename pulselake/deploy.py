@@ -9,8 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, and Spark's own default. Several are
+#: alive at once on both sides, for each task of an executor.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = 8 << 20, 64 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends the package to all executors, once a SparkContext, as ``spark-submit --py-files`` does."""
+    """Sends the package to all executors, once a SparkContext, as ``spark-submit --py-files`` does.
+    Also makes Arrow batches small where the session has no size of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (f"{DEFAULT_BATCH_BYTES}b", str(DEFAULT_BATCH_BYTES), "64MB", "64m"):
+        spark.conf.set(name, str(BATCH_BYTES))
     context = spark.sparkContext
     if getattr(context, "_pulselake_shipped", False):
         return

@@ -106,6 +106,15 @@ def s5_segment_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return header.parse_segment_line(s).drop("line")
 
 
+def k4_multi_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header text of every record of segments."""
+    s = segments(spark, sf_dir)
+    line = F.concat(F.when(F.col("is_gap"), "~").otherwise(F.concat(F.lit("s"), F.col("seg_no").cast("string"))), F.lit(" "), F.col("seg_len").cast("string"))
+    all_ = s.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("seg_no", line.alias("line")))).alias("l"), F.sum("seg_len").alias("sig_len"), F.count("*").alias("n_seg"))
+    first = header.record_line(F.col("record"), F.lit(3), F.lit(360.0), F.col("sig_len"), F.col("n_seg"))
+    return all_.select("record", F.concat_ws("\n", first, F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
+
+
 def s6_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id")
     k = F.col("event_id")
@@ -144,6 +153,7 @@ QUERIES = {
     "k3_signal_line": (k3_signal_line, "SELECT p_partkey AS i, 'f' || p_partkey % 10 || '.dat 16' || CASE WHEN p_partkey % 3 > 1 THEN 'x' || p_partkey % 3 ELSE '' END || CASE WHEN p_partkey % 2 > 0 THEN ':1' ELSE '' END || ' ' || p_partkey % 7 || '.5(' || p_partkey % 100 || ')/mV ' || p_size || ' ' || p_partkey % 5 || ' ' || p_partkey % 50 || ' ' || p_partkey % 60 || ' 0 ' || p_type AS line FROM part"),
     "s4_signal_line": (s4_signal_line, "SELECT p_partkey AS i, 'f' || p_partkey % 10 || '.dat' AS file_name, '16' AS fmt, p_partkey % 7 + 0.5::DOUBLE AS adc_gain, 'mV' AS units, p_type AS sig_name, CASE WHEN p_partkey % 3 > 1 THEN p_partkey % 3 ELSE 1 END AS spf, p_partkey % 2 AS skew, p_partkey % 100 AS baseline, CAST(p_size AS BIGINT) AS adc_res, p_partkey % 5 AS adc_zero, p_partkey % 50 AS init_value, p_partkey % 60 AS checksum FROM part"),
     "s5_segment_line": (s5_segment_line, f"{WITH} SELECT record, seg_no, CASE WHEN is_gap THEN '~' ELSE 's' || seg_no END AS seg_name, seg_len, is_gap FROM seg"),
+    "k4_multi_header": (k4_multi_header, f"{WITH} SELECT record, record || '/' || count(*) || ' 3 360 ' || CAST(sum(seg_len) AS BIGINT) || chr(10) || string_agg(CASE WHEN is_gap THEN '~' ELSE 's' || seg_no END || ' ' || seg_len, chr(10) ORDER BY seg_no) AS text FROM seg GROUP BY record"),
     "s6_clock": (s6_clock, f"WITH c AS ({_CLOCK}) SELECT event_id, micros, printf('%02d:%02d:%02d.%03d', micros // 3600000000, micros // 60000000 % 60, micros // 1000000 % 60, micros // 1000 % 1000) AS clock, CASE WHEN event_id % 5 = 0 THEN event_id ELSE CAST(round_even(micros * 360::DOUBLE / 1000000, 0) AS BIGINT) END AS sample FROM c"),
     "p10_times": (p10_times, "SELECT event_id, CAST(round_even(event_id * 1009 * 1000000 / CAST(360 AS DOUBLE), 0) AS BIGINT) AS elapsed, event_id * 1009 AS n_again, make_timestamp(1000000000000000 + CAST(round_even(event_id * 1009 * 1000000 / CAST(360 AS DOUBLE), 0) AS BIGINT)) AS at FROM events"),
     "v2_grid": (v2_grid, "SELECT record, i * 0.125::DOUBLE AS tick, i % 4 = 0 AS large FROM (SELECT vec_id AS record, unnest(range(CAST(floor(CAST(list_min(embedding) AS DOUBLE) / 0.125) AS BIGINT), CAST(ceil(CAST(list_max(embedding) AS DOUBLE) / 0.125) AS BIGINT) + 1)) AS i FROM embeddings)"),

@@ -127,6 +127,19 @@ def w6_shift_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.shift_peaks(s, s.where("sample % 10 = 0"), 4, up=True, value="v").drop("ch")
 
 
+def w7_correct_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _coarse(spark, sf_dir).withColumn("v", F.col("v").cast("double"))
+    return sig.correct_peaks(s, s.where("sample % 10 = 0"), 4, 4, "v").drop("ch")
+
+
+def s23_infer_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that a file of a size holds, by format and samples a frame."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), (F.col("p_size") * 1000 + 24).cast("long").alias("size"), (F.col("p_partkey") % 4 + 1).alias("per_frame"))
+    formats = F.array(*[F.struct(F.lit(f[0]).alias("fmt"), F.lit(f[2]).alias("width")) for f in dims.DAT_FORMATS if f[0] in ("80", "212", "16", "24", "32")])
+    out = p.withColumn("f", F.explode(formats))
+    return out.select("i", "f.fmt", F.floor((F.col("size") - 24) / (F.col("f.width") * F.col("per_frame"))).cast("long").alias("frames"))
+
+
 def d4_energy_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir).withColumn("d", F.col("dval").cast("double"))
     return sig.energy_beats(s, 4, 6, "d").select("record", "sample", F.round("energy", 6).alias("energy"))
@@ -210,6 +223,10 @@ SELECT y.record, y.sample, round(coalesce(y.v, l.v + (r.v - l.v) * (y.sample - a
     "w4_soft_peaks": (w4_soft_peaks, f"{WITH}, x AS (SELECT record, sample, {COARSE} AS v FROM sig), y AS (SELECT *, sample - row_number() OVER (PARTITION BY record, v ORDER BY sample) AS run FROM x), r AS (SELECT record, v, run, min(sample) AS s, max(sample) AS e FROM y GROUP BY record, v, run), q AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS z FROM r WINDOW w AS (PARTITION BY record ORDER BY s)) SELECT record, (s + e) // 2 AS sample, CAST(sign(v - a) AS BIGINT) AS kind FROM q WHERE e > s AND sign(v - a) * sign(z - v) = -1"),
     "w5_peak_candidates": (w5_peak_candidates, f"{WITH}, x AS (SELECT record, sample, {COARSE} AS v FROM sig) SELECT record, sample, v FROM (SELECT *, max(v) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS m FROM x) WHERE v = m"),
     "w6_shift_peaks": (w6_shift_peaks, f"{WITH}, x AS (SELECT record, sample, {COARSE} AS v FROM sig) SELECT p.record, p.sample AS peak, arg_max(s.sample, s.v * 1000 - s.sample) AS sample FROM x p JOIN x s ON s.record = p.record AND s.sample BETWEEN p.sample - 4 AND p.sample + 3 WHERE p.sample % 10 = 0 GROUP BY p.record, p.sample"),
+    "w7_correct_peaks": (w7_correct_peaks, f"""{WITH}, x AS (SELECT record, sample, CAST({COARSE} AS DOUBLE) AS v FROM sig), f AS (SELECT record, sample, v - sum(v) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS d FROM x),
+n AS (SELECT p.record, p.sample AS peak, f.sample, f.d, row_number() OVER (PARTITION BY p.record, p.sample ORDER BY f.d DESC, f.sample) AS u, row_number() OVER (PARTITION BY p.record, p.sample ORDER BY f.d, f.sample) AS w FROM x p JOIN f ON f.record = p.record AND f.sample BETWEEN p.sample - 4 AND p.sample + 3 WHERE p.sample % 10 = 0),
+m AS (SELECT record, avg(abs(d)) FILTER (u = 1) >= avg(abs(d)) FILTER (w = 1) AS up FROM n GROUP BY record) SELECT n.record, peak, sample FROM n JOIN m ON n.record = m.record WHERE (up AND u = 1) OR (NOT up AND w = 1)"""),
+    "s23_infer_length": (s23_infer_length, f"SELECT p_partkey AS i, fmt, CAST(floor(p_size * 1000 / (CAST(w AS DOUBLE) * (p_partkey % 4 + 1))) AS BIGINT) AS frames FROM part, {dims.sql_values(dims.DAT_FORMATS)} AS t(fmt, bits, w, lo, hi, inv) WHERE fmt IN ('80', '212', '16', '24', '32')"),
     "d4_energy_beats": (d4_energy_beats, f"{WITH}, x AS (SELECT record, sample, CAST(dval - lag(dval) OVER (PARTITION BY record ORDER BY sample) AS DOUBLE) AS d FROM sig), y AS (SELECT record, sample, sum(d * d) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS energy FROM x), z AS (SELECT *, max(energy) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS m, avg(energy) OVER (PARTITION BY record) AS mean FROM y) SELECT record, sample, round(energy, 6) AS energy FROM z WHERE energy = m AND energy > 2 * mean"),
     "g3_average_beats": (g3_average_beats, f"{WITH}, q AS (SELECT record, sample FROM sig WHERE sample % 13 = 5), n AS (SELECT record, count(*) AS n FROM q GROUP BY record), l AS (SELECT record, sample, unnest(range(-6, 8)) AS lag FROM q) SELECT l.record, lag, any_value(n.n) AS n, round(sum(dval) / CAST(any_value(n.n) AS DOUBLE), 6) AS mean FROM l JOIN sig ON sig.record = l.record AND sig.sample = l.sample + lag JOIN n ON n.record = l.record GROUP BY l.record, lag"),
     "j9_values_at": (j9_values_at, f"{WITH} SELECT sig.record, sig.sample, event_id AS ann_no, dval FROM events JOIN sig ON sig.record = event_id % 500 AND sig.sample = event_id % 71"),
