@@ -81,9 +81,23 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """
 
 
+def _op3_sql() -> str:
+    """Hosts, paths and the longest rule that fits; else the patterns of the method."""
+    rules = ", ".join(f"('{a}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for a, r in urls.PATH_RULES)
+    spam = " OR ".join(f"regexp_matches(host || path, '(?s)^{urls.to_regex(p).pattern}')" for p in urls.SPAM_PATTERNS)
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT * FROM (VALUES {rules}) AS t(action, rule, rule_host, rule_path)),
+j AS (SELECT h.*, r.action, r.rule, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC) AS n
+  FROM h LEFT JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN {spam} THEN 'block' ELSE 'allow' END) AS verdict FROM j WHERE n = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_mtree_search, op2_simhash, op3_url_filter, op4_token_ids, op5_language_id, op6_token_counts, op7_suffix_dedup, op8_decontaminate, op9_pack, op10_license_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mtree_search": OP1_SQL}
+    return {"op1_mtree_search": OP1_SQL, "op3_url_filter": _op3_sql()}
