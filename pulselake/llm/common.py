@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -97,10 +99,31 @@ def slices(batches: Iterable[pa.RecordBatch], name: str, max_bytes: int = 16 <<
             at = to
 
 
+_CACHES: list[dict] = []
+
+
+def claim(cache: dict) -> None:
+    """Empties the caches of all other operators: workers are used again by the next stages, and
+    several full caches at once would take too much of an executor's memory."""
+    if not any(c is cache for c in _CACHES):
+        _CACHES.append(cache)
+    for c in _CACHES:
+        if c is not cache:
+            c.clear()
+
+
+def trim() -> None:
+    """Gives memory that isn't used back to the system: a worker that waits for its next task would
+    keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only in some C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for a bounded number of distinct words."""
 
-    LIMIT = 400_000
+    LIMIT = 200_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word, 7)
@@ -112,6 +135,9 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Those of a worker, whatever it runs.
+WORD_HASHES = WordHashes()
+
 #: Odd multiplier of the polynomial hash over word hashes, modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import columns, record_batch, slices, utf8, window_hashes
+from pulselake.llm.common import claim, columns, record_batch, slices, trim, utf8, window_hashes
 
 #: Words that are units where they follow a number.
 UNITS = frozenset(b"m cm mm km g kg mg t l ml s sec min h hr ms hz khz mhz v a w kw j kj n pa % percent meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds ounce ounces litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents degree degrees".split())
@@ -39,7 +39,7 @@ class _Words(dict):
         low = core.lower()
         flags = 1 * bool(_NUMBER.fullmatch(low)) | 2 * (low in UNITS) | 4 * (core[:1] != low[:1]) | 8 * (word.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b":"))
         value = (xxhash.xxh64_intdigest(low, 8) & ~15) | flags
-        if len(self) < 400_000:
+        if len(self) < 250_000:
             self[word] = value
         return value
 
@@ -153,6 +153,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, least:
 
     def matcher(block: list[tuple[object, bytes]]):
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim(_KNOWN)
             index = Index(block, window, least)
             for batch in slices(batches, "text"):
                 rows, at = [], []
@@ -188,8 +189,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, least
 def _holds(block: list[tuple[object, bytes]], window: int, least: int):
     @F.pandas_udf("boolean")
     def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim(_KNOWN)
         index = Index(block, window, least)
         for texts in batches:
             yield pd.Series([bool(index.matches(t)) for t in texts], dtype=bool)
+        trim()
 
     return holds

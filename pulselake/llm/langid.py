@@ -12,11 +12,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import columns, record_batch, slices, utf8
+from pulselake.llm.common import claim, columns, record_batch, slices, trim, utf8
 
 #: Label of texts without letters.
 UNKNOWN = "und"
@@ -32,6 +33,7 @@ BUCKETS = 1 << 17
 LEAST_EVIDENCE = -25.0
 
 _POWER = np.uint64(0x9E3779B97F4A7C15)
+_NONE: dict = {}
 _LETTERS: list[np.ndarray] = []
 
 
@@ -293,23 +295,25 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     span = pa.struct([("lang", pa.string()), ("start", pa.int64()), ("n_words", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        claim(_NONE)
+        for batch in slices(batches, "text", 3 << 20):
             found = label_texts([t.decode("utf-8", "replace") for t in columns(batch, "text")[0]], model)
             schema = pa.schema([batch.schema.field(0), batch.schema.field(1), pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("n_words", pa.int64()), pa.field("spans", pa.list_(span))])
             yield record_batch(schema, [batch.column(0), batch.column(1), *found])
+        trim()
 
     ddl = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, lang_pred string, score double, n_words long, spans array<struct<lang:string,start:long,n_words:long>>"
     return src.mapInArrow(run, ddl)
 
 
-def _pieces(texts: list[str], chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``chars`` characters."""
-    start = size = 0
+def _pieces(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts (or of their bytes) of about ``size`` together."""
+    start = total = 0
     for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars or i == len(texts) - 1:
+        total += len(t)
+        if total >= size or i == len(texts) - 1:
             yield start, i + 1
-            start, size = i + 1, 0
+            start, total = i + 1, 0
 
 
 def label_texts(texts: list[str], model: Model) -> tuple[list[str], list[float], list[int], list[list[dict]]]:
@@ -348,16 +352,19 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """Documents, with all their columns, whose language is told with a score of ``least`` or more:
-    texts without letters go, and those of which no language has that share of the words."""
+    texts without letters go, and those of which no language has that share of the words. Where no
+    document has a language to learn, only those without letters go."""
     model = train(docs)
 
     @F.pandas_udf("boolean")
-    def identified(text):
-        texts = [t or "" for t in text]
-        out = []
-        for a, b in _pieces(texts, 4 << 20):
-            names, scores, *_ = label_texts(texts[a:b], model)
-            out += [name != UNKNOWN and s >= least for name, s in zip(names, scores, strict=True)]
-        return text.__class__(out, index=text.index, dtype=bool)
-
-    return docs.where(identified("text")) if model.languages else docs
+    def identified(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim(_NONE)
+        for batch in batches:
+            texts, out = list(batch), []
+            for a, b in _pieces(texts, 2 << 20):
+                names, scores, *_ = label_texts([t.decode("utf-8", "replace") for t in texts[a:b]], model)
+                out += [name != UNKNOWN and s >= least for name, s in zip(names, scores, strict=True)]
+            yield pd.Series(out, dtype=bool)
+        trim()
+
+    return docs.where(identified(utf8()) if model.languages else F.col("text").rlike(r"\p{L}"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import columns, parallel, record_batch, slices, write_table
+from pulselake.llm.common import columns, parallel, record_batch, slices, trim, write_table
 from pulselake.llm.tokens import as_ids, tokenize
 
 #: More slots than this (a histogram of usual capacity gives a few thousand) aren't broadcast.
@@ -106,7 +106,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0)
     src = table.join(plan, "row_id").select("doc_id", "n_tokens", "ids", "full_first", "rest_sequence", "rest_offset")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids", 4 << 20):
+        for batch in slices(batches, "ids", 1 << 20):
             rows, at = [], []
             for k, (n, ids, first, sequence, offset) in enumerate(zip(*columns(batch, "n_tokens", "ids", "full_first", "rest_sequence", "rest_offset"), strict=True)):
                 ids = as_ids(ids, n)
@@ -117,5 +117,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0)
                     at.append(k)
             out = pa.schema([batch.schema.field(0), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
             yield record_batch(out, [batch.column(0).take(pa.array(np.array(at, np.int64))), *zip(*rows, strict=True)])
+        trim()
 
     return src.mapInArrow(cut, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import WordHashes, columns, doc_hash, drop_path, record_batch, slices, utf8, write_table
+from pulselake.llm.common import WORD_HASHES, claim, columns, doc_hash, drop_path, record_batch, slices, trim, utf8, write_table
 from pulselake.llm.components import connected_components
 
 #: Bit counts of the 256 bytes, by bit.
@@ -32,8 +32,6 @@ _PLACE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 #: that a fingerprint of a group of this size has.
 LARGE_GROUP = 1400
 
-_WORDS = WordHashes()
-
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """64-bit SimHash over all word shingles, repeats included; 0 without words."""
@@ -60,7 +58,7 @@ def _majority(hashes: np.ndarray) -> int:
 def word_fingerprint(text: bytes) -> int:
     """64-bit SimHash over the distinct words; 0 without words."""
     words = set(text.lower().split())
-    return _majority(_WORDS.of(list(words))) if words else 0
+    return _majority(WORD_HASHES.of(list(words))) if words else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int | None = 3) -> DataFrame:
@@ -69,11 +67,13 @@ def fingerprints(docs: DataFrame, shingle: int | None = 3) -> DataFrame:
     src = docs.select("doc_id", doc_hash().alias("text_hash"), utf8().alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(WORD_HASHES)
         for batch in slices(batches, "text"):
             texts = columns(batch, "text")[0]
             fp = np.array([word_fingerprint(t) if shingle is None else fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
             schema = pa.schema([batch.schema.field(0), batch.schema.field(1), pa.field("fp", pa.int64())])
             yield record_batch(schema, [batch.column(0), batch.column(1), pa.array(fp)])
+        trim()
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 

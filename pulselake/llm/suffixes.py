@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import WordHashes, columns, drop_path, mix, parallel, record_batch, slices, utf8, window_hashes, write_table
+from pulselake.llm.common import WORD_HASHES, claim, columns, drop_path, mix, parallel, record_batch, slices, trim, utf8, window_hashes, write_table
 
-_WORDS = WordHashes()
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -128,13 +127,14 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, window: int = 24, gra
     texts = docs.select("doc_id", _key().alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("ord"), utf8().alias("text"))
 
     def suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(WORD_HASHES)
         for batch in slices(batches, "text"):
             hs, ps, keep = [], [], []
             for i, text in enumerate(columns(batch, "text")[0]):
                 words = text.split()
                 if len(words) < min_words:
                     continue
-                h = _WORDS.of(words)
+                h = WORD_HASHES.of(words)
                 p = minimisers(h, gram, window)
                 p = p[p <= len(h) - reach]
                 hs.append(window_hashes(h, reach)[p])
@@ -142,6 +142,7 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, window: int = 24, gra
                 keep.append(i)
             if keep:
                 yield _dealt(hs, batch.column(1).to_numpy()[keep], batch.column(0).to_numpy()[keep], ps)
+        trim()
 
     found = _sorted_neighbours(texts.select("key", "ord", "text").mapInArrow(suffixes, _ROWS_DDL))
     found = found.groupBy("key").agg(F.collect_list("pos").alias("at"))  # a list no longer than the text
@@ -149,11 +150,12 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, window: int = 24, gra
     near = texts.select("key", "ord", "text").join(found, "key")
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(WORD_HASHES)
         for batch in slices(batches, "text", 4 << 20):
             texts_, ats = columns(batch, "text", "at")
             hs, ps = [], []
             for text, at in zip(texts_, ats, strict=True):
-                h = _WORDS.of(text.split())
+                h = WORD_HASHES.of(text.split())
                 n = len(h) - min_words + 1
                 edge = np.zeros(n + 1, np.int64)
                 p = np.array(at, np.int64)
@@ -164,6 +166,7 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, window: int = 24, gra
                 ps.append(starts)
             if hs:
                 yield _dealt(hs, batch.column(1).to_numpy(), batch.column(0).to_numpy(), ps)
+        trim()
 
     recurring = _sorted_neighbours(near.mapInArrow(windows, _ROWS_DDL))
     recurring = recurring.groupBy("key").agg(F.collect_list("pos").alias("starts"), F.collect_list(F.when(F.col("repeat"), F.col("pos"))).alias("repeats"))

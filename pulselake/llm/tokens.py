@@ -22,10 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import columns, doc_hash, drop_path, parallel, record_batch, scratch_root, slices, utf8, write_table
+from pulselake.llm.common import claim, columns, doc_hash, drop_path, parallel, record_batch, scratch_root, slices, trim, utf8, write_table
 
 #: Entries kept in a worker's cache of encoded pieces, and the longest piece kept.
-CACHE_PIECES, CACHE_CHARS = 800_000, 40
+CACHE_PIECES, CACHE_CHARS = 300_000, 40
 
 #: A space or line break that doesn't stand alone before another character, and other white space.
 _RUN = re.compile(r" (?:\s|\Z)|\n(?:\s|\Z)|\s\n")
@@ -71,8 +71,8 @@ class PieceEncoder:
         """Ids of pieces, encoded as lines of a text: with a space before each, or with their own
         line breaks (``before`` is empty)."""
         found = {}
-        for at in range(0, len(pieces), 1000):
-            part = pieces[at : at + 1000]
+        for at in range(0, len(pieces), 64):
+            part = pieces[at : at + 64]
             text = before + ("\n" + before).join(part) if before else "".join(part)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.code)
             breaks = np.flatnonzero(ids == self.line[0])
@@ -112,7 +112,9 @@ class PieceEncoder:
         for s in split:
             seen.update(s[1:])
         if len(self.pieces) > CACHE_PIECES:  # what this batch has stays
-            self.pieces = {p: self.pieces[p] for p in seen if p in self.pieces}
+            kept = {p: self.pieces[p] for p in seen if p in self.pieces}
+            self.pieces.clear()
+            self.pieces.update(kept)
         if len(self.marks) > CACHE_PIECES:
             self.marks = {}
         known = self.pieces
@@ -139,11 +141,13 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.at(tokenizer)
+        claim(encoder.pieces)
         end = array(encoder.code, [end_id]).tobytes()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             ids = [b + end for b in encoder.encode([t.decode("utf-8", "replace") for t in columns(batch, "text")[0]])]
             schema = pa.schema([batch.schema.field(0), batch.schema.field(1), pa.field("n_tokens", pa.int64()), pa.field("ids", pa.binary())])
             yield record_batch(schema, [batch.column(0), batch.column(1), [len(b) // len(end) for b in ids], ids])
+        trim()
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, n_tokens long, ids binary")
 

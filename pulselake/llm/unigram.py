@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import columns, record_batch, slices, utf8
+from pulselake.llm.common import claim, columns, record_batch, slices, trim, utf8
 
 SPACE = "▁"
 
@@ -153,9 +153,11 @@ def count_tokens(docs: DataFrame, piece_file: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Unigram.of_piece_file(piece_file)
+        claim(model.words)
         for batch in slices(batches, "text"):
             got = [model.count(t.decode("utf-8", "replace")) for t in columns(batch, "text")[0]]
             schema = pa.schema([batch.schema.field(0), batch.schema.field(1), pa.field("n_tokens", pa.int64()), pa.field("score", pa.float64())])
             yield record_batch(schema, [batch.column(0), batch.column(1), [n for _, n in got], [s for s, _ in got]])
+        trim()
 
     return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, n_tokens long, score double")
