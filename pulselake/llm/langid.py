@@ -271,7 +271,9 @@ def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
     names = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
     hashed = usable.where(F.col("lang").isin(names)).select("lang", F.xxhash64("text").alias("h"), "text")
     distinct = hashed.select("lang", "h").distinct()
-    ranked = distinct.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_texts)
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")  # a language of most rows is ranked by many tasks
+    ranked = distinct.withColumn("n", F.row_number().over(parts)).where(F.col("n") <= sample_texts).drop("n")
+    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_texts)
     last = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
     if not last:
         return fit([], [])
