@@ -205,7 +205,11 @@ def keep_one(docs: DataFrame, max_bits: int = 6, shingle: int | None = None) ->
     By default fingerprints take each distinct word once: a near copy with a fiftieth of its words
     changed (a similarity of 0.8 on five-word shingles) is about 4 bits away, where over shingles it
     is 9 to 13, too far for any selective key."""
-    found = near_duplicates(docs, max_bits, shingle)
+    return first_of_each(docs, near_duplicates(docs, max_bits, shingle))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The first document of each root of ``found`` (doc_id, text_hash, root), as in ``keep_one``."""
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
     kept = found.groupBy("root").agg(F.min(first).alias("k"), F.count("*").alias("c")).select(F.col("k.id").alias("_id"), F.col("k.h").alias("_hash"))
     kept, _ = write_table(kept, "kept")
