@@ -4,6 +4,8 @@ Words become template tokens: numbers, units after numbers, and names (capitalis
 begin a sentence) are replaced by typed placeholders, so that a question with other numbers or names
 has the same template. Template windows of documents are hash-joined with those of the benchmark;
 then slots are checked: within a window, equal values must stay equal and different ones different.
+Every window is also joined by its lower-cased words themselves, so that verbatim ones match whatever
+their slots and letter case, and items too short for a template match as a whole.
 """
 
 from __future__ import annotations
@@ -38,13 +40,16 @@ class _Words(dict):
         core = word.strip(_PUNCTUATION)
         low = core.lower()
         flags = 1 * bool(_NUMBER.fullmatch(low)) | 2 * (low in UNITS) | 4 * (core[:1] != low[:1]) | 8 * (word.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b":"))
-        value = (xxhash.xxh64_intdigest(low, 8) & ~15) | flags
+        whole = low if low.isascii() else low.decode("utf-8", "replace").lower().encode()
+        value = (xxhash.xxh64_intdigest(whole, 8) & ~15) | flags
         if len(self) < 250_000:
             self[word] = value
         return value
 
 
 _KNOWN = _Words()
+#: Hash of words of punctuation only.
+_EMPTY = np.uint64(xxhash.xxh64_intdigest(b"", 8) & ~15)
 
 
 def templates(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -77,15 +82,20 @@ def consistent(tokens: np.ndarray, ours: np.ndarray, theirs: np.ndarray) -> bool
 
 
 class Index:
-    """Template windows of some benchmark items, by window length and hash."""
+    """Windows of some benchmark items, by window length and hash: of templates, and of the words themselves."""
 
     def __init__(self, items: list[tuple[object, bytes]], window: int, least: int):
         self.items = []
         self.at: dict[int, dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]]] = defaultdict(lambda: defaultdict(list))
+        self.words: dict[int, dict[int, list[tuple[int, int, np.ndarray, np.ndarray]]]] = defaultdict(lambda: defaultdict(list))
         for item_id, text in items:
             tokens, own = templates(text)
             k = min(window, len(tokens))
             self.items.append((item_id, len(tokens)))
+            for i, h in enumerate(window_hashes(own, k).tolist() if k else []):
+                part = own[i : i + k]
+                if (part != _EMPTY).any():
+                    self.words[k][h].append((len(self.items) - 1, i, part, part))
             if k < least:
                 continue
             variants = [tokens]
@@ -96,28 +106,29 @@ class Index:
                     part = tok[i : i + k]
                     if 2 * int(_is_slot(part).sum()) <= k:  # mostly wording
                         self.at[k][h].append((len(self.items) - 1, i, part, own[i : i + k]))
-        self.sorted = {k: np.array(sorted(d), np.uint64) for k, d in self.at.items()}
+        self.sorted = [(at, k, np.array(sorted(d), np.uint64)) for at in (self.at, self.words) for k, d in at.items()]
 
     def matches(self, text: bytes) -> dict[int, tuple[set[int], int, bool, int]]:
         """Item to (its matched words, first word here, whether all values are equal, windows)."""
         tokens, own = templates(text)
         found: dict[int, list] = {}
-        for k, keys in self.sorted.items():
-            h = window_hashes(tokens, k)
+        for at, k, keys in self.sorted:
+            seen = own if at is self.words else tokens
+            h = window_hashes(seen, k)
             if not len(h):
                 continue
             near = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             for p in np.flatnonzero(keys[near] == h).tolist():
-                for item, i, part, values in self.at[k][int(h[p])]:
+                for item, i, part, values in at[k][int(h[p])]:
                     here = own[p : p + k]
-                    if not np.array_equal(part, tokens[p : p + k]) or not consistent(part, values, here):
+                    if not np.array_equal(part, seen[p : p + k]) or not consistent(part, values, here):
                         continue
-                    m = found.setdefault(item, [set(), p, True, 0])
+                    m = found.setdefault(item, [set(), p, True, set()])
                     m[0].update(range(i, i + k))
                     m[1] = min(m[1], p)
                     m[2] &= bool(np.array_equal(values, here))
-                    m[3] += 1
-        return {k: tuple(v) for k, v in found.items()}
+                    m[3].add((i, p))
+        return {k: (*v[:3], len(v[3])) for k, v in found.items()}
 
 
 def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[object, bytes]]]:
@@ -135,13 +146,14 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tu
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, least: int = 6, block_bytes: int = 4 << 20) -> DataFrame:
-    """Pairs of a document and a benchmark item of which it holds a template window.
+    """Pairs of a document and a benchmark item of which it holds a window, verbatim but for letter
+    case and punctuation, or with other numbers, names or units.
 
     Returns doc_id, text_hash, item_id, n_windows (matched places), coverage (share of the item's
     words in matched windows), first_word (in the document) and verbatim (false where numbers, names
-    or units differ). A window has ``window`` words, or all of a shorter item; items of fewer than
-    ``least`` words are too short to tell and match nothing. Windows that are mostly placeholders
-    aren't used. One pass over the documents a block of the benchmark, without a shuffle.
+    or units differ). A window has ``window`` words, or all of a shorter item. Items of fewer than
+    ``least`` words and windows that are mostly placeholders match verbatim only; items without a
+    letter or digit match nothing. One pass over the documents a block of the benchmark, without a shuffle.
 
     Null and empty texts hold nothing. Repeated documents give their pairs each; repeated items too.
     Rows with null ids take part. Other columns are ignored; an empty table on either side gives no
@@ -178,7 +190,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, least:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, least: int = 6, block_bytes: int = 4 << 20) -> DataFrame:
-    """Documents, with all their columns, that hold no template window of any benchmark item: those
+    """Documents, with all their columns, that hold no window of any benchmark item: those
     without a row in ``contaminated``, found in the same way, without a join."""
     out = docs
     for block in benchmark_blocks(benchmark, block_bytes):

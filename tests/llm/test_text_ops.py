@@ -314,6 +314,18 @@ def test_slots_must_agree():
     assert index.matches(item.replace("Tom", "Eve").encode())
 
 
+def test_verbatim_items_match_whatever_their_slots_and_case(spark):
+    items = ["WHAT IS THE CAPITAL CITY OF THE LARGEST COUNTRY IN SOUTH AMERICA", "The Old Man And The Sea By Ernest Hemingway Was Published In Cuba", "Compute 3 7 9 12 15 18 21 24 27 30", "Who wrote Hamlet in London?", "it is said that Anna met Peter in Rome and then left"]
+    bench = spark.createDataFrame([*enumerate(items), (8, "???"), (9, "")], "item_id long, text string")
+    rows = [(i, f"Some words before. {t} And some -- after it.") for i, t in enumerate(items)]
+    rows += [(10 + i, f"some words before {t.lower()}") for i, t in enumerate(items)]
+    rows += [(20, "Compute 4 8 9 12 15 18 21 24 27 31"), (21, "Who wrote Faust in London?"), (22, "-- ... ??? !")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id, r.verbatim, r.coverage) for r in got} == {(i + d, i, True, 1.0) for i in range(5) for d in (0, 10)}
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [20, 21, 22]
+
+
 def test_decontamination_of_odd_documents(spark):
     docs = odd_documents(spark)
     bench = spark.createDataFrame([(1, "covers this text. The MIT License covers this text. The MIT")], "item_id long, text string")
