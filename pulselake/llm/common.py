@@ -76,6 +76,18 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+def offsets_of(col: pa.Array) -> np.ndarray:
+    """Where the values of a binary column begin and end in its buffer."""
+    return np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
+
+
+def raw_bytes(col: pa.Array) -> np.ndarray:
+    """All bytes of a binary column without nulls, one value after another, without a copy."""
+    at = offsets_of(col)
+    data = col.buffers()[2]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+
+
 def record_batch(schema: pa.Schema, values: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
 
@@ -87,10 +99,11 @@ def slices(batches: Iterable[pa.RecordBatch], name: str, max_bytes: int = 16 <<
         if batch.num_rows == 0:
             continue
         col = batch.column(batch.schema.get_field_index(name))
-        ends = np.cumsum([len(x) for x in col.to_pylist()]) if col.nbytes > max_bytes else None
-        if ends is None:
+        if col.nbytes <= max_bytes:
             yield batch
             continue
+        at = offsets_of(col)
+        ends = at[1:].astype(np.int64) - at[0]
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0

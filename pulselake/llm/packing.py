@@ -109,7 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0)
         for batch in slices(batches, "ids", 1 << 20):
             rows, at = [], []
             for k, (n, ids, first, sequence, offset) in enumerate(zip(*columns(batch, "n_tokens", "ids", "full_first", "rest_sequence", "rest_offset"), strict=True)):
-                ids = as_ids(ids, n)
+                ids = as_ids(ids, n).astype("<u4")
                 for i, start in enumerate(range(0, n, capacity)):
                     piece = ids[start : start + capacity]
                     full = len(piece) == capacity

@@ -10,6 +10,7 @@ in the lowest bits. ``ranks.parquet`` beside the shards maps ranks to ids.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import claim, columns, doc_hash, drop_path, parallel, record_batch, scratch_root, slices, trim, utf8, write_table
+from pulselake.llm.common import claim, columns, doc_hash, drop_path, parallel, raw_bytes, record_batch, scratch_root, slices, trim, utf8, write_table
 
 #: Entries kept in a worker's cache of encoded pieces, and the longest piece kept.
 CACHE_PIECES, CACHE_CHARS = 300_000, 40
@@ -36,15 +37,51 @@ _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(
 
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
+#: Characters that stand for the 256 bytes in vocabularies of this kind: printable ones for themselves,
+#: the others, in order, for those from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARS = np.array([b if b in _PRINTABLE else 256 + sum(x not in _PRINTABLE for x in range(b)) for b in range(256)], "<u4")
+
+
+def _byte_chars(text: str) -> str:
+    return _BYTE_CHARS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+
+
+_SPACE, _BREAK, _NO_BREAK = _byte_chars(" "), _byte_chars("\n"), _byte_chars("\xa0")
+
+
+def _kind(c: str) -> int:
+    return 1 if c.isalpha() else 2 if c.isdigit() else 3
+
+
+def keeps_apart(settings: dict) -> bool:
+    """Whether the merges of a byte-level BPE (its settings as a dictionary) never join letters, digits
+    and other ASCII characters with one another, nor anything with a space or line break before it.
+    Then such pieces have the same ids with the usual pre-tokenizer and without any."""
+    cut, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    if cut.get("type") != "ByteLevel" or not cut.get("use_regex") or cut.get("add_prefix_space") or settings.get("normalizer") or model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix")):
+        return False
+    for merge in model["merges"]:
+        token = "".join(merge if isinstance(merge, list) else merge.split(" "))
+        if _NO_BREAK in token or "'" in token:  # not in pieces that are encoded without a pre-tokenizer
+            continue
+        core = token.lstrip(_SPACE)
+        if _SPACE in core or (_BREAK in token and token.strip(_BREAK)):
+            return False
+        if core.isascii() and len({_kind(c) for c in core}) > 1:
+            return False
+    return True
+
 
 class PieceEncoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, remembering pieces.
 
     These tokenizers cut a text before each space or line break that stands alone before another
     character, and a word from marks after it, so these pieces encode alone as they do in the text.
-    A text with other white space next to a space or line break is encoded whole. New pieces are
-    encoded as lines of one text, which saves much of the cost of small calls. Only ids are kept:
-    2 bytes each, or 4 for vocabularies above 65,536.
+    A text with other white space next to a space or line break, or with the string of a special
+    token, is encoded whole. New pieces are encoded as lines of one text, which saves much of the
+    cost of small calls; where ``keeps_apart`` holds, plain ones go without the pre-tokenizer, which
+    takes half of the time. Only ids are kept: 2 bytes each, or 4 for vocabularies above 65,536.
     """
 
     def __init__(self, path: str):
@@ -52,9 +89,14 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        settings = json.loads(self.tokenizer.to_str())
+        self.special = [t["content"] for t in settings.get("added_tokens", [])]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.bare = None
+        if len(self.line) == 1 and keeps_apart(settings):
+            self.bare = Tokenizer.from_file(path)
+            self.bare.pre_tokenizer = None
         self.pieces: dict[str, bytes] = {}  # by the line break and what follows, or by what follows a space
         self.marks: dict[str, bytes] = {}
 
@@ -67,61 +109,76 @@ class PieceEncoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _lines(self, pieces: list[str], before: str) -> dict[str, bytes]:
-        """Ids of pieces, encoded as lines of a text: with a space before each, or with their own
-        line breaks (``before`` is empty)."""
-        found = {}
-        for at in range(0, len(pieces), 64):
-            part = pieces[at : at + 64]
-            text = before + ("\n" + before).join(part) if before else "".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.code)
-            breaks = np.flatnonzero(ids == self.line[0])
-            ends = (np.append(breaks if before else breaks[1:], len(ids)) * ids.itemsize).tolist()
+    def _lines(self, words: list[str], before: str, bare: bool) -> list[bytes]:
+        """Ids of each word with ``before`` before it, encoded as lines of one text."""
+        out = []
+        for at in range(0, len(words), 64):
+            part = words[at : at + 64]
+            text = before + ("\n" + before).join(part)
+            found = self.bare.encode_batch_fast([_byte_chars(text)]) if bare else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            ids = np.array(found[0].ids, self.code)
+            ends = (np.append(np.flatnonzero(ids == self.line[0]), len(ids)) * ids.itemsize).tolist()
             if len(ends) != len(part):
                 raise ValueError("this tokenizer doesn't cut at line breaks")
-            raw, start, skip = ids.tobytes(), 0, ids.itemsize if before else 0
-            for p, end in zip(part, ends, strict=True):
-                found[p] = raw[start:end]
-                start = end + skip
-        return found
+            raw, start = ids.tobytes(), 0
+            for end in ends:
+                out.append(raw[start:end])
+                start = end + ids.itemsize
+        return out
 
     def _new(self, pieces: list[str]) -> None:
         """Encodes pieces that aren't known yet."""
-        known, marked, plain = self.pieces, [], set()
+        known, marked = self.pieces, []
+        fast: dict[bool, list[str]] = {False: [], True: []}  # whether they begin with a line break
+        rest: dict[bool, list[str]] = {False: [], True: []}
+        cores = set()
         for p in pieces:
+            broken = p[0] == "\n"
+            if p.isascii() and self.bare and "'" not in p and (p[1:] if broken else p).isprintable():
+                fast[broken].append(p)
+                continue
             core = p.rstrip(_MARKS)
-            if len(core) < len(p) and core.lstrip("\n").isalpha():
+            word = core[1:] if broken else core
+            if not word.isalpha():
+                rest[broken].append(p)
+                continue
+            if len(core) < len(p):
                 marked.append((p, core, p[len(core) :]))
-                if core not in known:
-                    plain.add(core)
-            else:
-                plain.add(p)
-        single = len(self.line) == 1
-        lines = [p for p in plain if single and not p[-1].isspace()]
-        known.update(self._lines([p for p in lines if p[0] != "\n"], " "))
-        known.update(self._lines([p for p in lines if p[0] == "\n"], ""))
-        rest = [p for p in plain if p not in known]
-        known.update(zip(rest, self._whole([p if p[0] == "\n" else " " + p for p in rest]), strict=True))
+                if core in known or core in cores:
+                    continue
+            if core not in cores:
+                cores.add(core)
+                (fast if self.bare and max(word) < "\u0250" else rest)[broken].append(core)
+        line = array(self.code, self.line).tobytes()
+        for group, bare in ((fast, True), (rest, False)):
+            plain = [p for p in group[False] if bare or not p[-1].isspace()] if len(self.line) == 1 else []
+            known.update(zip(plain, self._lines(plain, " ", bare), strict=True))
+            broken = [p for p in group[True] if bare or not p[-1].isspace()] if len(self.line) == 1 else []
+            known.update(zip(broken, [line + ids for ids in self._lines([p[1:] for p in broken], "", bare)], strict=True))
+        left = [p for p in [*rest[False], *rest[True]] if p not in known]
+        known.update(zip(left, self._whole([p if p[0] == "\n" else " " + p for p in left]), strict=True))
         marks = list({m for _, _, m in marked}.difference(self.marks))
         self.marks.update(zip(marks, self._whole(marks), strict=True))
         known.update((p, known[core] + self.marks[m]) for p, core, m in marked)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[t] if _has_runs(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        seen: set[str] = set()
+        split = [[t] if _has_runs(t) or any(s in t for s in self.special) else t.replace("\n", " \n").split(" ") for t in texts]
+        heads = self._whole([s[0] for s in split])
+        known = self.pieces
         for s in split:
-            seen.update(s[1:])
-        if len(self.pieces) > CACHE_PIECES:  # what this batch has stays
-            kept = {p: self.pieces[p] for p in seen if p in self.pieces}
-            self.pieces.clear()
-            self.pieces.update(kept)
+            s[0] = ""
+        seen = set().union(*split)
+        seen.discard("")
+        new = list(seen.difference(known))
+        if len(known) + len(new) > CACHE_PIECES:  # what this batch has stays
+            kept = {p: known[p] for p in seen if p in known}
+            known.clear()
+            known.update(kept)
         if len(self.marks) > CACHE_PIECES:
             self.marks = {}
-        known = self.pieces
-        new = list(seen.difference(known))
         self._new(new)
-        heads = self._whole([s[0] for s in split])
-        out = [h + b"".join(map(known.__getitem__, s[1:])) for h, s in zip(heads, split, strict=True)]
+        known[""] = b""
+        out = [h + b"".join(map(known.__getitem__, s)) for h, s in zip(heads, split, strict=True)]
         for p in new:
             if len(p) > CACHE_CHARS:
                 del known[p]
@@ -133,53 +190,63 @@ def _has_runs(text: str) -> bool:
     return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:].isspace() or (_OTHER_SPACE.search(text) is not None and _RUN.search(text) is not None)
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, counts: bool = False) -> DataFrame:
     """Ids of every whole text and ``end_id`` after them: doc_id, text_hash, n_tokens, ids (binary,
     little-endian, 2 or 4 bytes an id by the size of the vocabulary). Null text: only ``end_id``.
-    ``tokenizer`` is the path of a file of the tokenizers library, on every machine."""
+    ``tokenizer`` is the path of a file of the tokenizers library, on every machine.
+
+    With ``counts`` there is a column id_counts too, null for documents, and a task ends with a row
+    that holds nothing else: how often it saw each id, as 64-bit numbers from id 0 on.
+    """
     src = docs.select("doc_id", doc_hash().alias("text_hash"), utf8().alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = PieceEncoder.at(tokenizer)
         claim(encoder.pieces)
         end = array(encoder.code, [end_id]).tobytes()
+        total, schema = np.zeros(0, np.int64), None
         for batch in slices(batches, "text", 2 << 20):
             ids = [b + end for b in encoder.encode([t.decode("utf-8", "replace") for t in columns(batch, "text")[0]])]
-            schema = pa.schema([batch.schema.field(0), batch.schema.field(1), pa.field("n_tokens", pa.int64()), pa.field("ids", pa.binary())])
-            yield record_batch(schema, [batch.column(0), batch.column(1), [len(b) // len(end) for b in ids], ids])
+            fields = [batch.schema.field(0), batch.schema.field(1), pa.field("n_tokens", pa.int64()), pa.field("ids", pa.binary())]
+            schema = pa.schema([*fields, pa.field("id_counts", pa.binary())] if counts else fields)
+            values = [batch.column(0), batch.column(1), [len(b) // len(end) for b in ids], ids]
+            if counts:
+                got = np.bincount(np.frombuffer(b"".join(ids), encoder.code), minlength=len(total))
+                got[: len(total)] += total
+                total = got
+                values.append(pa.nulls(len(ids), pa.binary()))
+            yield record_batch(schema, values)
+        if len(total):
+            yield record_batch(schema, [pa.nulls(1, schema.field(0).type), *[[None]] * 3, [total.astype("<i8").tobytes()]])
         trim()
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, n_tokens long, ids binary")
+    ddl = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, n_tokens long, ids binary"
+    return src.mapInArrow(run, ddl + ", id_counts binary" if counts else ddl)
 
 
-def as_ids(ids: bytes, n: int) -> np.ndarray:
-    """uint32 ids of a document with ``n`` of them."""
-    return np.frombuffer(ids, np.uint16 if len(ids) == 2 * n else np.uint32).astype(np.uint32)
+def as_ids(ids: bytes | np.ndarray, n: int) -> np.ndarray:
+    """Ids of a document, or of several, with ``n`` of them."""
+    return np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4")
 
 
 def id_counts(tokenized: DataFrame) -> DataFrame:
-    """Occurrences of every id over all documents: id, n. A task sends one row for each id it saw."""
+    """Occurrences of every id over all documents (a table of ``tokenize`` with its counts): id, n."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
-        for batch in slices(batches, "ids"):
-            ids, n = columns(batch, "ids", "n_tokens")
-            got = np.bincount(as_ids(b"".join(ids), sum(n)))
-            if len(got) > len(total):
-                total = np.concatenate([total, np.zeros(len(got) - len(total), np.int64)])
-            total[: len(got)] += got
-        seen = np.flatnonzero(total)
-        yield record_batch(pa.schema([("id", pa.int64()), ("n", pa.int64())]), [pa.array(seen), pa.array(total[seen])])
+        for batch in batches:
+            for raw in columns(batch, "id_counts")[0]:
+                total = np.frombuffer(raw, "<i8")
+                seen = np.flatnonzero(total)
+                yield record_batch(pa.schema([("id", pa.int64()), ("n", pa.int64())]), [pa.array(seen), pa.array(total[seen])])
 
-    return tokenized.select("ids", "n_tokens").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokenized.where("id_counts is not null").select("id_counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # --- byte-aligned code with separate control bytes ---
 
 _SHIFTS = np.array([1, 4, 16, 64], np.uint8)
 #: By control byte: bytes of each of its four values.
-WIDTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.int64)
-_MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+WIDTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 
 
 def _padded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,52 +257,60 @@ def _padded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_values(values: np.ndarray, lengths: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-    """Control and data bytes of documents whose uint32 values lie one after another."""
-    v = np.ascontiguousarray(values, "<u4")
-    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]].tobytes()
+    """Control and data bytes of documents whose values (unsigned, below 2**32) lie one after another."""
+    v = np.ascontiguousarray(values, "<u2" if values.max(initial=0) < 1 << 16 else "<u4")
+    code = (v > 0xFF).astype(np.uint8)
+    if v.itemsize == 4:
+        code += (v > 0xFFFF).astype(np.uint8) + (v > 0xFFFFFF)
+    data = v.view(np.uint8).reshape(-1, v.itemsize)[np.arange(v.itemsize, dtype=np.uint8) <= code[:, None]].tobytes()
     place, starts = _padded(lengths)
     padded = np.zeros(starts[-1], np.uint8)
     padded[place] = code
     control = (padded.reshape(-1, 4) * _SHIFTS).sum(1, dtype=np.uint8).tobytes()
-    ends = np.concatenate([[0], np.cumsum(code, dtype=np.int64) + np.arange(1, len(v) + 1)])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    more = np.concatenate([[0], np.cumsum(code, dtype=np.int64)])
+    ends = (bounds + more[bounds]).tolist()
     cuts = (starts // 4).tolist()
     return [control[a:b] for a, b in zip(cuts, cuts[1:])], [data[a:b] for a, b in zip(ends, ends[1:])]  # noqa: B905
 
 
-def decode_values(controls: list[bytes], datas: list[bytes], lengths: np.ndarray) -> np.ndarray:
-    """The values of documents, one after another: widths by table lookup, then one gather."""
+def decode_values(control: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The values of documents (uint8 in, uint32 out), one after another: widths by table lookup, then
+    a gather for each byte of a value."""
     place, starts = _padded(lengths)
-    control, data = b"".join(controls), b"".join(datas)
     if 4 * len(control) != starts[-1]:
         raise ValueError("control bytes and lengths don't agree")
-    widths = WIDTHS[np.frombuffer(control, np.uint8)].ravel()[place]
-    ends = np.cumsum(widths)
+    widths = WIDTHS[control].ravel()[place]
+    ends = np.cumsum(widths, dtype=np.int64)
     if (ends[-1] if len(ends) else 0) != len(data):
         raise ValueError("control and data bytes don't agree")
-    at = (ends - widths)[:, None] + np.arange(4)
-    return np.frombuffer(data + b"\0\0\0", np.uint8)[at].view("<u4").ravel() & _MASKS[widths]
+    at = ends - widths
+    out = data[at].astype(np.uint32)
+    for i in range(1, int(widths.max(initial=0))):
+        more = np.flatnonzero(widths > i)
+        out[more] |= data[at[more] + i].astype(np.uint32) << np.uint32(8 * i)
+    return out
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None, end_id: int = 0) -> str:
     """Tokenizes all documents and writes the file format above; returns the folder.
 
-    Texts are tokenized once, into a scratch table that is dropped afterwards; ids are counted over
-    all of it and coded before the sort, so the shuffle carries the compact form. The order is
+    Texts are tokenized once, into a scratch table that is dropped afterwards; the same pass counts
+    ids. They are coded before the sort, so the shuffle carries the compact form. The order is
     doc_id (null last), then text hash; range partitions split a doc_id that many rows repeat.
     """
     spark = docs.sparkSession
     path = path or f"{scratch_root(spark)}/token-files-{uuid.uuid4().hex}"
-    tokenized, temp = write_table(tokenize(docs, tokenizer, end_id).withColumn("row_id", F.monotonically_increasing_id()), "tokenized")
+    tokenized, temp = write_table(tokenize(docs, tokenizer, end_id, counts=True).withColumn("row_id", F.monotonically_increasing_id()), "tokenized")
     counts = id_counts(tokenized).orderBy(F.desc("n"), "id").select("id").toPandas()["id"].to_numpy(np.int64)  # at most the vocabulary
-    rank_of = np.zeros(int(counts.max(initial=0)) + 1, np.uint32)
-    rank_of[counts] = np.arange(len(counts), dtype=np.uint32)
+    rank_of = np.zeros(int(counts.max(initial=0)) + 1, np.uint16 if len(counts) <= 1 << 16 else np.uint32)
+    rank_of[counts] = np.arange(len(counts))
     id_type = tokenized.schema["doc_id"].dataType.simpleString()
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "ids", 1 << 20):
-            ids, n = columns(batch, "ids", "n_tokens")
-            control, data = encode_values(rank_of[as_ids(b"".join(ids), sum(n))], np.array(n, np.int64))
+            n = batch.column(3).to_numpy()
+            control, data = encode_values(rank_of[as_ids(raw_bytes(batch.column(4)), int(n.sum()))], n)
             schema = pa.schema([*[batch.schema.field(i) for i in range(4)], pa.field("control", pa.binary()), pa.field("data", pa.binary())])
             yield record_batch(schema, [*batch.columns[:4], control, data])
 
@@ -249,7 +324,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
             start = int(ends[-1]) if len(n) else start
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("text_hash"), F.col("row_id")]
-    coded = tokenized.select("doc_id", "text_hash", "row_id", "n_tokens", "ids").mapInArrow(code, f"doc_id {id_type}, text_hash long, row_id long, n_tokens long, control binary, data binary")
+    coded = tokenized.where("id_counts is null").select("doc_id", "text_hash", "row_id", "n_tokens", "ids").mapInArrow(code, f"doc_id {id_type}, text_hash long, row_id long, n_tokens long, control binary, data binary")
     placed = coded.repartitionByRange(parallel(spark), *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "control", "data")
     placed.mapInArrow(place, f"doc_id {id_type}, shard long, start_in_shard long, n_tokens long, control binary, data binary").write.option("compression", "none").parquet(f"{path}/shards.parquet")
     ranks = spark.createDataFrame([(i, int(x)) for i, x in enumerate(counts)], "rank long, id long")
@@ -269,12 +344,12 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "data", 1 << 20):
-            shard, start, n, control, data = columns(batch, "shard", "start_in_shard", "n_tokens", "control", "data")
-            raw = ranks[decode_values(control, data, np.array(n, np.int64))].tobytes()
-            cuts = np.concatenate([[0], 4 * np.cumsum(n)]).tolist()
-            ids = [raw[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+            shard, start = columns(batch, "shard", "start_in_shard")
+            n = batch.column(3).to_numpy()
+            values = ranks[decode_values(raw_bytes(batch.column(4)), raw_bytes(batch.column(5)), n)]
+            ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], 4 * np.cumsum(n)]).astype(np.int32)), pa.py_buffer(values)])
             schema = pa.schema([batch.schema.field(0), pa.field("start", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("ids", pa.binary())])
-            yield record_batch(schema, [batch.column(0), [offsets[s] + x for s, x in zip(shard, start, strict=True)], n, ids])
+            yield record_batch(schema, [batch.column(0), [offsets[s] + x for s, x in zip(shard, start, strict=True)], batch.column(3), ids])
 
     return shards.mapInArrow(decode, f"doc_id {shards.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids binary")
 

@@ -17,15 +17,35 @@ BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 @functools.cache
 def bpe():
-    t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(BPE)
 
 
 def bpe_ids(text):
     return [*bpe().encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def test_piece_encoder_matches_the_library():
+    encoder, rng = tokens.PieceEncoder(BPE), random.Random(5)
+    assert encoder.bare is not None and [*bpe().encode("a <|endoftext|> b", add_special_tokens=False).ids] == [64, 220, 50256, 275]
+    parts = ["don't", "it's,", "a1b2$c", "<|endoftext|>", "é", "naïve,", "Straße.", "µ", "ªb", "日本", "x\tz", "\xa0", "\u2003", "--", "...", "'", "''s", "9,5", "A'll", "\x00", "\x7f", "ﬁ", "e\u0301", "🙂", "ж", "ۥ", "<|", "|>", "word" * 30]
+    texts = ["".join(rng.choice(parts) + rng.choice([" ", "\n", "", "", " ", "  ", "\n\n", " \n"]) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        for text, got in zip(part, encoder.encode(part), strict=True):
+            assert np.frombuffer(got, np.uint16).tolist() == bpe().encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_merges_that_cross_are_seen():
+    cut = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+
+    def apart(*merges, **more):
+        return tokens.keeps_apart({"pre_tokenizer": cut, "model": {"type": "BPE", "merges": [list(m) for m in merges]}} | more)
+
+    assert apart(("a", "b"), ("Ġ", "ab"), ("Ġ", "Ġ"), ("Ċ", "Ċ"), ("1", "2"), ("'", "s"))
+    assert not apart(("a", "1")) and not apart(("a", "Ġ")) and not apart(("Ċ", "a")) and not apart(("a", "."))
+    assert not apart(normalizer={"type": "NFC"}) and not apart(pre_tokenizer=None)
+
+
 # --- URLs ---
 
 
@@ -68,7 +88,7 @@ def test_codec_round_trip():
         v = (rng.random(sum(lengths)) ** 6 * (2**32 - 1)).astype(np.uint32)
         control, data = tokens.encode_values(v, np.array(lengths))
         assert [len(c) for c in control] == [-(-n // 4) for n in lengths]
-        assert np.array_equal(tokens.decode_values(control, data, np.array(lengths)), v)
+        assert np.array_equal(tokens.decode_values(*(np.frombuffer(b"".join(x), np.uint8) for x in (control, data)), np.array(lengths)), v)
 
 
 def test_token_files_hold_all_ids(spark):
