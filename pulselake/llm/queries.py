@@ -21,7 +21,7 @@ def op1_mtree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), max_bits=2, shingle=3)
-    return found.select("doc_id", "fingerprint", "component_id", "n_links")
+    return found.select("doc_id", "fingerprint", "component_id")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,6 @@ The 64 bits lie on a ring of ``segments`` segments. If two fingerprints differ i
 ``max_bits`` bits, then from some segment on every chain of l consecutive segments differs in at
 most l * max_bits / segments bits. While that budget is below one, segments must be equal: they are
 the join key. Longer chains are checked in the join, before the full Hamming distance.
-
-For a larger ``max_bits`` such chains are too short to select much. Then more segments are taken, and
-every choice of as many of them as must be equal is a key.
 """
 
 from __future__ import annotations
@@ -20,13 +17,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import WORD_HASHES, claim, columns, doc_hash, drop_path, record_batch, slices, trim, utf8, write_table
+from pulselake.llm.common import claim, columns, doc_hash, drop_path, fresh, record_batch, slices, trim, utf8, write_table
 from pulselake.llm.components import connected_components
 
 #: Bit counts of the 256 bytes, by bit.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8, dtype=np.int64) * 256)[None, :]
 
+_NONE: dict = {}
+
 #: A key shared by more distinct fingerprints than this is resolved through bit-deletion keys: with
 #: b bits outside the key that costs b * (b - 1) / 2 rows a fingerprint, about as many as the pairs
 #: that a fingerprint of a group of this size has.
@@ -55,22 +54,14 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * counts > len(hashes)).ravel(), bitorder="little").view(np.uint64)[0])
 
 
-def word_fingerprint(text: bytes) -> int:
-    """64-bit SimHash over the distinct words; 0 without words."""
-    words = set(text.lower().split())
-    return _majority(WORD_HASHES.of(list(words))) if words else 0
-
-
-def fingerprints(docs: DataFrame, shingle: int | None = 3) -> DataFrame:
-    """doc_id, text_hash and fp (the fingerprint as a long) of every document: over word shingles of
-    ``shingle`` words, or over distinct words where that is None."""
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, text_hash and fp (the fingerprint as a long) of every document."""
     src = docs.select("doc_id", doc_hash().alias("text_hash"), utf8().alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim(WORD_HASHES)
+        claim(_NONE)
         for batch in slices(batches, "text"):
-            texts = columns(batch, "text")[0]
-            fp = np.array([word_fingerprint(t) if shingle is None else fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, shingle) for t in columns(batch, "text")[0]], np.uint64).view(np.int64)
             schema = pa.schema([batch.schema.field(0), batch.schema.field(1), pa.field("fp", pa.int64())])
             yield record_batch(schema, [batch.column(0), batch.column(1), pa.array(fp)])
         trim()
@@ -105,9 +96,11 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 2, segments: int = 5,
     Every linked pair is found, in keys shared by at most ``large_group`` fingerprints. In larger
     ones, where pairs would grow with the square, fingerprints that agree once some ``max_bits``
     bits outside the key are cleared are linked to the smallest of them: these are links too, and
-    they connect the same fingerprints. So the links give the right components always, and work is
-    bounded for each fingerprint.
+    they connect the same fingerprints. So the links give the right components always, whichever way
+    a key takes, and work is bounded for each fingerprint.
     """
+    if not 0 <= max_bits < min(4, segments):
+        raise ValueError("from 4 bits on, chains that must be equal are too short to be keys")
     exact = max(1, -(-segments // max_bits) - 1) if max_bits else segments  # chains whose budget is below one
     masks = [chain_masks(i, segments) for i in range(segments)]
     keys = distinct.select("fp", F.explode(F.array(*[F.lit(i) for i in range(segments)])).alias("i"))
@@ -134,88 +127,46 @@ def link_fingerprints(distinct: DataFrame, max_bits: int = 2, segments: int = 5,
     return pairs.union(stars).distinct()
 
 
-def link_by_choices(distinct: DataFrame, max_bits: int = 6, segments: int = 9, large_group: int = 256) -> DataFrame:
-    """As ``link_fingerprints``, for a larger ``max_bits``; ``distinct`` has columns fp and n.
+def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3) -> DataFrame:
+    """Groups of documents whose SimHash fingerprints link at ``max_bits`` (3 at most) or fewer bits.
 
-    At least ``segments - max_bits`` segments of linked fingerprints are equal: every choice of so
-    many is a key. A pair is compared at the first of its keys only. In a key of more than
-    ``large_group`` fingerprints the one with the largest n is the centre: those within ``max_bits``
-    of it are linked to it, which connects them all, and only the others are compared with everyone.
-    """
-    bounds = ring_bounds(segments)
-    parts = [_mask(bounds[i], bounds[i + 1] - bounds[i]) for i in range(segments)]
-    choices = list(combinations(range(segments), segments - max_bits))
-    masks = [sum(parts[j] for j in c) for c in choices]
-    own = [sum(1 << j for j in c) for c in choices]
-    upto = [(2 << max(c)) - 1 for c in choices]
-    keys = distinct.select("fp", "n", F.explode(F.array(*[F.lit(i) for i in range(len(choices))])).alias("i"))
-    keys = keys.select("fp", "n", "i", F.col("fp").bitwiseAND(_any_of(masks, F.col("i"))).alias("key"))
-    large = keys.groupBy("i", "key").agg(F.count("*").alias("c"), F.max(F.struct("n", "fp"))["fp"].alias("centre")).where(F.col("c") > large_group).drop("c")
-    large, _ = write_table(large, "large-keys")
-
-    def compared(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-        a, b = left.alias("a"), right.alias("b")
-        diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-        rule = (F.col("a.fp") < F.col("b.fp")) if ordered else (F.col("a.fp") != F.col("b.fp"))
-        rule &= F.bit_count(diff) <= max_bits
-        equal = sum((F.when(diff.bitwiseAND(F.lit(m)) == 0, 1 << j).otherwise(0) for j, m in enumerate(parts)), F.lit(0))
-        rule &= equal.bitwiseAND(_any_of(upto, F.col("a.i")).cast("int")) == _any_of(own, F.col("a.i"))
-        found = a.join(b, (F.col("a.i") == F.col("b.i")) & (F.col("a.key") == F.col("b.key")) & rule)
-        return found.select(F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
+    Returns doc_id, text_hash, fingerprint (16 hexadecimal digits), component_id (smallest doc_id
+    reachable) and root (a number of the component). Copies share a fingerprint: they are grouped
+    before any comparison, so that a group of copies of any size costs one fingerprint.
 
-    few = keys.join(large, ["i", "key"], "left_anti")
-    many = keys.join(large, ["i", "key"])
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= max_bits
-    stars = many.where(near & (F.col("fp") != F.col("centre"))).select(F.least("fp", "centre").alias("a"), F.greatest("fp", "centre").alias("b"))
-    rest = many.where(~near).select("fp", "i", "key")
-    return compared(few, few, True).union(stars).union(compared(rest, many.select("fp", "i", "key"), False)).distinct()
-
-
-def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int | None = 3) -> DataFrame:
-    """Groups of documents whose SimHash fingerprints link at ``max_bits`` or fewer differing bits.
-
-    Returns doc_id, text_hash, fingerprint (16 hexadecimal digits), n_links (other distinct
-    fingerprints linked, at least), component_id (smallest doc_id reachable) and root (a number of
-    the component). Copies share a fingerprint: they are grouped before any comparison, so that a
-    group of copies of any size costs one fingerprint.
-
-    Null, empty and blank texts have fingerprint zero and are linked like any other. Rows with a
-    null doc_id take part; component_id is null only where all of a component's ids are. Repeated
-    rows each give a row. Other columns are ignored. An empty table gives no rows.
+    Null, empty and blank texts have fingerprint zero and are linked like any other; very long texts
+    are read whole. Rows with a null doc_id take part; component_id is null only where all of a
+    component's ids are. Repeated rows each give a row. Other columns are ignored. An empty table
+    gives no rows.
     """
     fps, _ = write_table(fingerprints(docs, shingle), "fingerprints")
-    classes, _ = write_table(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "classes")
-    found = link_fingerprints(classes.select("fp"), max_bits) if max_bits < 4 else link_by_choices(classes.select("fp", "n"), max_bits, max_bits + 3)
-    links, path = write_table(found, "links")
-    roots = connected_components(links)
-    both = links.select(F.col("a").alias("fp")).union(links.select(F.col("b").alias("fp")))
-    members = classes.join(roots, F.col("fp") == F.col("node"), "left").join(both.groupBy("fp").agg(F.count("*").alias("n_links")), "fp", "left")
-    members = members.select("fp", "least_id", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    classes, classes_path = write_table(classes, "classes")
+    links, path = write_table(link_fingerprints(classes.select("fp"), max_bits), "links")
+    members = classes.join(connected_components(links), F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     components = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    members, _ = write_table(members.join(components, "root").select("fp", "root", "n_links", "component_id"), "members")
-    drop_path(docs.sparkSession, path)
+    members, _ = write_table(members.join(components, "root").select("fp", "root", "component_id"), "members")
+    for p in (path, classes_path):
+        drop_path(docs.sparkSession, p)
     out = fps.join(members, "fp")
-    return out.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_links", "component_id", "root")
-
+    return out.select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
-def keep_one(docs: DataFrame, max_bits: int = 6, shingle: int | None = None) -> DataFrame:
-    """One document of each group of near duplicates, with all its columns: the one with the
-    smallest doc_id (null last), then the smallest text hash; of repeated rows, one.
 
-    By default fingerprints take each distinct word once: a near copy with a fiftieth of its words
-    changed (a similarity of 0.8 on five-word shingles) is about 4 bits away, where over shingles it
-    is 9 to 13, too far for any selective key."""
+def keep_one(docs: DataFrame, max_bits: int = 2, shingle: int = 3) -> DataFrame:
+    """One document of each group of ``near_duplicates``, with all its columns: the one with the
+    smallest doc_id (null last), then the smallest text hash; of repeated rows, one. Nulls and empty
+    texts are one group; an empty table gives no rows."""
     return first_of_each(docs, near_duplicates(docs, max_bits, shingle))
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The first document of each root of ``found`` (doc_id, text_hash, root), as in ``keep_one``."""
+    own, hashed, mark = (fresh(docs, n) for n in ("kept_id", "kept_hash", "text_mark"))
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
-    kept = found.groupBy("root").agg(F.min(first).alias("k"), F.count("*").alias("c")).select(F.col("k.id").alias("_id"), F.col("k.h").alias("_hash"))
+    kept = found.groupBy("root").agg(F.min(first).alias("k"), F.count("*").alias("c")).select(F.col("k.id").alias(own), F.col("k.h").alias(hashed))
     kept, _ = write_table(kept, "kept")
     repeated = found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
-    marked = docs.withColumn("_th", doc_hash())
-    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_hash")), "left_semi")
+    out = docs.withColumn(mark, doc_hash()).join(kept, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(hashed)), "left_semi")
     if repeated:
-        out = out.dropDuplicates(["doc_id", "_th"])
-    return out.drop("_th")
+        out = out.dropDuplicates(["doc_id", mark])
+    return out.drop(mark)
