@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import WORD_HASHES, claim, columns, drop_path, mix, parallel, record_batch, slices, trim, utf8, window_hashes, write_table
+from pulselake.llm.common import WORD_HASHES, claim, columns, drop_path, fresh, mix, parallel, record_batch, slices, trim, utf8, window_hashes, write_table
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
@@ -145,7 +145,7 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, window: int = 24, gra
         trim()
 
     found = _sorted_neighbours(texts.select("key", "ord", "text").mapInArrow(suffixes, _ROWS_DDL))
-    found = found.groupBy("key").agg(F.collect_list("pos").alias("at"))  # a list no longer than the text
+    found = found.groupBy("key").agg(F.collect_set("pos").alias("at"))  # no longer than the text, however many rows are alike
     found, path = write_table(found, "suffixes")
     near = texts.select("key", "ord", "text").join(found, "key")
 
@@ -169,7 +169,7 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, window: int = 24, gra
         trim()
 
     recurring = _sorted_neighbours(near.mapInArrow(windows, _ROWS_DDL))
-    recurring = recurring.groupBy("key").agg(F.collect_list("pos").alias("starts"), F.collect_list(F.when(F.col("repeat"), F.col("pos"))).alias("repeats"))
+    recurring = recurring.groupBy("key").agg(F.collect_set("pos").alias("starts"), F.collect_set(F.when(F.col("repeat"), F.col("pos"))).alias("repeats"))
     recurring, _ = write_table(recurring, "windows")
     drop_path(docs.sparkSession, path)
     return texts, recurring
@@ -219,18 +219,23 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def cut_repeats(docs: DataFrame, min_words: int = 50, window: int = 24, gram: int = 8) -> DataFrame:
     """Documents with all their columns, repeated passages cut out of their texts but for the first
     occurrence of each; n_chars, where there is such a column, is counted anew for those. Documents
-    of which no word is left go; all others stay as they are."""
+    of which no word is left go; all others stay as they are.
+
+    Null, empty and short texts stay; very long ones are read whole. Rows alike in doc_id and text are
+    one document and are cut alike; a null doc_id comes last in the order. An empty table gives no rows.
+    """
     _, recurring = repeated_windows(docs, min_words, window, gram)
-    repeats = recurring.where(F.size("repeats") > 0).select("key", "repeats")
-    marked = docs.withColumn("key_", _key()).join(repeats.withColumnRenamed("key", "key_"), "key_", "left")
+    key, spans = fresh(docs, "text_key"), fresh(docs, "text_repeats")
+    repeats = recurring.where(F.size("repeats") > 0).select(F.col("key").alias(key), F.col("repeats").alias(spans))
+    marked = docs.withColumn(key, _key()).join(repeats, key, "left")
 
     @F.pandas_udf("string")
     def cut(text, repeats):
         out = [t if r is None or t is None else cut_words(t.encode(), merge(r, min_words)).decode() for t, r in zip(text, repeats, strict=True)]
         return text.__class__(out, index=text.index, dtype=object)
 
-    new = F.when(F.col("repeats").isNotNull(), cut("text", "repeats")).otherwise(F.col("text"))
-    out = marked.withColumn("text", new).where(F.col("repeats").isNull() | (F.length(F.trim("text")) > 0))
+    held = F.col(spans).isNotNull()
+    out = marked.withColumn("text", F.when(held, cut("text", spans)).otherwise(F.col("text"))).where(~held | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("repeats").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(held, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
