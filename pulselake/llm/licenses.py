@@ -3,7 +3,7 @@
 A template is wording with ``<<optional>> ... <<end>>`` regions (may nest) and ``<<var:lo-hi>>``
 regions that any ``lo`` to ``hi`` words replace. It is compiled into a token automaton; a text is
 accepted where the mandatory wording matches exactly, word for word. An automaton only runs on
-texts that hold the template's longest mandatory run of words.
+texts that hold the template's longest mandatory run of words (on all texts where it has none).
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def compile_template(label: str, markup: str) -> Automaton:
     for s in range(len(arcs) - 1, -1, -1):
         close[s] = set().union(*(close[t] for t in close[s] if t > s), close[s])
     full = tuple(tuple(x for t in sorted(close[s]) for x in arcs[t]) for s in range(len(arcs)))
-    return Automaton(label, full, frozenset(s for s in range(len(arcs)) if here in close[s]), b" " + b" ".join(best) + b" ")
+    return Automaton(label, full, frozenset(s for s in range(len(arcs)) if here in close[s]), b" " + b" ".join(best) + b" " if best else b"")
 
 
 def places(phrase: bytes, joined: bytes) -> list[int]:

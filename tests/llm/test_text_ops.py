@@ -290,7 +290,9 @@ def test_cut_passages(spark):
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(1, f"alpha beta {passage} gamma", 0, "c"), (2, f"delta {passage}\nepsilon  zeta", 0, "c"), (3, passage, 0, "c"), (4, "clean text of its own", 21, "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, key_ string")
-    got = {r.doc_id: r for r in suffixes.cut_repeats(df.drop("key_")).collect()}
+    cut = suffixes.cut_repeats(df.selectExpr("*", "'own' as repeats", "'own' as text_key"))
+    assert cut.columns == ["doc_id", "text", "n_chars", "key_", "repeats", "text_key"] and {(r.key_, r.repeats, r.text_key) for r in cut.collect()} == {("c", "own", "own")}
+    got = {r.doc_id: r for r in cut.collect()}
     assert got[1].text == rows[0][1] and got[2].text == "delta epsilon  zeta" and got[2].n_chars == len("delta epsilon  zeta")
     assert 3 not in got and got[4].text == "clean text of its own" and got[4].n_chars == 21
 
@@ -320,18 +322,83 @@ def test_reparameterised_questions_are_caught(spark):
     assert {(r.doc_id, r.item_id, r.verbatim) for r in got} == {(1, 1, True), (2, 1, False)} and len(got) == 4
     kept = decontaminate.decontaminate(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
-    small = decontaminate.contaminated(docs, bench, block_bytes=1)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, got))
     assert decontaminate.contaminated(docs, bench.limit(0)).collect() == [] and decontaminate.decontaminate(docs, bench.limit(0)).count() == 5
     assert decontaminate.contaminated(docs.limit(0), bench).collect() == []
 
 
-def test_slots_must_agree():
+def test_slots_must_agree(spark):
     item = "If Tom has 4 apples and Tom gives 4 away"  # one window
-    index = decontaminate.Index([(1, item.encode())], 10, 6)
-    assert index.matches(item.replace("4", "9").encode())
-    assert not index.matches(item.replace("4 apples", "9 apples").encode())
-    assert index.matches(item.replace("Tom", "Eve").encode())
+    texts = [item.replace("4", "9"), item.replace("4 apples", "9 apples"), item.replace("Tom", "Eve")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [0, 2]
+
+
+def brute_templates(text):
+    """(typed words, words) by plain rules."""
+    out, own, start, number = [], [], True, False
+    for word in text.split():
+        core = word.strip("".join(chr(c) for c in range(33, 128) if not chr(c).isalnum() and chr(c) not in "%$+-"))
+        low = core.lower()
+        is_number = bool(re.fullmatch(r"[+-]?[$]?\d[\d.,:/]*(?:st|nd|rd|th|%)?", low))
+        kind = "#" if is_number else "unit" if number and low.encode() in decontaminate.UNITS else "name" if core[:1] != low[:1] and not start else None
+        out.append(kind or "=" + low)
+        own.append(low)
+        start, number = word.rstrip("\"')")[-1:] in tuple(".!?:"), is_number
+    return out, own
+
+
+def brute_contaminated(docs, items, window, least):
+    found = []
+    for d, text in docs:
+        seen, own = brute_templates(text)
+        for i, item in items:
+            tokens, values = brute_templates(item)
+            k = min(window, len(tokens))
+            variants = [(tokens, range(len(tokens) - k + 1))]
+            first = item.split()[0]
+            if first[:1] != first[:1].lower():
+                variants.append((["name", *tokens[1:]], [0]))
+            hits = {}
+            for p in range(len(own) - k + 1):
+                for a in range(len(values) - k + 1):
+                    if own[p : p + k] == values[a : a + k]:
+                        hits.setdefault(p, []).append((a, True))
+                for tok, at in variants if k >= least else []:
+                    for a in at:
+                        part = tok[a : a + k]
+                        slots = [j for j in range(k) if part[j][0] != "="]
+                        pairs = {(part[j], own[p + j], values[a + j]) for j in slots}
+                        if 2 * len(slots) <= k and seen[p : p + k] == part and len({x[:2] for x in pairs}) == len({x[::2] for x in pairs}) == len(pairs):
+                            hits.setdefault(p, []).append((a, own[p : p + k] == values[a : a + k]))
+            if hits:
+                covered = {a + j for h in hits.values() for a, _ in h for j in range(k)}
+                found.append((d, i, len(hits), round(len(covered) / len(values), 9), min(hits), all(any(v for _, v in h) for h in hits.values())))
+    return sorted(found)
+
+
+def test_contaminated_documents_match_brute_force(spark):
+    rng = random.Random(17)
+    words = ["has", "gives", "the", "apple", "to", "Tom", "Eve", "Rome", "4", "12", "km", "hours", "and", "then.", "Who"]
+
+    def text(n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    items = [(i, text(rng.choice([2, 3, 7, 9, 14]))) for i in range(12)]
+    swap = {"Tom": "Ann", "4": "7", "km": "miles", "Rome": "Oslo"}
+    docs = []
+    for d in range(60):
+        parts = [text(rng.randrange(6))]
+        for _ in range(rng.randrange(3)):
+            item = rng.choice(items)[1]
+            parts += [" ".join(swap.get(w, w) for w in item.split()) if rng.random() < 0.5 else item, text(rng.randrange(4))]
+        docs.append((d, " ".join(parts)))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=5, least=3).collect()
+    want = brute_contaminated(docs, items, 5, 3)
+    assert sorted((r.doc_id, r.item_id, r.n_windows, round(r.coverage, 9), r.first_word, r.verbatim) for r in got) == want
+    assert any(not w[-1] for w in want) and any(w[-1] for w in want)
+    kept = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=5, least=3)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({d for d, _ in docs} - {w[0] for w in want})
 
 
 def test_verbatim_items_match_whatever_their_slots_and_case(spark):
@@ -356,6 +423,11 @@ def test_decontamination_of_odd_documents(spark):
 # --- licenses ---
 
 
+def test_templates_of_optional_wording_only():
+    a = licenses.compile_template("x", "<<optional>>mit<<end>> <<optional>>license<<end>>")
+    assert licenses.scan_text(b"the MIT license", {}, [a])[5] == "x" and licenses.scan_text(b"none", {}, [a])[5] == ""
+
+
 def brute_base(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     starts, labels = [], set()
