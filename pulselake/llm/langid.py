@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import claim, columns, record_batch, slices, trim, utf8
+from pulselake.llm.common import claim, columns, record_batch, slices, trim, utf8, write_table
 
 #: Label of texts without letters.
 UNKNOWN = "und"
 
-#: Bounds of the sample a model is fitted on: distinct texts of each language, characters of a text,
-#: and languages (the most frequent).
-SAMPLE_TEXTS, SAMPLE_CHARS, MAX_LANGUAGES = 160, 20_000, 64
+#: Bounds of the sample a model is fitted on: distinct texts of each language, characters of a text
+#: (longer ones are taken only where a language has no others), and characters of all texts.
+SAMPLE_TEXTS, SAMPLE_CHARS, TOTAL_CHARS = 160, 20_000, 8_000_000
 
 #: Hashed letter features (a power of two).
 BUCKETS = 1 << 17
@@ -264,23 +264,28 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 5 == 0
 
 
-def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> Model:
-    """A model from text and lang of documents that aren't held out: the ``sample_texts`` distinct
-    texts (of at most ``SAMPLE_CHARS`` characters) of each language with the smallest hashes."""
-    usable = docs.where(~held_out()).select("lang", "text").where("lang is not null and text is not null").where(F.length("text") <= SAMPLE_CHARS)
-    names = [r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    hashed = usable.where(F.col("lang").isin(names)).select("lang", F.xxhash64("text").alias("h"), "text")
-    distinct = hashed.select("lang", "h").distinct()
-    parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")  # a language of most rows is ranked by many tasks
+def train(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS, total_chars: int = TOTAL_CHARS) -> Model:
+    """A model from text and lang of documents that aren't held out, with every language among them.
+
+    The sample of labelled rows is bounded: of each language the ``sample_texts`` distinct texts with
+    the smallest hashes, those of at most ``sample_chars`` characters before longer ones. Where these
+    have more than ``total_chars`` characters together, each language takes as many of its own as fit
+    its even share, one at least. Rows with a null text or lang teach nothing.
+    """
+    usable = docs.where(~held_out()).select("lang", F.xxhash64("text").alias("h"), "text").where("lang is not null and text is not null")
+    size = F.length("text")
+    distinct = usable.select("lang", "h", (size > sample_chars).cast("int").alias("long"), size.cast("long").alias("size")).distinct()
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("long", "h")  # a language of most rows is ranked by many tasks
     ranked = distinct.withColumn("n", F.row_number().over(parts)).where(F.col("n") <= sample_texts).drop("n")
-    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_texts)
-    last = {r["lang"]: r["h"] for r in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}
-    if not last:
+    order = Window.partitionBy("lang").orderBy("long", "h")
+    ranked = ranked.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_texts)
+    ranked = ranked.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("long") == 0) | (F.col("n") == 1))
+    chosen, _ = write_table(ranked.select("lang", "h", "n", "upto"), "language-sample")
+    languages = chosen.select("lang").distinct().count()
+    if not languages:
         return fit([], [])
-    wanted = F.lit(False)
-    for lang, h in last.items():
-        wanted |= (F.col("lang") == lang) & (F.col("h") <= h)
-    rows = hashed.where(wanted).groupBy("lang", "h").agg(F.max("text").alias("text")).collect()  # sample_texts a language
+    chosen = chosen.where((F.col("n") == 1) | (F.col("upto") <= total_chars // languages)).select("lang", "h")
+    rows = usable.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.max("text").alias("text")).collect()  # bounded as above
     rows.sort(key=lambda r: (r["lang"], r["h"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
@@ -290,7 +295,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     (lang, start, n_words: runs of words of the same most probable language) to doc_id and text_hash.
 
     Null texts and texts without letters: ``und``, score 0, no spans. A model that learned no language
-    gives that too. Repeated rows each give a row; other columns are ignored; an empty table gives no
+    gives that too. Ties go to the first language by name. Repeated rows each give a row; other columns are ignored; an empty table gives no
     rows. One pass without a shuffle; long texts are handled whole.
     """
     src = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8().alias("text"))

@@ -84,7 +84,9 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 def _op3_sql() -> str:
     """Hosts, paths and the longest rule that fits; else the patterns of the method."""
     rules = ", ".join(f"('{a}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for a, r in urls.PATH_RULES)
-    spam = " OR ".join(f"regexp_matches(host || path, '(?s)^{urls.to_regex(p).pattern}')" for p in urls.SPAM_PATTERNS)
+    topics = "|".join(urls.SPAM_TOPICS)
+    # The topic begins a label before a hyphen, ends one, stands between hyphens, is one that another follows, or is a folder.
+    spam = f"regexp_matches(host || path, '^([^/]*[.])?(({topics})-|({topics})[.]|.*-({topics})[.-]|.*/({topics})/)', 's')"
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),

@@ -28,8 +28,10 @@ PATH_RULES = [
     ("block", "net/fr/"),
 ]
 
-#: Patterns that block what no host and path rule decides.
-SPAM_PATTERNS = ["||casino-*", "||*-casino.", "||*.casino.", "||*poker-*", "||cheap-*", "||*-pills.", "||*viagra*", "||spam-*", "||*-spam.", "||*link-farm.", "||*-warez.", "||*-torrents.", "||xxx-*", "||*-porn."]
+#: What spam hosts and paths are about, and where such a word stands in a pattern.
+SPAM_TOPICS = "adult betting bingo blackjack casino cheap cialis escort escorts farma gambling giveaway gratis hentai hookup jackpot keygen keygens lolita loan loans lottery malware milf nude nudes payday pharmacy phentermine phishing pills poker porn porno replica roulette serial sexcam slots spam steroids streamrip torrents tramadol viagra viagras warez webcams xanax xxx".split()
+SPAM_FORMS = ["||{0}-*", "||*-{0}.", "||*-{0}-*", "||{0}.", "||*/{0}/"]
+SPAM_PATTERNS = [form.format(topic) for topic in SPAM_TOPICS for form in SPAM_FORMS]
 
 #: Rules are sent to every task: more than this many characters of patterns are refused.
 MAX_RULE_CHARS = 32 << 20
@@ -99,6 +101,43 @@ def index_rules(rules: list[Rule], counts: dict[str, int]) -> tuple[dict[str, li
     return index, rest
 
 
+class RuleIndex:
+    """Rules by their rarest literal token; ``runs`` counts the regular expressions that were run."""
+
+    def __init__(self, rules: list[Rule], counts: dict[str, int], default: str):
+        self.rules, self.default, self.runs = rules, default, 0
+        self.index, self.rest = index_rules(rules, counts)
+        self.place = {i: k for k, i in enumerate(sorted(range(len(rules)), key=lambda i: rules[i].rank, reverse=True))}
+        self.regexes: dict[int, re.Pattern] = {}
+
+    def candidates(self, target: str) -> list[int]:
+        """Rules that the tokens of a url fetch, the highest rank first."""
+        found = set(self.rest)
+        for t in _TOKEN.findall(target):
+            if t in self.index:
+                found.update(self.index[t])
+        return sorted(found, key=self.place.__getitem__)
+
+    def decide(self, target: str) -> tuple[str | None, str]:
+        for i in self.candidates(target):
+            if i not in self.regexes:  # most rules are never fetched
+                self.regexes[i] = to_regex(self.rules[i].pattern)
+            self.runs += 1
+            if self.regexes[i].match(target):
+                return self.rules[i].name, self.rules[i].action
+        return None, self.default
+
+
+def rules_of(table: DataFrame) -> list[Rule]:
+    """Rules of a table with action and pattern: patterns begin with ``|`` or ``*``, others are host and
+    path rules. Rows with nulls are left out; repeated ones count once; more than ``MAX_RULE_CHARS``
+    characters are refused before they are fetched."""
+    rows = table.select("action", "pattern").where("action is not null and pattern is not null").distinct()
+    if (rows.agg(F.sum(F.length("pattern"))).first()[0] or 0) > MAX_RULE_CHARS:
+        raise ValueError("too many rules to send to every task; filter by parts of the rules")
+    return [pattern_rule(a, p) if p.startswith(("|", "*")) else path_rule(a, p) for a, p in sorted(map(tuple, rows.collect()))]
+
+
 def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, default: str = "allow", url: str = "url") -> DataFrame:
     """Verdict of every page's url, added as host, path, rule, verdict.
 
@@ -123,25 +162,11 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, default: str
     if vocabulary:
         counted = parts.select(token).where(F.col("token").isin(vocabulary)).groupBy("token").count()
         counts = {r["token"]: r["count"] for r in counted.collect()}  # at most one row a rule token
-    index, rest = index_rules(rules, counts)
-    order = sorted(range(len(rules)), key=lambda i: rules[i].rank, reverse=True)
-    place = {i: k for k, i in enumerate(order)}
-    regexes = [to_regex(r.pattern) for r in rules]
-
-    def decide(target: str) -> tuple[str | None, str]:
-        found = set(rest)
-        for t in _TOKEN.findall(target):
-            if t in index:
-                found.update(index[t])
-        for i in sorted(found, key=place.__getitem__):
-            if regexes[i].match(target):
-                return rules[i].name, rules[i].action
-        return None, default
-
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = RuleIndex(rules, counts, default)
         for batch in batches:
             hosts, paths = columns(batch, "host", "path")
-            got = [decide(h + p) for h, p in zip(hosts, paths, strict=True)]
+            got = [found.decide(h + p) for h, p in zip(hosts, paths, strict=True)]
             schema = batch.schema.append(pa.field("rule", pa.string())).append(pa.field("verdict", pa.string()))
             yield record_batch(schema, [*batch.columns, [g[0] for g in got], [g[1] for g in got]])
 

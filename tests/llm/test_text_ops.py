@@ -73,6 +73,42 @@ def test_url_rules_match_brute_force(spark):
     assert urls.filter_urls(df.limit(0)).collect() == []
 
 
+def test_only_fetched_rules_run(spark):
+    rng = random.Random(8)
+    names = [f"w{i}" for i in range(3000)]
+    patterns = [rng.choice(["||{0}-*", "||*-{0}.", "||ads.{0}.org/", "*/{0}/*", "||{0}.com/x|"]).format(rng.choice(names)) for _ in range(4000)]
+    table = spark.createDataFrame([*(("block", p) for p in patterns), ("allow", "w1.org/"), ("block", None), ("block", patterns[0])], "action string, pattern string")
+    rules = urls.rules_of(table)
+    assert len(rules) == len(set(patterns)) + 1
+    targets = [rng.choice(["{0}-shop.com/", "a-{0}.net/y", "ads.{0}.org/z", "b.c/{0}/{1}", "{0}.com/x", "sub.w1.org/"]).format(*rng.sample(names, 2)) for _ in range(400)]
+    counts = {t: rng.randrange(50) for t in names} | dict.fromkeys(["ads", "org", "com", "x"], 1000)
+    found = urls.RuleIndex(rules, counts, "allow")
+    order = [(r, urls.to_regex(r.pattern)) for r in sorted(rules, key=lambda r: r.rank, reverse=True)]
+    fits = [next((r for r, regex in order if regex.match(t)), None) for t in targets]
+    assert [found.decide(t) for t in targets] == [(r.name, r.action) if r else (None, "allow") for r in fits]
+    assert any(fits) and found.runs < 20 * len(targets) < len(rules) * len(targets) / 100
+    df = spark.createDataFrame([(i, f"http://{t}") for i, t in enumerate(targets)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(df, rules).collect()}
+    assert got == {i: (r.name, r.action) if r else (None, "allow") for i, r in enumerate(fits)}
+
+
+def test_rare_languages_and_long_texts_are_learned(spark):
+    rng = random.Random(2)
+    letters = {f"l{i:02d}": "".join(rng.sample([chr(c) for c in range(0x430, 0x450)], 4)) for i in range(70)}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choice(letters[lang]) + rng.choice("aeiou") for _ in range(3)) for _ in range(n))
+
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(ids.pop(), text(lang, 100 if lang == "l69" else 60), lang) for lang in letters for _ in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, sample_chars=500, total_chars=70 * 1200)
+    assert model.languages == sorted(letters)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.9 * len(rows) and {got[i] for i, _, lang in rows if lang == "l69"} == {"l69"}
+    assert langid.train(docs.where("lang is null")).languages == []
+
+
 def test_candidate_rules_come_from_rarest_token():
     rules = [urls.pattern_rule("block", "||ads.example.com/track/"), urls.pattern_rule("block", "*shop*")]
     index, rest = urls.index_rules(rules, {"example": 90, "com": 100, "ads": 5, "track": 9})
