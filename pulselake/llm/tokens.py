@@ -93,10 +93,8 @@ class PieceEncoder:
         self.special = [t["content"] for t in settings.get("added_tokens", [])]
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.bare = None
-        if len(self.line) == 1 and keeps_apart(settings):
-            self.bare = Tokenizer.from_file(path)
-            self.bare.pre_tokenizer = None
+        self.bare = len(self.line) == 1 and keeps_apart(settings)
+        self.cut = self.tokenizer.pre_tokenizer
         self.pieces: dict[str, bytes] = {}  # by the line break and what follows, or by what follows a space
         self.marks: dict[str, bytes] = {}
 
@@ -112,11 +110,12 @@ class PieceEncoder:
     def _lines(self, words: list[str], before: str, bare: bool) -> list[bytes]:
         """Ids of each word with ``before`` before it, encoded as lines of one text."""
         out = []
+        if bare:
+            self.tokenizer.pre_tokenizer = None
         for at in range(0, len(words), 64):
             part = words[at : at + 64]
             text = before + ("\n" + before).join(part)
-            found = self.bare.encode_batch_fast([_byte_chars(text)]) if bare else self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-            ids = np.array(found[0].ids, self.code)
+            ids = np.array(self.tokenizer.encode_batch_fast([_byte_chars(text) if bare else text], add_special_tokens=False)[0].ids, self.code)
             ends = (np.append(np.flatnonzero(ids == self.line[0]), len(ids)) * ids.itemsize).tolist()
             if len(ends) != len(part):
                 raise ValueError("this tokenizer doesn't cut at line breaks")
@@ -124,6 +123,8 @@ class PieceEncoder:
             for end in ends:
                 out.append(raw[start:end])
                 start = end + ids.itemsize
+        if bare:
+            self.tokenizer.pre_tokenizer = self.cut
         return out
 
     def _new(self, pieces: list[str]) -> None:
@@ -201,8 +202,8 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int = 0, counts: bool = Fa
     src = docs.select("doc_id", doc_hash().alias("text_hash"), utf8().alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(_ENCODERS)
         encoder = PieceEncoder.at(tokenizer)
-        claim(encoder.pieces)
         end = array(encoder.code, [end_id]).tobytes()
         total, schema = np.zeros(0, np.int64), None
         for batch in slices(batches, "text", 2 << 20):
