@@ -5,43 +5,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The line formats of headers, field by field.
-RECORD_LINE = r"^[ \t]*([-\w]+)/?(\d*)[ \t]+(\d+)[ \t]*(\d*\.?\d*)/*(-?\d*\.?\d*)\(?(-?\d*\.?\d*)\)?[ \t]*(\d*)[ \t]*(\d{0,2}:?\d{0,2}:?\d{0,2}\.?\d{0,6})[ \t]*(\d{0,2}/?\d{0,2}/?\d{0,4})"
-RECORD_FIELDS = ["record", "n_seg", "n_sig", "fs", "counter_freq", "base_counter", "sig_len", "base_time", "base_date"]
-SIGNAL_LINE = r"^[ \t]*(~?[-\w]*\.?[\w]*)[ \t]+(\d+)x?(\d*):?(\d*)\+?(\d*)[ \t]*(-?\d*\.?\d*e?[+-]?\d*)\(?(-?\d*)\)?/?([\w^\-?%/]*)[ \t]*(\d*)[ \t]*(-?\d*)[ \t]*(-?\d*)[ \t]*(-?\d*)[ \t]*(\d*)[ \t]*(\S?[^\t\n\r\f\x0B]*)"
-SIGNAL_FIELDS = ["file_name", "fmt", "spf", "skew", "byte_offset", "adc_gain", "baseline", "units", "adc_res", "adc_zero", "init_value", "checksum", "block_size", "sig_name"]
-SEGMENT_LINE = r"^[ \t]*([-\w]*~?)[ \t]+(\d+)"
+from pulselake.functions.times import clock_micros, date_micros
 
 # What a reader assumes where a field is absent.
 DEFAULT_FS, DEFAULT_GAIN, DEFAULT_UNITS = 250.0, 200.0, "mV"
 
 
-def _field(line: Column, pattern: str, i: int) -> Column:
-    return F.nullif(F.regexp_extract(line, pattern, i), F.lit(""))
+def _tokens(line: str, limit: int = -1) -> Column:
+    """Parts of a line between blanks; with a limit the last one is all that is left."""
+    return F.split(F.trim(F.translate(line, "\t", " ")), " +", limit)
+
+
+def _part(text: Column, pattern: str) -> Column:
+    """The group of a pattern, null where there is none or it is empty."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
 def parse_record_line(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds the fields of a record line; absent ones are null but for fs."""
-    raw = [_field(F.col(line), RECORD_LINE, i + 1) for i in range(len(RECORD_FIELDS))]
-    kinds = {"n_seg": "int", "n_sig": "int", "fs": "double", "counter_freq": "double", "base_counter": "double", "sig_len": "long"}
-    out = lines.withColumns({n: (c.try_cast(kinds[n]) if n in kinds else c) for n, c in zip(RECORD_FIELDS, raw, strict=True)})
-    return out.withColumn("fs", F.coalesce("fs", F.lit(DEFAULT_FS)))
+    """Adds the fields of a record line: name[/segments] signals [frequency[/counter frequency]
+    [(counter)] [length [time [date]]]]. Absent ones are null but for fs."""
+    at = [F.get(_tokens(line), F.lit(i)) for i in range(6)]
+    number = r"(-?[\d.]+)"
+    out = lines.withColumns({
+        "record": _part(at[0], r"^([^/]*)"),
+        "n_seg": _part(at[0], r"/(\d+)").try_cast("int"),
+        "n_sig": at[1].try_cast("int"),
+        "fs": F.coalesce(_part(at[2], f"^{number}").try_cast("double"), F.lit(DEFAULT_FS)),
+        "counter_freq": _part(at[2], f"/{number}").try_cast("double"),
+        "base_counter": _part(at[2], rf"\({number}\)").try_cast("double"),
+        "sig_len": at[3].try_cast("long"),
+        "base_time": at[4],
+        "base_date": at[5],
+    })
+    return out
+
+
+def base_micros(time: Column, date: Column) -> Column:
+    """Microseconds since the epoch of a header's base time and date; null without a date."""
+    return date_micros(date) + F.coalesce(clock_micros(time), F.lit(0))
 
 
 def parse_signal_line(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Adds the fields of a signal line. A gain of zero or none is the default gain; a baseline that is
-    absent is the ADC zero."""
-    raw = {n: _field(F.col(line), SIGNAL_LINE, i + 1) for i, n in enumerate(SIGNAL_FIELDS)}
-    kinds = {n: "int" for n in ("spf", "skew", "baseline", "adc_res", "adc_zero", "init_value", "checksum", "block_size")} | {"adc_gain": "double", "byte_offset": "long"}
-    out = lines.withColumns({n: (c.try_cast(kinds[n]) if n in kinds else c) for n, c in raw.items()})
-    gain = F.when(F.coalesce("adc_gain", F.lit(0.0)) == 0, DEFAULT_GAIN).otherwise(F.col("adc_gain"))
-    return out.withColumns({"spf": F.coalesce("spf", F.lit(1)), "skew": F.coalesce("skew", F.lit(0)), "byte_offset": F.coalesce("byte_offset", F.lit(0)), "adc_gain": gain, "baseline": F.coalesce("baseline", "adc_zero", F.lit(0)), "units": F.coalesce("units", F.lit(DEFAULT_UNITS))})
+    """Adds the fields of a signal line: file format[xspf][:skew][+offset] [gain[(baseline)][/units]
+    [resolution [zero [first value [checksum [block size [name]]]]]]]. A gain of zero or none is the
+    default gain; a baseline that is absent is the ADC zero."""
+    at = [F.get(_tokens(line, 9), F.lit(i)) for i in range(9)]
+    gain = _part(at[2], r"^([^(/]+)").try_cast("double")
+    zero, baseline = at[4].try_cast("int"), _part(at[2], r"\((-?\d+)\)").try_cast("int")
+    return lines.withColumns({
+        "file_name": at[0],
+        "fmt": _part(at[1], r"^(\d+)"),
+        "spf": F.coalesce(_part(at[1], r"x(\d+)").try_cast("int"), F.lit(1)),
+        "skew": F.coalesce(_part(at[1], r":(\d+)").try_cast("int"), F.lit(0)),
+        "byte_offset": F.coalesce(_part(at[1], r"\+(\d+)").try_cast("long"), F.lit(0)),
+        "adc_gain": F.when(F.coalesce(gain, F.lit(0.0)) == 0, DEFAULT_GAIN).otherwise(gain),
+        "baseline": F.coalesce(baseline, zero, F.lit(0)),
+        "units": F.coalesce(_part(at[2], r"/(.+)$"), F.lit(DEFAULT_UNITS)),
+        "adc_res": at[3].try_cast("int"),
+        "adc_zero": zero,
+        "init_value": at[5].try_cast("int"),
+        "checksum": at[6].try_cast("int"),
+        "block_size": at[7].try_cast("int"),
+        "sig_name": at[8],
+    })
 
 
 def parse_segment_line(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds seg_name, seg_len and is_gap (a name of ``~``)."""
-    name = F.regexp_extract(line, SEGMENT_LINE, 1)
-    return lines.withColumns({"seg_name": name, "seg_len": F.regexp_extract(line, SEGMENT_LINE, 2).try_cast("long"), "is_gap": name == "~"})
+    at = [F.get(_tokens(line), F.lit(i)) for i in range(2)]
+    return lines.withColumns({"seg_name": at[0], "seg_len": at[1].try_cast("long"), "is_gap": at[0] == "~"})
 
 
 def _number(c: Column) -> Column:
@@ -49,12 +81,30 @@ def _number(c: Column) -> Column:
     return F.when(c == F.floor(c), F.floor(c).cast("long").cast("string")).otherwise(c.cast("string"))
 
 
-def record_line(record: Column, n_sig: Column, fs: Column, sig_len: Column, n_seg: Column | None = None) -> Column:
-    name = record.cast("string") if n_seg is None else F.concat(record.cast("string"), F.lit("/"), n_seg.cast("string"))
-    return F.concat_ws(" ", name, n_sig.cast("string"), _number(fs), sig_len.cast("string"))
+def record_line(record: Column, n_sig: Column, fs: Column, sig_len: Column, n_seg: Column | None = None, base_time: Column | None = None, base_date: Column | None = None, counter_freq: Column | None = None, base_counter: Column | None = None) -> Column:
+    """A record line; absent fields at its end are left out, a date needs a time."""
+    name = record.cast("string") if n_seg is None else F.concat(record.cast("string"), F.coalesce(F.concat(F.lit("/"), n_seg.cast("string")), F.lit("")))
+    rate = _number(fs)
+    if counter_freq is not None:
+        counter = F.coalesce(F.concat(F.lit("("), _number(base_counter), F.lit(")")), F.lit("")) if base_counter is not None else F.lit("")
+        rate = F.concat(rate, F.coalesce(F.concat(F.lit("/"), _number(counter_freq), counter), F.lit("")))
+    parts = [name, n_sig.cast("string"), rate, sig_len.cast("string")]
+    if base_time is not None:
+        parts.append(base_time)
+        if base_date is not None:
+            parts.append(F.when(base_time.isNotNull(), base_date))
+    return F.concat_ws(" ", *parts)
+
 
+def signal_line(file_name: Column, fmt: Column, spf: Column, skew: Column, gain: Column, baseline: Column, units: Column, adc_res: Column, adc_zero: Column, init_value: Column, checksum: Column, sig_name: Column, byte_offset: Column | None = None, block_size: Column | None = None) -> Column:
+    def more(mark: str, n: Column | None, least: int) -> Column:
+        return F.lit("") if n is None else F.when(n > least, F.concat(F.lit(mark), n.cast("string"))).otherwise("")
 
-def signal_line(file_name: Column, fmt: Column, spf: Column, skew: Column, gain: Column, baseline: Column, units: Column, adc_res: Column, adc_zero: Column, init_value: Column, checksum: Column, sig_name: Column) -> Column:
-    form = F.concat(fmt, F.when(spf > 1, F.concat(F.lit("x"), spf.cast("string"))).otherwise(""), F.when(skew > 0, F.concat(F.lit(":"), skew.cast("string"))).otherwise(""))
+    form = F.concat(fmt, more("x", spf, 1), more(":", skew, 0), more("+", byte_offset, 0))
     scale = F.concat(_number(gain), F.lit("("), baseline.cast("string"), F.lit(")/"), units)
-    return F.concat_ws(" ", file_name, form, scale, adc_res.cast("string"), adc_zero.cast("string"), init_value.cast("string"), checksum.cast("string"), F.lit("0"), sig_name)
+    block = F.lit("0") if block_size is None else F.coalesce(block_size.cast("string"), F.lit("0"))
+    return F.concat_ws(" ", file_name, form, scale, adc_res.cast("string"), adc_zero.cast("string"), init_value.cast("string"), checksum.cast("string"), block, sig_name)
+
+
+def segment_line(seg_name: Column, seg_len: Column) -> Column:
+    return F.concat_ws(" ", seg_name, seg_len.cast("string"))

@@ -1,34 +1,68 @@
-"""Neighbours and running sums in the order of a key's rows, with a hot key split over tasks.
+"""Neighbours, running sums and last known values in the order of a key's rows, with a hot key split.
 
 A window over a whole key puts all of its rows into one task. Here rows are cut into blocks of the
 order column; a window runs within each block, and a second one over one row a block carries values
-from block to block.
+from block to block. Rows with a null key are one key, those with a null order come first, as in a
+window.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_previous(df: DataFrame, key: str, order: str, block: Column, ties: list[str] | None = None, name: str = "previous", value: str | None = None) -> DataFrame:
+def _listed(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def join_carried(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """Joins the columns of ``carried`` to rows of the same keys; null keys are equal."""
+    right = carried.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[c for c in carried.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    return rows.join(right, same).drop(*[f"_key{i}" for i in range(len(keys))])
+
+
+def with_previous(df: DataFrame, key: str | list[str], order: str, block: Column, ties: list[str] | None = None, name: str = "previous", value: str | None = None) -> DataFrame:
     """Adds ``name``: ``value`` (by default the order column) of the row before, by (order, ties),
     within its key; null for a key's first row. ``block`` must not fall as ``order`` grows."""
-    value = value or order
+    value, keys = value or order, _listed(key)
     by = [order, *(ties or [])]
     blocked = df.withColumn("_block", block)
-    inner = Window.partitionBy(key, "_block").orderBy(*by)
-    last = blocked.groupBy(key, "_block").agg(F.max(F.struct(*by, F.col(value).alias("_v")))["_v"].alias("_last"))
-    carried = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(key).orderBy("_block"))).drop("_last")
-    return blocked.withColumn("_lag", F.lag(value).over(inner)).withColumn("_first", F.row_number().over(inner) == 1).join(carried, [key, "_block"]).withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop("_block", "_lag", "_first", "_carry")
+    inner = Window.partitionBy(*keys, "_block").orderBy(*by)
+    last = blocked.groupBy(*keys, "_block").agg(F.max(F.struct(*by, F.col(value).alias("_v")))["_v"].alias("_last"))
+    carried = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))).drop("_last")
+    out = join_carried(blocked.withColumn("_lag", F.lag(value).over(inner)).withColumn("_first", F.row_number().over(inner) == 1), carried, [*keys, "_block"])
+    return out.withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop("_block", "_lag", "_first", "_carry")
 
 
-def with_running_sum(df: DataFrame, key: str, order: str, block: Column, value: Column, ties: list[str] | None = None, name: str = "running") -> DataFrame:
+def with_running_sum(df: DataFrame, key: str | list[str], order: str, block: Column, value: Column, ties: list[str] | None = None, name: str = "running") -> DataFrame:
     """Adds ``name``: the sum of ``value`` over the rows of its key up to and with each row."""
-    by = [order, *(ties or [])]
+    by, keys = [order, *(ties or [])], _listed(key)
     blocked = df.withColumn("_block", block).withColumn("_value", value)
-    totals = blocked.groupBy(key, "_block").agg(F.sum("_value").alias("_total"))
-    before = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy(*keys, "_block").agg(F.sum("_value").alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.withColumn("_carry", F.coalesce(F.sum("_total").over(before), F.lit(0))).drop("_total")
-    inner = Window.partitionBy(key, "_block").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
-    return blocked.withColumn("_own", F.sum("_value").over(inner)).join(carried, [key, "_block"]).withColumn(name, F.col("_own") + F.col("_carry")).drop("_block", "_value", "_own", "_carry")
+    inner = Window.partitionBy(*keys, "_block").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    out = join_carried(blocked.withColumn("_own", F.sum("_value").over(inner)), carried, [*keys, "_block"])
+    return out.withColumn(name, F.col("_own") + F.col("_carry")).drop("_block", "_value", "_own", "_carry")
+
+
+def with_known(df: DataFrame, key: str | list[str], order: str, block: Column, value: Column, ties: list[str] | None = None, name: str = "known", ahead: bool = False) -> DataFrame:
+    """Adds ``name``: ``value`` of the last row up to and with each row where it isn't null, by (order,
+    ties) within its key; with ``ahead`` of the first such row from each row on."""
+    by, keys = [order, *(ties or [])], _listed(key)
+    blocked = df.withColumn("_block", block).withColumn("_value", value)
+    edge = F.when(F.col("_value").isNotNull(), F.struct(*by, F.col("_value").alias("_v")))
+    edges = blocked.groupBy(*keys, "_block").agg((F.min(edge) if ahead else F.max(edge))["_v"].alias("_edge"))
+    blocks, inner = Window.partitionBy(*keys).orderBy("_block"), Window.partitionBy(*keys, "_block").orderBy(*by)
+    if ahead:
+        carry = F.first("_edge", ignorenulls=True).over(blocks.rowsBetween(1, Window.unboundedFollowing))
+        own = F.first("_value", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing))
+    else:
+        carry = F.last("_edge", ignorenulls=True).over(blocks.rowsBetween(Window.unboundedPreceding, -1))
+        own = F.last("_value", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    out = join_carried(blocked.withColumn("_own", own), edges.withColumn("_carry", carry).drop("_edge"), [*keys, "_block"])
+    return out.withColumn(name, F.coalesce("_own", "_carry")).drop("_block", "_value", "_own", "_carry")

@@ -24,7 +24,28 @@ def absolute_time(base: Column, sample: Column, fs: Column | float) -> Column:
 
 
 def to_sample(micros: Column, fs: Column | float) -> Column:
-    return F.bround(micros * fs / 1_000_000).cast("long")
+    """The sample at a time, halves upwards."""
+    return F.floor(micros * fs / 1_000_000 + 0.5).cast("long")
+
+
+def moved_time(base: Column, start: Column | int, fs: Column | float) -> Column:
+    """Base time (microseconds since the epoch) of a record that is cut to begin at sample ``start``."""
+    return base + elapsed_micros(F.lit(start) if isinstance(start, int) else start, fs)
+
+
+def down_to(x: Column, base: int) -> Column:
+    """The largest multiple of ``base`` that is at most x."""
+    return (F.floor(x / base) * base).cast("long")
+
+
+def up_to(x: Column, base: int) -> Column:
+    """The smallest multiple of ``base`` that is at least x."""
+    return (F.ceil(x / base) * base).cast("long")
+
+
+#: Days since the epoch of a date as ``DD/MM/YYYY``, in microseconds.
+def date_micros(text: Column) -> Column:
+    return F.unix_micros(F.try_to_timestamp(text, F.lit("dd/MM/yyyy")))
 
 
 def clock_text(micros: Column) -> Column:
@@ -33,6 +54,20 @@ def clock_text(micros: Column) -> Column:
     return F.format_string("%02d:%02d:%02d.%03d", F.expr("1") * F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60, F.floor(ms / 1000) % 60, ms % 1000)
 
 
-def parse_time(text: Column, fs: Column | float) -> Column:
-    """Sample number of ``e`` (null: the end), ``sN`` (sample N), a clock time or plain seconds."""
-    return F.when(text == "e", None).when(text.startswith("s"), F.substring(text, 2, 20).try_cast("long")).otherwise(to_sample(clock_micros(text), fs))
+def parse_time(text: Column, fs: Column | float, length: Column | int | None = None, base: Column | None = None) -> Column:
+    """Sample number of a time: ``e`` (the end: ``length``), ``sN`` (sample N), a clock time, plain
+    seconds, or ``[clock date]`` with a date as DD/MM/YYYY, counted from ``base`` (microseconds since
+    the epoch). Null where it says nothing."""
+    end = F.lit(length) if length is None or isinstance(length, int) else length
+    inner = F.regexp_extract(text, r"^\[([^\]]*)\]$", 1)
+    parts = F.split(inner, " ")
+    absolute = to_sample(clock_micros(F.get(parts, F.lit(0))) + date_micros(F.get(parts, F.lit(1))) - base, fs) if base is not None else F.lit(None).cast("long")
+    plain = F.when(text.startswith("s"), F.substring(text, 2, 20).try_cast("long")).when(text.startswith("["), absolute).otherwise(to_sample(clock_micros(text), fs))
+    return F.when(text == "e", end.cast("long")).otherwise(plain)
+
+
+def time_triple(text: Column, fs: Column | float, length: Column | int | None = None, base: Column | None = None) -> Column:
+    """A struct of a time's sample, elapsed (``HH:MM:SS.mmm``) and at (a timestamp, null without ``base``)."""
+    n = parse_time(text, fs, length, base)
+    at = absolute_time(base, n, fs) if base is not None else F.lit(None).cast("timestamp_ntz")
+    return F.struct(n.alias("sample"), clock_text(elapsed_micros(n, fs)).alias("elapsed"), at.alias("at"))

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulselake.functions.ordered import with_previous, with_running_sum
+from pulselake.functions.ordered import with_known, with_previous, with_running_sum
 
-#: Samples of a block in which a record's rows are handled together.
-BLOCK = 1 << 36
+#: Samples of a block in which a record's rows are handled together: some hours at usual frequencies.
+BLOCK = 1 << 22
 
 
 def block_of(order: str = "sample", size: int = BLOCK) -> Column:
@@ -37,9 +37,24 @@ def filter_rr(rr: DataFrame, least: float | None = None, most: float | None = No
     return rr
 
 
-def mean_heart_rate(rr: DataFrame) -> DataFrame:
-    """record, n_rr, mean_hr (beats a minute; 0 for a record without intervals)."""
-    return rr.groupBy("record").agg(F.count("*").alias("n_rr"), F.coalesce(60.0 / F.avg("rr_sec"), F.lit(0.0)).alias("mean_hr"))
+def ann_to_rr(ann: DataFrame, fs: float, start: float | None = None, stop: float | None = None, unit: str = "samples") -> DataFrame:
+    """record, sample, interval: intervals (the first from sample 0) that are longer than ``start`` and
+    shorter than ``stop`` seconds, in samples (whole) or s, m, h."""
+    rr = filter_rr(rr_intervals(ann, fs, first_from_zero=True), start, stop)
+    scale = {"s": 1.0, "m": 60.0, "h": 3600.0}
+    if unit != "samples" and unit not in scale:
+        raise ValueError(f"unit {unit}: samples, s, m or h")
+    return rr.select("record", "sample", (F.col("rr") if unit == "samples" else F.col("rr_sec") / scale[unit]).alias("interval"))
+
+
+def mean_heart_rate(rr: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """record, n_rr, mean_hr (beats a minute). With ``records`` those of them without intervals have a
+    rate of 0; else only records with intervals have a row."""
+    found = rr.groupBy("record").agg(F.count("*").alias("n_rr"), F.coalesce(60.0 / F.avg("rr_sec"), F.lit(0.0)).alias("mean_hr"))
+    if records is None:
+        return found
+    all_ = records.select("record").distinct().select(F.col("record").alias("_r"))
+    return all_.join(found, F.col("_r").eqNullSafe(F.col("record")), "left").select(F.col("_r").alias("record"), F.coalesce("n_rr", F.lit(0)).alias("n_rr"), F.coalesce("mean_hr", F.lit(0.0)).alias("mean_hr"))
 
 
 def beats_from_rr(rr: DataFrame, fs: float) -> DataFrame:
@@ -124,14 +139,8 @@ def compact_carried(ann: DataFrame, column: str) -> DataFrame:
 
 def carry_forward(ann: DataFrame, column: str, default: int = 0) -> DataFrame:
     """Fills nulls with the last value before in the record (``default`` before any)."""
-    by = ["sample", "ann_no"]
-    blocked = ann.withColumn("_block", block_of())
-    last = blocked.where(F.col(column).isNotNull()).groupBy("record", "_block").agg(F.max(F.struct(*by, column))[column].alias("_last"))
-    blocks = blocked.select("record", "_block").distinct().join(last, ["record", "_block"], "left")
-    before = Window.partitionBy("record").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last")
-    own = F.last(column, ignorenulls=True).over(Window.partitionBy("record", "_block").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
-    return blocked.withColumn("_own", own).join(carried, ["record", "_block"]).withColumn(column, F.coalesce("_own", "_carry", F.lit(default))).drop("_block", "_own", "_carry")
+    out = with_known(ann, "record", "sample", block_of(), F.col(column), ["ann_no"], "_filled")
+    return out.withColumn(column, F.coalesce("_filled", F.lit(default))).drop("_filled")
 
 
 def sample_deltas(ann: DataFrame, longest: int = 1023, chunk: int = 0x7FFFFFFF) -> DataFrame:
@@ -148,14 +157,20 @@ def contiguous_groups(ann: DataFrame, column: str) -> DataFrame:
     return found.withColumn("contiguous", F.col("n_runs") == F.col("n_distinct"))
 
 
-def hr_steps(ann: DataFrame, fs: float) -> DataFrame:
+def hr_steps(ann: DataFrame, fs: float, lengths: DataFrame | None = None) -> DataFrame:
     """Instantaneous heart rate as steps: the rate of the interval that ends at a beat holds after it,
-    up to the next beat. Rates begin with the second beat; the last step goes on to the record's end."""
+    up to the next beat. Rates begin with the second beat. With ``lengths`` (record, sig_len) the last
+    step goes on to the record's end; else it ends with the last beat."""
     rr = rr_intervals(ann, fs)
     from_back = rr.select("record", (-F.col("sample")).alias("back"), (-F.col("ann_no")).alias("ann_no"), "rr", "sample")
     out = with_previous(from_back, "record", "back", F.floor(F.col("back") / BLOCK), ["ann_no"], name="_next")
     rate = F.when(F.col("rr") > 0, 60.0 * fs / F.col("rr"))
-    return out.where("_next is not null").select("record", (F.col("sample") + 1).alias("start_sample"), (-F.col("_next")).alias("end_sample"), rate.alias("hr"))
+    steps = out.where("_next is not null").select("record", (F.col("sample") + 1).alias("start_sample"), (-F.col("_next")).alias("end_sample"), rate.alias("hr"))
+    if lengths is None:
+        return steps
+    last = ann.groupBy("record").agg(F.max("sample").alias("_last")).join(lengths.select("record", "sig_len"), "record")
+    goes_on = (F.col("end_sample") == F.col("_last")) & (F.col("sig_len") > F.col("_last"))
+    return steps.join(last, "record", "left").withColumn("end_sample", F.when(goes_on, F.col("sig_len") - 1).otherwise(F.col("end_sample"))).drop("_last", "sig_len")
 
 
 def unmatched(reference: DataFrame, test: DataFrame) -> DataFrame:
@@ -169,7 +184,9 @@ def resample(ann: DataFrame, fs: float, target: float) -> DataFrame:
 
 
 def violations(ann: DataFrame) -> DataFrame:
-    """Annotation rows that break a field's rule: record, ann_no, rule."""
+    """Annotation rows that break a field's rule: record, ann_no, rule. Samples must not fall with
+    ann_no."""
+    found = with_previous(ann, "record", "ann_no", F.expr("ann_no div 100000"), name="_before", value="sample")
     rules = {
         "label_range": ~F.col("label_store").between(1, 49),
         "subtype_range": ~F.col("subtype").between(-128, 127),
@@ -178,6 +195,72 @@ def violations(ann: DataFrame) -> DataFrame:
         "symbol_length": ~F.length("symbol").between(1, 3),
         "symbol_space": F.col("symbol").rlike(r"\s"),
         "negative_sample": F.col("sample") < 0,
+        "falling_sample": F.col("sample") < F.col("_before"),
     }
-    found = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
-    return ann.select("record", "ann_no", F.explode(found).alias("rule"))
+    broken = F.array_compact(F.array(*[F.when(b, F.lit(name)) for name, b in rules.items()]))
+    return found.select("record", "ann_no", F.explode(broken).alias("rule"))
+
+
+def numbered(ann: DataFrame, by: list[str], name: str = "place") -> DataFrame:
+    """Adds each row's place (from 0) in its record by sample, then by ``by``, which says how ties go."""
+    out = with_running_sum(ann, "record", "sample", block_of(), F.lit(1), by, name)
+    return out.withColumn(name, F.col(name) - 1)
+
+
+def by_onset(ann: DataFrame, index: str = "ann_no") -> DataFrame:
+    """All annotations in the order of record, onset (sample) and their place in the source."""
+    return ann.orderBy("record", "sample", index)
+
+
+# Notes at sample 0 that say something of the whole record.
+FS_NOTE, LABELS_BEGIN, LABELS_END = r"^## time resolution:\s*(\d+\.?\d*)", "## annotation type definitions", "## end of definitions"
+
+
+def definitions(ann: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What notes at sample 0 define: (record, fs), (record, label_store, symbol, description) and the
+    annotations that remain, without those notes and without empty codes. Label lines stand between
+    two marks, in the order of ann_no."""
+    at_zero = (F.col("sample") == 0) & (F.col("label_store") == 22)
+    notes = ann.where(at_zero).select("record", "ann_no", "aux_note")
+    fs = F.regexp_extract("aux_note", FS_NOTE, 1).try_cast("double")
+    rates = notes.where(fs.isNotNull()).groupBy("record").agg(F.min(F.struct("ann_no", fs.alias("fs")))["fs"].alias("fs"))
+    marks = notes.groupBy("record").agg(F.min(F.when(F.col("aux_note") == LABELS_BEGIN, F.col("ann_no"))).alias("_a"), F.min(F.when(F.col("aux_note") == LABELS_END, F.col("ann_no"))).alias("_z"))
+    parts = F.split(F.trim("aux_note"), r"\s+", 3)
+    lines = notes.join(marks, "record").where("ann_no > _a and ann_no < _z")
+    labels = lines.select("record", F.get(parts, F.lit(0)).try_cast("int").alias("label_store"), F.get(parts, F.lit(1)).alias("symbol"), F.get(parts, F.lit(2)).alias("description")).where("label_store is not null and symbol is not null")
+    return rates, labels, ann.where(~F.coalesce(at_zero | (F.col("label_store") == 0), F.lit(False)))
+
+
+def with_label_elements(ann: DataFrame, labels: DataFrame, wanted: list[str]) -> DataFrame:
+    """Annotations with the label columns ``wanted`` (of label_store, symbol, description) and no other
+    of these; missing ones are looked up by one that is there."""
+    kinds = ["label_store", "symbol", "description"]
+    if not wanted or not set(wanted) <= set(kinds):
+        raise ValueError(f"label elements are some of {', '.join(kinds)}")
+    there = [k for k in kinds if k in ann.columns]
+    missing = [k for k in wanted if k not in there]
+    if missing:
+        if not there:
+            raise ValueError("annotations without any label column")
+        ann = ann.join(F.broadcast(labels.select(there[0], *missing)), there[0], "left")  # labels have fewer than 50 rows
+    return ann.drop(*[k for k in kinds if k not in wanted])
+
+
+def standard_labels(custom: DataFrame, used: DataFrame, limit: int = 50) -> DataFrame:
+    """record, label_store, symbol, description of custom labels: those without a code (null
+    label_store) get the free codes of their record in the order of symbols."""
+    taken = used.select("record", "label_store").union(custom.where("label_store is not null").select("record", "label_store"))
+    without = custom.where("label_store is null")
+    free = available_codes(taken.unionByName(without.select("record", "label_store")), limit)
+    given = assign_free_codes(without.select("record", "symbol").distinct(), free)
+    named = without.drop("label_store").join(given, ["record", "symbol"])
+    columns = ["record", "label_store", "symbol", "description"]
+    return custom.where("label_store is not null").select(*columns).unionByName(named.select(*columns))
+
+
+def differences(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows of one table that the other lacks, as often as it lacks them, with ``only_in`` (1 or 2).
+    Nulls are equal, and so are NaN. Tables are equal where this has no rows."""
+    columns = first.columns
+    a, b = first, second.select(*columns)
+    return a.exceptAll(b).withColumn("only_in", F.lit(1)).unionByName(b.exceptAll(a).withColumn("only_in", F.lit(2)))

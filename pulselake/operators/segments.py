@@ -19,11 +19,18 @@ def offsets(segments: DataFrame) -> DataFrame:
     return out.withColumn("seg_start", F.col("seg_end") - F.col("seg_len"))
 
 
+#: Samples of a block in which a record's ranges are handled together, and of a bucket in which two
+#: tables of ranges meet.
+RANGE_BLOCK, BUCKET = 1 << 22, 1 << 16
+
+
 def _islands(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """Joins ranges (start, end) that touch, by keys; no two may overlap."""
-    order = Window.partitionBy(*keys).orderBy("start")
-    marked = ranges.withColumn("_new", F.when(F.lag("end").over(order) == F.col("start"), 0).otherwise(1))
-    return marked.withColumn("_run", F.sum("_new").over(order)).groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    block = F.expr(f"start div {RANGE_BLOCK}")
+    marked = with_previous(ranges, keys, "start", block, ["end"], "_before", "end")
+    new = F.when(F.col("_before") == F.col("start"), 0).otherwise(1)
+    runs = with_running_sum(marked, keys, "start", block, new, ["end"], "_run")
+    return runs.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 
 def signal_ranges(placed: DataFrame, channels: DataFrame) -> DataFrame:
@@ -41,10 +48,17 @@ def combined_ranges(placed: DataFrame, channels: DataFrame, names: list[str]) ->
 
 
 def overlaps(first: DataFrame, second: DataFrame) -> DataFrame:
-    """record, start, end: intersections of two tables of half-open ranges, by record."""
-    a, b = first.alias("a"), second.alias("b")
+    """record, start, end: intersections of two tables of half-open ranges, by record. Ranges meet in
+    buckets of samples, and each pair counts in the bucket where its intersection begins."""
+
+    def dealt(ranges: DataFrame) -> DataFrame:
+        buckets = F.sequence(F.floor(F.col("start") / BUCKET), F.floor((F.col("end") - 1) / BUCKET))
+        return ranges.where(F.col("start") < F.col("end")).select("record", "start", "end", F.explode(buckets).alias("bucket"))
+
+    a, b = dealt(first).alias("a"), dealt(second).alias("b")
     start, end = F.greatest("a.start", "b.start"), F.least("a.end", "b.end")
-    return a.join(b, (F.col("a.record") == F.col("b.record")) & (start < end)).select("a.record", start.alias("start"), end.alias("end"))
+    met = (F.col("a.record") == F.col("b.record")) & (F.col("a.bucket") == F.col("b.bucket")) & (start < end) & (F.floor(start / BUCKET) == F.col("a.bucket"))
+    return a.join(b, met).select("a.record", start.alias("start"), end.alias("end"))
 
 
 def required_segments(placed: DataFrame, start: int | Column, end: int | Column) -> DataFrame:
@@ -74,9 +88,51 @@ def file_groups(channels: DataFrame) -> DataFrame:
     return channels.groupBy("record", "file_name").agg(F.array_sort(F.collect_list("ch")).alias("chs"), F.min("ch").alias("first_ch"))
 
 
-def segment_violations(placed: DataFrame) -> DataFrame:
-    """record, seg_no, rule where a segment breaks one: its length, or a number that isn't the next."""
+def segment_violations(placed: DataFrame, records: DataFrame | None = None) -> DataFrame:
+    """record, seg_no, rule where a segment breaks one: its length, or a number that isn't the next.
+    With ``records`` (record, n_seg, sig_len, fs, layout), and segments that have fs, also whole records
+    (seg_no is null): their number of segments, total length, frequency, and a layout segment of length
+    0 that comes first where the layout is variable, and nowhere else."""
     out = with_previous(placed, "record", "seg_no", F.expr(f"seg_no div {BLOCK}"), name="_before")
     rules = {"negative_length": F.col("seg_len") < 0, "number": F.col("seg_no") != F.coalesce("_before", F.lit(-1)) + 1}
-    found = F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
-    return out.select("record", "seg_no", F.explode(found).alias("rule"))
+    broken = F.array_compact(F.array(*[F.when(b, F.lit(name)) for name, b in rules.items()]))
+    found = out.select("record", "seg_no", F.explode(broken).alias("rule"))
+    if records is None:
+        return found
+    sums = placed.groupBy("record").agg(F.count("*").alias("_n"), F.sum("seg_len").alias("_len"), F.min("fs").alias("_lo"), F.max("fs").alias("_hi"), F.min(F.struct("seg_no", "seg_len"))["seg_len"].alias("_first"), F.sum((F.col("seg_len") == 0).cast("int")).alias("_empty"))
+    both = records.join(sums, "record", "left")
+    whole = {
+        "n_seg": F.col("n_seg") != F.coalesce("_n", F.lit(0)),
+        "total_length": F.col("sig_len") != F.coalesce("_len", F.lit(0)),
+        "fs": (F.col("_lo") != F.col("fs")) | (F.col("_hi") != F.col("fs")),
+        "layout": F.when(F.col("layout") == "variable", (F.col("_first") != 0) | (F.col("_empty") != 1)).otherwise(F.col("_empty") > 0),
+    }
+    broken = F.array_compact(F.array(*[F.when(b, F.lit(name)) for name, b in whole.items()]))
+    return found.unionByName(both.select("record", F.lit(None).cast("long").alias("seg_no"), F.explode(broken).alias("rule")))
+
+
+def required_channels(placed: DataFrame, channels: DataFrame, wanted: DataFrame) -> DataFrame:
+    """record, seg_no, ch, place: which channel of each segment with samples is which wanted signal
+    (``wanted``: record, sig_name, place). ``channels`` has record, seg_no, ch, sig_name; a signal that
+    a segment lacks gives no row."""
+    there = placed.where((F.col("seg_len") > 0) & ~F.col("is_gap")).select("record", "seg_no")
+    return there.join(channels, ["record", "seg_no"]).join(wanted, ["record", "sig_name"]).select("record", "seg_no", "ch", "place")
+
+
+def arrange(placed: DataFrame, channels: DataFrame, wanted: DataFrame, start: int, end: int, force: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a record of segments looks like once it is cut to [start, end) and to the wanted signals:
+    (record, n_seg, sig_len, n_sig), its segments (record, seg_no, seg_len: numbers begin with 0) and
+    its signals (record, place, sig_name). Without ``force`` signals that no remaining segment has
+    drop out, and the others move up."""
+    cut = required_segments(placed, F.lit(start), F.lit(end)).withColumn("seg_len", F.col("seg_to") - F.col("seg_from")).where("seg_len > 0")
+    first = cut.groupBy("record").agg(F.min("seg_no").alias("_first"))
+    segments = cut.join(first, "record").select("record", (F.col("seg_no") - F.col("_first")).alias("seg_no"), "seg_len")
+    signals = wanted.select("record", "place", "sig_name").join(cut.select("record").distinct(), "record", "left_semi")
+    if not force:
+        have = cut.where(~F.col("is_gap")).select("record", "seg_no").join(channels, ["record", "seg_no"]).select("record", "sig_name").distinct()
+        signals = signals.join(have, ["record", "sig_name"], "left_semi")
+        signals = signals.withColumn("place", F.row_number().over(Window.partitionBy("record").orderBy("place")) - 1)  # a row a signal
+    sums = segments.groupBy("record").agg(F.count("*").alias("n_seg"), F.sum("seg_len").alias("sig_len"))
+    n_sig = signals.groupBy("record").agg(F.count("*").alias("n_sig"))
+    records = sums.join(n_sig, "record", "left").withColumn("n_sig", F.coalesce("n_sig", F.lit(0)))
+    return records, segments, signals.select("record", "place", "sig_name")

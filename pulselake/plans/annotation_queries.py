@@ -53,6 +53,52 @@ def w3_hr_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.hr_steps(annotations(spark, sf_dir), FS).withColumn("hr", F.round("hr", 6))
 
 
+def w3_hr_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = annotations(spark, sf_dir)
+    lengths = a.groupBy("record").agg((F.max("sample") + 1000).alias("sig_len"))
+    return ann.hr_steps(a, FS, lengths).withColumn("hr", F.round("hr", 6))
+
+
+def w2_rr_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ann.ann_to_rr(annotations(spark, sf_dir), FS, 60.0, 40000.0, "m")
+    return out.select("record", "sample", F.round("interval", 9).alias("interval"))
+
+
+def g1_mean_hr_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of the views of all records; those with fewer than two have 0."""
+    a = annotations(spark, sf_dir)
+    found = ann.mean_heart_rate(ann.rr_intervals(a.where("event_type = 'purchase'"), FS), a)
+    return found.select("record", "n_rr", F.round("mean_hr", 9).alias("mean_hr"))
+
+
+def j11_label_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ann.with_label_elements(annotations(spark, sf_dir), dims.ann_labels(spark), ["label_store", "description"])
+    return out.select("record", "ann_no", F.col("label_store").cast("long").alias("label_store"), "description")
+
+
+def j12_standard_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    custom = annotations(spark, sf_dir).select("record", F.when(F.col("event_type") == "click", 45).alias("label_store"), F.col("event_type").alias("symbol"), F.upper("event_type").alias("description")).distinct()
+    used = annotations(spark, sf_dir).select("record", (F.col("ann_no") % 17 + 1).cast("int").alias("label_store"))
+    return ann.standard_labels(custom, used).withColumn("label_store", F.col("label_store").cast("long"))
+
+
+def o1_ordered_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = (x.withColumn("sample", F.expr("sample div 100000000")) for x in _two(spark, sf_dir))
+    both = ann.merge(one, two, "combine", 0, 1 << 60)
+    return ann.numbered(both, ["source", "ann_no"]).select("record", "sample", "ann_no", F.col("place").cast("long").alias("place"))
+
+
+def o2_onset_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = annotations(spark, sf_dir).withColumn("sample", F.expr("sample div 100000000"))
+    return ann.by_onset(a).select("record", "sample", "ann_no")
+
+
+def u9_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = annotations(spark, sf_dir).select("record", "sample", "symbol")
+    b = annotations(spark, sf_dir).select("record", (F.col("sample") + (F.col("ann_no") % 10 == 0).cast("int")).alias("sample"), "symbol")
+    return ann.differences(a, b).withColumn("only_in", F.col("only_in").cast("long"))
+
+
 def k14_rr_cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     rr = ann.rr_intervals(annotations(spark, sf_dir), FS).select("record", F.col("ann_no").alias("i"), "rr_sec")
     return ann.beats_from_rr(rr, FS).select("record", "i", "sample")
@@ -187,6 +233,14 @@ QUERIES = {
     "g1_mean_hr": (g1_mean_hr, f"{WITH} SELECT record, count(*) AS n_rr, round(coalesce(60.0 / avg(rr / CAST(360 AS DOUBLE)), 0), 9) AS mean_hr FROM rr WHERE rr IS NOT NULL GROUP BY record"),
     "w2_ann2rr": (w2_ann2rr, f"{WITH} SELECT record, sample, CAST(round_even(coalesce(rr, sample) / CAST(360 AS DOUBLE) * 1000, 0) AS BIGINT) AS rr_ms FROM rr"),
     "w3_hr_steps": (w3_hr_steps, f"{WITH}, n AS (SELECT *, lead(sample) OVER (PARTITION BY record ORDER BY sample, ann_no) AS nxt FROM rr) SELECT record, sample + 1 AS start_sample, nxt AS end_sample, round(21600.0 / nullif(CAST(rr AS DOUBLE), 0), 6) AS hr FROM n WHERE rr IS NOT NULL AND nxt IS NOT NULL"),
+    "w3_hr_to_end": (w3_hr_to_end, f"{WITH}, n AS (SELECT *, lead(sample) OVER w AS nxt, max(sample) OVER (PARTITION BY record) AS last FROM rr WINDOW w AS (PARTITION BY record ORDER BY sample, ann_no)) SELECT record, sample + 1 AS start_sample, CASE WHEN nxt = last THEN last + 999 ELSE nxt END AS end_sample, round(21600.0 / nullif(CAST(rr AS DOUBLE), 0), 6) AS hr FROM n WHERE rr IS NOT NULL AND nxt IS NOT NULL"),
+    "w2_rr_minutes": (w2_rr_minutes, f"{WITH} SELECT record, sample, round(coalesce(rr, sample) / CAST(360 AS DOUBLE) / 60, 9) AS interval FROM rr WHERE coalesce(rr, sample) / CAST(360 AS DOUBLE) > 60 AND coalesce(rr, sample) / CAST(360 AS DOUBLE) < 40000"),
+    "g1_mean_hr_all": (g1_mean_hr_all, f"{WITH}, v AS (SELECT record, sample - lag(sample) OVER (PARTITION BY record ORDER BY sample, ann_no) AS d FROM ann WHERE event_type = 'purchase') SELECT r.record, count(d) AS n_rr, round(coalesce(60.0 / avg(d / CAST(360 AS DOUBLE)), 0), 9) AS mean_hr FROM (SELECT DISTINCT record FROM ann) r LEFT JOIN v ON v.record = r.record GROUP BY r.record"),
+    "j11_label_elements": (j11_label_elements, f"{WITH} SELECT record, ann_no, CAST(label_store AS BIGINT) AS label_store, description FROM ann a LEFT JOIN {LABELS} ON a.symbol = lab.symbol"),
+    "j12_standard_labels": (j12_standard_labels, f"{WITH}, c AS (SELECT DISTINCT record, event_type AS symbol FROM ann), f AS (SELECT record, label_store FROM (SELECT DISTINCT record FROM ann), (SELECT unnest(generate_series(1, 49)) AS label_store) EXCEPT (SELECT record, ann_no % 17 + 1 FROM ann UNION ALL SELECT record, 45 FROM c WHERE symbol = 'click')), x AS (SELECT record, symbol, row_number() OVER (PARTITION BY record ORDER BY symbol) AS n FROM c WHERE symbol <> 'click'), y AS (SELECT *, row_number() OVER (PARTITION BY record ORDER BY label_store) AS n FROM f) SELECT record, CAST(45 AS BIGINT) AS label_store, symbol, upper(symbol) AS description FROM c WHERE symbol = 'click' UNION ALL SELECT x.record, label_store, symbol, upper(symbol) FROM x JOIN y ON x.record = y.record AND x.n = y.n"),
+    "o1_ordered_merge": (o1_ordered_merge, f"{WITH}, c AS (SELECT record, sample // 100000000 AS sample, ann_no FROM ann) SELECT record, sample, ann_no, row_number() OVER (PARTITION BY record ORDER BY sample, ann_no % 2, ann_no) - 1 AS place FROM c"),
+    "o2_onset_order": (o2_onset_order, f"{WITH} SELECT record, sample // 100000000 AS sample, ann_no FROM ann ORDER BY record, 2, ann_no"),
+    "u9_differences": (u9_differences, f"{WITH}, a AS (SELECT record, sample, symbol FROM ann), b AS (SELECT record, sample + CAST(ann_no % 10 = 0 AS BIGINT) AS sample, symbol FROM ann) SELECT *, CAST(1 AS BIGINT) AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, CAST(2 AS BIGINT) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"),
     "k14_rr_cumsum": (k14_rr_cumsum, f"{WITH} SELECT record, ann_no AS i, CAST(sum(rr) OVER (PARTITION BY record ORDER BY ann_no) AS BIGINT) AS sample FROM rr WHERE rr IS NOT NULL"),
     "g2_contained_labels": (g2_contained_labels, f"{WITH} SELECT record, a.symbol, CAST(label_store AS BIGINT) AS label_store, description, count(*) AS n_occurrences FROM ann a LEFT JOIN {LABELS} ON a.symbol = lab.symbol GROUP BY ALL"),
     "j1_label_lookup": (j1_label_lookup, f"{WITH} SELECT record, ann_no, a.symbol, CAST(label_store AS BIGINT) AS label_store FROM ann a LEFT JOIN {LABELS} ON a.symbol = lab.symbol"),
@@ -201,7 +255,7 @@ QUERIES = {
     "u5_durations": (u5_durations, f"{WITH} SELECT record, sample, ann_no, CASE WHEN ann_no % 4 > 0 THEN '(' ELSE '' END || event_type AS aux_note FROM ann UNION ALL SELECT record, sample + ann_no % 4, ann_no, event_type || ')' FROM ann WHERE ann_no % 4 > 0"),
     "u8_setdiff": (u8_setdiff, f"{WITH}, c AS (SELECT record, sample // 100000000 AS sample, symbol, ann_no FROM ann) SELECT * FROM c WHERE ann_no % 2 = 0 AND NOT EXISTS (SELECT 1 FROM c d WHERE d.ann_no % 2 = 1 AND d.record = c.record AND d.sample = c.sample AND d.symbol = c.symbol)"),
     "f4_apply_range": (f4_apply_range, f"{WITH}, {BOUNDS} SELECT record, sample - lo AS sample, ann_no FROM ann, b WHERE sample BETWEEN lo AND hi"),
-    "f9_violations": (f9_violations, f"{WITH}, x AS (SELECT record, ann_no, CASE WHEN ann_no % 53 NOT BETWEEN 1 AND 49 THEN 'label_range' END AS a, CASE WHEN ann_no % 300 - 150 NOT BETWEEN -128 AND 127 THEN 'subtype_range' END AS b, CASE WHEN ann_no % 130 > 127 THEN 'num_range' END AS c, CASE WHEN event_type <> 'error' THEN 'symbol_length' END AS d, CASE WHEN event_type = 'error' THEN 'symbol_space' END AS e FROM ann) SELECT record, ann_no, rule FROM (SELECT record, ann_no, unnest([a, b, c, d, e]) AS rule FROM x) WHERE rule IS NOT NULL"),
+    "f9_violations": (f9_violations, f"{WITH}, x AS (SELECT record, ann_no, CASE WHEN ann_no % 53 NOT BETWEEN 1 AND 49 THEN 'label_range' END AS a, CASE WHEN ann_no % 300 - 150 NOT BETWEEN -128 AND 127 THEN 'subtype_range' END AS b, CASE WHEN ann_no % 130 > 127 THEN 'num_range' END AS c, CASE WHEN event_type <> 'error' THEN 'symbol_length' END AS d, CASE WHEN event_type = 'error' THEN 'symbol_space' END AS e, CASE WHEN sample < lag(sample) OVER (PARTITION BY record ORDER BY ann_no) THEN 'falling_sample' END AS f FROM ann) SELECT record, ann_no, rule FROM (SELECT record, ann_no, unnest([a, b, c, d, e, f]) AS rule FROM x) WHERE rule IS NOT NULL"),
     "f13_contiguous_groups": (f13_contiguous_groups, f"{WITH} SELECT record, CAST(sum(CASE WHEN p IS NULL OR p <> chan THEN 1 ELSE 0 END) AS BIGINT) AS n_runs, count(DISTINCT chan) AS n_distinct, sum(CASE WHEN p IS NULL OR p <> chan THEN 1 ELSE 0 END) = count(DISTINCT chan) AS contiguous FROM (SELECT record, chan, lag(chan) OVER (PARTITION BY record ORDER BY sample, ann_no) AS p FROM ann) GROUP BY record"),
     "k10_compact_carried": (k10_compact_carried, f"{WITH} SELECT record, ann_no, chan IS DISTINCT FROM lag(chan, 1, 0) OVER (PARTITION BY record ORDER BY sample, ann_no) AS write_chan FROM ann"),
     "s25_carry_forward": (s25_carry_forward, f"{WITH} SELECT record, ann_no, coalesce(last_value(CASE WHEN ann_no % 5 = 0 THEN chan END IGNORE NULLS) OVER (PARTITION BY record ORDER BY sample, ann_no ROWS UNBOUNDED PRECEDING), 0) AS chan FROM ann"),

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulselake import dims
 from pulselake.functions import header, times
 from pulselake.operators import segments as seg
+from pulselake.operators import signals as sig
 from pulselake.plans.tables import CHAN_SQL, SEG_SQL, channels, segments, table
+from pulselake.sources import headers, tables
 
 WITH = f"WITH seg AS {SEG_SQL}, chan AS {CHAN_SQL}"
 _ISLANDS = """, {name} AS (SELECT {keys}, min(s) AS start, max(e) AS "end" FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY s) AS run FROM (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY {keys} ORDER BY s) = s THEN 0 ELSE 1 END AS n FROM ({rows}))) GROUP BY {keys}, run)"""
 RANGES = WITH + _ISLANDS.format(name="rng", keys="record, sig_name", rows="SELECT seg.record, sig_name, seg_start AS s, seg_end AS e FROM seg JOIN chan USING (record, seg_no) WHERE seg_len > 0 AND NOT is_gap")
 BOTH = WITH + _ISLANDS.format(name="rng", keys="record", rows="SELECT record, seg_start AS s, seg_end AS e FROM seg WHERE seg_len > 0 AND NOT is_gap AND (SELECT count(DISTINCT sig_name) FROM chan WHERE chan.record = seg.record AND chan.seg_no = seg.seg_no AND sig_name IN ('I', 'II')) = 2")
-SHORT = WITH.replace("% 5000", "% 5000 % 7")
+NUMBERED = WITH + ", num AS (SELECT *, row_number() OVER (PARTITION BY record, seg_no ORDER BY sig_name) - 1 AS ch FROM chan)"
+ARRANGED = WITH + ", cut AS (SELECT record, seg_no, is_gap, least(seg_len, 12000 - seg_start) - greatest(0, 4000 - seg_start) AS len FROM seg WHERE seg_start < 12000 AND seg_end > 4000 AND seg_len > 0)"
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +43,37 @@ def j5_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.overlaps(r.where("sig_name = 'II'"), r.where("sig_name = 'V'"))
 
 
+def _numbered_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels of segments, numbered by name."""
+    s = channels(segments(spark, sf_dir))
+    return s.withColumn("ch", F.expr("row_number() over (partition by record, seg_no order by sig_name) - 1").cast("long"))
+
+
+def _wanted(s: DataFrame) -> DataFrame:
+    names = F.array(*[F.struct(F.lit(n).alias("sig_name"), F.lit(i).cast("long").alias("place")) for i, n in enumerate(["V", "I", "III"])])
+    return s.select("record").distinct().select("record", F.explode(names).alias("w")).select("record", "w.sig_name", "w.place")
+
+
 def j7_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return channels(segments(spark, sf_dir))
+    s = segments(spark, sf_dir)
+    return seg.required_channels(s, _numbered_channels(spark, sf_dir), _wanted(s))
+
+
+def _arranged(part: int, force: bool):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = segments(spark, sf_dir)
+        out = seg.arrange(s, channels(s), _wanted(s), 4000, 12000, force)[part]
+        return out.select(*[F.col(c).cast("long").alias(c) if c.startswith(("n_", "place")) else c for c in out.columns])
+
+    return query
+
+
+def f11_record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segments(spark, sf_dir).withColumn("fs", F.when(F.col("record") % 7 == 3, 125.0).otherwise(360.0))
+    sums = s.groupBy("record").agg(F.count("*").alias("n"), F.sum("seg_len").alias("len"))
+    r = F.col("record")
+    records = sums.select("record", (F.col("n") + (r % 7 == 1).cast("int")).alias("n_seg"), (F.col("len") - (r % 7 == 2).cast("int")).alias("sig_len"), F.lit(360.0).alias("fs"), F.when(r % 7 == 4, "variable").otherwise("fixed").alias("layout"))
+    return seg.segment_violations(s, records)
 
 
 def j8_required_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +91,7 @@ def g9_file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def u6_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = seg.offsets(segments(spark, sf_dir).withColumn("seg_len", F.col("seg_len") % 7).drop("seg_start", "seg_end"))
+    s = segments(spark, sf_dir)
     own = channels(s.where("not is_gap")).join(s, ["record", "seg_no"]).where("seg_len > 0")
     own = own.select("record", "seg_no", "sig_name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seg_len") - 1)).alias("sample"))
     own = own.withColumn("dval", F.col("seg_no") * 100 + F.col("sample"))
@@ -109,10 +142,9 @@ def s5_segment_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def k4_multi_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Header text of every record of segments."""
     s = segments(spark, sf_dir)
-    line = F.concat(F.when(F.col("is_gap"), "~").otherwise(F.concat(F.lit("s"), F.col("seg_no").cast("string"))), F.lit(" "), F.col("seg_len").cast("string"))
-    all_ = s.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("seg_no", line.alias("line")))).alias("l"), F.sum("seg_len").alias("sig_len"), F.count("*").alias("n_seg"))
-    first = header.record_line(F.col("record"), F.lit(3), F.lit(360.0), F.col("sig_len"), F.col("n_seg"))
-    return all_.select("record", F.concat_ws("\n", first, F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
+    named = s.select("record", "seg_no", F.when(F.col("is_gap"), "~").otherwise(F.concat(F.lit("s"), F.col("seg_no").cast("string"))).alias("seg_name"), "seg_len")
+    records = s.groupBy("record").agg(F.lit(3).alias("n_sig"), F.lit(360.0).alias("fs"), F.sum("seg_len").alias("sig_len"))
+    return headers.multi_header_text(records, named).select("record", F.rtrim("value", F.lit("\n")).alias("text"))
 
 
 def s6_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,11 +161,76 @@ def p10_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", el.alias("elapsed"), times.to_sample(el, 360.0).alias("n_again"), times.absolute_time(F.lit(1_000_000_000_000_000), F.col("n"), 360.0).alias("at"))
 
 
+def p11_moved_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id")
+    k = F.col("event_id")
+    base = times.date_micros(F.format_string("%02d/%02d/20%02d", k % 28 + 1, k % 12 + 1, k % 30)) + times.clock_micros(F.lit("10:20:30.5"))
+    return e.select("event_id", times.moved_time(base, k * 9, 360.0).alias("micros"))
+
+
+def p12_time_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id")
+    k = F.col("event_id")
+    clock = F.format_string("%02d:%02d:%02d", k % 24, k % 60, k % 50)
+    text = F.when(k % 5 == 0, F.lit("e")).when(k % 5 == 1, F.concat(F.lit("s"), k.cast("string"))).when(k % 5 == 2, F.concat(F.lit("["), clock, F.lit(" 03/01/2001]"))).when(k % 5 == 3, (k % 60).cast("string")).otherwise(clock)
+    base = F.lit(978307200000000)  # 01/01/2001
+    return e.select("event_id", times.time_triple(text, 360.0, 99999, base).alias("t")).select("event_id", "t.sample", "t.elapsed", "t.at")
+
+
+def p17_multiples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") - 700).alias("x"))
+    return e.select("event_id", times.down_to(F.col("x"), 6).alias("down"), times.up_to(F.col("x"), 6).alias("up"))
+
+
+def p19_time_to_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id")
+    return e.select("event_id", times.to_sample(F.col("event_id") * 2000, 250.0).alias("sample"))
+
+
+def f2_channel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sig.select_channels(_numbered_channels(spark, sf_dir).withColumn("ch", F.col("ch").cast("int")), numbers=[2, 0]).select("record", "seg_no", "sig_name", F.col("place").cast("long").alias("place"))
+
+
+def f3_channels_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = _numbered_channels(spark, sf_dir).where("seg_no = 0")
+    return sig.select_channels(first, names=["V", "I"], pad=True).select("record", "sig_name", "ch", F.col("place").cast("long").alias("place"))
+
+
+def f8_record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.when(k % 6 == 0, F.concat(F.lit("a b"), k.cast("string"))).otherwise(F.concat(F.lit("r-"), k.cast("string"))).alias("record"), (F.col("c_nationkey") - 2).alias("n_sig"), (k % 5 - 1).cast("double").alias("fs"), (k % 9 - 1).alias("sig_len"))
+    return sig.record_violations(c)
+
+
+def f8_channel_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(F.expr("p_partkey div 4").alias("record"), (k % 4).alias("ch"), F.when(k % 11 == 0, "bad name").otherwise(F.concat(F.lit("f"), (k % 2).cast("string"), F.lit(".dat"))).alias("file_name"), F.when(k % 7 == 0, "9").otherwise("16").alias("fmt"), (k % 3).alias("spf"), (k % 5 - 1).alias("skew"), F.lit(0).alias("byte_offset"), (k % 6).cast("double").alias("adc_gain"), F.lit(0).alias("baseline"), F.when(k % 8 == 0, "m V").otherwise("mV").alias("units"), F.lit(12).alias("adc_res"), F.lit(0).alias("block_size"), F.when(k % 10 == 0, " x").otherwise(F.concat(F.lit("n"), (k % 3).cast("string"))).alias("sig_name"))
+    return sig.channel_violations(p, dims.dat_formats(spark))
+
+
+def g7_channel_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = segments(spark, sf_dir)
+    records = s.groupBy("record").agg(F.lit(360.0).alias("fs"), F.sum("seg_len").alias("sig_len"))
+    chs = _numbered_channels(spark, sf_dir).where("seg_no = 0").withColumn("spf", F.col("ch") + 1)
+    return sig.channel_summary(records, chs).select("record", "ch", "sig_name", "frequency", F.round("seconds", 6).alias("seconds"))
+
+
+def s36_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("name"), F.col("p_size").cast("long").alias("size"), F.col("p_partkey").alias("k"))
+    present = p.where("k % 3 > 0").select("name", (F.col("size") + (F.col("k") % 5 == 0).cast("int")).alias("size"))
+    return tables.missing_files(p.select("name", "size"), present)
+
+
 def v2_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks of an ECG grid for each vector: large ones every 0.5 of its value range."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record"), F.floor(F.array_min("embedding").cast("double") / 0.125).cast("long").alias("lo"), F.ceil(F.array_max("embedding").cast("double") / 0.125).cast("long").alias("hi"))
-    ticks = e.select("record", F.explode(F.sequence("lo", "hi")).alias("i"))
-    return ticks.select("record", (F.col("i") * 0.125).alias("tick"), (F.col("i") % 4 == 0).alias("large"))
+    e = table(spark, sf_dir, "embeddings")
+    return sig.grid_ticks(e.select(F.col("vec_id").alias("record"), F.array_min("embedding").cast("double").alias("lo"), F.array_max("embedding").cast("double").alias("hi")), 0.125, 4)
+
+
+def v2_time_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of the time axis of every record of segments, in units of a quarter second."""
+    s = segments(spark, sf_dir).groupBy("record").agg(F.lit(0.0).alias("lo"), (F.sum("seg_len") / 512).alias("hi"))
+    return sig.grid_ticks(s, 0.25, 5)
 
 
 _CLOCK = "SELECT event_id, CASE event_id % 3 WHEN 0 THEN (event_id % 60) * 1000000 + 250000 WHEN 1 THEN (event_id % 60) * 60000000 + (event_id % 50) * 1000000 ELSE (event_id % 24) * 3600000000 + (event_id % 60) * 60000000 + (event_id % 50) * 1000000 END AS micros FROM events"
@@ -143,11 +240,26 @@ QUERIES = {
     "w8_signal_ranges": (w8_signal_ranges, f"{RANGES} SELECT * FROM rng"),
     "w9_combined_ranges": (w9_combined_ranges, f"{BOTH} SELECT * FROM rng"),
     "j5_overlaps": (j5_overlaps, f'{RANGES} SELECT a.record, greatest(a.start, b.start) AS start, least(a."end", b."end") AS "end" FROM rng a JOIN rng b ON a.record = b.record AND a.sig_name = \'II\' AND b.sig_name = \'V\' AND greatest(a.start, b.start) < least(a."end", b."end")'),
-    "j7_channels": (j7_channels, f"{WITH} SELECT * FROM chan"),
+    "j7_channels": (j7_channels, f"{NUMBERED} SELECT num.record, num.seg_no, ch, CASE num.sig_name WHEN 'V' THEN 0 WHEN 'I' THEN 1 ELSE 2 END::BIGINT AS place FROM num JOIN seg USING (record, seg_no) WHERE seg_len > 0 AND NOT is_gap AND num.sig_name IN ('V', 'I', 'III')"),
+    "u7_records": (_arranged(0, True), f"{ARRANGED} SELECT record, count(*) AS n_seg, CAST(sum(len) AS BIGINT) AS sig_len, CAST(3 AS BIGINT) AS n_sig FROM cut GROUP BY record"),
+    "u7_segments": (_arranged(1, True), f"{ARRANGED} SELECT record, seg_no - min(seg_no) OVER (PARTITION BY record) AS seg_no, len AS seg_len FROM cut"),
+    "u7_signals": (_arranged(2, False), f"{ARRANGED}, h AS (SELECT DISTINCT record, sig_name, CASE sig_name WHEN 'V' THEN 0 WHEN 'I' THEN 1 ELSE 2 END AS p FROM cut JOIN chan USING (record, seg_no) WHERE NOT is_gap AND sig_name IN ('V', 'I', 'III')) SELECT record, sig_name, row_number() OVER (PARTITION BY record ORDER BY p) - 1 AS place FROM h"),
+    "f11_record_violations": (f11_record_violations, f"{WITH}, s AS (SELECT record, count(*) FILTER (seg_len = 0) AS empty, arg_min(seg_len, seg_no) AS first_len FROM seg GROUP BY record) SELECT record, CAST(NULL AS BIGINT) AS seg_no, rule FROM (SELECT record, unnest([CASE record % 7 WHEN 1 THEN 'n_seg' END, CASE record % 7 WHEN 2 THEN 'total_length' END, CASE record % 7 WHEN 3 THEN 'fs' END, CASE WHEN (record % 7 = 4 AND (first_len <> 0 OR empty <> 1)) OR (record % 7 <> 4 AND empty > 0) THEN 'layout' END]) AS rule FROM s) WHERE rule IS NOT NULL"),
+    "p11_moved_time": (p11_moved_time, "SELECT event_id, epoch_us(make_timestamp(2000 + event_id % 30, event_id % 12 + 1, event_id % 28 + 1, 10, 20, 30.5)) + CAST(round_even(event_id * 9 * 1000000 / CAST(360 AS DOUBLE), 0) AS BIGINT) AS micros FROM events"),
+    "p12_time_triples": (p12_time_triples, "WITH c AS (SELECT event_id, (event_id % 24) * 3600 + (event_id % 60) * 60 + event_id % 50 AS sec FROM events), n AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 99999 WHEN 1 THEN event_id WHEN 2 THEN (sec + 172800) * 360 WHEN 3 THEN (event_id % 60) * 360 ELSE sec * 360 END AS sample FROM c), u AS (SELECT event_id, sample, CAST(round_even(sample * 1000000 / CAST(360 AS DOUBLE), 0) AS BIGINT) AS us FROM n) SELECT event_id, sample, printf('%02d:%02d:%02d.%03d', us // 3600000000, us // 60000000 % 60, us // 1000000 % 60, us // 1000 % 1000) AS elapsed, make_timestamp(978307200000000 + us) AS at FROM u"),
+    "p17_multiples": (p17_multiples, "SELECT event_id, CAST(floor((event_id - 700) / 6.0) * 6 AS BIGINT) AS down, CAST(ceil((event_id - 700) / 6.0) * 6 AS BIGINT) AS up FROM events"),
+    "p19_time_to_sample": (p19_time_to_sample, "SELECT event_id, (event_id + 1) // 2 AS sample FROM events"),
+    "f2_channel_order": (f2_channel_order, f"{NUMBERED} SELECT record, seg_no, sig_name, CASE ch WHEN 2 THEN 0 ELSE 1 END::BIGINT AS place FROM num WHERE ch IN (0, 2)"),
+    "f3_channels_padded": (f3_channels_padded, f"{NUMBERED}, a AS (SELECT * FROM num WHERE seg_no = 0), w AS (SELECT * FROM (SELECT DISTINCT record FROM a), (VALUES ('V', 0::BIGINT), ('I', 1::BIGINT)) AS v(sig_name, place)) SELECT w.record, w.sig_name, a.ch, w.place FROM w LEFT JOIN a ON a.record = w.record AND a.sig_name = w.sig_name"),
+    "f8_record_violations": (f8_record_violations, "WITH x AS (SELECT CASE WHEN c_custkey % 6 = 0 THEN 'a b' || c_custkey ELSE 'r-' || c_custkey END AS record, c_custkey AS k, c_nationkey AS n FROM customer) SELECT record, rule FROM (SELECT record, unnest([CASE WHEN k % 6 = 0 THEN 'record_name' END, CASE WHEN n <= 2 THEN 'n_sig' END, CASE WHEN k % 5 <= 1 THEN 'fs' END, CASE WHEN k % 9 = 0 THEN 'sig_len' END]) AS rule FROM x) WHERE rule IS NOT NULL"),
+    "f8_channel_violations": (f8_channel_violations, "WITH x AS (SELECT p_partkey AS k, p_partkey // 4 AS record, p_partkey % 4 AS ch, CASE WHEN p_partkey % 11 = 0 THEN 'bad name' ELSE 'f' || p_partkey % 2 || '.dat' END AS f, CASE WHEN p_partkey % 10 = 0 THEN ' x' ELSE 'n' || p_partkey % 3 END AS s FROM part), y AS (SELECT *, count(*) OVER (PARTITION BY record, s) AS same, max(ch) OVER (PARTITION BY record, f) - min(ch) OVER (PARTITION BY record, f) + 1 <> count(*) OVER (PARTITION BY record, f) AS apart FROM x) SELECT record, ch, rule FROM (SELECT record, ch, unnest([CASE WHEN k % 11 = 0 THEN 'file_name' END, CASE WHEN apart THEN 'file_apart' END, CASE WHEN k % 7 = 0 THEN 'fmt' END, CASE WHEN k % 3 = 0 THEN 'spf' END, CASE WHEN k % 5 = 0 THEN 'skew' END, CASE WHEN k % 6 = 0 THEN 'adc_gain' END, CASE WHEN k % 8 = 0 THEN 'units' END, CASE WHEN k % 10 = 0 THEN 'name_space' END, CASE WHEN same > 1 THEN 'name_twice' END]) AS rule FROM y) WHERE rule IS NOT NULL"),
+    "g7_channel_summary": (g7_channel_summary, f"{NUMBERED}, t AS (SELECT record, sum(seg_len) AS len FROM seg GROUP BY record) SELECT record, ch, sig_name, 360 * (ch + 1)::DOUBLE AS frequency, round(len / 360.0::DOUBLE, 6) AS seconds FROM num JOIN t USING (record) WHERE seg_no = 0"),
+    "s36_missing_files": (s36_missing_files, "SELECT 'f' || p_partkey AS name, CAST(p_size AS BIGINT) AS size FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 = 0"),
+    "v2_time_grid": (v2_time_grid, f"{WITH}, t AS (SELECT record, CAST(ceil(sum(seg_len) / 512.0 / 0.25) AS BIGINT) AS hi FROM seg GROUP BY record) SELECT record, i * 0.25::DOUBLE AS tick, i % 5 = 0 AS large FROM (SELECT record, unnest(range(0, hi + 1)) AS i FROM t)"),
     "j8_required_segments": (j8_required_segments, f"{WITH} SELECT record, seg_no, greatest(0, 4000 - seg_start) AS seg_from, least(seg_len, 12000 - seg_start) AS seg_to FROM seg WHERE seg_start < 12000 AND seg_end > 4000"),
     "g8_signal_segments": (g8_signal_segments, f"{WITH} SELECT record, sig_name, string_agg(CAST(seg_no AS VARCHAR), ',' ORDER BY seg_no) AS seg_nos FROM chan GROUP BY record, sig_name"),
     "g9_file_groups": (g9_file_groups, "SELECT l_orderkey AS record, l_returnflag || l_linestatus AS file_name, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS chs, CAST(min(l_linenumber) AS BIGINT) AS first_ch FROM lineitem GROUP BY 1, 2"),
-    "u6_stitch": (u6_stitch, f"{SHORT}, g AS (SELECT record, unnest(range(0, max(seg_end))) AS sample FROM seg GROUP BY record), n AS (SELECT DISTINCT record, sig_name FROM chan) SELECT g.record, n.sig_name, g.sample, coalesce(CASE WHEN NOT s.is_gap AND chan.sig_name IS NOT NULL THEN s.seg_no * 100 + g.sample - s.seg_start END, -32768) AS dval FROM g JOIN n ON n.record = g.record JOIN seg s ON s.record = g.record AND g.sample >= s.seg_start AND g.sample < s.seg_end LEFT JOIN chan ON chan.record = s.record AND chan.seg_no = s.seg_no AND chan.sig_name = n.sig_name"),
+    "u6_stitch": (u6_stitch, f"{WITH}, g AS (SELECT record, unnest(range(0, max(seg_end))) AS sample FROM seg GROUP BY record), n AS (SELECT DISTINCT record, sig_name FROM chan) SELECT g.record, n.sig_name, g.sample, coalesce(CASE WHEN NOT s.is_gap AND chan.sig_name IS NOT NULL THEN s.seg_no * 100 + g.sample - s.seg_start END, -32768) AS dval FROM g JOIN n ON n.record = g.record JOIN seg s ON s.record = g.record AND g.sample >= s.seg_start AND g.sample < s.seg_end LEFT JOIN chan ON chan.record = s.record AND chan.seg_no = s.seg_no AND chan.sig_name = n.sig_name"),
     "f11_violations": (f11_violations, f"{WITH}, x AS (SELECT record, seg_no, CASE WHEN seg_no % 4 = 1 THEN -seg_len - 1 ELSE seg_len END AS seg_len, lag(seg_no, 1, -1) OVER (PARTITION BY record ORDER BY seg_no) AS p FROM seg WHERE seg_no <> 2) SELECT record, seg_no, 'negative_length' AS rule FROM x WHERE seg_len < 0 UNION ALL SELECT record, seg_no, 'number' FROM x WHERE seg_no <> p + 1"),
     "s3_record_line": (s3_record_line, f"SELECT i, nm AS record, CAST(c_nationkey AS BIGINT) AS n_sig, CASE WHEN i % 3 > 0 THEN i % 1000 + 0.5::DOUBLE ELSE 250.0::DOUBLE END AS fs, CASE WHEN i % 3 = 2 THEN i * 7 END AS sig_len, CASE WHEN i % 3 = 2 THEN '10:20:30.5' END AS base_time, CASE WHEN i % 3 = 2 THEN '01/02/2003' END AS base_date FROM (SELECT {_LINE} FROM customer)"),
     "k3_signal_line": (k3_signal_line, "SELECT p_partkey AS i, 'f' || p_partkey % 10 || '.dat 16' || CASE WHEN p_partkey % 3 > 1 THEN 'x' || p_partkey % 3 ELSE '' END || CASE WHEN p_partkey % 2 > 0 THEN ':1' ELSE '' END || ' ' || p_partkey % 7 || '.5(' || p_partkey % 100 || ')/mV ' || p_size || ' ' || p_partkey % 5 || ' ' || p_partkey % 50 || ' ' || p_partkey % 60 || ' 0 ' || p_type AS line FROM part"),

@@ -10,6 +10,7 @@ from pulselake.functions import codec
 from pulselake.operators import beats
 from pulselake.operators import signals as sig
 from pulselake.plans.tables import SIG_SQL, samples, table
+from pulselake.sources.signals import inferred_length
 
 WITH = f"WITH sig AS {SIG_SQL}"
 GAIN, BASE, INVALID = 200.0, 24, -2048
@@ -85,10 +86,37 @@ def p15_moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p18_ricker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points, a = 36, 4.0
-    t = F.col("i") - (points - 1) / 2
-    height = 2 / (F.sqrt(F.lit(3 * a)) * F.pow(F.lit(3.141592653589793), F.lit(0.25)))
-    return spark.range(points).withColumnRenamed("id", "i").select("i", F.round(height * (1 - t * t / (a * a)) * F.exp(-t * t / (2 * a * a)), 9).alias("value"))
+    return sig.ricker(spark, 36, 4.0).withColumn("value", F.round("value", 9))
+
+
+def p8_convert_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sig.convert_type(samples(spark, sf_dir), 16).select("record", "sample", F.col("dval").cast("long").alias("dval"))
+
+
+def p23_resampled_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations moved with their signal to another frequency, and the value there."""
+    s = samples(spark, sf_dir).withColumn("pval", F.col("dval").cast("double"))
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("record"), (F.col("event_id") % 60).alias("sample"), F.col("event_id").alias("ann_no"))
+    moved, ann = sig.resample_with_annotations(s, e, 4.0, 5.0)
+    return ann.join(moved, ["record", "sample"]).select("record", "sample", "ann_no", F.round("pval", 6).alias("pval"))
+
+
+def p24_derived_digital(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = samples(spark, sf_dir).withColumn("pval", F.col("dval") / 1024)
+    found = sig.derived_digital(s)
+    return found.select("record", "sample", "fmt", F.round("adc_gain", 6).alias("adc_gain"), "baseline", "dval")
+
+
+def d3_filter_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = spark.range(125).select(F.col("id").cast("double").alias("frequency"))
+    return sig.filter_gain(f, [0.2, 0.3, 0.2], [1.0, -0.4, 0.1], 250.0).withColumn("gain", F.round("gain", 9))
+
+
+def v3_plot_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = samples(spark, sf_dir)
+    chs = s.select("record", "ch").distinct().withColumn("sig_name", F.concat(F.lit("v"), F.col("record").cast("string")))
+    e = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("record"), (F.col("event_id") % 2).cast("int").alias("chan"), (F.col("event_id") % 71).alias("sample"), F.col("event_type").alias("symbol"))
+    return sig.plot_items(s, e, chs, 4.0, "dval").select("record", "sig_name", "seconds", "value", "symbol")
 
 
 def p20_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,22 +150,28 @@ def w5_peak_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.local_peaks(_coarse(spark, sf_dir), 5, "v").select("record", "sample", "v")
 
 
+def w5_local_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sig.separated_peaks(sig.local_peaks(_coarse(spark, sf_dir), 5, "v"), 5).select("record", "sample")
+
+
 def w6_shift_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _coarse(spark, sf_dir)
-    return sig.shift_peaks(s, s.where("sample % 10 = 0"), 4, up=True, value="v").drop("ch")
+    return sig.shift_peaks(s, sig.hard_peaks(s, "v"), 4, up=True, value="v").drop("ch")
 
 
-def w7_correct_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _coarse(spark, sf_dir).withColumn("v", F.col("v").cast("double"))
-    return sig.correct_peaks(s, s.where("sample % 10 = 0"), 4, 4, "v").drop("ch")
+def _corrected(direction: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = _coarse(spark, sf_dir).withColumn("v", F.col("v").cast("double"))
+        return sig.correct_peaks(s, sig.hard_peaks(s, "v"), 4, 4, "v", direction).drop("ch")
+
+    return query
 
 
 def s23_infer_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames that a file of a size holds, by format and samples a frame."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), (F.col("p_size") * 1000 + 24).cast("long").alias("size"), (F.col("p_partkey") % 4 + 1).alias("per_frame"))
-    formats = F.array(*[F.struct(F.lit(f[0]).alias("fmt"), F.lit(f[2]).alias("width")) for f in dims.DAT_FORMATS if f[0] in ("80", "212", "16", "24", "32")])
-    out = p.withColumn("f", F.explode(formats))
-    return out.select("i", "f.fmt", F.floor((F.col("size") - 24) / (F.col("f.width") * F.col("per_frame"))).cast("long").alias("frames"))
+    out = p.withColumn("fmt", F.explode(F.array(*[F.lit(f) for f in ("80", "212", "16", "24", "32")])))
+    return out.select("i", "fmt", inferred_length(F.col("size"), "fmt", F.col("per_frame"), F.lit(24)).alias("frames"))
 
 
 def d4_energy_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +181,7 @@ def d4_energy_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g3_average_beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir)
-    found = beats.average_around(s, s.where("sample % 13 = 5").select("record", "sample"), 6, 8)
+    found = beats.average_around(s, sig.energy_beats(s.withColumn("d", F.col("dval").cast("double")), 4, 6, "d").select("record", "sample"), 6, 8)
     return found.select("record", F.col("lag").cast("long").alias("lag"), "n", F.round("mean", 6).alias("mean"))
 
 
@@ -198,6 +232,11 @@ _FEATURES = f"{WITH}, f AS (SELECT record, count(*) AS sig_len, arg_min(dval, sa
 _BITS = f"{WITH}, d AS (SELECT DISTINCT record, dval FROM sig), s AS (SELECT record, dval, dval - lag(dval) OVER (PARTITION BY record ORDER BY dval) AS step FROM d), r AS (SELECT record, CAST(least(32, ceil(round(log2(1 + (max(dval) - min(dval)) / CAST(min(step) AS DOUBLE)), 9))) AS BIGINT) AS bits FROM s GROUP BY record)"
 _RANGE = f"{WITH}, m AS (SELECT record, min(pval) AS lo, max(pval) AS hi FROM sig GROUP BY record), b AS (SELECT *, -2047 - 4094 / (hi - lo) * lo AS s FROM m), c AS (SELECT *, CASE WHEN lo > 0 THEN ceil(s) ELSE floor(s) END AS base FROM b)"
 
+_PEAKS = f"{WITH}, x AS (SELECT record, sample, {COARSE} AS v, max(sample) OVER (PARTITION BY record) AS last FROM sig), y AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS z FROM x WINDOW w AS (PARTITION BY record ORDER BY sample)), p AS (SELECT record, sample FROM y WHERE sign(v - a) * sign(z - v) = -1)"
+_FLAT = f"""{_PEAKS}, f AS (SELECT record, sample, last, v - sum(CAST(v AS DOUBLE)) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS d FROM x),
+n AS (SELECT p.record, p.sample AS peak, f.sample, f.d, row_number() OVER (PARTITION BY p.record, p.sample ORDER BY f.d DESC, f.sample) AS u, row_number() OVER (PARTITION BY p.record, p.sample ORDER BY f.d, f.sample) AS w, row_number() OVER (PARTITION BY p.record, p.sample ORDER BY abs(f.d) DESC, f.sample) AS b FROM p JOIN f ON f.record = p.record AND f.sample BETWEEN p.sample - 4 AND p.sample + 3 AND f.sample < f.last)"""
+_BEATS = "x AS (SELECT record, sample, CAST(dval - lag(dval) OVER (PARTITION BY record ORDER BY sample) AS DOUBLE) AS d FROM sig), y AS (SELECT record, sample, sum(d * d) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS energy FROM x), z AS (SELECT *, max(energy) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS m, avg(energy) OVER (PARTITION BY record) AS mean FROM y)"
+
 QUERIES = {
     "p1_dac": (p1_dac, f"{WITH} SELECT record, sample, CASE WHEN sample % 9 <> 0 AND dval <> -2048 THEN round((dval - 24) / 200.0, 6) END AS pval FROM sig"),
     "p2_adc": (p2_adc, f"{WITH} SELECT record, sample, CASE WHEN sample % 9 = 0 THEN -2048 ELSE CAST(round_even(round_even(pval, 2) * 50 + 24, 0) AS BIGINT) END AS dval FROM sig"),
@@ -222,13 +261,22 @@ SELECT y.record, y.sample, round(coalesce(y.v, l.v + (r.v - l.v) * (y.sample - a
     "w4_hard_peaks": (w4_hard_peaks, f"{WITH}, x AS (SELECT record, sample, {COARSE} AS v FROM sig), y AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS z FROM x WINDOW w AS (PARTITION BY record ORDER BY sample)) SELECT record, sample, CAST(sign(v - a) AS BIGINT) AS kind FROM y WHERE sign(v - a) * sign(z - v) = -1"),
     "w4_soft_peaks": (w4_soft_peaks, f"{WITH}, x AS (SELECT record, sample, {COARSE} AS v FROM sig), y AS (SELECT *, sample - row_number() OVER (PARTITION BY record, v ORDER BY sample) AS run FROM x), r AS (SELECT record, v, run, min(sample) AS s, max(sample) AS e FROM y GROUP BY record, v, run), q AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS z FROM r WINDOW w AS (PARTITION BY record ORDER BY s)) SELECT record, (s + e) // 2 AS sample, CAST(sign(v - a) AS BIGINT) AS kind FROM q WHERE e > s AND sign(v - a) * sign(z - v) = -1"),
     "w5_peak_candidates": (w5_peak_candidates, f"{WITH}, x AS (SELECT record, sample, {COARSE} AS v FROM sig) SELECT record, sample, v FROM (SELECT *, max(v) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS m FROM x) WHERE v = m"),
-    "w6_shift_peaks": (w6_shift_peaks, f"{WITH}, x AS (SELECT record, sample, {COARSE} AS v FROM sig) SELECT p.record, p.sample AS peak, arg_max(s.sample, s.v * 1000 - s.sample) AS sample FROM x p JOIN x s ON s.record = p.record AND s.sample BETWEEN p.sample - 4 AND p.sample + 3 WHERE p.sample % 10 = 0 GROUP BY p.record, p.sample"),
-    "w7_correct_peaks": (w7_correct_peaks, f"""{WITH}, x AS (SELECT record, sample, CAST({COARSE} AS DOUBLE) AS v FROM sig), f AS (SELECT record, sample, v - sum(v) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS d FROM x),
-n AS (SELECT p.record, p.sample AS peak, f.sample, f.d, row_number() OVER (PARTITION BY p.record, p.sample ORDER BY f.d DESC, f.sample) AS u, row_number() OVER (PARTITION BY p.record, p.sample ORDER BY f.d, f.sample) AS w FROM x p JOIN f ON f.record = p.record AND f.sample BETWEEN p.sample - 4 AND p.sample + 3 WHERE p.sample % 10 = 0),
-m AS (SELECT record, avg(abs(d)) FILTER (u = 1) >= avg(abs(d)) FILTER (w = 1) AS up FROM n GROUP BY record) SELECT n.record, peak, sample FROM n JOIN m ON n.record = m.record WHERE (up AND u = 1) OR (NOT up AND w = 1)"""),
+    "w5_local_peaks": (w5_local_peaks, f"{WITH.replace('WITH sig', 'WITH RECURSIVE sig')}, x AS (SELECT record, sample, {COARSE} AS v FROM sig), c AS (SELECT record, sample FROM (SELECT *, max(v) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING) AS m FROM x) WHERE v = m), t AS (SELECT record, min(sample) AS s FROM c GROUP BY record UNION ALL SELECT t.record, min(c.sample) FROM t JOIN c ON c.record = t.record AND c.sample >= t.s + 5 GROUP BY t.record, t.s) SELECT record, s AS sample FROM t"),
+    "w6_shift_peaks": (w6_shift_peaks, f"{_PEAKS} SELECT p.record, p.sample AS peak, arg_max(s.sample, s.v * 1000 - s.sample) AS sample FROM p JOIN x s ON s.record = p.record AND s.sample BETWEEN p.sample - 4 AND p.sample + 3 AND s.sample < s.last GROUP BY p.record, p.sample"),
+    "w7_correct_peaks": (_corrected("compare"), f"{_FLAT}, m AS (SELECT record, avg(abs(d)) FILTER (u = 1) >= avg(abs(d)) FILTER (w = 1) AS up FROM n GROUP BY record) SELECT n.record, peak, sample FROM n JOIN m ON n.record = m.record WHERE (up AND u = 1) OR (NOT up AND w = 1)"),
+    "w7_peaks_up": (_corrected("up"), f"{_FLAT} SELECT record, peak, sample FROM n WHERE u = 1"),
+    "w7_peaks_down": (_corrected("down"), f"{_FLAT} SELECT record, peak, sample FROM n WHERE w = 1"),
+    "w7_peaks_both": (_corrected("both"), f"{_FLAT} SELECT record, peak, sample FROM n WHERE b = 1"),
+    "p8_convert_type": (p8_convert_type, f"{WITH} SELECT record, sample, dval FROM sig"),
+    "p23_resampled_pair": (p23_resampled_pair, f"{WITH}, e AS (SELECT event_id % 500 AS record, CAST(trunc(event_id % 60 * 1.25::DOUBLE) AS BIGINT) AS sample, event_id AS ann_no FROM events) SELECT e.record, e.sample, ann_no, round(a.dval + coalesce((z.dval - a.dval) * (e.sample * 0.8::DOUBLE - a.sample), 0), 6) AS pval FROM e JOIN sig a ON a.record = e.record AND a.sample = (e.sample * 4) // 5 LEFT JOIN sig z ON z.record = a.record AND z.sample = a.sample + 1 WHERE e.sample <= 78"),
+    "p24_derived_digital": (p24_derived_digital, f"""{_BITS}, f AS (SELECT record, CASE WHEN bits <= 8 THEN '80' WHEN bits <= 12 THEN '212' ELSE '16' END AS fmt, CASE WHEN bits <= 8 THEN 128 WHEN bits <= 12 THEN 2048 ELSE 32768 END AS h FROM r), m AS (SELECT f.record, any_value(fmt) AS fmt, any_value(h) AS h, min(dval) / 1024.0::DOUBLE AS lo, max(dval) / 1024.0::DOUBLE AS hi FROM sig JOIN f USING (record) GROUP BY f.record),
+b AS (SELECT *, 1 - h - (2 * h - 2) / (hi - lo) * lo AS st FROM m), c AS (SELECT *, CASE WHEN lo > 0 THEN ceil(st) ELSE floor(st) END AS base FROM b), g AS (SELECT *, CASE WHEN base <> 1 - h THEN (1 - h - base) / lo ELSE (2 * h - 2) / (hi - lo) END AS gain FROM c)
+SELECT sig.record, sample, fmt, round(gain, 6) AS adc_gain, CAST(base AS BIGINT) AS baseline, CAST(round_even(dval / 1024.0::DOUBLE * gain + base, 0) AS BIGINT) AS dval FROM sig JOIN g ON g.record = sig.record"""),
+    "d3_filter_gain": (d3_filter_gain, "WITH f AS (SELECT CAST(unnest(range(0, 125)) AS DOUBLE) AS frequency), w AS (SELECT frequency, least(ceil(frequency / 125 * 512), 511) * pi() / 512 AS w FROM f) SELECT frequency, round(sqrt(pow(0.2 + 0.3 * cos(w) + 0.2 * cos(2 * w), 2) + pow(0.3 * sin(w) + 0.2 * sin(2 * w), 2)) / sqrt(pow(1 - 0.4 * cos(w) + 0.1 * cos(2 * w), 2) + pow(-0.4 * sin(w) + 0.1 * sin(2 * w), 2)), 9) AS gain FROM w"),
+    "v3_plot_items": (v3_plot_items, f"{WITH} SELECT sig.record, 'v' || sig.record AS sig_name, sig.sample / 4.0::DOUBLE AS seconds, dval AS value, event_type AS symbol FROM events JOIN sig ON sig.record = event_id % 500 AND sig.sample = event_id % 71 WHERE event_id % 2 = 0"),
     "s23_infer_length": (s23_infer_length, f"SELECT p_partkey AS i, fmt, CAST(floor(p_size * 1000 / (CAST(w AS DOUBLE) * (p_partkey % 4 + 1))) AS BIGINT) AS frames FROM part, {dims.sql_values(dims.DAT_FORMATS)} AS t(fmt, bits, w, lo, hi, inv) WHERE fmt IN ('80', '212', '16', '24', '32')"),
     "d4_energy_beats": (d4_energy_beats, f"{WITH}, x AS (SELECT record, sample, CAST(dval - lag(dval) OVER (PARTITION BY record ORDER BY sample) AS DOUBLE) AS d FROM sig), y AS (SELECT record, sample, sum(d * d) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS energy FROM x), z AS (SELECT *, max(energy) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS m, avg(energy) OVER (PARTITION BY record) AS mean FROM y) SELECT record, sample, round(energy, 6) AS energy FROM z WHERE energy = m AND energy > 2 * mean"),
-    "g3_average_beats": (g3_average_beats, f"{WITH}, q AS (SELECT record, sample FROM sig WHERE sample % 13 = 5), n AS (SELECT record, count(*) AS n FROM q GROUP BY record), l AS (SELECT record, sample, unnest(range(-6, 8)) AS lag FROM q) SELECT l.record, lag, any_value(n.n) AS n, round(sum(dval) / CAST(any_value(n.n) AS DOUBLE), 6) AS mean FROM l JOIN sig ON sig.record = l.record AND sig.sample = l.sample + lag JOIN n ON n.record = l.record GROUP BY l.record, lag"),
+    "g3_average_beats": (g3_average_beats, f"{WITH}, {_BEATS}, q AS (SELECT record, sample FROM z WHERE energy = m AND energy > 2 * mean), n AS (SELECT record, count(*) AS n FROM q GROUP BY record), l AS (SELECT record, sample, unnest(range(-6, 8)) AS lag FROM q) SELECT l.record, lag, any_value(n.n) AS n, round(sum(dval) / CAST(any_value(n.n) AS DOUBLE), 6) AS mean FROM l JOIN sig ON sig.record = l.record AND sig.sample = l.sample + lag JOIN n ON n.record = l.record GROUP BY l.record, lag"),
     "j9_values_at": (j9_values_at, f"{WITH} SELECT sig.record, sig.sample, event_id AS ann_no, dval FROM events JOIN sig ON sig.record = event_id % 500 AND sig.sample = event_id % 71"),
     "s12_required_bytes": (s12_required_bytes, f"SELECT fmt, n, CAST(CASE WHEN fmt = '212' THEN ceil(n * 1.5) WHEN fmt = '310' AND n % 3 = 2 THEN ceil(n / 3.0) * 4 WHEN fmt IN ('310', '311') THEN ceil(n * 4 / 3.0) ELSE n * w END AS BIGINT) AS read, CAST(CASE WHEN fmt = '212' THEN ceil(n * 1.5) WHEN fmt IN ('310', '311') AND n % 3 = 2 THEN ceil(n / 3.0) * 4 WHEN fmt IN ('310', '311') THEN ceil(n * 4 / 3.0) ELSE n * w END AS BIGINT) AS written FROM {dims.sql_values(dims.DAT_FORMATS)} AS t(fmt, bits, w, lo, hi, inv), (SELECT unnest(range(1, 40)) AS n)"),
     "s14_fmt8": (s14_fmt8, f"{WITH}, x AS (SELECT record, sample, ((CAST(round_even(pval * 100, 0) AS BIGINT) + 128) & 255) - 128 AS d FROM sig) SELECT record, sample, CAST(100 + sum(d) OVER (PARTITION BY record ORDER BY sample) AS BIGINT) AS dval FROM x"),

@@ -69,3 +69,28 @@ def channels(placed: DataFrame) -> DataFrame:
     for code, own in SIGNALS.items():
         names = F.when(F.substring("priority", 1, 1) == code, F.array(*[F.lit(n) for n in own])).otherwise(names)
     return placed.select("record", "seg_no", F.explode(names).alias("sig_name"))
+
+
+# --- recordings in files: five records of two channels, the components of every fifth vector ---
+
+REC_SQL = """(SELECT 'r' || vec_id % 5 AS record, vec_id % 5 AS k, CAST((i - 1) % 2 AS INTEGER) AS ch, CAST((vec_id // 5) * 32 + (i - 1) // 2 AS BIGINT) AS frame,
+  CAST(round_even(CAST(embedding[i] AS DOUBLE) * 1000, 0) AS BIGINT) AS dval FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings))"""
+
+# Format of each record; one has a skew of 3 frames in its second channel.
+REC_FORMATS, SKEWED, SKEW = ["16", "212", "24", "32", "160"], 3, 3
+
+
+def recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    record = F.concat(F.lit("r"), (F.col("vec_id") % 5).cast("string"))
+    frame = F.expr("vec_id div 5 * 32 + i div 2")
+    return e.select(record.alias("record"), (F.col("i") % 2).alias("ch"), frame.alias("frame"), F.lit(0).alias("sub"), frame.alias("sample"), F.bround(F.col("x").cast("double") * 1000).cast("long").alias("dval"))
+
+
+def recording_channels(spark: SparkSession) -> DataFrame:
+    rows = [(f"r{k}", ch, f"r{k}.dat", fmt, 1, SKEW if (k, ch) == (SKEWED, 1) else 0, 0, 200.0 + 50 * ch, 10 * ch, "mV", 12, 0, 0, 0, "II" if ch else "I") for k, fmt in enumerate(REC_FORMATS) for ch in (0, 1)]
+    return spark.createDataFrame(rows, "record string, ch int, file_name string, fmt string, spf int, skew int, byte_offset long, adc_gain double, baseline int, units string, adc_res int, adc_zero int, init_value int, checksum int, sig_name string")
+
+
+def recording_records(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"r{k}", 2, 360.0, "10:00:00", "01/02/2003") for k in range(5)], "record string, n_sig int, fs double, base_time string, base_date string")

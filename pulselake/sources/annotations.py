@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulselake.operators.annotations import sample_deltas
-from pulselake.sources.signals import to_binary
+from pulselake.operators.annotations import apply_range, block_of, compact_carried, definitions, sample_deltas, violations
+from pulselake.sources.files import write_parts
 
 # Codes of words that aren't annotations.
 SKIP, NUM, SUB, CHAN, AUX = 59, 60, 61, 62, 63
@@ -17,9 +17,10 @@ SKIP, NUM, SUB, CHAN, AUX = 59, 60, 61, 62, 63
 _OUT = "record string, ann_no long, sample long, label_store int, subtype int, chan int, num int, aux_note string"
 
 
-def decode(content: bytes) -> Iterator[tuple]:
+def decode(content: bytes, until: int | None = None) -> Iterator[tuple]:
     """(sample, label_store, subtype, chan, num, aux_note) of one file: it is a chain of words, each of
-    which says what the next ones are. chan and num hold on until they change."""
+    which says what the next ones are. chan and num hold on until they change. Reading ends with the
+    first annotation after ``until``."""
     at = sample = chan = num = 0
     current = None
     while at + 1 < len(content):
@@ -44,6 +45,8 @@ def decode(content: bytes) -> Iterator[tuple]:
         else:
             if current is not None:
                 yield current[0], current[3], current[1], current[4], current[5], current[2]
+                if until is not None and current[0] > until:
+                    return
             sample += delta
             current = [sample, 0, "", code, chan, num]
         if current is not None and code in (NUM, CHAN):
@@ -52,27 +55,62 @@ def decode(content: bytes) -> Iterator[tuple]:
         yield current[0], current[3], current[1], current[4], current[5], current[2]
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+def read_annotations(spark: SparkSession, path: str, start: int | None = None, end: int | None = None, shift: bool = False) -> DataFrame:
     """Annotations of files, by record (the file's name without its extension). Empty codes are left
-    out. A file is small, and read by one task."""
+    out. With ``start`` or ``end`` those of the closed range, decoded up to its end only; ``shift``
+    counts samples from ``start``. A file is a chain of words, and read by one task."""
     files = spark.read.format("binaryFile").load(path).select(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "").alias("record"), "content")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
         for batch in batches:
             for record, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(record, i, *r) for i, r in enumerate(decode(content)) if r[1]]
+                rows = [(record, i, *r) for i, r in enumerate(decode(content, end)) if r[1]]
                 if rows:
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[f.split()[0] for f in _OUT.split(", ")])
 
-    return files.mapInArrow(run, _OUT)
+    out = files.mapInArrow(run, _OUT)
+    return out if start is None and end is None else apply_range(out, start or 0, 2**62 if end is None else end, shift)
 
 
-def encode_annotations(ann: DataFrame) -> DataFrame:
-    """record, content: the bytes of each record's annotation file, made on the JVM. Samples may not
-    fall; a delta above 1023 takes words of its own, in steps of at most 2**31 - 1."""
-    out = sample_deltas(ann)
-    limit = 0x7FFFFFFF
+def read_defined(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(record, fs), (record, label_store, symbol, description) of custom labels, and the annotations
+    without the notes that define them."""
+    return definitions(read_annotations(spark, path))
+
+
+def with_definitions(ann: DataFrame, fs: DataFrame | None = None, custom: DataFrame | None = None) -> DataFrame:
+    """Annotations with notes at sample 0 before them that define the frequency (record, fs) and custom
+    labels (record, label_store, symbol, description)."""
+
+    def notes(df: DataFrame, order: object, text: object) -> DataFrame:
+        return df.select("record", F.lit(0).cast("long").alias("sample"), order.cast("long").alias("ann_no"), F.lit(22).alias("label_store"), F.lit(0).alias("subtype"), F.lit(0).alias("chan"), F.lit(0).alias("num"), text.alias("aux_note"))
+
+    out = ann.select("record", "sample", "ann_no", *[F.col(c).cast("int").alias(c) for c in ("label_store", "subtype", "chan", "num")], "aux_note")
+    if fs is not None:
+        rate = F.when(F.col("fs") == F.floor("fs"), F.floor("fs").cast("string")).otherwise(F.col("fs").cast("string"))
+        out = out.unionByName(notes(fs, F.lit(-1000), F.concat(F.lit("## time resolution: "), rate)))
+    if custom is not None:
+        records = custom.select("record").distinct()
+        out = out.unionByName(notes(records, F.lit(-999), F.lit("## annotation type definitions")))
+        out = out.unionByName(notes(custom, F.lit(-900) + F.col("label_store"), F.concat_ws(" ", F.col("label_store").cast("string"), "symbol", "description")))
+        out = out.unionByName(notes(records, F.lit(-1), F.lit("## end of definitions")))
+    return out
+
+
+def to_binary(data: object) -> object:
+    """An array of integers from 0 to 255 as binary."""
+    return F.unhex(F.array_join(F.transform(data, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+
+
+def encode_parts(ann: DataFrame) -> DataFrame:
+    """record, part, content: the bytes of annotation files in parts, made on the JVM. Samples may not
+    fall; a delta above 1023 takes words of its own, in steps of at most 2**31 - 1. chan and num are
+    written where they change."""
+    out = ann
+    for column in ("chan", "num"):
+        out = compact_carried(out, column)
+    out, limit = sample_deltas(out), 0x7FFFFFFF
 
     def word(code, value):
         return F.array(value % 256, code * 4 + F.shiftright(value, 8).bitwiseAND(3))
@@ -80,9 +118,8 @@ def encode_annotations(ann: DataFrame) -> DataFrame:
     def skip(step):
         return F.concat(F.array(F.lit(0).cast("long"), F.lit(SKIP * 4).cast("long")), F.array(*[F.shiftright(step, s).bitwiseAND(255) for s in (16, 24, 0, 8)]))
 
-    zero = F.lit(0).cast("long")
-    steps = F.when(F.col("n_skips") > 0, F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n_skips")), lambda i: skip(F.least(F.lit(limit).cast("long"), F.col("delta") - (i - 1) * limit))))).otherwise(F.array().cast("array<long>"))
-    none = F.array().cast("array<long>")
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
+    steps = F.when(F.col("n_skips") > 0, F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n_skips")), lambda i: skip(F.least(F.lit(limit).cast("long"), F.col("delta") - (i - 1) * limit))))).otherwise(none)
     note = F.encode("aux_note", "ISO-8859-1")
     size = F.length(note).cast("long")
     text = F.transform(F.filter(F.split(F.hex(note), r"(?<=\G..)"), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))
@@ -90,11 +127,42 @@ def encode_annotations(ann: DataFrame) -> DataFrame:
         steps,
         word(F.col("label_store").cast("long"), F.when(F.col("n_skips") > 0, zero).otherwise(F.col("delta"))),
         F.when(F.col("subtype") != 0, F.array(F.pmod(F.col("subtype").cast("long"), F.lit(256)), F.lit(SUB * 4).cast("long"))).otherwise(none),
-        F.array(F.col("chan").cast("long"), F.lit(CHAN * 4).cast("long")),
-        F.array(F.col("num").cast("long"), F.lit(NUM * 4).cast("long")),
+        F.when(F.col("write_chan"), F.array(F.col("chan").cast("long"), F.lit(CHAN * 4).cast("long"))).otherwise(none),
+        F.when(F.col("write_num"), F.array(F.col("num").cast("long"), F.lit(NUM * 4).cast("long"))).otherwise(none),
         F.when(size > 0, F.concat(F.array(size, F.lit(AUX * 4).cast("long")), text, F.when(size % 2 == 1, F.array(zero)).otherwise(none))).otherwise(none),
     ]
-    coded = out.select("record", "sample", "ann_no", F.concat(*parts).alias("b"))
-    files = coded.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("sample", "ann_no", "b"))).alias("all"))
-    data = F.concat(F.flatten(F.transform("all", lambda x: x["b"])), F.array(zero, zero))
-    return files.select("record", to_binary(data).alias("content"))
+    coded = out.select("record", "sample", "ann_no", to_binary(F.concat(*parts)).alias("b"))
+    blocks = coded.groupBy("record", block_of().alias("part")).agg(F.array_sort(F.collect_list(F.struct("sample", "ann_no", "b"))).alias("all"))
+    joined = F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["b"])), ""))
+    last = ann.select("record").distinct().select("record", F.lit(1 << 60).cast("long").alias("part"), F.lit(b"\0\0").alias("content"))
+    return blocks.select("record", "part", joined.alias("content")).unionByName(last)
+
+
+def encode_annotations(ann: DataFrame) -> DataFrame:
+    """record, content: one row a file, for files that fit a row."""
+    whole = encode_parts(ann).groupBy("record").agg(F.array_sort(F.collect_list(F.struct("part", "content"))).alias("p"))
+    return whole.select("record", F.aggregate(F.transform("p", lambda x: x["content"]), F.lit(b""), lambda a, x: F.concat(a, x)).alias("content"))
+
+
+def write_annotations(ann: DataFrame, folder: str, extension: str, labels: DataFrame | None = None, fs: DataFrame | None = None, custom: DataFrame | None = None) -> DataFrame:
+    """Writes ``<record>.<extension>`` for each record; returns file_name and n_bytes.
+
+    Where label_store is missing it is looked up by symbol in ``labels`` (standard ones with custom ones
+    over them); absent subtype, chan, num and aux_note are 0 or empty. Rows that break a field's rule
+    raise an error that names one.
+    """
+    out = ann
+    if "label_store" not in ann.columns:
+        if labels is None:
+            raise ValueError("annotations without label_store need labels")
+        out = out.join(F.broadcast(labels.select("symbol", "label_store")), "symbol", "left")  # fewer than 50 rows
+    for column, value in (("subtype", 0), ("chan", 0), ("num", 0), ("aux_note", "")):
+        out = out.withColumn(column, F.coalesce(column, F.lit(value)) if column in out.columns else F.lit(value))
+    if "symbol" not in out.columns:
+        out = out.withColumn("symbol", F.lit("N"))
+    unknown = out.where("label_store is null").select("record", "ann_no", F.lit("no_label").alias("rule"))
+    wrong = violations(out).unionByName(unknown).first()
+    if wrong is not None:
+        raise ValueError(f"record {wrong['record']}, annotation {wrong['ann_no']}: {wrong['rule']}")
+    parts = encode_parts(with_definitions(out, fs, custom))
+    return write_parts(parts.select(F.concat(F.col("record").cast("string"), F.lit(f".{extension}")).alias("file_name"), "part", "content"), folder)
