@@ -313,7 +313,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return src.mapInArrow(run, ddl)
 
 
-def _pieces(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _pieces(texts: list, size: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts (or of their bytes) of about ``size`` together."""
     start = total = 0
     for i, t in enumerate(texts):
@@ -368,7 +368,7 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
         claim(_NONE)
         for batch in batches:
             texts, out = list(batch), []
-            for a, b in _pieces(texts, 2 << 20):
+            for a, b in _pieces(texts, 1 << 20):
                 names, scores, *_ = label_texts([t.decode("utf-8", "replace") for t in texts[a:b]], model)
                 out += [name != UNKNOWN and s >= least for name, s in zip(names, scores, strict=True)]
             yield pd.Series(out, dtype=bool)

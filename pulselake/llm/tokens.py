@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pulselake.llm.common import claim, columns, doc_hash, drop_path, parallel, raw_bytes, record_batch, scratch_root, slices, trim, utf8, write_table
 
 #: Entries kept in a worker's cache of encoded pieces, and the longest piece kept.
-CACHE_PIECES, CACHE_CHARS = 300_000, 40
+CACHE_PIECES, CACHE_CHARS = 150_000, 40
 
 #: A space or line break that doesn't stand alone before another character, and other white space.
 _RUN = re.compile(r" (?:\s|\Z)|\n(?:\s|\Z)|\s\n")
