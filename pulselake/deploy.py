@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 #: Bytes of an Arrow batch between the JVM and a Python worker, and Spark's own default. Several are
 #: alive at once on both sides, for each task of an executor.
-BATCH_BYTES, DEFAULT_BATCH_BYTES = 8 << 20, 64 << 20
+BATCH_BYTES, DEFAULT_BATCH_BYTES = 4 << 20, 64 << 20
 
 
 def ship(spark: SparkSession) -> None:
