@@ -11,15 +11,23 @@ from pyspark.sql import SparkSession
 
 #: Bytes of an Arrow batch between the JVM and a Python worker, and Spark's own default. Several are
 #: alive at once on both sides, for each task of an executor.
-BATCH_BYTES, DEFAULT_BATCH_BYTES = 4 << 20, 64 << 20
+BATCH_BYTES, DEFAULT_BATCH_BYTES = 2 << 20, 64 << 20
+
+#: Rows that the Parquet reader decodes together, and Spark's own default. With texts of some kilobytes
+#: the default makes arrays of tens of megabytes, which an executor's heap is slow to give back.
+READ_ROWS, DEFAULT_READ_ROWS = 512, 4096
 
 
 def ship(spark: SparkSession) -> None:
     """Sends the package to all executors, once a SparkContext, as ``spark-submit --py-files`` does.
-    Also makes Arrow batches small where the session has no size of its own."""
+    Also makes Arrow batches and those of the Parquet reader small where the session has no sizes of its
+    own."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(name, None) in (f"{DEFAULT_BATCH_BYTES}b", str(DEFAULT_BATCH_BYTES), "64MB", "64m"):
         spark.conf.set(name, str(BATCH_BYTES))
+    rows = "spark.sql.parquet.columnarReaderBatchSize"
+    if spark.conf.get(rows, None) == str(DEFAULT_READ_ROWS):
+        spark.conf.set(rows, str(READ_ROWS))
     context = spark.sparkContext
     if getattr(context, "_pulselake_shipped", False):
         return
