@@ -12,7 +12,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -363,15 +362,15 @@ def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     document has a language to learn, only those without letters go."""
     model = train(docs)
 
-    @F.pandas_udf("boolean")
-    def identified(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("boolean")
+    def identified(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         claim(_NONE)
         for batch in batches:
-            texts, out = list(batch), []
+            texts, out = batch.to_pylist(), []
             for a, b in _pieces(texts, 1 << 20):
                 names, scores, *_ = label_texts([t.decode("utf-8", "replace") for t in texts[a:b]], model)
                 out += [name != UNKNOWN and s >= least for name, s in zip(names, scores, strict=True)]
-            yield pd.Series(out, dtype=bool)
+            yield pa.array(out, pa.bool_())
         trim()
 
     return docs.where(identified(utf8()) if model.languages else F.col("text").rlike(r"\p{L}"))

@@ -118,8 +118,9 @@ def merge(starts: Iterable[int], n: int) -> list[tuple[int, int]]:
     return list(zip(first.tolist(), (last + n - first).tolist(), strict=True))
 
 
-def repeated_windows(docs: DataFrame, min_words: int = 50, window: int = 24, gram: int = 8) -> tuple[DataFrame, DataFrame]:
-    """(texts with their key, recurring windows as key, starts, repeated starts)."""
+def repeated_windows(docs: DataFrame, min_words: int = 50, window: int = 24, gram: int = 8, firsts: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(texts with their key, recurring windows as key, repeats and, unless left out, firsts: where a
+    window begins that another place had before, or that is the first of its kind)."""
     reach = min_words - window + 1
     if reach < gram or window < 1:
         raise ValueError("min_words must be at least window + gram - 1")
@@ -169,7 +170,10 @@ def repeated_windows(docs: DataFrame, min_words: int = 50, window: int = 24, gra
         trim()
 
     recurring = _sorted_neighbours(near.mapInArrow(windows, _ROWS_DDL))
-    recurring = recurring.groupBy("key").agg(F.collect_set("pos").alias("starts"), F.collect_set(F.when(F.col("repeat"), F.col("pos"))).alias("repeats"))
+    if firsts:
+        recurring = recurring.groupBy("key").agg(F.collect_set(F.when(F.col("repeat"), F.col("pos"))).alias("repeats"), F.collect_set(F.when(~F.col("repeat"), F.col("pos"))).alias("firsts"))
+    else:
+        recurring = recurring.where("repeat").groupBy("key").agg(F.collect_set("pos").alias("repeats"))
     recurring, _ = write_table(recurring, "windows")
     drop_path(docs.sparkSession, path)
     return texts, recurring
@@ -188,14 +192,14 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, window: int = 24, gr
     Other columns are ignored; an empty table gives no rows.
     """
     texts, recurring = repeated_windows(docs, min_words, window, gram)
-    src = texts.select("doc_id", "key").join(recurring, "key").select("doc_id", "starts", "repeats")
+    src = texts.select("doc_id", "key").join(recurring, "key").select("doc_id", "repeats", "firsts")
 
     def spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, at = [], []
-            for i, (starts, repeats) in enumerate(zip(*columns(batch, "starts", "repeats"), strict=True)):
+            for i, (repeats, firsts) in enumerate(zip(*columns(batch, "repeats", "firsts"), strict=True)):
                 found = [(s, n, True) for s, n in merge(repeats, min_words)]
-                found += [(s, n, False) for s, n in merge(set(starts) - set(repeats), min_words)]
+                found += [(s, n, False) for s, n in merge(set(firsts) - set(repeats), min_words)]
                 rows += sorted(found)
                 at += [i] * len(found)
             out = pa.schema([batch.schema.field(0), ("start", pa.int64()), ("n_words", pa.int64()), ("repeat", pa.bool_())])
@@ -224,15 +228,14 @@ def cut_repeats(docs: DataFrame, min_words: int = 50, window: int = 24, gram: in
     Null, empty and short texts stay; very long ones are read whole. Rows alike in doc_id and text are
     one document and are cut alike; a null doc_id comes last in the order. An empty table gives no rows.
     """
-    _, recurring = repeated_windows(docs, min_words, window, gram)
+    _, recurring = repeated_windows(docs, min_words, window, gram, firsts=False)
     key, spans = fresh(docs, "text_key"), fresh(docs, "text_repeats")
-    repeats = recurring.where(F.size("repeats") > 0).select(F.col("key").alias(key), F.col("repeats").alias(spans))
+    repeats = recurring.select(F.col("key").alias(key), F.col("repeats").alias(spans))
     marked = docs.withColumn(key, _key()).join(repeats, key, "left")
 
-    @F.pandas_udf("string")
-    def cut(text, repeats):
-        out = [t if r is None or t is None else cut_words(t.encode(), merge(r, min_words)).decode() for t, r in zip(text, repeats, strict=True)]
-        return text.__class__(out, index=text.index, dtype=object)
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, repeats: pa.Array) -> pa.Array:
+        return pa.array([t if r is None or t is None else cut_words(t.encode(), merge(r, min_words)).decode() for t, r in zip(text.to_pylist(), repeats.to_pylist(), strict=True)], pa.string())
 
     held = F.col(spans).isNotNull()
     out = marked.withColumn("text", F.when(held, cut("text", spans)).otherwise(F.col("text"))).where(~held | (F.length(F.trim("text")) > 0))
