@@ -126,6 +126,9 @@ _CACHES: list[dict] = []
 def claim(cache: dict) -> None:
     """Empties the caches of all other operators: workers are used again by the next stages, and
     several full caches at once would take too much of an executor's memory."""
+    if not _CACHES:
+        with contextlib.suppress(OSError, AttributeError):  # large arrays go back to the system when they are freed
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)
     if not any(c is cache for c in _CACHES):
         _CACHES.append(cache)
     for c in _CACHES:
