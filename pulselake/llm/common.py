@@ -147,7 +147,7 @@ def trim() -> None:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for a bounded number of distinct words."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word, 7)

@@ -40,7 +40,7 @@ class _Words(dict):
         flags = 1 * bool(_NUMBER.fullmatch(low)) | 2 * (low in UNITS) | 4 * (core[:1] != low[:1]) | 8 * (word.rstrip(b"\"')")[-1:] in (b".", b"!", b"?", b":"))
         whole = low if low.isascii() else low.decode("utf-8", "replace").lower().encode()
         value = (xxhash.xxh64_intdigest(whole, 8) & ~15) | flags
-        if len(self) < 250_000:
+        if len(self) < 120_000:
             self[word] = value
         return value
 
