@@ -26,12 +26,12 @@ def test_blocks_give_what_one_window_gives(spark):
 
 
 def test_peaks(spark):
-    s = signal(spark, [float(v) for v in (0, 2, 1, 0, -10, -15, -15, -15, 9, 8, 0, 0, 1, 2, 10)])
-    assert sorted(r.sample for r in sig.hard_peaks(s).collect()) == [1, 8]
-    assert sorted(r.sample for r in sig.soft_peaks(s).collect()) == [6, 10]
+    s = signal(spark, [float(v) for v in (4, 6, 6, 6, 3, 5, 1, 1, 7, 7, 9, 2, 8, 8)])
+    assert sorted((r.sample, r.kind) for r in sig.hard_peaks(s).collect()) == [(4, -1), (5, 1), (10, 1), (11, -1)]
+    assert sorted((r.sample, r.kind) for r in sig.soft_peaks(s).collect()) == [(2, 1), (6, -1)]
     assert sig.hard_peaks(s.limit(0)).collect() == []
-    moved = sig.shift_peaks(s, s.where("sample in (2, 9)"), 3)
-    assert {(r.peak, r.sample) for r in moved.collect()} == {(2, 1), (9, 8)}
+    moved = sig.shift_peaks(s, s.where("sample in (3, 9, 13)"), 3)
+    assert {(r.peak, r.sample) for r in moved.collect()} == {(3, 1), (9, 10), (13, 10)}
 
 
 def test_blocks_of_long_channels_overlap(spark):
