@@ -135,10 +135,10 @@ def benchmark_windows(benchmark: DataFrame, window: int, least: int) -> DataFram
 
 
 def hash_bits(windows: DataFrame) -> np.ndarray:
-    """A table of a power of two of bits, at most ``MOST_BITS``: those that window hashes fall on are
-    set. Bits are gathered on executors, 64 together."""
+    """A table of a power of two of bits, a thousand a window and at most ``MOST_BITS``: those that window
+    hashes fall on are set. Bits are gathered on executors, 64 together."""
     n = windows.count()
-    bits = min(MOST_BITS, max(1 << 16, 1 << (64 * n - 1).bit_length())) if n else 1 << 16
+    bits = min(MOST_BITS, max(1 << 16, 1 << (1024 * n - 1).bit_length())) if n else 1 << 16
     words = windows.groupBy(F.expr(f"(h & {bits - 1}L) div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63L as int)))").alias("b")).toPandas()
     out = np.zeros(bits // 64, np.int64)
     out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
