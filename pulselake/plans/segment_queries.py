@@ -16,6 +16,8 @@ WITH = f"WITH seg AS {SEG_SQL}, chan AS {CHAN_SQL}"
 _ISLANDS = """, {name} AS (SELECT {keys}, min(s) AS start, max(e) AS "end" FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY s) AS run FROM (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY {keys} ORDER BY s) = s THEN 0 ELSE 1 END AS n FROM ({rows}))) GROUP BY {keys}, run)"""
 RANGES = WITH + _ISLANDS.format(name="rng", keys="record, sig_name", rows="SELECT seg.record, sig_name, seg_start AS s, seg_end AS e FROM seg JOIN chan USING (record, seg_no) WHERE seg_len > 0 AND NOT is_gap")
 BOTH = WITH + _ISLANDS.format(name="rng", keys="record", rows="SELECT record, seg_start AS s, seg_end AS e FROM seg WHERE seg_len > 0 AND NOT is_gap AND (SELECT count(DISTINCT sig_name) FROM chan WHERE chan.record = seg.record AND chan.seg_no = seg.seg_no AND sig_name IN ('I', 'II')) = 2")
+# Segments at a twentieth of their frequency.
+COARSE = WITH.replace("% 5000 AS seg_len", "% 5000 // 20 AS seg_len")
 NUMBERED = WITH + ", num AS (SELECT *, row_number() OVER (PARTITION BY record, seg_no ORDER BY sig_name) - 1 AS ch FROM chan)"
 ARRANGED = WITH + ", cut AS (SELECT record, seg_no, is_gap, least(seg_len, 12000 - seg_start) - greatest(0, 4000 - seg_start) AS len FROM seg WHERE seg_start < 12000 AND seg_end > 4000 AND seg_len > 0)"
 
@@ -91,11 +93,13 @@ def g9_file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def u6_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir)
+    """Sums over the stitched record of each signal, at a twentieth of the segments' frequency."""
+    s = seg.offsets(segments(spark, sf_dir).withColumn("seg_len", F.expr("seg_len div 20")).drop("seg_start", "seg_end"))
     own = channels(s.where("not is_gap")).join(s, ["record", "seg_no"]).where("seg_len > 0")
     own = own.select("record", "seg_no", "sig_name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seg_len") - 1)).alias("sample"))
     own = own.withColumn("dval", F.col("seg_no") * 100 + F.col("sample"))
-    return seg.stitch(s, own, channels(s).select("record", "sig_name").distinct(), -32768)
+    whole = seg.stitch(s, own, channels(s).select("record", "sig_name").distinct(), -32768)
+    return whole.groupBy("record", "sig_name").agg(F.count("*").alias("n"), F.count(F.when(F.col("dval") != -32768, 1)).alias("n_valid"), F.sum("dval").alias("total"), F.sum(F.col("dval") * (F.col("sample") % 997)).alias("weighted"))
 
 
 def f11_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,7 +263,7 @@ QUERIES = {
     "j8_required_segments": (j8_required_segments, f"{WITH} SELECT record, seg_no, greatest(0, 4000 - seg_start) AS seg_from, least(seg_len, 12000 - seg_start) AS seg_to FROM seg WHERE seg_start < 12000 AND seg_end > 4000"),
     "g8_signal_segments": (g8_signal_segments, f"{WITH} SELECT record, sig_name, string_agg(CAST(seg_no AS VARCHAR), ',' ORDER BY seg_no) AS seg_nos FROM chan GROUP BY record, sig_name"),
     "g9_file_groups": (g9_file_groups, "SELECT l_orderkey AS record, l_returnflag || l_linestatus AS file_name, string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) AS chs, CAST(min(l_linenumber) AS BIGINT) AS first_ch FROM lineitem GROUP BY 1, 2"),
-    "u6_stitch": (u6_stitch, f"{WITH}, g AS (SELECT record, unnest(range(0, max(seg_end))) AS sample FROM seg GROUP BY record), n AS (SELECT DISTINCT record, sig_name FROM chan) SELECT g.record, n.sig_name, g.sample, coalesce(CASE WHEN NOT s.is_gap AND chan.sig_name IS NOT NULL THEN s.seg_no * 100 + g.sample - s.seg_start END, -32768) AS dval FROM g JOIN n ON n.record = g.record JOIN seg s ON s.record = g.record AND g.sample >= s.seg_start AND g.sample < s.seg_end LEFT JOIN chan ON chan.record = s.record AND chan.seg_no = s.seg_no AND chan.sig_name = n.sig_name"),
+    "u6_stitch": (u6_stitch, f"{COARSE}, g AS (SELECT record, unnest(range(0, max(seg_end))) AS sample FROM seg GROUP BY record), n AS (SELECT DISTINCT record, sig_name FROM chan), w AS (SELECT g.record, n.sig_name, g.sample, coalesce(CASE WHEN NOT s.is_gap AND chan.sig_name IS NOT NULL THEN s.seg_no * 100 + g.sample - s.seg_start END, -32768) AS dval FROM g JOIN n ON n.record = g.record JOIN seg s ON s.record = g.record AND g.sample >= s.seg_start AND g.sample < s.seg_end LEFT JOIN chan ON chan.record = s.record AND chan.seg_no = s.seg_no AND chan.sig_name = n.sig_name) SELECT record, sig_name, count(*) AS n, count(*) FILTER (dval <> -32768) AS n_valid, CAST(sum(dval) AS BIGINT) AS total, CAST(sum(dval * (sample % 997)) AS BIGINT) AS weighted FROM w GROUP BY record, sig_name"),
     "f11_violations": (f11_violations, f"{WITH}, x AS (SELECT record, seg_no, CASE WHEN seg_no % 4 = 1 THEN -seg_len - 1 ELSE seg_len END AS seg_len, lag(seg_no, 1, -1) OVER (PARTITION BY record ORDER BY seg_no) AS p FROM seg WHERE seg_no <> 2) SELECT record, seg_no, 'negative_length' AS rule FROM x WHERE seg_len < 0 UNION ALL SELECT record, seg_no, 'number' FROM x WHERE seg_no <> p + 1"),
     "s3_record_line": (s3_record_line, f"SELECT i, nm AS record, CAST(c_nationkey AS BIGINT) AS n_sig, CASE WHEN i % 3 > 0 THEN i % 1000 + 0.5::DOUBLE ELSE 250.0::DOUBLE END AS fs, CASE WHEN i % 3 = 2 THEN i * 7 END AS sig_len, CASE WHEN i % 3 = 2 THEN '10:20:30.5' END AS base_time, CASE WHEN i % 3 = 2 THEN '01/02/2003' END AS base_date FROM (SELECT {_LINE} FROM customer)"),
     "k3_signal_line": (k3_signal_line, "SELECT p_partkey AS i, 'f' || p_partkey % 10 || '.dat 16' || CASE WHEN p_partkey % 3 > 1 THEN 'x' || p_partkey % 3 ELSE '' END || CASE WHEN p_partkey % 2 > 0 THEN ':1' ELSE '' END || ' ' || p_partkey % 7 || '.5(' || p_partkey % 100 || ')/mV ' || p_size || ' ' || p_partkey % 5 || ' ' || p_partkey % 50 || ' ' || p_partkey % 60 || ' 0 ' || p_type AS line FROM part"),
