@@ -29,7 +29,7 @@ PATH_RULES = [
 ]
 
 #: What spam hosts and paths are about, and where such a word stands in a pattern.
-SPAM_TOPICS = "adult betting bingo blackjack casino cheap cialis escort escorts farma gambling giveaway gratis hentai hookup jackpot keygen keygens lolita loan loans lottery malware milf nude nudes payday pharmacy phentermine phishing pills poker porn porno replica roulette serial sexcam slots spam steroids streamrip torrents tramadol viagra viagras warez webcams xanax xxx".split()
+SPAM_TOPICS = "adult betting bingo blackjack casino cheap cialis escort escorts farma gambling giveaway gratis hentai hookup jackpot keygen keygens loan loans lottery lotto malware milf nude nudes payday pharmacy phentermine phishing pills poker porn porno replica roulette serial sexcam slots spam steroids streamrip torrents tramadol viagra viagras warez webcams xanax xxx".split()
 SPAM_FORMS = ["||{0}-*", "||*-{0}.", "||*-{0}-*", "||{0}.", "||*/{0}/"]
 SPAM_PATTERNS = [form.format(topic) for topic in SPAM_TOPICS for form in SPAM_FORMS]
 
