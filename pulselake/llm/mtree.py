@@ -13,12 +13,16 @@ searched in blocks: a node is opened once for all queries of the block that may
 An index is a table of trees of bounded size. Vectors are range-partitioned by their nearest route
 (of a bounded sample) and the distance from it, so a large group is cut into shells. Vectors that are
 equal are one entry, with as many of its smallest ids as any result can have.
+
+The roots of all trees (pivot, covering radius) are a directory, which each block searches first: a
+query visits the tree of the nearest root, and with the reach found there only those trees whose
+least possible distance lies within it. Trees that no query of a block needs aren't sent to it.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,12 @@ TREE_ROWS, PAGE_ROWS, FANOUT = 4096, 96, 8
 #: Queries searched together, and vectors sampled as routes.
 BLOCK_QUERIES, ROUTES = 512, 64
 
+#: Roots of a page of the directory, and bytes of roots up to which all pages are broadcast.
+DIRECTORY_ROWS, BROADCAST_BYTES = 4096, 32 << 20
+
+#: The k-th best score where there are fewer than k.
+NONE = np.iinfo(np.int64).min
+
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
     """id, row_id, dim, norm2 and v (little-endian 32-bit integers) of the usable rows."""
@@ -135,17 +145,27 @@ class Tree:
 
 
 class Best:
-    """The ``k`` best entries of each query of a block: by score, then by the smaller id."""
+    """The ``k`` best entries of each query of a block: by score, then by the smaller id. ``kth``
+    are scores that the k-th best is known to reach: lower ones aren't looked for."""
 
-    def __init__(self, queries: np.ndarray, largest: int, k: int):
+    def __init__(self, queries: np.ndarray, largest: int, k: int, kth: np.ndarray | None = None):
         self.queries, self.k = queries, k
         self.lifted = np.concatenate([queries.astype(np.float64), np.zeros((len(queries), 1))], 1)
         self.norm2 = (self.lifted**2).sum(1)
         self.largest = largest
         self.found: list[list[tuple[int, int, object]]] = [[] for _ in range(len(queries))]
-        self.kth = np.full(len(queries), np.iinfo(np.int64).min)
-        self.reach = np.full(len(queries), np.inf)
+        self.kth = np.full(len(queries), NONE) if kth is None else kth.copy()
         self.slack = 1e-6 * np.sqrt(self.norm2 + largest) + 1e-6  # rounding of the lifted component
+        self.reach = np.where(self.kth == NONE, np.inf, np.sqrt(np.maximum(0.0, self.norm2 + largest - 2.0 * self.kth)) + self.slack)
+
+    def root_distances(self, roots: np.ndarray) -> np.ndarray:
+        """Distances of all queries from the roots of trees."""
+        square = self.norm2[:, None] + (roots * roots).sum(1)[None, :] - 2 * self.lifted @ roots.T
+        return np.sqrt(np.maximum(0.0, square))
+
+    def needed(self, roots: np.ndarray, radii: np.ndarray) -> np.ndarray:
+        """Which queries may find something in which trees."""
+        return self.root_distances(roots) - radii[None, :] <= (self.reach + self.slack)[:, None]
 
     def add(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, refs: list) -> None:
         """Scores of queries ``rows`` against entries with smallest ids ``ids``."""
@@ -216,8 +236,8 @@ def _routed(entries: DataFrame, routes: dict[int, np.ndarray], largest: int) ->
     return entries.mapInArrow(run, f"{fields}, route int, dist double")
 
 
-_TREE = pa.schema([*[(n, pa.int32() if t == "int" else pa.binary()) for n, t in Tree.FIELDS], ("ids", pa.list_(pa.list_(pa.int64()))), ("rows", pa.list_(pa.list_(pa.int64())))])
-_TREE_DDL = ", ".join(f"{n} {t}" for n, t in Tree.FIELDS) + ", ids array<array<long>>, rows array<array<long>>"
+_TREE = pa.schema([("root", pa.binary()), ("root_radius", pa.float64()), *[(n, pa.int32() if t == "int" else pa.binary()) for n, t in Tree.FIELDS], ("ids", pa.list_(pa.list_(pa.int64()))), ("rows", pa.list_(pa.list_(pa.int64())))])
+_TREE_DDL = "root binary, root_radius double, " + ", ".join(f"{n} {t}" for n, t in Tree.FIELDS) + ", ids array<array<long>>, rows array<array<long>>"
 
 
 def _pages(batches: Iterable[pa.RecordBatch], per_row: int) -> Iterator[tuple[int, list[tuple]]]:
@@ -270,12 +290,11 @@ def top_k(rows: DataFrame, queries: str, k: int = 5, scale: float = 256.0, id_co
     def to_trees(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, got in _pages(batches, TREE_ROWS):
             fields, at = Tree.build(_matrix([r[2] for r in got], dim), largest)
-            yield record_batch(_TREE, [*([f] for f in fields), [[got[i][0] for i in at]], [[got[i][1] for i in at]]])
+            root, radius = fields[2][: 8 * (dim + 1)], float(np.frombuffer(fields[3], "<f8")[0])
+            yield record_batch(_TREE, [[root], [radius], *([f] for f in fields), [[got[i][0] for i in at]], [[got[i][1] for i in at]]])
 
-    trees = placed.mapInArrow(to_trees, _TREE_DDL).withColumn("part", F.spark_partition_id())
-    trees, _ = write_table(trees, "trees")
-    parts = trees.agg(F.max("part")).first()[0]
-    if parts is None:
+    trees, _ = write_table(placed.mapInArrow(to_trees, _TREE_DDL).withColumn("tree", F.monotonically_increasing_id()), "trees")
+    if trees.select("tree").limit(1).count() == 0:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
 
     def to_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,25 +306,48 @@ def top_k(rows: DataFrame, queries: str, k: int = 5, scale: float = 256.0, id_co
     near = _routed(asked_entries, routes, largest).repartitionByRange(parallel(spark), *place).sortWithinPartitions(*place)
     blocks = near.mapInArrow(to_blocks, "q_dim int, q binary, n_q int").withColumn("block", F.monotonically_increasing_id())
     blocks, _ = write_table(blocks, "queries")
-    # Each block of queries visits each part of the index once.
-    visits = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts))).alias("part"))
-    pairs = visits.hint("merge").join(trees.hint("merge"), (visits["part"] == trees["part"]) & (visits["q_dim"] == trees["dim"]))
-    pairs = pairs.select("block", "q", "n_q", "ids", "rows", *(n for n, _ in Tree.FIELDS))
+    with_pages = _directory(trees)
+    lists_of = pa.schema([("block", pa.int64()), ("tree", pa.int64()), ("q_nos", pa.list_(pa.int32()))])
+
+    def to_nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("block", pa.int64()), ("q_no", pa.int32()), ("tree", pa.int64()), ("d", pa.float64())])
+        for block, q, n_q, dim, ids, roots, _ in _rows(batches):
+            d = Best(_ints(q, n_q, dim), largest, k + 1).root_distances(np.frombuffer(roots, "<f8").reshape(len(ids), dim + 1))
+            at = d.argmin(1)
+            yield record_batch(schema, [pa.array(np.full(n_q, block)), pa.array(np.arange(n_q, dtype=np.int32)), pa.array(np.array(ids)[at]), pa.array(d[np.arange(n_q), at])])
+
+    nearest = with_pages(blocks, ["block", "q", "n_q"]).mapInArrow(to_nearest, "block long, q_no int, tree long, d double")
+    nearest = nearest.groupBy("block", "q_no").agg(F.min(F.struct("d", "tree"))["tree"].alias("tree"))
+    nearest, _ = write_table(nearest, "nearest-trees")
 
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, current = None, None
-        for batch in batches:
-            for i in range(batch.num_rows):
-                block, q, n_q, ids, row_ids, *fields = (c[i].as_py() for c in batch.columns)
-                if block != current:
-                    if best is not None:
-                        yield _found(best)
-                    best, current = Best(np.frombuffer(q, "<i4").reshape(n_q, fields[0]), largest, k + 1), block
-                search(Tree(*fields), best, np.array([x[0] for x in ids], np.int64), list(zip(ids, row_ids, strict=True)))
-        if best is not None:
-            yield _found(best)
-
-    found = pairs.mapInArrow(visit, "v binary, score long, ids array<long>, rows array<long>")
+        for block, q, n_q, known, q_nos, ids, row_ids, *fields in _rows(batches):
+            best = Best(_ints(q, n_q, fields[0])[q_nos], largest, k + 1, _known(known, n_q)[0][q_nos])
+            search(Tree(*fields), best, np.array([x[0] for x in ids], np.int64), list(zip(ids, row_ids, strict=True)))
+            yield _found(best, block, q_nos)
+
+    def visited(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+        """What the queries of blocks find in the trees they are paired with (block, tree, q_nos)."""
+        both = pairs.join(blocks, "block").hint("merge").join(trees.hint("merge"), "tree")
+        return both.select("block", "q", "n_q", "known", "q_nos", "ids", "rows", *(n for n, _ in Tree.FIELDS)).mapInArrow(visit, _FOUND_DDL)
+
+    pairs = nearest.groupBy("block", "tree").agg(F.collect_list("q_no").alias("q_nos"))  # at most those of a block
+    near_found, _ = write_table(visited(pairs, blocks.withColumn("known", F.lit(None).cast("array<struct<q_no:int,kth:long,tree:long>>"))), "found-nearest")
+    kth = near_found.groupBy("block", "q_no").agg(F.when(F.count("*") > k, F.min("score")).alias("kth"))
+    known = nearest.join(kth, ["block", "q_no"]).groupBy("block").agg(F.collect_list(F.struct("q_no", "kth", "tree")).alias("known"))
+    blocks, _ = write_table(blocks.join(known, "block"), "reaches")
+
+    def to_needed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, q, n_q, known, dim, ids, roots, radii in _rows(batches):
+            kths, seen = _known(known, n_q)
+            best = Best(_ints(q, n_q, dim), largest, k + 1, kths)
+            need = best.needed(np.frombuffer(roots, "<f8").reshape(len(ids), dim + 1), np.array(radii)) & (np.array(ids)[None, :] != seen[:, None])
+            at = np.flatnonzero(need.any(0))
+            yield record_batch(lists_of, [[block] * len(at), [ids[t] for t in at], [np.flatnonzero(need[:, t]).tolist() for t in at]])
+
+    pairs = with_pages(blocks, ["block", "q", "n_q", "known"]).mapInArrow(to_needed, "block long, tree long, q_nos array<int>")
+    pairs, _ = write_table(pairs, "visits")
+    found = near_found.union(visited(pairs, blocks)).select("v", "score", "ids", "rows")
     first = Window.partitionBy("v").orderBy(F.desc("score"), F.col("ids")[0])
     found = found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     each = F.transform(F.arrays_zip("ids", "rows"), lambda x: F.struct((-F.col("score")).alias("worse"), x["ids"].alias("id"), x["rows"].alias("row_id")))
@@ -316,9 +358,63 @@ def top_k(rows: DataFrame, queries: str, k: int = 5, scale: float = 256.0, id_co
     return out.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.id").alias("vec_id"), (-F.col("hit.worse")).alias("score"))
 
 
-_FOUND = pa.schema([("v", pa.binary()), ("score", pa.int64()), ("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64()))])
+_FOUND = pa.schema([("block", pa.int64()), ("q_no", pa.int32()), ("v", pa.binary()), ("score", pa.int64()), ("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.int64()))])
+_FOUND_DDL = "block long, q_no int, v binary, score long, ids array<long>, rows array<long>"
+
+
+def _found(best: Best, block: int, q_nos: list[int]) -> pa.RecordBatch:
+    rows = [(block, q_nos[q], best.queries[q].tobytes(), -worse, ids, row_ids) for q, got in enumerate(best.found) for worse, _, (ids, row_ids) in got]
+    return record_batch(_FOUND, list(zip(*rows, strict=True)) if rows else [[]] * 6)
 
 
-def _found(best: Best) -> pa.RecordBatch:
-    rows = [(best.queries[q].tobytes(), -worse, ids, row_ids) for q, got in enumerate(best.found) for worse, _, (ids, row_ids) in got]
-    return record_batch(_FOUND, list(zip(*rows, strict=True)) if rows else [[], [], [], []])
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[list]:
+    """Values of one row after another."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [c[i].as_py() for c in batch.columns]
+
+
+def _ints(q: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(q, "<i4").reshape(n, dim)
+
+
+def _known(known: list[dict] | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores that the results of each query reach, and the tree it has seen."""
+    kth, seen = np.full(n, NONE), np.full(n, -1)
+    for x in known or []:
+        kth[x["q_no"]] = NONE if x["kth"] is None else x["kth"]
+        seen[x["q_no"]] = x["tree"]
+    return kth, seen
+
+
+def _directory(trees: DataFrame) -> Callable[[DataFrame, list[str]], DataFrame]:
+    """Writes the roots of the trees in pages, and returns a join of blocks of queries (columns given)
+    with the pages of their dim: it adds dim, trees, roots, radii. All pages are broadcast only where
+    the roots have at most ``BROADCAST_BYTES``; beyond, each page gets the blocks by a shuffle."""
+    n, size = trees.agg(F.count("*"), F.sum(8 * (F.col("dim") + 3))).first()
+    schema = pa.schema([("dim", pa.int32()), ("trees", pa.list_(pa.int64())), ("roots", pa.binary()), ("radii", pa.list_(pa.float64()))])
+
+    def to_pages(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: dict[int, list[tuple]] = {}
+            for dim, *row in zip(*columns(batch, "dim", "tree", "root", "root_radius"), strict=True):
+                held.setdefault(dim, []).append(row)
+            for dim, got in held.items():
+                for i in range(0, len(got), DIRECTORY_ROWS):
+                    ids, roots, radii = zip(*got[i : i + DIRECTORY_ROWS], strict=True)
+                    yield record_batch(schema, [[dim], [ids], [b"".join(roots)], [radii]])
+
+    pages = trees.select("dim", "tree", "root", "root_radius").repartitionByRange(n // DIRECTORY_ROWS + 1, "dim", "tree")
+    pages = pages.mapInArrow(to_pages, "dim int, trees array<long>, roots binary, radii array<double>").withColumn("page", F.monotonically_increasing_id())
+    pages, _ = write_table(pages, "directory")
+
+    def join(blocks: DataFrame, names: list[str]) -> DataFrame:
+        wanted = blocks.select(*names, "q_dim")
+        if size <= BROADCAST_BYTES:
+            both = wanted.join(F.broadcast(pages), wanted["q_dim"] == pages["dim"])
+        else:
+            numbers = F.broadcast(pages.select(F.col("dim").alias("q_dim"), "page"))  # 12 bytes for 4096 trees
+            both = wanted.join(numbers, "q_dim").hint("merge").join(pages.hint("merge"), "page")
+        return both.select(*names, "dim", "trees", "roots", "radii")
+
+    return join

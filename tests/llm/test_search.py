@@ -63,3 +63,32 @@ def test_pruning_avoids_pages():
         scores = x.astype(np.int64) @ x[q].astype(np.int64)
         want = sorted((-int(s), i) for i, s in enumerate(scores))[:4]
         assert [f[:2] for f in got] == want
+
+
+def test_directory_leaves_few_trees_and_loses_none():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 8))
+    centres = centres / np.sqrt((centres**2).sum(1))[:, None] * 5000
+    groups = [(c + rng.normal(size=(100, 8))).astype(np.int32) for c in centres]
+    largest = max(int((g.astype(np.int64) ** 2).sum(1).max()) for g in groups)
+    fields = [mtree.Tree.build(g, largest)[0] for g in groups]
+    trees = [mtree.Tree(*f) for f in fields]
+    roots, radii = np.stack([t.pivots[0] for t in trees]), np.array([t.radius[0] for t in trees])
+    queries = np.stack([g[0] for g in groups])
+    scores = np.stack([queries.astype(np.int64) @ g.astype(np.int64).T for g in groups], 1)  # query, tree, entry
+    first = mtree.Best(queries, largest, 5).root_distances(roots).argmin(1)
+    kth = np.sort(scores[np.arange(40), first], 1)[:, -5]
+    need = mtree.Best(queries, largest, 5, kth).needed(roots, radii)
+    assert need.sum() < 40 * 40 / 4
+    assert (scores.max(2)[~need] < np.broadcast_to(kth[:, None], (40, 40))[~need]).all()
+    assert mtree.Best(queries, largest, 5).needed(roots, radii).all()
+
+
+def test_directory_in_pages_without_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "TREE_ROWS", 10)
+    monkeypatch.setattr(mtree, "DIRECTORY_ROWS", 4)
+    monkeypatch.setattr(mtree, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(mtree, "BLOCK_QUERIES", 6)
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-3, 4, 3 + i % 2).astype(float).tolist()) for i in range(260)]
+    assert search(spark, rows) == brute(rows, 5, 7)
