@@ -238,7 +238,8 @@ def cut_repeats(docs: DataFrame, min_words: int = 50, window: int = 24, gram: in
         return pa.array([t if r is None or t is None else cut_words(t.encode(), merge(r, min_words)).decode() for t, r in zip(text.to_pylist(), repeats.to_pylist(), strict=True)], pa.string())
 
     held = F.col(spans).isNotNull()
-    out = marked.withColumn("text", F.when(held, cut("text", spans)).otherwise(F.col("text"))).where(~held | (F.length(F.trim("text")) > 0))
+    once = cut.asNondeterministic()  # else the rule below would cut anew, in further workers
+    out = marked.withColumn("text", F.when(held, once(F.when(held, F.col("text")), spans)).otherwise(F.col("text"))).where(~held | (F.length(F.trim("text")) > 0))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(held, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
