@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulselake.llm import decontaminate, langid, licenses, mtree, packing, simhash, suffixes, tokens, unigram, urls
+from pulselake.llm import alignment, decontaminate, langid, licenses, mtree, packing, simhash, suffixes, tokens, unigram, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_tokens(_table(spark, sf_dir, "documents"), a, b).drop("links")
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, embedding, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
@@ -98,7 +103,7 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN {spam} THEN 'block'
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mtree_search, op2_simhash, op3_url_filter, op4_token_ids, op5_language_id, op6_token_counts, op7_suffix_dedup, op8_decontaminate, op9_pack, op10_license_scan)}
+    return {f.__name__: f for f in (op1_mtree_search, op2_simhash, op3_url_filter, op4_token_ids, op5_language_id, op6_token_counts, op7_suffix_dedup, op8_decontaminate, op9_pack, op10_license_scan, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
