@@ -11,10 +11,11 @@ search them by ``np.searchsorted``, so that no table of all pairs is held by any
 from __future__ import annotations
 
 import hashlib
-import re
+import json
+import os
 import uuid
-from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,82 +24,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulselake.llm.common import claim, columns, drop_path, parallel, record_batch, scratch_root, slices, trim, utf8, write_table
-from pulselake.llm.tokens import PieceEncoder
+from pulselake.llm.tokens import _BYTE_CHARS as BYTE_CHARS
+from pulselake.llm.tokens import _has_runs as has_runs
 from pulselake.sources.files import opened
 
-#: Units kept in a worker's cache of the piece tokenizer, and the longest one kept.
-CACHE_UNITS, CACHE_CHARS = 150_000, 40
+#: Words kept with their aligned tokens in a worker, the longest one kept, and new ones aligned together.
+CACHE_WORDS, CACHE_CHARS, TOGETHER = 300_000, 40, 2048
 
 #: Distinct pairs that a task counts before it hands on partial counts.
 PARTIAL_PAIRS = 1 << 20
 
 SPACE = "▁"
-_UNITS = re.compile(f"{SPACE}+[^{SPACE}]*")
 _LOADED: dict[tuple[str, str], "Aligner"] = {}
 
 
-class PlainEncoder(PieceEncoder):
-    """As its parent, but strings of special tokens are plain text."""
-
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.tokenizer.encode_special_tokens = True
-
-
-class UnitEncoder:
-    """Encodes texts with a file of the sentencepiece library, remembering words.
+class Aligner:
+    """Two tokenizers, the bytes of their tokens and the texts of their ids.
 
-    No piece reaches over the beginning of a run of spaces, so each such run and the word after it
-    encodes alone as it does in the text (checked when the file is read).
+    Usual tokenizers cut before a space that stands alone before another character: then tokens of both
+    sides end together before it, and a word with its space has the same tokens and groups in any text.
+    Such words are aligned once and remembered. Texts with other runs of white space are aligned whole.
     """
 
-    def __init__(self, path: str):
-        import sentencepiece
-
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        if any(SPACE in p.lstrip(SPACE) for p in pieces):
-            raise ValueError("pieces of this file reach over spaces")
-        self.code = "H" if len(pieces) <= 1 << 16 else "I"
-        self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.units: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text (not empty) with a space before it."""
-        split = [_UNITS.findall(SPACE + t.replace(" ", SPACE)) if "  " in t or SPACE in t or t[:1] == " " else t.split(" ") for t in texts]
-        known = self.units
-        new = list(set().union(*split).difference(known))
-        if len(known) + len(new) > CACHE_UNITS:
-            known.clear()
-            new = list(set().union(*split))
-        # Units of runs begin with the mark of a space; the library puts the first one itself.
-        ids = self.model.encode([u[1:].replace(SPACE, " ") if u[:1] == SPACE else u for u in new], num_threads=1)
-        known.update((u, array(self.code, x).tobytes()) for u, x in zip(new, ids, strict=True))
-        known[""] = known[SPACE] = array(self.code, [self.model.piece_to_id(SPACE)]).tobytes()
-        out = [b"".join(map(known.__getitem__, s)) for s in split]
-        for u in new:
-            if len(u) > CACHE_CHARS:
-                del known[u]
-        return out
-
-
-class Aligner:
-    """Two tokenizers, the bytes of their tokens and the texts of their ids."""
-
     def __init__(self, a_path: str, b_path: str):
-        self.a, self.b = PlainEncoder(a_path), UnitEncoder(b_path)
-        from pulselake.llm.tokens import _BYTE_CHARS
-
-        byte_of = {c: b for b, c in enumerate(_BYTE_CHARS.tolist())}
-        vocabulary = self.a.tokenizer.get_vocab()
-        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a.encode_special_tokens = True  # their strings are plain text
+        settings = json.loads(self.a.to_str())
+        cut = settings.get("pre_tokenizer") or {}
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        self.by_word = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not settings.get("normalizer") and not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        byte_of = {c: b for b, c in enumerate(BYTE_CHARS.tolist())}
+        vocabulary = self.a.get_vocab()
+        a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             if all(ord(c) in byte_of for c in token):
-                self.a_bytes[i] = bytes(byte_of[ord(c)] for c in token)
-        self.a_size = np.array([len(x) for x in self.a_bytes], np.int64)
-        self.b_size = np.array([len(x) for x in self.b.bytes], np.int64)
+                a_bytes[i] = bytes(byte_of[ord(c)] for c in token)
+        b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
+        self.bytes = a_bytes, b_bytes
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in self.bytes)
         # Decimal ids with what follows: within a group "," and at its end "|" (first side) or ";".
-        self.words = [f"{i}{mark}" for i in range(len(self.a_bytes)) for mark in ",|"] + [f"{i}{mark}" for i in range(len(self.b.bytes)) for mark in ",;"]
+        self.marked = [f"{i}{mark}" for i in range(len(a_bytes)) for mark in ",|"] + [f"{i}{mark}" for i in range(len(b_bytes)) for mark in ",;"]
+        self.words: dict[str, tuple[int, bytes, str] | None] = {}
+        self.before: dict[str, tuple[int, bytes, str] | None] = {}
 
     @classmethod
     def at(cls, a_path: str, b_path: str) -> "Aligner":
@@ -106,37 +77,78 @@ class Aligner:
             _LOADED[a_path, b_path] = cls(a_path, b_path)
         return _LOADED[a_path, b_path]
 
-    def tokens(self, texts: list[bytes]) -> tuple[list[int], list[bytes], list[bytes]]:
-        """Which texts have tokens of both sides, and their ids of either side."""
-        given = [(k, t, s) for k, t in enumerate(texts) if t for s in [t.decode("utf-8", "replace")]]
-        kept, a_ids, b_ids = [], [], []
-        for (k, raw, _), a, b in zip(given, self.a.encode([" " + s for _, _, s in given]), self.b.encode([s for _, _, s in given]), strict=True):
-            whole = b" " + raw
-            if all(b"".join(map(table.__getitem__, memoryview(x).cast(code))) == whole for table, x, code in ((self.a_bytes, a, self.a.code), (self.b.bytes, b, self.b.code))):
-                kept.append(k)
-                a_ids.append(a)
-                b_ids.append(b)
-        return kept, a_ids, b_ids
-
-    def align(self, a_ids: list[bytes], b_ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """Of documents whose tokens of both sides have the same bytes: n_a, n_b, n_groups of each,
-        the linked ids of either side one after another, and the groups of each as text."""
-        a, b = np.frombuffer(b"".join(a_ids), self.a.code), np.frombuffer(b"".join(b_ids), self.b.code)
-        n_a, n_b = (np.array([len(x) // array(code).itemsize for x in ids], np.int64) for ids, code in ((a_ids, self.a.code), (b_ids, self.b.code)))
+    def whole(self, texts: list[str]) -> list[tuple[int, bytes, str] | None]:
+        """Of each text (not empty): tokens of either side (the first in the upper half of a number), links
+        (packed pairs) and groups as text; None where tokens don't join to a space and the text."""
+        ids = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+        raw = [(" " + t).encode() for t in texts]
+        kept = [k for k, t in enumerate(raw) if all(b"".join(map(known.__getitem__, side[k])) == t for known, side in zip(self.bytes, ids, strict=True))]
+        out: list[tuple[int, bytes, str] | None] = [None] * len(texts)
+        if kept:
+            own = [[side[k] for k in kept] for side in ids]
+            flat = (np.array(list(chain.from_iterable(x)), np.int64) for x in own)
+            for k, got in zip(kept, self._aligned(*flat, *(np.array([len(x) for x in side], np.int64) for side in own)), strict=True):
+                out[k] = got
+        return out
+
+    def together(self, words: list[str]) -> Iterable[tuple[int, bytes, str] | None]:
+        """As ``whole`` for words (see above), by one text of them all."""
+        text = " ".join(words)
+        ids = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
+        whole = (" " + text).encode()
+        if all(b"".join(map(known.__getitem__, x)) == whole for known, x in zip(self.bytes, ids, strict=True)):
+            upto = np.cumsum([len(w.encode()) + 1 for w in words])
+            a, b = (np.array(x, np.int64) for x in ids)
+            ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+            at = [np.searchsorted(e, upto) for e in ends]
+            if all((e[k] == upto).all() for e, k in zip(ends, at, strict=True)):
+                return self._aligned(a, b, *(np.diff(k, prepend=-1) for k in at))
+        return self.whole(words)
+
+    def _aligned(self, a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> Iterator[tuple[int, bytes, str]]:
+        """What ``whole`` gives of texts whose tokens of both sides, ``n_a`` and ``n_b`` of each, have the
+        same bytes."""
         a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
         at_a, at_b = (np.zeros(int(a_end[-1]) + 1, bool) for _ in range(2))
         at_a[a_end] = at_b[b_end] = True
         a_last, b_last = at_b[a_end], at_a[b_end]  # tokens that end a group: as many on either side
         a_place, b_place = np.flatnonzero(a_last), np.flatnonzero(b_last)
-        group_a, group_b = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
-        n_groups = np.diff(np.append(0, np.searchsorted(a_place, np.cumsum(n_a))))
-        order = np.empty(len(a) + len(b), np.int64)
-        order[np.arange(len(a)) + np.append(0, b_place + 1)[group_a]] = 2 * a.astype(np.int64) + a_last
-        order[np.arange(len(b)) + a_place[group_b] + 1] = 2 * (b.astype(np.int64) + len(self.a_bytes)) + b_last
-        words = list(map(self.words.__getitem__, order.tolist()))
-        ends = np.cumsum(n_a + n_b).tolist()
-        groups = ["".join(words[x:y])[:-1] for x, y in zip([0, *ends], ends)]  # noqa: B905
-        return n_a, n_b, n_groups, a[a_place], b[b_place], groups
+        order = np.empty(len(a) + len(b), np.int64)  # group by group, the first side's tokens before the other's
+        order[np.arange(len(a)) + np.append(0, b_place + 1)[np.cumsum(a_last) - a_last]] = 2 * a + a_last
+        order[np.arange(len(b)) + a_place[np.cumsum(b_last) - b_last] + 1] = 2 * (b + len(self.bytes[0])) + b_last
+        marked = list(map(self.marked.__getitem__, order.tolist()))
+        links = packed(a[a_place], b[b_place]).astype("<i8").tobytes()
+        ends, link_ends = np.cumsum(n_a + n_b).tolist(), (8 * np.searchsorted(a_place, np.cumsum(n_a))).tolist()
+        for n, w, x, y, z in zip((n_a << 32 | n_b).tolist(), [0, *ends], ends, [0, *link_ends], link_ends):  # noqa: B905
+            yield n, links[y:z], "".join(marked[w:x])[:-1]
+
+    def align(self, texts: list[str]) -> list[tuple[int, bytes, str] | None]:
+        """As ``whole``, word by word where texts allow it. Empty texts have None."""
+        known = self.words
+        split = {k: t.split(" ") for k, t in enumerate(texts) if t and self.by_word and SPACE not in t and not has_runs(" " + t)}
+        new = set().union(*split.values()).difference(known)
+        if len(known) + len(new) > CACHE_WORDS // 2:  # words of the last generation stay if they come again
+            self.words, self.before = {}, known
+            new |= known.keys() & set().union(*split.values())
+            known = self.words
+        known.update((w, self.before[w]) for w in new if w in self.before)
+        new = [w for w in new if w not in known]
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            known.update(zip(part, self.together(part), strict=True))
+        out: list[tuple[int, bytes, str] | None] = [None] * len(texts)
+        for k, words in split.items():
+            parts = list(map(known.__getitem__, words))
+            if None not in parts:
+                n, links, groups = zip(*parts, strict=True)
+                out[k] = sum(n), b"".join(links), ";".join(groups)
+        rest = [k for k, t in enumerate(texts) if t and k not in split]
+        for k, got in zip(rest, self.whole([texts[k] for k in rest]), strict=True):
+            out[k] = got
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del known[w]
+        return out
 
 
 def packed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -166,17 +178,16 @@ def links_of(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
             return record_batch(schema, [pa.nulls(1, schema.field(0).type), *[[None]] * 5, [keys.tobytes()], [counts.tobytes()]])
 
         for batch in slices(batches, "text", 1 << 20):
-            kept, a_ids, b_ids = both.tokens(columns(batch, "text")[0])
             n = np.zeros((3, batch.num_rows), np.int64)
             shas, links = [""] * batch.num_rows, [b""] * batch.num_rows
-            if kept:
-                *n[:, kept], a, b, groups = both.align(a_ids, b_ids)
-                pairs = packed(a, b)
-                ends = np.cumsum(n[2, kept]).tolist()
-                for k, x, y, text in zip(kept, [0, *ends], ends, groups):  # noqa: B905
-                    shas[k], links[k] = hashlib.sha256(text.encode()).hexdigest(), pairs[x:y].tobytes()
-                new, times = np.unique(pairs, return_counts=True)
-                keys, counts = summed(np.append(keys, new), np.append(counts, times))
+            raw = columns(batch, "text")[0]
+            texts = [t.decode("utf-8", "replace") for t in raw]
+            for k, got in enumerate(both.align(texts)):
+                if got is not None and texts[k].encode() == raw[k]:
+                    n[:, k] = got[0] >> 32, got[0] & 0xFFFFFFFF, len(got[1]) // 8
+                    links[k], shas[k] = got[1], hashlib.sha256(got[2].encode()).hexdigest()
+            new, times = np.unique(np.frombuffer(b"".join(links), "<i8"), return_counts=True)
+            keys, counts = summed(np.append(keys, new), np.append(counts, times))
             schema = pa.schema([batch.schema.field(0), *[(x, pa.int64()) for x in ("n_a", "n_b", "n_groups")], ("groups_sha256", pa.string()), *[(x, pa.binary()) for x in ("links", "pair_keys", "pair_counts")]])
             yield record_batch(schema, [batch.column(0), *[pa.array(x) for x in n], shas, links, *[pa.nulls(batch.num_rows, pa.binary())] * 2])
             if len(keys) > PARTIAL_PAIRS:

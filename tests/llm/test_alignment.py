@@ -4,7 +4,6 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
-import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -83,21 +82,23 @@ def test_counts_in_many_shards_and_flushes(spark, monkeypatch):
     assert found(docs) == brute(texts)
 
 
-def test_units_encode_as_in_texts():
-    import sentencepiece
-
-    model, units = sentencepiece.SentencePieceProcessor(model_file=B), alignment.UnitEncoder(B)
+def test_words_align_as_in_texts(monkeypatch):
+    monkeypatch.setattr(alignment, "CACHE_WORDS", 20)
     for seed in range(4):
-        texts = [t for t in texts_of(seed) if t]
-        assert [np.frombuffer(x, units.code).tolist() for x in units.encode(texts)] == model.encode(texts)
+        texts, both = texts_of(seed), alignment.Aligner(A, B)
+        assert both.by_word
+        got = both.align(texts)
+        assert [x for t, x in zip(texts, got, strict=True) if t] == both.whole([t for t in texts if t])
+        assert all(x is None for t, x in zip(texts, got, strict=True) if not t)
 
 
-def test_a_piece_file_that_reaches_over_spaces_is_refused(monkeypatch):
+def test_texts_are_aligned_whole_where_pieces_reach_over_spaces(monkeypatch):
     import sentencepiece
 
-    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "id_to_piece", lambda self, i: "▁of▁the")
-    with pytest.raises(ValueError):
-        alignment.UnitEncoder(B)
+    own = sentencepiece.SentencePieceProcessor.id_to_piece
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "id_to_piece", lambda self, i: "▁of▁the" if i == 300 else own(self, i))
+    both = alignment.Aligner(A, B)
+    assert not both.by_word and both.align(["a b", "", "c"]) == [both.whole(["a b"])[0], None, both.whole(["c"])[0]]
 
 
 def test_odd_documents(spark):
