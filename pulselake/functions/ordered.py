@@ -25,17 +25,27 @@ def join_carried(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFr
     return rows.join(right, same).drop(*[f"_key{i}" for i in range(len(keys))])
 
 
-def with_previous(df: DataFrame, key: str | list[str], order: str, block: Column, ties: list[str] | None = None, name: str = "previous", value: str | None = None) -> DataFrame:
-    """Adds ``name``: ``value`` (by default the order column) of the row before, by (order, ties),
-    within its key; null for a key's first row. ``block`` must not fall as ``order`` grows."""
+def with_neighbours(df: DataFrame, key: str | list[str], order: str, block: Column, ties: list[str] | None = None, previous: str | None = None, following: str | None = None, value: str | None = None) -> DataFrame:
+    """Adds ``value`` (by default the order column) of the row before as ``previous``, and of the row after
+    as ``following``, by (order, ties) within its key; null where there is none. Both, or the one that
+    has a name, in one pass. ``block`` must not fall as ``order`` grows."""
     value, keys = value or order, _listed(key)
     by = [order, *(ties or [])]
     blocked = df.withColumn("_block", block)
-    inner = Window.partitionBy(*keys, "_block").orderBy(*by)
-    last = blocked.groupBy(*keys, "_block").agg(F.max(F.struct(*by, F.col(value).alias("_v")))["_v"].alias("_last"))
-    carried = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block"))).drop("_last")
-    out = join_carried(blocked.withColumn("_lag", F.lag(value).over(inner)).withColumn("_first", F.row_number().over(inner) == 1), carried, [*keys, "_block"])
-    return out.withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag"))).drop("_block", "_lag", "_first", "_carry")
+    inner, blocks = Window.partitionBy(*keys, "_block").orderBy(*by), Window.partitionBy(*keys).orderBy("_block")
+    place = F.struct(*by, F.col(value).alias("_v"))
+    wanted = [(n, ahead) for n, ahead in ((previous, False), (following, True)) if n]
+    edges = blocked.groupBy(*keys, "_block").agg(*[(F.min(place) if ahead else F.max(place))["_v"].alias(f"_edge{int(ahead)}") for _, ahead in wanted])
+    carried = edges.select(*keys, "_block", *[(F.lead if ahead else F.lag)(f"_edge{int(ahead)}").over(blocks).alias(f"_carry{int(ahead)}") for _, ahead in wanted])
+    own = {f"_own{int(ahead)}": (F.lead if ahead else F.lag)(F.struct(F.col(value).alias("_v"))).over(inner) for _, ahead in wanted}
+    out = join_carried(blocked.withColumns(own), carried, [*keys, "_block"])
+    out = out.withColumns({n: F.when(F.col(f"_own{int(ahead)}").isNull(), F.col(f"_carry{int(ahead)}")).otherwise(F.col(f"_own{int(ahead)}")["_v"]) for n, ahead in wanted})
+    return out.drop("_block", *own, *[f"_carry{int(ahead)}" for _, ahead in wanted])
+
+
+def with_previous(df: DataFrame, key: str | list[str], order: str, block: Column, ties: list[str] | None = None, name: str = "previous", value: str | None = None) -> DataFrame:
+    """Adds ``name``: ``value`` (by default the order column) of the row before, as ``with_neighbours``."""
+    return with_neighbours(df, key, order, block, ties, previous=name, value=value)
 
 
 def with_running_sum(df: DataFrame, key: str | list[str], order: str, block: Column, value: Column, ties: list[str] | None = None, name: str = "running") -> DataFrame:

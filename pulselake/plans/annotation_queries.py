@@ -198,6 +198,15 @@ def j6_mutual_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return beats.match_nearest(*_two(spark, sf_dir), MATCH_WINDOW)
 
 
+def j6_greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return beats.match_beats(*_two(spark, sf_dir), MATCH_WINDOW)
+
+
+def g4_greedy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = beats.beat_statistics(*_two(spark, sf_dir), MATCH_WINDOW)
+    return found.select("record", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")], *[F.round(c, 6).alias(c) for c in ("sensitivity", "positive_predictivity")])
+
+
 def g4_match_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = beats.match_statistics(*_two(spark, sf_dir), MATCH_WINDOW)
     return found.select("record", *[F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")], *[F.round(c, 6).alias(c) for c in ("sensitivity", "positive_predictivity")])
@@ -221,6 +230,25 @@ def g10_label_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("symbol", "chan", "n", "n_records")
 
 
+# One reference beat a step: k is the nearest test beat from ``start`` on, q that of the next reference beat.
+GREEDY = f"""{WITH.replace('WITH', 'WITH RECURSIVE', 1)}, sides AS (
+  SELECT record, list_sort(list_distinct(list(sample) FILTER (ann_no % 2 = 0))) AS r, list_sort(list(sample) FILTER (ann_no % 2 = 1)) AS t FROM ann GROUP BY record
+), step AS (
+  SELECT record, 0 AS i, 1 AS start, CAST(NULL AS BIGINT) AS got, CAST(NULL AS BIGINT) AS k FROM sides WHERE len(r) > 0 AND len(t) > 0
+  UNION ALL
+  SELECT record, i + 1, CASE WHEN taken IS NULL THEN start ELSE taken + 1 END, CASE WHEN abs(ref - t[taken]) < {MATCH_WINDOW} THEN taken END, taken
+  FROM (
+    SELECT *, CASE WHEN k = q AND abs(r[i + 2] - t[k]) < abs(ref - t[k]) THEN CASE WHEN k > 1 AND k - 1 IS DISTINCT FROM got THEN k - 1 END ELSE k END AS taken
+    FROM (
+      SELECT record, i, start, got, r, t, r[i + 1] AS ref,
+        start - 1 + list_position(list_transform(t[start:], lambda x: abs(x - r[i + 1])), list_min(list_transform(t[start:], lambda x: abs(x - r[i + 1])))) AS k,
+        start - 1 + list_position(list_transform(t[start:], lambda x: abs(x - r[i + 2])), list_min(list_transform(t[start:], lambda x: abs(x - r[i + 2])))) AS q
+      FROM step JOIN sides USING (record) WHERE i < len(r) AND start <= len(t)
+    )
+  )
+), m AS (
+  SELECT step.record, r[i] AS ref_sample, t[got] AS test_sample FROM step JOIN sides USING (record) WHERE got IS NOT NULL
+)"""
 NEAREST = f"""{WITH}, r AS (SELECT DISTINCT record, sample FROM ann WHERE ann_no % 2 = 0), t AS (SELECT DISTINCT record, sample FROM ann WHERE ann_no % 2 = 1),
 p AS (SELECT r.record, r.sample AS ref_sample, t.sample AS test_sample, abs(r.sample - t.sample) AS d FROM r JOIN t ON r.record = t.record AND abs(r.sample - t.sample) < {MATCH_WINDOW}),
 m AS (SELECT record, ref_sample, test_sample FROM (SELECT *, row_number() OVER (PARTITION BY record, ref_sample ORDER BY d, test_sample) AS a, row_number() OVER (PARTITION BY record, test_sample ORDER BY d, ref_sample) AS z FROM p) WHERE a = 1 AND z = 1)"""
@@ -262,6 +290,8 @@ QUERIES = {
     "k9_sample_deltas": (k9_sample_deltas, f"{WITH} SELECT record, ann_no, coalesce(rr, sample) AS delta, CAST(CASE WHEN coalesce(rr, sample) > 1023 THEN ceil(coalesce(rr, sample) / 2147483647.0) ELSE 0 END AS BIGINT) AS n_skips FROM rr"),
     "p16_resample_ann": (p16_resample_ann, f"{WITH} SELECT record, ann_no, CAST(trunc(sample * (250 / CAST(360 AS DOUBLE))) AS BIGINT) AS sample FROM ann"),
     "j6_mutual_nearest": (j6_mutual_nearest, f"{NEAREST} SELECT * FROM m"),
+    "j6_greedy_match": (j6_greedy_match, f"{GREEDY} SELECT * FROM m"),
+    "g4_greedy_stats": (g4_greedy_stats, f"{GREEDY}, s AS (SELECT sides.record, (SELECT count(*) FROM m WHERE m.record = sides.record) AS tp, len(coalesce(r, [])) AS r, len(coalesce(t, [])) AS t FROM sides) SELECT record, tp, t - tp AS fp, r - tp AS fn, round(tp / nullif(r, 0), 6) AS sensitivity, round(tp / nullif(t, 0), 6) AS positive_predictivity FROM s"),
     "g4_match_stats": (g4_match_stats, f"{STATS} SELECT record, tp, fp, fn, round(se, 6) AS sensitivity, round(pp, 6) AS positive_predictivity FROM s"),
     "g5_benchmark": (g5_benchmark, f"{STATS} SELECT round(avg(se), 6) AS sensitivity, round(avg(pp), 6) AS positive_predictivity, count(*) AS n_records FROM s"),
     "m7_labels": (m7_labels, f"SELECT CAST(label_store AS BIGINT) AS label_store, symbol, short_description, description, is_qrs FROM {LABELS}"),

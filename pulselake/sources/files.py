@@ -21,12 +21,22 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     where that is unset a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame, name: str = "settled") -> DataFrame:
+    """Writes ``df`` under the scratch folder and rereads it. Steps that read their input more than once
+    read this then, instead of computing what came before again each time; a lost executor costs no
+    more than what ran last."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def opened(path: str) -> tuple:
     """(file system, path in it)."""
     from pyarrow import fs
