@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulselake.llm.common import claim, columns, doc_hash, fresh, record_batch, slices, trim, utf8, window_hashes, write_table
+from pulselake.llm.common import claim, columns, doc_hash, drop_path, fresh, record_batch, slices, trim, utf8, window_hashes, write_table
 
 #: Words that are units where they follow a number.
 UNITS = frozenset(b"m cm mm km g kg mg t l ml s sec min h hr ms hz khz mhz v a w kw j kj n pa % percent meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches gram grams kilogram kilograms pound pounds ounce ounces litre litres liter liters gallon gallons second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents degree degrees".split())
@@ -209,7 +209,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, least:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, least: int = 6) -> DataFrame:
     """Documents, with all their columns, that hold no window of any benchmark item: those without a
     row in ``contaminated``. Nulls, empty texts, repeated rows and other columns as there."""
-    found = matches(docs, benchmark, window, least)
+    items, items_path = write_table(benchmark_windows(benchmark, window, least), "benchmark-windows")
+    kinds = [(r["kind"], r["k"]) for r in items.select("kind", "k").distinct().orderBy("kind", "k").collect()]  # two a length up to window
+    same = ["kind", "k", "h", "seen", "pattern"]  # however many items have a window, a document's is kept once
+    found = document_windows(docs, kinds, hash_bits(items)).join(items.select(*same).distinct(), same, "left_semi")
     own, hashed = fresh(docs, "found_id"), fresh(docs, "found_hash")
     held, _ = write_table(found.select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct(), "contaminated")
+    drop_path(docs.sparkSession, items_path)
     return docs.join(held, F.col("doc_id").eqNullSafe(F.col(own)) & (doc_hash() == F.col(hashed)), "left_anti")
