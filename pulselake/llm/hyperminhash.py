@@ -41,8 +41,8 @@ PERCENT = 80
 LARGE = 24
 #: Standard deviations that an estimate may be off.
 SIGMAS = 6
-#: Most bits of the table of wanted keys (4 MB).
-MOST_BITS = 1 << 25
+#: Most bits of a table of wanted keys (16 MB).
+MOST_BITS = 1 << 27
 #: Buckets of the table of common shingles: a power of two. It orders shingles only; links don't depend on it.
 SKETCH = 1 << 22
 
@@ -132,8 +132,7 @@ def _keys(classes: DataFrame, bands: tuple[int, int], bits: np.ndarray | None =
                 keys = band_keys(_regs(part.column(3)), bands).ravel()
                 who = np.repeat(np.arange(part.num_rows), bands[0])
                 if bits is not None:
-                    bit = keys & np.uint64(8 * len(bits) - 1)
-                    wanted = np.flatnonzero(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+                    wanted = _wanted(keys, bits)
                     keys, who = keys[wanted], who[wanted]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(part.column(i).to_numpy()[who]) for i in range(3)]], names=["key", "fp", "size", "root"])
         trim()
@@ -141,10 +140,17 @@ def _keys(classes: DataFrame, bands: tuple[int, int], bits: np.ndarray | None =
     return classes.select("fp", "size", "root", "regs").mapInArrow(run, "key long, fp long, size long, root long")
 
 
-def _key_bits(opened: DataFrame, n: int) -> np.ndarray:
-    """A table of at most ``MOST_BITS``, in which the bits of the given keys are set: 64 a key if it can."""
+def _wanted(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Places of hashes whose bit is set in a table of ``_hash_bits``."""
+    bit = hashes & np.uint64(8 * len(bits) - 1)
+    return np.flatnonzero(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & np.uint8(1))
+
+
+def _hash_bits(hashes: DataFrame, name: str, n: int) -> np.ndarray:
+    """A table of at most ``MOST_BITS``, in which the bits of ``n`` hashes are set: 64 each if it can. It only
+    spares rows that match nothing; where it is too small for all, more of them come along."""
     bits = min(MOST_BITS, max(1 << 16, 1 << (64 * n - 1).bit_length()))
-    words = opened.groupBy(F.expr(f"(key & {bits - 1}L) div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63L as int)))").alias("b")).toArrow()
+    words = hashes.groupBy(F.expr(f"({name} & {bits - 1}L) div 64").alias("w")).agg(F.expr(f"bit_or(shiftleft(1L, cast({name} & 63L as int)))").alias("b")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[words.column("w").to_numpy()] = words.column("b").to_numpy()
     return out.view(np.uint8)
@@ -163,19 +169,19 @@ def candidates(classes: DataFrame, bands: tuple[int, int], large: int) -> tuple[
     """Pairs (a, b) of classes (fp, size, root, regs) of different roots that share a key, and the
     memberships (key, fp) in keys of more than ``large`` classes; there each is paired with one only.
     None if no key has different roots."""
-    opened = _keys(classes, bands).groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key", "c")
+    opened = _keys(classes, bands).groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("x"), F.max("root").alias("y"), F.min("fp").alias("centre")).where("x < y").select("key", "c", "centre")
     opened, opened_path = write_table(opened, "open-keys")
     n = opened.count()
     if not n:
         return None
-    many, _ = write_table(_keys(classes, bands, _key_bits(opened, n)).join(opened, "key"), "memberships")
+    many, _ = write_table(_keys(classes, bands, _hash_bits(opened, "key", n)).join(opened, "key"), "memberships")
     few, rest = many.where(F.col("c") <= large), many.where(F.col("c") > large)
     a, b = few.alias("a"), few.alias("b")
     rule = (F.col("a.key") == F.col("b.key")) & (F.col("a.root") < F.col("b.root")) & _sizes_fit("a.size", "b.size")
     pairs = a.join(b, rule).select(*_pair("a.fp", "b.fp"))
-    order = F.xxhash64("fp")
-    centres = rest.groupBy("key").agg(*[F.min_by(x, order).alias(f"centre_{x}") for x in ("fp", "size", "root")])
-    stars = rest.join(centres, "key").where((F.col("root") != F.col("centre_root")) & _sizes_fit("size", "centre_size")).select(*_pair("fp", "centre_fp"))
+    roots = classes.select(F.col("fp").alias("centre"), F.col("size").alias("centre_size"), F.col("root").alias("centre_root"))
+    rule = (F.col("root") != F.col("centre_root")) & _sizes_fit("size", "centre_size")  # fp is a hash: the least one is any of them
+    stars = rest.select("fp", "size", "root", "centre").distinct().join(roots, "centre").where(rule).select(*_pair("fp", "centre"))
     drop_path(classes.sparkSession, opened_path)
     return pairs.union(stars).distinct(), rest.select("key", "fp")
 
@@ -195,17 +201,20 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """fp and s (the sorted hashes as bytes) of texts with a column fp."""
+def shingle_sets(docs: DataFrame, width: int, bits: np.ndarray) -> DataFrame:
+    """doc_id, text_hash and s (the sorted hashes as bytes) of texts whose hash is in a table of bits."""
+    src = docs.select("doc_id", doc_hash().alias("text_hash"), utf8().alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(WORD_HASHES)
-        for batch in slices(batches, "text", 4 << 20):
-            sets = pa.array([shingles(t, width).tobytes() for t in columns(batch, "text")[0]], pa.binary())
-            yield record_batch(pa.schema([batch.schema.field(0), ("s", pa.binary())]), [batch.column(0), sets])
+        for batch in batches:
+            kept = batch.take(pa.array(_wanted(batch.column(1).to_numpy().view(np.uint64), bits)))
+            for part in slices([kept], "text", 4 << 20):
+                sets = pa.array([shingles(t, width).tobytes() for t in columns(part, "text")[0]], pa.binary())
+                yield record_batch(pa.schema([part.schema.field(0), part.schema.field(1), ("s", pa.binary())]), [part.column(0), part.column(1), sets])
         trim()
 
-    return docs.select("fp", utf8().alias("text")).mapInArrow(run, "fp long, s binary")
+    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, s binary")
 
 
 def similar(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
@@ -308,11 +317,12 @@ class _Groups:
         fps = fps.distinct()
         new = fps if self.sets is None else fps.join(self.sets, "fp", "left_anti")
         chosen = self.classes.join(new, "fp").select("fp", F.col("k.id").alias("id"), F.col("k.h").alias("h"))
-        chosen = self._kept(chosen, "chosen")  # a small table is broadcast then, and no text is shuffled
-        texts = self.docs.select("doc_id", "text", doc_hash().alias("text_hash")).join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")))
+        chosen = self._kept(chosen, "chosen")
+        texts = shingle_sets(self.docs, self.width, _hash_bits(chosen, "h", chosen.count()))  # a set is made of few texts
+        sets = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h"))).select("fp", "s")
         if self.repeated:
-            texts = texts.groupBy("fp").agg(F.first("text").alias("text"))
-        sets = self._kept(shingle_sets(texts, self.width), "shingle-sets")
+            sets = sets.groupBy("fp").agg(F.first("s").alias("s"))
+        sets = self._kept(sets, "shingle-sets")
         self.sets = sets if self.sets is None else self.sets.union(sets)
         return self.sets
 
