@@ -34,7 +34,7 @@ from pulselake.llm.components import connected_components
 
 REGISTERS, MANTISSA = 512, 10
 #: (number of bands, registers of each): of the first round, the second and the third.
-FIRST, ALL, STRONG = (8, 7), (56, 7), (480, 16)
+FIRST, ALL, STRONG = (4, 7), (56, 7), (192, 12)
 #: Least similarity of a link, in hundredths.
 PERCENT = 80
 #: A key shared by more distinct texts than this is compared through a centre first.
