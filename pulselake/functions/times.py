@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 
 
 def clock_micros(text: Column) -> Column:
-    """Microseconds of ``SS``, ``MM:SS`` or ``HH:MM:SS``, each with a fraction or without."""
-    parts = F.reverse(F.split(text, ":"))
-    seconds = F.get(parts, F.lit(0)).cast("decimal(18,6)")
-    rest = F.coalesce(F.get(parts, F.lit(1)).cast("long"), F.lit(0)) * 60 + F.coalesce(F.get(parts, F.lit(2)).cast("long"), F.lit(0)) * 3600
-    return (seconds * 1_000_000).cast("long") + rest * 1_000_000
+    """Microseconds of ``SS``, ``MM:SS`` or ``HH:MM:SS``, each with a fraction or without; null where it is
+    none of these."""
+    parts = F.reverse(F.split(F.trim(text), ":"))
+    seconds = F.get(parts, F.lit(0)).try_cast("decimal(18,6)")
+    minutes, hours = (F.when(F.size(parts) > i, F.get(parts, F.lit(i)).try_cast("long")).otherwise(0) for i in (1, 2))
+    return F.when(F.size(parts) <= 3, (seconds * 1_000_000).cast("long") + minutes * 60_000_000 + hours * 3_600_000_000)
+
+
+def timestamp_of(micros: Column) -> Column:
+    """A timestamp without zone of microseconds since the epoch, whatever the session's time zone is."""
+    return F.timestamp_add("MICROSECOND", micros.cast("long"), F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
 
 
 def elapsed_micros(sample: Column, fs: Column | float) -> Column:
@@ -20,7 +26,7 @@ def elapsed_micros(sample: Column, fs: Column | float) -> Column:
 
 def absolute_time(base: Column, sample: Column, fs: Column | float) -> Column:
     """Base time (microseconds since the epoch) plus a sample's time, as a timestamp without zone."""
-    return F.timestamp_micros(base + elapsed_micros(sample, fs)).cast("timestamp_ntz")
+    return timestamp_of(base + elapsed_micros(sample, fs))
 
 
 def to_sample(micros: Column, fs: Column | float) -> Column:
@@ -43,9 +49,9 @@ def up_to(x: Column, base: int) -> Column:
     return (F.ceil(x / base) * base).cast("long")
 
 
-#: Days since the epoch of a date as ``DD/MM/YYYY``, in microseconds.
 def date_micros(text: Column) -> Column:
-    return F.unix_micros(F.try_to_timestamp(text, F.lit("dd/MM/yyyy")))
+    """Microseconds from the epoch to a date as ``DD/MM/YYYY``; null where it is none."""
+    return F.unix_date(F.try_to_date(text, "dd/MM/yyyy")).cast("long") * 86_400_000_000
 
 
 def clock_text(micros: Column) -> Column:

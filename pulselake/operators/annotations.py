@@ -185,7 +185,7 @@ def resample(ann: DataFrame, fs: float, target: float) -> DataFrame:
 
 def violations(ann: DataFrame) -> DataFrame:
     """Annotation rows that break a field's rule: record, ann_no, rule. Samples must not fall with
-    ann_no."""
+    ann_no. Notes, where there is such a column, have at most 255 letters, each of one byte."""
     found = with_previous(ann, "record", "ann_no", F.expr("ann_no div 100000"), name="_before", value="sample")
     rules = {
         "label_range": ~F.col("label_store").between(1, 49),
@@ -197,6 +197,8 @@ def violations(ann: DataFrame) -> DataFrame:
         "negative_sample": F.col("sample") < 0,
         "falling_sample": F.col("sample") < F.col("_before"),
     }
+    if "aux_note" in ann.columns:
+        rules |= {"note_length": F.length("aux_note") > 255, "note_letters": F.col("aux_note").rlike("[^\\x00-\\xff]")}
     broken = F.array_compact(F.array(*[F.when(b, F.lit(name)) for name, b in rules.items()]))
     return found.select("record", "ann_no", F.explode(broken).alias("rule"))
 

@@ -10,11 +10,15 @@ from pulselake.plans.annotation_queries import BOUNDS, LABELS, _bounds
 from pulselake.plans.annotation_queries import WITH as ANN_WITH
 from pulselake.plans.tables import REC_FORMATS, REC_SQL, SKEW, SKEWED, annotations, recording_channels, recording_records, recordings, table
 from pulselake.sources import annotations as ann_files
-from pulselake.sources import headers, signals, tables
+from pulselake.sources import headers, segmented, signals, tables
 from pulselake.sources.files import listed, scratch_folder, write_parts
 
 FROM, TO, BLOCK = 1000, 2000, 600
-WITH = f"WITH rec AS {REC_SQL}, raw AS (SELECT record, k, ch, frame - CASE WHEN k = {SKEWED} AND ch = 1 THEN {SKEW} ELSE 0 END AS frame, dval FROM rec), len AS (SELECT record, k, max(frame) + 1 AS n FROM rec GROUP BY record, k)"
+# The last frames of the skewed channel, of 32 bits, are missing.
+WITH = f"""WITH rec AS {REC_SQL}, len AS (SELECT record, k, max(frame) + 1 AS n FROM rec GROUP BY record, k),
+raw AS (SELECT record, k, ch, frame - CASE WHEN k = {SKEWED} AND ch = 1 THEN {SKEW} ELSE 0 END AS frame, dval FROM rec
+  UNION ALL SELECT record, k, 1, unnest(range(n - {SKEW}, n)), -2147483648 FROM len WHERE k = {SKEWED})"""
+PHYSICAL = "CASE WHEN dval <> -2147483648 THEN round((dval - 10 * ch) / (200.0::DOUBLE + 50 * ch), 6) END"
 SIX = "CASE k " + " ".join(f"WHEN {i} THEN {signals.SIX[f]}" for i, f in enumerate(REC_FORMATS)) + " END"
 
 
@@ -56,6 +60,44 @@ def s10_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.read_signals(spark, f"{folder}/*.dat", chs, smooth=True).select("record", "frame", "dval")
 
 
+#: Frames of a segment of a recording; of four segments the second has signal II only, the last is a gap.
+SEGMENT = 300
+
+
+def _segmented(spark: SparkSession, sf_dir: str) -> tuple[str, tuple[DataFrame, DataFrame, DataFrame]]:
+    """A folder with the recordings in segments under a layout each, and its headers as they are read."""
+    folder, s = scratch_folder(spark, "segments"), recordings(spark, sf_dir)
+    number = F.expr(f"frame div {SEGMENT}")
+    name = F.concat("record", F.lit("s"), number.cast("string"))
+    there = s.withColumn("g", number).where("g % 4 <> 3 and (g % 4 <> 1 or ch = 1)")
+    parts = there.select(name.alias("record"), "ch", (F.col("frame") % SEGMENT).alias("frame"), "sub", "sample", "dval")
+    cut = s.groupBy("record", number.alias("g")).agg(F.count_distinct("frame").alias("seg_len"))
+    segments = cut.select("record", (F.col("g") + 1).alias("seg_no"), F.concat("record", F.lit("s"), F.col("g").cast("string")).alias("seg_name"), "seg_len", (F.col("g") % 4 == 3).alias("is_gap"))
+    layout = cut.select("record", F.lit(0).cast("long").alias("seg_no"), F.concat("record", F.lit("lay")).alias("seg_name"), F.lit(0).cast("long").alias("seg_len"), F.lit(False).alias("is_gap")).distinct()
+    chs = recording_channels(spark).withColumn("skew", F.lit(0))
+    own = cut.where("g % 4 <> 3").join(chs, "record").where("g % 4 <> 1 or ch = 1")
+    seg_name = F.concat("record", F.lit("s"), F.col("g").cast("string"))
+    own = own.select(seg_name.alias("seg"), F.concat(seg_name, F.lit(".dat")).alias("file_name"), *[c for c in chs.columns if c not in ("record", "file_name")]).withColumnRenamed("seg", "record")
+    lay = chs.select(F.concat("record", F.lit("lay")).alias("record"), F.lit("~").alias("file_name"), *[c for c in chs.columns if c not in ("record", "file_name", "fmt")], F.lit("0").alias("fmt"))
+    records = recording_records(spark).withColumn("sig_len", F.lit(0))
+    segmented.write_segments(records, segments.unionByName(layout), own.unionByName(lay), parts, folder)
+    return folder, headers.read_headers(spark, f"{folder}/*.hea")
+
+
+def s7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of records of segments, gaps and missing signals filled."""
+    folder, tables_ = _segmented(spark, sf_dir)
+    out = segmented.read_segments(spark, f"{folder}/*.dat", *tables_, 400, TO, ["II", "I"], block_frames=BLOCK)
+    return out.select("record", F.col("ch").cast("long").alias("ch"), "frame", "dval", F.round("pval", 6).alias("pval"))
+
+
+def s7_segment_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read of each file for a range of one signal."""
+    folder, tables_ = _segmented(spark, sf_dir)
+    plan = segmented.segment_plan(listed(spark, f"{folder}/*.dat"), *tables_, 400, TO, ["I"], block_frames=BLOCK)
+    return plan.select(F.col("as_record").alias("record"), F.expr(f"shift div {SEGMENT}").alias("segment"), "from_byte", "n_bytes", "keep_from", "keep_to")
+
+
 def s11_byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, chs, _ = _written(spark, sf_dir)
     plan = signals.scan_plan(listed(spark, f"{folder}/*.dat"), chs, FROM, TO, block_frames=BLOCK)
@@ -160,8 +202,10 @@ _ANN_ROWS = _ANN_ROWS.replace("chan, event_type FROM ann", "chan, event_type, an
 
 QUERIES = {
     "k1_write_signals": (k1_write_signals, f"{WITH} SELECT record || '.dat' AS file_name, CAST(ceil(n * 2 * ({SIX}) / 6.0) AS BIGINT) AS n_bytes FROM len"),
-    "s7_scan_range": (s7_scan_range, f"{WITH} SELECT record, CAST(ch AS BIGINT) AS ch, frame, dval, round((dval - 10 * ch) / (200.0::DOUBLE + 50 * ch), 6) AS pval FROM raw WHERE frame >= {FROM} AND frame < {TO}"),
-    "s8_samples_wide": (s8_samples_wide, f'{WITH} SELECT record, frame, max(CASE WHEN ch = 1 THEN round((dval - 10) / 250.0::DOUBLE, 6) END) AS "II", max(CASE WHEN ch = 0 THEN round(dval / 200.0::DOUBLE, 6) END) AS "I" FROM raw WHERE frame >= 0 AND frame < 500 GROUP BY record, frame'),
+    "s7_scan_range": (s7_scan_range, f"{WITH} SELECT record, CAST(ch AS BIGINT) AS ch, frame, dval, {PHYSICAL} AS pval FROM raw WHERE frame >= {FROM} AND frame < {TO}"),
+    "s8_samples_wide": (s8_samples_wide, f'{WITH} SELECT record, frame, max(CASE WHEN ch = 1 THEN {PHYSICAL} END) AS "II", max(CASE WHEN ch = 0 THEN {PHYSICAL} END) AS "I" FROM raw WHERE frame >= 0 AND frame < 500 GROUP BY record, frame'),
+    "s7_segments": (s7_segments, f"{WITH} SELECT record, CAST(1 - ch AS BIGINT) AS ch, frame, CASE WHEN there THEN dval END AS dval, CASE WHEN there THEN round((dval - 10 * ch) / (200.0::DOUBLE + 50 * ch), 6) END AS pval FROM (SELECT *, frame // {SEGMENT} % 4 <> 3 AND (frame // {SEGMENT} % 4 <> 1 OR ch = 1) AS there FROM rec WHERE frame >= 400 AND frame < {TO})"),
+    "s7_segment_bytes": (s7_segment_bytes, f"{WITH}, g AS (SELECT record, k, n, unnest(range(0, (n + {SEGMENT - 1}) // {SEGMENT})) AS segment FROM len), c AS (SELECT *, greatest(0, 400 - segment * {SEGMENT}) AS lo, least({SEGMENT}, n - segment * {SEGMENT}, {TO} - segment * {SEGMENT}) AS hi FROM g WHERE segment % 4 NOT IN (1, 3)) SELECT record, segment, CAST((lo - lo % 6) * 2 * ({SIX}) / 6 AS BIGINT) AS from_byte, CAST(ceil((hi - lo + lo % 6) * 2 * ({SIX}) / 6.0) AS BIGINT) AS n_bytes, lo AS keep_from, hi AS keep_to FROM c WHERE lo < hi"),
     "s9_one_channel": (s9_one_channel, f"{WITH} SELECT record, frame, dval FROM raw WHERE ch = 1 AND frame >= {FROM}"),
     "s10_smoothed": (s10_smoothed, f"{WITH} SELECT record, frame // 4 AS frame, CAST(trunc(sum(dval) / 4.0) AS BIGINT) AS dval FROM rec WHERE ch = 0 GROUP BY record, frame // 4"),
     "s11_byte_ranges": (s11_byte_ranges, f"{WITH}, b AS (SELECT record, k, least(n, {TO} + CASE WHEN k = {SKEWED} THEN {SKEW} ELSE 0 END) AS hi FROM len), r AS (SELECT *, unnest(range({FROM - FROM % 6}, hi, {BLOCK})) AS first_frame FROM b) SELECT record, first_frame, least({BLOCK}, hi - first_frame) AS n_frames, CAST(first_frame * 2 * ({SIX}) / 6 AS BIGINT) AS from_byte, CAST(ceil(least({BLOCK}, hi - first_frame) * 2 * ({SIX}) / 6.0) AS BIGINT) AS n_bytes FROM r"),

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulselake.operators.annotations import apply_range, block_of, compact_carried, definitions, sample_deltas, violations
+from pulselake.functions.ordered import with_previous
+from pulselake.operators.annotations import apply_range, block_of, definitions, violations
 from pulselake.sources.files import write_parts
 
 # Codes of words that aren't annotations.
@@ -20,7 +21,8 @@ _OUT = "record string, ann_no long, sample long, label_store int, subtype int, c
 def decode(content: bytes, until: int | None = None) -> Iterator[tuple]:
     """(sample, label_store, subtype, chan, num, aux_note) of one file: it is a chain of words, each of
     which says what the next ones are. chan and num hold on until they change. Reading ends with the
-    first annotation after ``until``."""
+    first annotation after ``until``. A subtype or note before any annotation belongs to none and is left
+    out; what a file that breaks off has of its last word too."""
     at = sample = chan = num = 0
     current = None
     while at + 1 < len(content):
@@ -38,9 +40,11 @@ def decode(content: bytes, until: int | None = None) -> Iterator[tuple]:
         elif code == CHAN:
             chan = low
         elif code == SUB:
-            current[1] = low - 256 if low > 127 else low
+            if current is not None:
+                current[1] = low - 256 if low > 127 else low
         elif code == AUX:
-            current[2] = content[at : at + low].decode("latin-1")
+            if current is not None:
+                current[2] = content[at : at + low].decode("latin-1")
             at += low + low % 2
         else:
             if current is not None:
@@ -98,44 +102,61 @@ def with_definitions(ann: DataFrame, fs: DataFrame | None = None, custom: DataFr
     return out
 
 
-def to_binary(data: object) -> object:
-    """An array of integers from 0 to 255 as binary."""
-    return F.unhex(F.array_join(F.transform(data, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+def encode(step: int, label_store: int, subtype: int, chan: int | None, num: int | None, note: bytes) -> bytes:
+    """The words of an annotation ``step`` samples after the one before; chan and num where they change. A
+    step above 1023 takes words of its own, of at most 2**31 - 1 each."""
+    out = bytearray()
+    if step > 1023:
+        while step > 0:
+            part = min(step, 0x7FFFFFFF)
+            out += bytes((0, SKIP << 2)) + (part >> 16).to_bytes(2, "little") + (part & 0xFFFF).to_bytes(2, "little")
+            step -= part
+    out += bytes((step & 255, label_store << 2 | step >> 8))
+    if subtype:
+        out += bytes((subtype & 255, SUB << 2))
+    for code, value in ((CHAN, chan), (NUM, num)):
+        if value is not None:
+            out += bytes((value, code << 2))
+    if note:
+        out += bytes((len(note), AUX << 2)) + note + b"\0" * (len(note) % 2)
+    return bytes(out)
 
 
 def encode_parts(ann: DataFrame) -> DataFrame:
-    """record, part, content: the bytes of annotation files in parts, made on the JVM. Samples may not
-    fall; a delta above 1023 takes words of its own, in steps of at most 2**31 - 1. chan and num are
-    written where they change."""
-    out = ann
-    for column in ("chan", "num"):
-        out = compact_carried(out, column)
-    out, limit = sample_deltas(out), 0x7FFFFFFF
-
-    def word(code, value):
-        return F.array(value % 256, code * 4 + F.shiftright(value, 8).bitwiseAND(3))
-
-    def skip(step):
-        return F.concat(F.array(F.lit(0).cast("long"), F.lit(SKIP * 4).cast("long")), F.array(*[F.shiftright(step, s).bitwiseAND(255) for s in (16, 24, 0, 8)]))
-
-    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
-    steps = F.when(F.col("n_skips") > 0, F.flatten(F.transform(F.sequence(F.lit(1).cast("long"), F.col("n_skips")), lambda i: skip(F.least(F.lit(limit).cast("long"), F.col("delta") - (i - 1) * limit))))).otherwise(none)
-    note = F.encode("aux_note", "ISO-8859-1")
-    size = F.length(note).cast("long")
-    text = F.transform(F.filter(F.split(F.hex(note), r"(?<=\G..)"), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))
-    parts = [
-        steps,
-        word(F.col("label_store").cast("long"), F.when(F.col("n_skips") > 0, zero).otherwise(F.col("delta"))),
-        F.when(F.col("subtype") != 0, F.array(F.pmod(F.col("subtype").cast("long"), F.lit(256)), F.lit(SUB * 4).cast("long"))).otherwise(none),
-        F.when(F.col("write_chan"), F.array(F.col("chan").cast("long"), F.lit(CHAN * 4).cast("long"))).otherwise(none),
-        F.when(F.col("write_num"), F.array(F.col("num").cast("long"), F.lit(NUM * 4).cast("long"))).otherwise(none),
-        F.when(size > 0, F.concat(F.array(size, F.lit(AUX * 4).cast("long")), text, F.when(size % 2 == 1, F.array(zero)).otherwise(none))).otherwise(none),
-    ]
-    coded = out.select("record", "sample", "ann_no", to_binary(F.concat(*parts)).alias("b"))
-    blocks = coded.groupBy("record", block_of().alias("part")).agg(F.array_sort(F.collect_list(F.struct("sample", "ann_no", "b"))).alias("all"))
-    joined = F.unhex(F.array_join(F.transform("all", lambda x: F.hex(x["b"])), ""))
+    """record, part, content: the bytes of annotation files in parts, one for each block of samples.
+    Samples may not fall; chan and num are written where they change. What the annotation before had is
+    carried once for all fields, and a block's rows stream through one task in order."""
+    kind = ann.schema["record"].dataType.simpleString()
+    now = F.struct(F.col("sample").cast("long").alias("sample"), F.col("chan").cast("int").alias("chan"), F.col("num").cast("int").alias("num"))
+    both = with_previous(ann.withColumn("_now", now), "record", "sample", block_of(), ["ann_no"], "_before", "_now")
+    own = [F.col(c).cast("int").alias(c) for c in ("label_store", "subtype", "chan", "num")]
+    rows = both.select("record", block_of().alias("part"), F.col("sample").cast("long").alias("sample"), "ann_no", *own, "aux_note", *[F.coalesce(f"_before.{c}", F.lit(0)).alias(f"old_{c}") for c in ("sample", "chan", "num")])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, data, first = None, bytearray(), None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([first, pa.array([place[1]], pa.int64()), pa.array([bytes(data)], pa.binary())], names=["record", "part", "content"])
+
+        for batch in batches:
+            for i, (record, part, sample, n, label, subtype, chan, num, note, *old) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if (record, part) != place:
+                    if place is not None:
+                        yield done()
+                    place, data, first = (record, part), bytearray(), batch.column(0).slice(i, 1)
+                try:
+                    text = (note or "").encode("latin-1")
+                    if len(text) > 255 or sample < old[0]:
+                        raise ValueError("a note of over 255 bytes" if len(text) > 255 else "falling samples")
+                    data += encode(sample - old[0], label, subtype, chan if chan != old[1] else None, num if num != old[2] else None, text)
+                except (ValueError, OverflowError) as e:
+                    raise ValueError(f"record {record}, annotation {n}: {e}") from e
+        if place is not None:
+            yield done()
+
+    ordered = rows.repartition("record", "part").sortWithinPartitions("record", "part", "sample", "ann_no")
     last = ann.select("record").distinct().select("record", F.lit(1 << 60).cast("long").alias("part"), F.lit(b"\0\0").alias("content"))
-    return blocks.select("record", "part", joined.alias("content")).unionByName(last)
+    return ordered.mapInArrow(run, f"record {kind}, part long, content binary").unionByName(last)
 
 
 def encode_annotations(ann: DataFrame) -> DataFrame:

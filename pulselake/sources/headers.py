@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulselake.functions import header
+from pulselake.functions.times import timestamp_of
 from pulselake.operators.signals import channel_features
 from pulselake.sources.files import write_parts
 from pulselake.sources.signals import write_signals
@@ -33,7 +34,7 @@ def read_headers(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
 def with_base_time(records: DataFrame) -> DataFrame:
     """Adds base_micros (microseconds since the epoch, null without a date) and base_datetime."""
     out = records.withColumn("base_micros", header.base_micros(F.col("base_time"), F.col("base_date")))
-    return out.withColumn("base_datetime", F.timestamp_micros("base_micros").cast("timestamp_ntz"))
+    return out.withColumn("base_datetime", timestamp_of(F.col("base_micros")))
 
 
 def segment_channels(segments: DataFrame, channels: DataFrame) -> DataFrame:

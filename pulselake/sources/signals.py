@@ -103,21 +103,23 @@ def inferred_length(size: Column, fmt: str, per_frame: Column, byte_offset: Colu
     return F.floor((size - byte_offset) * 6 / (_by_format(SIX, fmt) * per_frame)).cast("long")
 
 
-def scan_plan(files: DataFrame, channels: DataFrame, start: int = 0, end: int | None = None, chosen: DataFrame | None = None, block_frames: int = BLOCK_FRAMES) -> DataFrame:
+def scan_plan(files: DataFrame, channels: DataFrame, start: int = 0, end: int | None = None, chosen: DataFrame | None = None, block_frames: int = BLOCK_FRAMES, ranges: DataFrame | None = None) -> DataFrame:
     """Byte ranges that hold the frames [start, end) of the chosen channels (record, ch; else all): record,
-    path, fmt, chs (of the file, in order), wanted, first_frame, n_frames, from_byte, n_bytes.
+    path, fmt, chs (of the file, in order), wanted, first_frame, n_frames, from_byte, n_bytes, and the
+    frames that are to be kept (keep_from, keep_to) of those in the file (total).
 
-    Ranges begin at a multiple of 6 frames, and reach beyond the end by the largest skew. Format 8 holds
-    differences, so its files are read from their beginning. ``files`` has file_name, path, length; a
-    format that isn't known raises an error.
+    With ``ranges`` (record, start, end) each record has frames of its own, and others aren't read; its
+    further columns go along. Ranges begin at a multiple of 6 frames, and reach beyond the end by the
+    largest skew. Format 8 holds differences, so its files are read from their beginning. ``files`` has
+    file_name, path, length; a format that isn't known raises an error.
     """
     if block_frames % 6 or block_frames <= 0:
         raise ValueError("blocks are multiples of 6 frames")
     if start < 0 or (end is not None and end < start):
         raise ValueError("a range of frames begins at 0 or later and doesn't end before it begins")
-    optional = [c for c in ("skew", "byte_offset", "sig_len") if c not in channels.columns]
-    own = channels.select("*", *[F.lit(None if c == "sig_len" else 0).cast("long").alias(c) for c in optional])
-    slots = F.array_sort(F.collect_list(F.struct("ch", F.coalesce("spf", F.lit(1)).alias("spf"), F.coalesce("skew", F.lit(0)).alias("skew"))))
+    optional = {"skew": F.lit(0), "byte_offset": F.lit(0).cast("long"), "sig_len": F.lit(None).cast("long"), "place": F.col("ch"), "adc_gain": F.lit(None).cast("double"), "baseline": F.lit(None).cast("long")}
+    own = channels.withColumns({c: v for c, v in optional.items() if c not in channels.columns})
+    slots = F.array_sort(F.collect_list(F.struct("ch", F.coalesce("spf", F.lit(1)).alias("spf"), F.coalesce("skew", F.lit(0)).alias("skew"), "place", "adc_gain", "baseline")))
     layout = own.groupBy("record", "file_name").agg(slots.alias("chs"), F.first("fmt").alias("fmt"), F.coalesce(F.first("byte_offset"), F.lit(0)).alias("byte_offset"), F.max("sig_len").alias("sig_len"))
     picked = (own if chosen is None else own.join(chosen.select("record", "ch"), ["record", "ch"], "left_semi")).groupBy("record", "file_name").agg(F.array_sort(F.collect_list("ch")).alias("wanted"))
     out = layout.join(picked, ["record", "file_name"]).join(files, "file_name")
@@ -126,43 +128,59 @@ def scan_plan(files: DataFrame, channels: DataFrame, start: int = 0, end: int |
     held = inferred_length(F.col("length"), "fmt", F.col("per_frame"), F.col("byte_offset"))
     total = F.least(held, F.coalesce(F.col("sig_len"), held))
     skew = F.array_max(F.transform("chs", lambda c: c["skew"]))
-    out = out.withColumn("lo", F.when(F.col("fmt") == "8", F.lit(0)).otherwise(F.lit(start - start % 6)).cast("long"))
-    out = out.withColumn("hi", total if end is None else F.least(total, F.lit(end) + skew)).where("hi > lo")
+    more = [] if ranges is None else [c for c in ranges.columns if c not in ("record", "start", "end")]
+    if ranges is None:
+        out = out.withColumns({"start": F.lit(start).cast("long"), "end": F.lit(end).cast("long")})
+    else:
+        out = out.join(ranges, "record")
+    out = out.withColumns({"total": total, "keep_from": F.col("start"), "keep_to": F.least(total, F.coalesce("end", total))}).where("keep_from < keep_to")
+    out = out.withColumn("lo", F.when(F.col("fmt") == "8", F.lit(0).cast("long")).otherwise(F.col("keep_from") - F.col("keep_from") % 6))
+    out = out.withColumn("hi", F.least("total", F.col("keep_to") + skew))
     out = out.withColumn("first_frame", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(block_frames).cast("long"))))
     out = out.withColumn("n_frames", F.least(F.lit(block_frames), F.col("hi") - F.col("first_frame")))
     n = F.col("n_frames") * F.col("per_frame")
     size, width = _by_format({f: PACKED.get(f, (1, 0))[0] for f in SIX}), _by_format({f: PACKED.get(f, (1, SIX[f] // 6))[1] for f in SIX})
     out = out.withColumn("from_byte", F.col("byte_offset") + (F.col("first_frame") * F.col("per_frame") * F.col("six") / 6).cast("long"))
     out = out.withColumn("n_bytes", F.least((F.ceil(n / size) * width).cast("long"), F.col("length") - F.col("from_byte")))
-    return out.select("record", "path", "fmt", "chs", "wanted", "first_frame", "n_frames", "from_byte", "n_bytes", *[c for c in files.columns if c == "content"])
-
-
-def decode_ranges(plan: DataFrame, start: int = 0, end: int | None = None) -> DataFrame:
-    """record, ch, frame, sub, sample, dval of the ranges of a plan, skew taken out: those of frames
-    [start, end). A plan with a column content has the files' bytes with it."""
-    kind = plan.schema["record"].dataType.simpleString()
-    content = "content" in plan.columns
+    return out.select("record", "path", "fmt", "chs", "wanted", "first_frame", "n_frames", "from_byte", "n_bytes", "keep_from", "keep_to", "total", *more, *[c for c in files.columns if c == "content"])
+
+
+def decode_ranges(plan: DataFrame, physical: bool = False) -> DataFrame:
+    """record, ch, frame, sub, sample, dval of the ranges of a plan, skew taken out: the frames that are to
+    be kept. The last frames of a skewed channel are missing samples (but in format 8). A plan with a
+    column content has the files' bytes with it; one with columns as_record and shift gives frames of
+    another record, from the frame ``shift`` of it on. With ``physical`` there is pval by the plan's
+    gains, null for missing samples."""
+    content, moved = "content" in plan.columns, "as_record" in plan.columns
+    key = "as_record" if moved else "record"
+    kind = plan.schema[key].dataType.simpleString()
+    missing = {f[0]: f[5] for f in dims.DAT_FORMATS}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            names = batch.column(batch.schema.get_field_index(key))
             for i, row in enumerate(batch.to_pylist()):
                 data = row["content"][row["from_byte"] : row["from_byte"] + row["n_bytes"]] if content else read_range(row["path"], row["from_byte"], row["n_bytes"])
-                slots = [(c["ch"], k, c["spf"], c["skew"]) for c in row["chs"] for k in range(c["spf"])]
+                slots = [(c, k) for c in row["chs"] for k in range(c["spf"])]
                 values = unpack(data, row["fmt"], row["n_frames"] * len(slots)).reshape(-1, len(slots))
-                wanted = set(row["wanted"])
-                for j, (ch, sub, spf, skew) in enumerate(slots):
-                    if ch not in wanted:
+                wanted, no_value = set(row["wanted"]), missing.get(row["fmt"])
+                shift = row["shift"] if moved else 0
+                for j, (c, sub) in enumerate(slots):
+                    if c["ch"] not in wanted:
                         continue
-                    frame = np.arange(len(values)) + row["first_frame"] - skew
-                    keep = frame >= (0 if row["fmt"] == "8" else start)
-                    if end is not None:
-                        keep &= frame < end
-                    frame, v = frame[keep], values[keep, j]
+                    frame, v = np.arange(len(values)) + row["first_frame"] - c["skew"], values[:, j]
+                    if c["skew"] and no_value is not None and row["first_frame"] + row["n_frames"] == row["total"]:
+                        tail = np.arange(max(0, row["total"] - c["skew"]), row["total"])
+                        frame, v = np.append(frame, tail), np.append(v, np.full(len(tail), no_value))
+                    keep = (frame >= (0 if row["fmt"] == "8" else row["keep_from"])) & (frame < row["keep_to"])
+                    frame, v = frame[keep] + shift, v[keep]
                     same = pa.array(np.zeros(len(v), np.int64))
-                    arrays = [batch.column(0).slice(i, 1).take(same), np.full(len(v), ch, np.int32), frame, np.full(len(v), sub, np.int32), frame * spf + sub, v]
-                    yield pa.RecordBatch.from_arrays([pa.array(a) if isinstance(a, np.ndarray) else a for a in arrays], names=["record", "ch", "frame", "sub", "sample", "dval"])
+                    arrays = [names.slice(i, 1).take(same), *map(pa.array, (np.full(len(v), c["place"], np.int32), frame, np.full(len(v), sub, np.int32), frame * c["spf"] + sub, v))]
+                    if physical:
+                        arrays.append(pa.array((v - c["baseline"]) / c["adc_gain"], mask=v == no_value) if no_value is not None else pa.array((v - c["baseline"]) / c["adc_gain"]))
+                    yield pa.RecordBatch.from_arrays(arrays, names=["record", "ch", "frame", "sub", "sample", "dval", "pval"][: len(arrays)])
 
-    return plan.mapInArrow(run, f"record {kind}, ch int, frame long, sub int, sample long, dval long")
+    return plan.mapInArrow(run, f"record {kind}, ch int, frame long, sub int, sample long, dval long" + ", pval double" * physical)
 
 
 def _summed(samples: DataFrame, channels: DataFrame, start: int) -> DataFrame:
@@ -179,8 +197,8 @@ def decode_files(files: DataFrame, channels: DataFrame, start: int = 0, end: int
 
 
 def _decoded(plan: DataFrame, channels: DataFrame, start: int, end: int | None) -> DataFrame:
-    plain = decode_ranges(plan.where("fmt <> '8'"), start, end)
-    return plain.unionByName(_summed(decode_ranges(plan.where("fmt = '8'"), start, end), channels, start))
+    plain = decode_ranges(plan.where("fmt <> '8'"))
+    return plain.unionByName(_summed(decode_ranges(plan.where("fmt = '8'")), channels, start))
 
 
 def read_signals(spark: SparkSession, path: str, channels: DataFrame, start: int = 0, end: int | None = None, names: list[str] | None = None, numbers: list[int] | None = None, physical: bool = False, smooth: bool = False, skewed: bool = False, block_frames: int = BLOCK_FRAMES) -> DataFrame:
