@@ -25,6 +25,7 @@ BLOCK_FRAMES = 6 * 16384
 
 # Bytes of six samples, and samples and bytes of a group that is packed together.
 SIX = {"8": 6, "80": 6, "16": 12, "61": 12, "160": 12, "24": 18, "32": 24, "212": 9, "310": 8, "311": 8}
+MISSING = {f[0]: f[5] for f in dims.DAT_FORMATS}
 PACKED = {"212": (2, 3), "310": (3, 4), "311": (3, 4)}
 
 
@@ -154,35 +155,39 @@ def decode_ranges(plan: DataFrame, physical: bool = False) -> DataFrame:
     content, moved = "content" in plan.columns, "as_record" in plan.columns
     key = "as_record" if moved else "record"
     kind = plan.schema[key].dataType.simpleString()
-    missing = {f[0]: f[5] for f in dims.DAT_FORMATS}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.column(batch.schema.get_field_index(key))
             for i, row in enumerate(batch.to_pylist()):
                 data = row["content"][row["from_byte"] : row["from_byte"] + row["n_bytes"]] if content else read_range(row["path"], row["from_byte"], row["n_bytes"])
-                slots = [(c, k) for c in row["chs"] for k in range(c["spf"])]
-                values = unpack(data, row["fmt"], row["n_frames"] * len(slots)).reshape(-1, len(slots))
-                wanted, no_value = set(row["wanted"]), missing.get(row["fmt"])
-                shift = row["shift"] if moved else 0
-                for j, (c, sub) in enumerate(slots):
-                    if c["ch"] not in wanted:
-                        continue
-                    frame, v = np.arange(len(values)) + row["first_frame"] - c["skew"], values[:, j]
-                    if c["skew"] and no_value is not None and row["first_frame"] + row["n_frames"] == row["total"]:
-                        tail = np.arange(max(0, row["total"] - c["skew"]), row["total"])
-                        frame, v = np.append(frame, tail), np.append(v, np.full(len(tail), no_value))
-                    keep = (frame >= (0 if row["fmt"] == "8" else row["keep_from"])) & (frame < row["keep_to"])
-                    frame, v = frame[keep] + shift, v[keep]
+                for c, sub, frame, v, pval in decoded_channels(row, data, physical):
+                    frame = frame + (row["shift"] if moved else 0)
                     same = pa.array(np.zeros(len(v), np.int64))
                     arrays = [names.slice(i, 1).take(same), *map(pa.array, (np.full(len(v), c["place"], np.int32), frame, np.full(len(v), sub, np.int32), frame * c["spf"] + sub, v))]
-                    if physical:
-                        arrays.append(pa.array((v - c["baseline"]) / c["adc_gain"], mask=v == no_value) if no_value is not None else pa.array((v - c["baseline"]) / c["adc_gain"]))
-                    yield pa.RecordBatch.from_arrays(arrays, names=["record", "ch", "frame", "sub", "sample", "dval", "pval"][: len(arrays)])
+                    yield pa.RecordBatch.from_arrays([*arrays, pval] if physical else arrays, names=["record", "ch", "frame", "sub", "sample", "dval", "pval"][: len(arrays) + physical])
 
     return plan.mapInArrow(run, f"record {kind}, ch int, frame long, sub int, sample long, dval long" + ", pval double" * physical)
 
 
+def decoded_channels(row: dict, data: bytes, physical: bool = False) -> Iterator[tuple[dict, int, np.ndarray, np.ndarray, pa.Array | None]]:
+    """(channel, sub, frames, dval, pval or None) of the wanted channels in a range of ``scan_plan`` and
+    its bytes: the frames that are to be kept."""
+    slots = [(c, k) for c in row["chs"] for k in range(c["spf"])]
+    values = unpack(data, row["fmt"], row["n_frames"] * len(slots)).reshape(-1, len(slots))
+    no_value = MISSING.get(row["fmt"])
+    for j, (c, sub) in enumerate(slots):
+        if c["ch"] not in row["wanted"]:
+            continue
+        frame, v = np.arange(len(values)) + row["first_frame"] - c["skew"], values[:, j]
+        if c["skew"] and no_value is not None and row["first_frame"] + row["n_frames"] == row["total"]:
+            tail = np.arange(max(0, row["total"] - c["skew"]), row["total"])
+            frame, v = np.append(frame, tail), np.append(v, np.full(len(tail), no_value))
+        keep = (frame >= (0 if row["fmt"] == "8" else row["keep_from"])) & (frame < row["keep_to"])
+        frame, v = frame[keep], v[keep]
+        yield c, sub, frame, v, pa.array((v - c["baseline"]) / c["adc_gain"], mask=v == no_value if no_value is not None else None) if physical else None
+
+
 def _summed(samples: DataFrame, channels: DataFrame, start: int) -> DataFrame:
     """Samples of format 8: running sums of the differences, from the value of the header on."""
     first = channels.select("record", "ch", F.coalesce("init_value", F.lit(0)).cast("long").alias("_first")) if "init_value" in channels.columns else channels.select("record", "ch", F.lit(0).cast("long").alias("_first"))
@@ -233,7 +238,6 @@ def encode_parts(samples: DataFrame, channels: DataFrame, block_frames: int = BL
     block's samples channel by channel instead of frame by frame."""
     if block_frames <= 0 or (block_frames % 6 and not by_channel):
         raise ValueError("blocks are multiples of 6 frames")
-    missing = {f[0]: f[5] for f in dims.DAT_FORMATS}
     own = samples.join(channels.select("record", "ch", "file_name", "fmt"), ["record", "ch"]).withColumn("part", F.expr(f"frame div {block_frames}"))
     order = F.struct("ch", "frame", "sub", "dval") if by_channel else F.struct("frame", "ch", "sub", "dval")
     blocks = own.groupBy("file_name", "part").agg(F.first("fmt").alias("fmt"), F.transform(F.array_sort(F.collect_list(order)), lambda x: x["dval"]).alias("v"))
@@ -242,7 +246,7 @@ def encode_parts(samples: DataFrame, channels: DataFrame, block_frames: int = BL
         for batch in batches:
             for i in range(batch.num_rows):
                 fmt = batch.column(2)[i].as_py()
-                values = batch.column(3)[i].values.fill_null(missing.get(fmt) or 0).to_numpy()
+                values = batch.column(3)[i].values.fill_null(MISSING.get(fmt) or 0).to_numpy()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([pack(values, fmt)], pa.binary())], names=["file_name", "part", "content"])
 
     return blocks.select("file_name", "part", "fmt", "v").mapInArrow(run, "file_name string, part long, content binary")
