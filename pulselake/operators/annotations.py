@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulselake.functions.ordered import with_known, with_previous, with_running_sum
+from pulselake.functions.ordered import with_known, with_neighbours, with_previous, with_running_sum
 
 #: Samples of a block in which a record's rows are handled together: some hours at usual frequencies.
 BLOCK = 1 << 22
@@ -161,11 +161,10 @@ def hr_steps(ann: DataFrame, fs: float, lengths: DataFrame | None = None) -> Dat
     """Instantaneous heart rate as steps: the rate of the interval that ends at a beat holds after it,
     up to the next beat. Rates begin with the second beat. With ``lengths`` (record, sig_len) the last
     step goes on to the record's end; else it ends with the last beat."""
-    rr = rr_intervals(ann, fs)
-    from_back = rr.select("record", (-F.col("sample")).alias("back"), (-F.col("ann_no")).alias("ann_no"), "rr", "sample")
-    out = with_previous(from_back, "record", "back", F.floor(F.col("back") / BLOCK), ["ann_no"], name="_next")
-    rate = F.when(F.col("rr") > 0, 60.0 * fs / F.col("rr"))
-    steps = out.where("_next is not null").select("record", (F.col("sample") + 1).alias("start_sample"), (-F.col("_next")).alias("end_sample"), rate.alias("hr"))
+    beats = with_neighbours(ann, "record", "sample", block_of(), ["ann_no"], previous="_previous", following="_next")
+    rr = F.col("sample") - F.col("_previous")
+    rate = F.when(rr > 0, 60.0 * fs / rr)
+    steps = beats.where("_previous is not null and _next is not null").select("record", (F.col("sample") + 1).alias("start_sample"), F.col("_next").alias("end_sample"), rate.alias("hr"))
     if lengths is None:
         return steps
     last = ann.groupBy("record").agg(F.max("sample").alias("_last")).join(lengths.select("record", "sig_len"), "record")

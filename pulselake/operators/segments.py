@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulselake.functions.ordered import with_previous, with_running_sum
+from pulselake.sources.files import settled
 
 BLOCK = 100_000
 
@@ -25,12 +26,24 @@ RANGE_BLOCK, BUCKET = 1 << 22, 1 << 16
 
 
 def _islands(ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """Joins ranges (start, end) that touch, by keys; no two may overlap."""
-    block = F.expr(f"start div {RANGE_BLOCK}")
-    marked = with_previous(ranges, keys, "start", block, ["end"], "_before", "end")
-    new = F.when(F.col("_before") == F.col("start"), 0).otherwise(1)
-    runs = with_running_sum(marked, keys, "start", block, new, ["end"], "_run")
-    return runs.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+    """Joins ranges (start, end) that touch, by keys; no two may overlap.
+
+    Each block of samples joins its own first, which leaves a row an island. Only the first and the last
+    island of a block can go on in another one: these alone meet by key. What comes before is written
+    once, as both parts read it.
+    """
+    inner = Window.partitionBy(*keys, "_block").orderBy("start", "end")
+    marked = ranges.select(*keys, "start", "end", F.expr(f"start div {RANGE_BLOCK}").alias("_block"))
+    marked = marked.withColumn("_new", F.when(F.lag("end").over(inner) == F.col("start"), 0).otherwise(1))
+    runs = marked.withColumn("_run", F.sum("_new").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    own = runs.groupBy(*keys, "_block", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    whole = Window.partitionBy(*keys, "_block")
+    own = settled(own.withColumn("_edge", (F.col("_run") == 1) | (F.col("_run") == F.max("_run").over(whole))), "islands")
+    order = Window.partitionBy(*keys).orderBy("start", "end")  # two rows a block at most
+    edges = own.where("_edge").withColumn("_new", F.when(F.lag("end").over(order) == F.col("start"), 0).otherwise(1))
+    edges = edges.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = edges.groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return own.where("not _edge").select(*keys, "start", "end").unionByName(joined.drop("_run"))
 
 
 def signal_ranges(placed: DataFrame, channels: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pulselake.operators import segments as seg
 from pulselake.operators import signals as sig
 from pulselake.plans.tables import CHAN_SQL, SEG_SQL, channels, segments, table
 from pulselake.sources import headers, tables
+from pulselake.sources.files import settled
 
 WITH = f"WITH seg AS {SEG_SQL}, chan AS {CHAN_SQL}"
 _ISLANDS = """, {name} AS (SELECT {keys}, min(s) AS start, max(e) AS "end" FROM (SELECT *, sum(n) OVER (PARTITION BY {keys} ORDER BY s) AS run FROM (SELECT *, CASE WHEN lag(e) OVER (PARTITION BY {keys} ORDER BY s) = s THEN 0 ELSE 1 END AS n FROM ({rows}))) GROUP BY {keys}, run)"""
@@ -23,7 +24,7 @@ ARRANGED = WITH + ", cut AS (SELECT record, seg_no, is_gap, least(seg_len, 12000
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir)
+    s = settled(segments(spark, sf_dir))
     return seg.signal_ranges(s, channels(s))
 
 
@@ -36,7 +37,7 @@ def w8_signal_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w9_combined_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = segments(spark, sf_dir)
+    s = settled(segments(spark, sf_dir))
     return seg.combined_ranges(s, channels(s), ["I", "II"])
 
 
