@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from pulselake import dims
 from pulselake.functions import codec
-from pulselake.operators import beats
+from pulselake.operators import beats, filters
 from pulselake.operators import signals as sig
-from pulselake.plans.tables import SIG_SQL, samples, table
+from pulselake.plans.tables import REC_SQL, SIG_SQL, recordings, samples, table
 from pulselake.sources.signals import inferred_length
 
 WITH = f"WITH sig AS {SIG_SQL}"
@@ -237,6 +237,36 @@ _FLAT = f"""{_PEAKS}, f AS (SELECT record, sample, last, v - sum(CAST(v AS DOUBL
 n AS (SELECT p.record, p.sample AS peak, f.sample, f.d, row_number() OVER (PARTITION BY p.record, p.sample ORDER BY f.d DESC, f.sample) AS u, row_number() OVER (PARTITION BY p.record, p.sample ORDER BY f.d, f.sample) AS w, row_number() OVER (PARTITION BY p.record, p.sample ORDER BY abs(f.d) DESC, f.sample) AS b FROM p JOIN f ON f.record = p.record AND f.sample BETWEEN p.sample - 4 AND p.sample + 3 AND f.sample < f.last)"""
 _BEATS = "x AS (SELECT record, sample, CAST(dval - lag(dval) OVER (PARTITION BY record ORDER BY sample) AS DOUBLE) AS d FROM sig), y AS (SELECT record, sample, sum(d * d) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS energy FROM x), z AS (SELECT *, max(energy) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS m, avg(energy) OVER (PARTITION BY record) AS mean FROM y)"
 
+def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recordings(spark, sf_dir).select("record", "ch", "sample", (F.col("dval") / 1000).alias("pval"))
+
+
+def d1_bandpass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings between 5 and 20 a second, in blocks of 512 samples."""
+    out = filters.zero_phase(_recorded(spark, sf_dir), *filters.butterworth_bandpass(5, 20, 360.0), block=512)
+    return out.select("record", F.col("ch").cast("long").alias("ch"), "sample", F.round("pval", 6).alias("pval"))
+
+
+def d2_moving_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = filters.moving_wave(_recorded(spark, sf_dir), 9, 2.0)
+    return out.select("record", F.col("ch").cast("long").alias("ch"), "sample", F.round("pval", 6).alias("pval"))
+
+
+def d2_wave_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the integrated wave is largest within 20 samples on both sides."""
+    wave = filters.moving_wave(_recorded(spark, sf_dir), 9, 2.0).withColumn("pval", F.round("pval", 6))
+    return sig.local_peaks(wave, 20).select("record", F.col("ch").cast("long").alias("ch"), "sample")
+
+
+# Channels mirrored at their ends, then the wavelet forward and backward; beyond the ends the last value holds.
+_WAVE = f"""WITH s AS (SELECT record, ch, frame AS n, dval / 1000.0::DOUBLE AS x FROM {REC_SQL}), e AS (SELECT record, ch, min(n) AS lo, max(n) AS hi, arg_min(x, n) AS a, arg_max(x, n) AS z FROM s GROUP BY record, ch HAVING count(*) > 27),
+x AS (SELECT record, ch, n, x FROM s JOIN e USING (record, ch) UNION ALL SELECT record, ch, 2 * lo - n, 2 * a - x FROM s JOIN e USING (record, ch) WHERE n > lo AND n <= lo + 27 UNION ALL SELECT record, ch, 2 * hi - n, 2 * z - x FROM s JOIN e USING (record, ch) WHERE n < hi AND n >= hi - 27),
+w AS (SELECT k, 2 / (sqrt(6.0::DOUBLE) * pow(pi(), 0.25)) * (1 - (k - 4) * (k - 4) / 4.0::DOUBLE) * exp(-(k - 4) * (k - 4) / 8.0::DOUBLE) AS c FROM range(0, 9) r(k)),
+f AS (SELECT x.record, x.ch, x.n + k AS n, x.x * c AS v FROM x, w UNION ALL SELECT record, ch, lo - 27 + d, (2 * a - x) * c FROM s JOIN e USING (record, ch) JOIN (SELECT k - j AS d, c FROM w, range(1, 9) q(j) WHERE j <= k) ON true WHERE n = lo + 27),
+y AS (SELECT f.record, f.ch, n, sum(v) AS y FROM f JOIN e ON e.record = f.record AND e.ch = f.ch AND n BETWEEN lo - 27 AND hi + 27 GROUP BY f.record, f.ch, n),
+b AS (SELECT record, ch, n - k AS n, y * c AS v FROM y, w UNION ALL SELECT y.record, y.ch, hi + 27 - d, y * c FROM y JOIN e USING (record, ch) JOIN (SELECT k - j AS d, c FROM w, range(1, 9) q(j) WHERE j <= k) ON true WHERE n = hi + 27),
+m AS (SELECT b.record, b.ch, n AS sample, round(pow(sum(v), 2), 6) AS pval FROM b JOIN e ON e.record = b.record AND e.ch = b.ch AND n BETWEEN lo AND hi GROUP BY b.record, b.ch, n)"""
+
 QUERIES = {
     "p1_dac": (p1_dac, f"{WITH} SELECT record, sample, CASE WHEN sample % 9 <> 0 AND dval <> -2048 THEN round((dval - 24) / 200.0, 6) END AS pval FROM sig"),
     "p2_adc": (p2_adc, f"{WITH} SELECT record, sample, CASE WHEN sample % 9 = 0 THEN -2048 ELSE CAST(round_even(round_even(pval, 2) * 50 + 24, 0) AS BIGINT) END AS dval FROM sig"),
@@ -289,4 +319,7 @@ SELECT sig.record, sample, fmt, round(gain, 6) AS adc_gain, CAST(base AS BIGINT)
     "s18_fmt310_roundtrip": (_round_trip("310", -512, 511), _round_trip_sql(-512, 511, 3, "[2 * (a & 127), ((a >> 7) & 7) + 8 * (c & 31), 2 * (b & 127), ((b >> 7) & 7) + 8 * ((c >> 5) & 31)]")),
     "s19_fmt311_roundtrip": (_round_trip("311", -512, 511), _round_trip_sql(-512, 511, 3, "[a & 255, ((a >> 8) & 3) + 4 * (b & 63), ((b >> 6) & 15) + 16 * (c & 15), (c >> 4) & 63]")),
     "s20_fmt24_roundtrip": (_round_trip("24", -(2**23), 2**23 - 1), _round_trip_sql(-(2**23), 2**23 - 1, 1, "[a & 255, (a >> 8) & 255, (a >> 16) & 255]")),
+    "d1_bandpass": (d1_bandpass, None),
+    "d2_moving_wave": (d2_moving_wave, f"{_WAVE} SELECT record, CAST(ch AS BIGINT) AS ch, sample, pval FROM m"),
+    "d2_wave_peaks": (d2_wave_peaks, f"{_WAVE} SELECT record, CAST(ch AS BIGINT) AS ch, sample FROM (SELECT *, max(pval) OVER (PARTITION BY record, ch ORDER BY sample ROWS BETWEEN 20 PRECEDING AND 19 FOLLOWING) AS most FROM m) WHERE pval = most"),
 }
