@@ -218,11 +218,18 @@ def g5_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m7_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.ann_labels(spark).withColumn("label_store", F.col("label_store").cast("long"))
+    """Every standard label and how many annotations have its symbol."""
+    used = annotations(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"))
+    out = dims.ann_labels(spark).join(used, "symbol", "left")
+    return out.select(F.col("label_store").cast("long").alias("label_store"), "symbol", "short_description", "description", "is_qrs", F.coalesce("n", F.lit(0)).alias("n_used"))
 
 
 def m9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.ann_classes(spark)
+    """Annotations and records of every class of annotators; records are dealt to the classes."""
+    names = F.array(*[F.lit(c[0]) for c in dims.ANN_CLASSES])
+    own = annotations(spark, sf_dir).select("record", F.element_at(names, (F.col("record") % len(dims.ANN_CLASSES) + 1).cast("int")).alias("extension"))
+    found = own.groupBy("extension").agg(F.count("*").alias("n"), F.count_distinct("record").alias("n_records"))
+    return dims.ann_classes(spark).join(found, "extension", "left").select("extension", "description", "human_reviewed", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_records", F.lit(0)).alias("n_records"))
 
 
 def g10_label_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +301,7 @@ QUERIES = {
     "g4_greedy_stats": (g4_greedy_stats, f"{GREEDY}, s AS (SELECT sides.record, (SELECT count(*) FROM m WHERE m.record = sides.record) AS tp, len(coalesce(r, [])) AS r, len(coalesce(t, [])) AS t FROM sides) SELECT record, tp, t - tp AS fp, r - tp AS fn, round(tp / nullif(r, 0), 6) AS sensitivity, round(tp / nullif(t, 0), 6) AS positive_predictivity FROM s"),
     "g4_match_stats": (g4_match_stats, f"{STATS} SELECT record, tp, fp, fn, round(se, 6) AS sensitivity, round(pp, 6) AS positive_predictivity FROM s"),
     "g5_benchmark": (g5_benchmark, f"{STATS} SELECT round(avg(se), 6) AS sensitivity, round(avg(pp), 6) AS positive_predictivity, count(*) AS n_records FROM s"),
-    "m7_labels": (m7_labels, f"SELECT CAST(label_store AS BIGINT) AS label_store, symbol, short_description, description, is_qrs FROM {LABELS}"),
-    "m9_classes": (m9_classes, f"SELECT * FROM {dims.sql_values(dims.ANN_CLASSES)} AS c(extension, description, human_reviewed)"),
+    "m7_labels": (m7_labels, f"WITH ann AS {ANN_SQL}, u AS (SELECT symbol, count(*) AS n FROM ann GROUP BY symbol) SELECT CAST(label_store AS BIGINT) AS label_store, lab.symbol, short_description, description, is_qrs, coalesce(n, 0) AS n_used FROM {LABELS} LEFT JOIN u ON u.symbol = lab.symbol"),
+    "m9_classes": (m9_classes, f"WITH ann AS {ANN_SQL}, u AS (SELECT record % {len(dims.ANN_CLASSES)} AS k, count(*) AS n, count(DISTINCT record) AS n_records FROM ann GROUP BY 1) SELECT extension, description, human_reviewed, coalesce(n, 0) AS n, coalesce(n_records, 0) AS n_records FROM {dims.sql_values([(i, *c) for i, c in enumerate(dims.ANN_CLASSES)])} AS c(k, extension, description, human_reviewed) LEFT JOIN u ON u.k = c.k"),
     "g10_label_cube": (g10_label_cube, f"{WITH} SELECT symbol, chan, count(*) AS n, count(DISTINCT record) AS n_records FROM ann GROUP BY CUBE (symbol, chan)"),
 }

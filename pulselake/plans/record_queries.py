@@ -11,7 +11,7 @@ from pulselake.plans.annotation_queries import WITH as ANN_WITH
 from pulselake.plans.tables import REC_FORMATS, REC_SQL, SKEW, SKEWED, annotations, recording_channels, recording_records, recordings, table
 from pulselake.sources import annotations as ann_files
 from pulselake.sources import headers, segmented, signals, tables
-from pulselake.sources.files import listed, scratch_folder, write_parts
+from pulselake.sources.files import listed, scratch_folder, settled, write_parts
 
 FROM, TO, BLOCK = 1000, 2000, 600
 # The last frames of the skewed channel, of 32 bits, are missing.
@@ -162,6 +162,19 @@ def s29_edf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.read_edf(spark, f"{folder}/*.edf", first=1, last=8, blocks=3).select("record", F.col("ch").cast("long").alias("ch"), "sample", "dval")
 
 
+def s29_mixed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of two rates as EDF files: the second channel has two samples a frame of the first."""
+    folder, s = scratch_folder(spark, "edf"), recordings(spark, sf_dir)
+    half = F.when(F.col("ch") == 0, F.col("frame") % 2 == 0).otherwise(True)
+    parts = s.where(half).select("record", "ch", F.expr("frame div 2").alias("frame"), F.when(F.col("ch") == 0, 0).otherwise(F.col("frame") % 2).cast("int").alias("sub"), "dval")
+    lengths = parts.groupBy("record").agg((F.max("frame") + 1).alias("sig_len"))
+    chs = recording_channels(spark).withColumn("spf", F.col("ch") + 1)
+    signals.write_edf(parts, chs, recording_records(spark).withColumn("fs", F.lit(180.0)).join(lengths, "record"), folder)
+    found = signals.edf_channels(spark, f"{folder}/*.edf").select("record", "ch", "spf", "fs", "base")
+    out = signals.read_edf(spark, f"{folder}/*.edf", last=5, blocks=2).join(F.broadcast(found), ["record", "ch"])  # a row a channel
+    return out.select("record", F.col("ch").cast("long").alias("ch"), "frame", F.col("sub").cast("long").alias("sub"), "dval", F.col("spf").cast("long").alias("spf"), "fs", "base")
+
+
 def k11_edf_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = recordings(spark, sf_dir)
     lengths = s.groupBy("record").agg((F.max("frame") + 1).alias("sig_len"))
@@ -188,6 +201,31 @@ def k12_mat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.write_mat(s, recording_channels(spark), _lengths(spark, s), scratch_folder(spark, "mat"))
 
 
+def s27_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings as CSV files without sample numbers, read, calibrated, written as signal files, read again."""
+    folder, s = scratch_folder(spark, "csv"), recordings(spark, sf_dir)
+    lines = s.groupBy("record", "frame").agg(F.max(F.when(F.col("ch") == 0, F.col("dval"))).alias("a"), F.max(F.when(F.col("ch") == 1, F.col("dval"))).alias("b"))
+    lines = lines.select(F.concat("record", F.lit(".csv")).alias("file_name"), (F.col("frame") + 1).alias("part"), F.encode(F.format_string("%.3f,%s\n", F.col("a") / 1000, F.when(F.col("frame") % 7 == 0, "").otherwise(F.format_string("%.3f", F.col("b") / 1000))), "UTF-8").alias("content"))
+    heads = s.select(F.concat("record", F.lit(".csv")).alias("file_name"), F.lit(0).cast("long").alias("part"), F.lit(b"I,II\n").alias("content")).distinct()
+    write_parts(lines.unionByName(heads), folder)
+    got, chs = tables.csv_record(tables.read_signal_csv(spark, f"{folder}/*.csv", ["I", "II"], numbered=False), adc_gain=[1000.0, 500.0], baseline=[0, 7])
+    got, chs = settled(got), settled(chs)
+    signals.write_signals(got, chs, folder)
+    out = signals.read_signals(spark, f"{folder}/*.dat", chs, physical=True)
+    return out.select("record", F.col("ch").cast("long").alias("ch"), "frame", "dval", F.round("pval", 6).alias("pval"))
+
+
+def s28_annotation_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as CSV files of seconds and texts, one for each of a few types."""
+    folder = scratch_folder(spark, "notes")
+    a = annotations(spark, sf_dir).select("event_type", "ann_no", (F.col("sample") % 100_000 / 8).alias("onset"))
+    name = F.concat("event_type", F.lit(".csv")).alias("file_name")
+    lines = a.select(name, (F.col("ann_no") + 1).alias("part"), F.encode(F.concat(F.col("onset").cast("decimal(12,3)").cast("string"), F.lit(",note "), F.col("ann_no").cast("string"), F.lit("\n")), "UTF-8").alias("content"))
+    write_parts(lines.unionByName(a.select(name, F.lit(0).cast("long").alias("part"), F.lit(b"onset,description\n").alias("content")).distinct()), folder)
+    out = tables.read_annotation_csv(spark, f"{folder}/*.csv", 16.0, duration=False)
+    return out.select("record", "sample", "ann_no", F.col("subtype").cast("long").alias("subtype"), "aux_note", "duration")
+
+
 def s35_record_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_folder(spark, "lists")
     text = table(spark, sf_dir, "nation").select(F.lit("RECORDS").alias("file_name"), F.col("n_nationkey").cast("long").alias("part"), F.encode(F.concat("n_name", F.lit("\t"), F.col("n_regionkey").cast("string"), F.lit("\n")), "UTF-8").alias("content"))
@@ -214,9 +252,12 @@ QUERIES = {
     "s24_annotation_range": (s24_annotation_range, f"{_ANN_ROWS}, {BOUNDS} SELECT record, ann_no, sample - lo AS sample, label_store, subtype, chan, num, aux_note FROM rows_, b WHERE sample BETWEEN lo AND hi"),
     "s26_definitions": (s26_definitions, "SELECT CAST(n_regionkey AS VARCHAR) AS record, n_regionkey / 2.0::DOUBLE + 250 AS fs, CAST(n_nationkey + 20 AS BIGINT) AS label_store, lower(substr(n_name, 1, 2)) AS symbol, n_name AS description, CAST(1 AS BIGINT) AS n_left FROM nation"),
     "s29_edf": (s29_edf, f"{WITH} SELECT record, CAST(ch AS BIGINT) AS ch, frame AS sample, dval FROM rec WHERE frame >= 360 AND frame < 8 * 360 UNION ALL SELECT record, CAST(ch AS BIGINT), unnest(range(n, least(CAST(ceil(n / 360.0) AS BIGINT), 8) * 360)) AS sample, -32768 FROM len, (VALUES (0), (1)) AS c(ch)"),
+    "s29_mixed_rates": (s29_mixed_rates, f"{WITH}, p AS (SELECT record, ch, frame // 2 AS frame, CASE WHEN ch = 1 THEN frame % 2 ELSE 0 END AS sub, dval FROM rec WHERE ch = 1 OR frame % 2 = 0), l AS (SELECT record, max(frame) + 1 AS n FROM p GROUP BY record), f AS (SELECT record, unnest(range(n, CAST(ceil(n / 180.0) * 180 AS BIGINT))) AS frame FROM l), a AS (SELECT * FROM p UNION ALL SELECT record, ch, frame, s, -32768 FROM f, (VALUES (0, 0), (1, 0), (1, 1)) AS c(ch, s)) SELECT record, CAST(ch AS BIGINT) AS ch, frame, CAST(sub AS BIGINT) AS sub, dval, CAST(ch + 1 AS BIGINT) AS spf, 180.0::DOUBLE AS fs, '01.02.0310.00.00' AS base FROM a WHERE frame < 5 * 180"),
     "k11_edf_bytes": (k11_edf_bytes, f"{WITH} SELECT record || '.edf' AS file_name, CAST(768 + ceil(n / 360.0) * 360 * 4 AS BIGINT) AS n_bytes FROM len"),
     "s31_wav": (s31_wav, f"{WITH} SELECT record, CAST(ch AS BIGINT) AS ch, frame, dval FROM rec WHERE frame >= {FROM} AND frame < {TO}"),
     "k13_wav_bytes": (k13_wav_bytes, f"{WITH} SELECT record || '.wav' AS file_name, 44 + n * 4 AS n_bytes FROM len"),
     "k12_mat_bytes": (k12_mat_bytes, f"{WITH} SELECT record || '.mat' AS file_name, CAST(184 + ceil(n * 4 / 8.0) * 8 AS BIGINT) AS n_bytes FROM len"),
+    "s27_csv": (s27_csv, f"{WITH} SELECT record, CAST(ch AS BIGINT) AS ch, frame, CASE WHEN ch = 0 THEN dval WHEN frame % 7 = 0 THEN -32768 ELSE CAST(round_even(dval / 1000.0::DOUBLE * 500 + 7, 0) AS BIGINT) END AS dval, CASE WHEN ch = 0 THEN round(dval / 1000.0::DOUBLE, 6) WHEN frame % 7 > 0 THEN round((round_even(dval / 1000.0::DOUBLE * 500 + 7, 0) - 7) / 500.0::DOUBLE, 6) END AS pval FROM rec"),
+    "s28_annotation_csv": (s28_annotation_csv, f"{ANN_WITH} SELECT event_type AS record, sample % 100000 * 2 AS sample, row_number() OVER (PARTITION BY event_type ORDER BY ann_no) - 1 AS ann_no, CAST(22 AS BIGINT) AS subtype, 'note ' || ann_no AS aux_note, CAST(0 AS BIGINT) AS duration FROM ann"),
     "s35_record_list": (s35_record_list, "SELECT n_name AS record, CAST(n_regionkey AS VARCHAR) AS description FROM nation"),
 }

@@ -45,8 +45,16 @@ def p5_pick_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sig.estimate_bits(samples(spark, sf_dir)).select("record", sig.pick_format(F.col("bits")).alias("fmt"))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files of as many samples as their size, each in one of the formats."""
+    names = F.array(*[F.lit(f[0]) for f in dims.DAT_FORMATS])
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.element_at(names, (F.col("p_partkey") % len(dims.DAT_FORMATS) + 1).cast("int")).alias("fmt"), F.col("p_size").cast("long").alias("n"))
+
+
 def p6_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dims.dat_formats(spark).select("fmt", F.col("bits").cast("long").alias("bits"), F.round("bytes_per_sample", 6).alias("bytes_per_sample"), "min_value", "max_value", "invalid")
+    """What a file's format says of its samples."""
+    looked_up = _stored(spark, sf_dir).join(F.broadcast(dims.dat_formats(spark)), "fmt")  # ten rows
+    return looked_up.select("i", "fmt", F.col("bits").cast("long").alias("bits"), F.round("bytes_per_sample", 6).alias("bytes_per_sample"), "min_value", "max_value", "invalid")
 
 
 def p7_smooth_physical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +94,9 @@ def p15_moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p18_ricker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sig.ricker(spark, 36, 4.0).withColumn("value", F.round("value", 9))
+    """How much every vector has of a wavelet in its middle."""
+    wave = F.broadcast(sig.ricker(spark, 64, 4.0).withColumnRenamed("i", "sample"))  # a row a point
+    return samples(spark, sf_dir).join(wave, "sample").groupBy("record").agg(F.round(F.sum(F.col("pval") * F.col("value")), 6).alias("value"))
 
 
 def p8_convert_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +118,8 @@ def p24_derived_digital(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def d3_filter_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = spark.range(125).select(F.col("id").cast("double").alias("frequency"))
+    """A filter's gain at a frequency for each lineitem."""
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.col("l_linenumber").cast("long").alias("n"), (F.col("l_quantity").cast("double") * 2.5).alias("frequency"))
     return sig.filter_gain(f, [0.2, 0.3, 0.2], [1.0, -0.4, 0.1], 250.0).withColumn("gain", F.round("gain", 9))
 
 
@@ -191,9 +202,7 @@ def j9_values_at(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s12_required_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.range(1, 40).withColumnRenamed("id", "n")
-    both = dims.dat_formats(spark).select("fmt").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(39))))
-    return both.join(n, "n").select("fmt", F.col("n").cast("long").alias("n"), codec.required_bytes(F.col("n"), F.col("fmt")).alias("read"), codec.required_bytes(F.col("n"), F.col("fmt"), write=True).alias("written"))
+    return _stored(spark, sf_dir).select("i", "fmt", "n", codec.required_bytes(F.col("n"), F.col("fmt")).alias("read"), codec.required_bytes(F.col("n"), F.col("fmt"), write=True).alias("written"))
 
 
 def _round_trip(fmt: str, low: int, high: int):
@@ -267,13 +276,15 @@ y AS (SELECT f.record, f.ch, n, sum(v) AS y FROM f JOIN e ON e.record = f.record
 b AS (SELECT record, ch, n - k AS n, y * c AS v FROM y, w UNION ALL SELECT y.record, y.ch, hi + 27 - d, y * c FROM y JOIN e USING (record, ch) JOIN (SELECT k - j AS d, c FROM w, range(1, 9) q(j) WHERE j <= k) ON true WHERE n = hi + 27),
 m AS (SELECT b.record, b.ch, n AS sample, round(pow(sum(v), 2), 6) AS pval FROM b JOIN e ON e.record = b.record AND e.ch = b.ch AND n BETWEEN lo AND hi GROUP BY b.record, b.ch, n)"""
 
+_STORED = f"(SELECT p_partkey AS i, CAST(p_size AS BIGINT) AS n, p_partkey % {len(dims.DAT_FORMATS)} AS k FROM part) JOIN {dims.sql_values([(i, *f) for i, f in enumerate(dims.DAT_FORMATS)])} AS t(k, fmt, bits, w, lo, hi, inv) USING (k)"
+
 QUERIES = {
     "p1_dac": (p1_dac, f"{WITH} SELECT record, sample, CASE WHEN sample % 9 <> 0 AND dval <> -2048 THEN round((dval - 24) / 200.0, 6) END AS pval FROM sig"),
     "p2_adc": (p2_adc, f"{WITH} SELECT record, sample, CASE WHEN sample % 9 = 0 THEN -2048 ELSE CAST(round_even(round_even(pval, 2) * 50 + 24, 0) AS BIGINT) END AS dval FROM sig"),
     "p3_gain_baseline": (p3_gain_baseline, f"{_RANGE} SELECT record, round(CASE WHEN base <> -2047 THEN (-2047 - base) / lo ELSE 4094 / (hi - lo) END, 6) AS adc_gain, CAST(base AS BIGINT) AS baseline FROM c"),
     "p4_est_res": (p4_est_res, f"{_BITS} SELECT record, bits FROM r"),
     "p5_pick_format": (p5_pick_format, f"{_BITS} SELECT record, CASE WHEN bits <= 8 THEN '80' WHEN bits <= 12 THEN '212' WHEN bits <= 16 THEN '16' WHEN bits <= 24 THEN '24' ELSE '32' END AS fmt FROM r"),
-    "p6_formats": (p6_formats, f"SELECT fmt, CAST(bits AS BIGINT) AS bits, round(CAST(w AS DOUBLE), 6) AS bytes_per_sample, CAST(lo AS BIGINT) AS min_value, CAST(hi AS BIGINT) AS max_value, CAST(inv AS BIGINT) AS invalid FROM {dims.sql_values(dims.DAT_FORMATS)} AS t(fmt, bits, w, lo, hi, inv)"),
+    "p6_formats": (p6_formats, f"SELECT i, fmt, CAST(bits AS BIGINT) AS bits, round(CAST(w AS DOUBLE), 6) AS bytes_per_sample, CAST(lo AS BIGINT) AS min_value, CAST(hi AS BIGINT) AS max_value, CAST(inv AS BIGINT) AS invalid FROM {_STORED}"),
     "p7_smooth_physical": (p7_smooth_physical, f"{WITH} SELECT record, frame, round(sum(pval) / 4, 6) AS pval FROM sig GROUP BY record, frame"),
     "p7_smooth_digital": (p7_smooth_digital, f"{WITH} SELECT record, frame, CAST(trunc(sum(dval) / 4.0) AS BIGINT) AS dval FROM sig GROUP BY record, frame"),
     "p9_checksum": (p9_checksum, f"{_FEATURES} SELECT record, checksum FROM f"),
@@ -282,7 +293,7 @@ QUERIES = {
     "p13_normalize_bound": (p13_normalize_bound, f"{WITH}, m AS (SELECT record, min(pval) AS lo, max(pval) AS hi FROM sig GROUP BY record) SELECT record, sample, round(-5 + (pval - lo) * 20 / nullif(hi - lo, 0), 6) AS pval FROM sig JOIN m USING (record)"),
     "p14_normalize_length": (p14_normalize_length, f"{WITH} SELECT record, sample, round(pval / nullif(sqrt(sum(pval * pval) OVER (PARTITION BY record)), 0), 6) AS pval FROM sig"),
     "p15_moving_average": (p15_moving_average, f"{WITH} SELECT record, sample, round({_SMOOTH}, 6) AS smooth FROM sig"),
-    "p18_ricker": (p18_ricker, "SELECT i, round(2 / (sqrt(12.0::DOUBLE) * pow(pi(), 0.25)) * (1 - t * t / 16) * exp(-t * t / 32), 9) AS value FROM (SELECT unnest(range(0, 36)) AS i, unnest(range(0, 36)) - 17.5::DOUBLE AS t)"),
+    "p18_ricker": (p18_ricker, f"{WITH} SELECT record, round(sum(pval * 2 / (sqrt(12.0::DOUBLE) * pow(pi(), 0.25)) * (1 - t * t / 16) * exp(-t * t / 32)), 6) AS value FROM (SELECT record, pval, sample - 31.5::DOUBLE AS t FROM sig) GROUP BY record"),
     "p20_wide": (p20_wide, f"{WITH} SELECT record, frame AS sample, " + ", ".join(f"max(CASE WHEN sample % 4 = {i} THEN dval END) AS s{i}" for i in range(4)) + " FROM sig GROUP BY record, frame"),
     "s22_deskew": (s22_deskew, f"{WITH} SELECT record, sample, coalesce(lead(dval, 3) OVER (PARTITION BY record ORDER BY sample), -2048) AS dval FROM sig"),
     "d6_interpolate": (d6_interpolate, f"""{WITH}, x AS (SELECT record, sample, CASE WHEN dval % 3 <> 0 THEN pval END AS v FROM sig), y AS (SELECT *, max(CASE WHEN v IS NOT NULL THEN sample END) OVER (PARTITION BY record ORDER BY sample) AS a, min(CASE WHEN v IS NOT NULL THEN sample END) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z FROM x)
@@ -302,13 +313,13 @@ SELECT y.record, y.sample, round(coalesce(y.v, l.v + (r.v - l.v) * (y.sample - a
     "p24_derived_digital": (p24_derived_digital, f"""{_BITS}, f AS (SELECT record, CASE WHEN bits <= 8 THEN '80' WHEN bits <= 12 THEN '212' ELSE '16' END AS fmt, CASE WHEN bits <= 8 THEN 128 WHEN bits <= 12 THEN 2048 ELSE 32768 END AS h FROM r), m AS (SELECT f.record, any_value(fmt) AS fmt, any_value(h) AS h, min(dval) / 1024.0::DOUBLE AS lo, max(dval) / 1024.0::DOUBLE AS hi FROM sig JOIN f USING (record) GROUP BY f.record),
 b AS (SELECT *, 1 - h - (2 * h - 2) / (hi - lo) * lo AS st FROM m), c AS (SELECT *, CASE WHEN lo > 0 THEN ceil(st) ELSE floor(st) END AS base FROM b), g AS (SELECT *, CASE WHEN base <> 1 - h THEN (1 - h - base) / lo ELSE (2 * h - 2) / (hi - lo) END AS gain FROM c)
 SELECT sig.record, sample, fmt, round(gain, 6) AS adc_gain, CAST(base AS BIGINT) AS baseline, CAST(round_even(dval / 1024.0::DOUBLE * gain + base, 0) AS BIGINT) AS dval FROM sig JOIN g ON g.record = sig.record"""),
-    "d3_filter_gain": (d3_filter_gain, "WITH f AS (SELECT CAST(unnest(range(0, 125)) AS DOUBLE) AS frequency), w AS (SELECT frequency, least(ceil(frequency / 125 * 512), 511) * pi() / 512 AS w FROM f) SELECT frequency, round(sqrt(pow(0.2 + 0.3 * cos(w) + 0.2 * cos(2 * w), 2) + pow(0.3 * sin(w) + 0.2 * sin(2 * w), 2)) / sqrt(pow(1 - 0.4 * cos(w) + 0.1 * cos(2 * w), 2) + pow(-0.4 * sin(w) + 0.1 * sin(2 * w), 2)), 9) AS gain FROM w"),
+    "d3_filter_gain": (d3_filter_gain, "WITH f AS (SELECT l_orderkey AS record, CAST(l_linenumber AS BIGINT) AS n, CAST(l_quantity AS DOUBLE) * 2.5::DOUBLE AS frequency FROM lineitem), w AS (SELECT record, n, frequency, least(ceil(frequency / 125 * 512), 511) * pi() / 512 AS w FROM f) SELECT record, n, frequency, round(sqrt(pow(0.2 + 0.3 * cos(w) + 0.2 * cos(2 * w), 2) + pow(0.3 * sin(w) + 0.2 * sin(2 * w), 2)) / sqrt(pow(1 - 0.4 * cos(w) + 0.1 * cos(2 * w), 2) + pow(-0.4 * sin(w) + 0.1 * sin(2 * w), 2)), 9) AS gain FROM w"),
     "v3_plot_items": (v3_plot_items, f"{WITH} SELECT sig.record, 'v' || sig.record AS sig_name, sig.sample / 4.0::DOUBLE AS seconds, dval AS value, event_type AS symbol FROM events JOIN sig ON sig.record = event_id % 500 AND sig.sample = event_id % 71 WHERE event_id % 2 = 0"),
     "s23_infer_length": (s23_infer_length, f"SELECT p_partkey AS i, fmt, CAST(floor(p_size * 1000 / (CAST(w AS DOUBLE) * (p_partkey % 4 + 1))) AS BIGINT) AS frames FROM part, {dims.sql_values(dims.DAT_FORMATS)} AS t(fmt, bits, w, lo, hi, inv) WHERE fmt IN ('80', '212', '16', '24', '32')"),
     "d4_energy_beats": (d4_energy_beats, f"{WITH}, x AS (SELECT record, sample, CAST(dval - lag(dval) OVER (PARTITION BY record ORDER BY sample) AS DOUBLE) AS d FROM sig), y AS (SELECT record, sample, sum(d * d) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING) / 4 AS energy FROM x), z AS (SELECT *, max(energy) OVER (PARTITION BY record ORDER BY sample ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS m, avg(energy) OVER (PARTITION BY record) AS mean FROM y) SELECT record, sample, round(energy, 6) AS energy FROM z WHERE energy = m AND energy > 2 * mean"),
     "g3_average_beats": (g3_average_beats, f"{WITH}, {_BEATS}, q AS (SELECT record, sample FROM z WHERE energy = m AND energy > 2 * mean), n AS (SELECT record, count(*) AS n FROM q GROUP BY record), l AS (SELECT record, sample, unnest(range(-6, 8)) AS lag FROM q) SELECT l.record, lag, any_value(n.n) AS n, round(sum(dval) / CAST(any_value(n.n) AS DOUBLE), 6) AS mean FROM l JOIN sig ON sig.record = l.record AND sig.sample = l.sample + lag JOIN n ON n.record = l.record GROUP BY l.record, lag"),
     "j9_values_at": (j9_values_at, f"{WITH} SELECT sig.record, sig.sample, event_id AS ann_no, dval FROM events JOIN sig ON sig.record = event_id % 500 AND sig.sample = event_id % 71"),
-    "s12_required_bytes": (s12_required_bytes, f"SELECT fmt, n, CAST(CASE WHEN fmt = '212' THEN ceil(n * 1.5) WHEN fmt = '310' AND n % 3 = 2 THEN ceil(n / 3.0) * 4 WHEN fmt IN ('310', '311') THEN ceil(n * 4 / 3.0) ELSE n * w END AS BIGINT) AS read, CAST(CASE WHEN fmt = '212' THEN ceil(n * 1.5) WHEN fmt IN ('310', '311') AND n % 3 = 2 THEN ceil(n / 3.0) * 4 WHEN fmt IN ('310', '311') THEN ceil(n * 4 / 3.0) ELSE n * w END AS BIGINT) AS written FROM {dims.sql_values(dims.DAT_FORMATS)} AS t(fmt, bits, w, lo, hi, inv), (SELECT unnest(range(1, 40)) AS n)"),
+    "s12_required_bytes": (s12_required_bytes, f"SELECT i, fmt, n, CAST(CASE WHEN fmt = '212' THEN ceil(n * 1.5) WHEN fmt = '310' AND n % 3 = 2 THEN ceil(n / 3.0) * 4 WHEN fmt IN ('310', '311') THEN ceil(n * 4 / 3.0) ELSE n * w END AS BIGINT) AS read, CAST(CASE WHEN fmt = '212' THEN ceil(n * 1.5) WHEN fmt IN ('310', '311') AND n % 3 = 2 THEN ceil(n / 3.0) * 4 WHEN fmt IN ('310', '311') THEN ceil(n * 4 / 3.0) ELSE n * w END AS BIGINT) AS written FROM {_STORED}"),
     "s14_fmt8": (s14_fmt8, f"{WITH}, x AS (SELECT record, sample, ((CAST(round_even(pval * 100, 0) AS BIGINT) + 128) & 255) - 128 AS d FROM sig) SELECT record, sample, CAST(100 + sum(d) OVER (PARTITION BY record ORDER BY sample) AS BIGINT) AS dval FROM x"),
     "s15_fmt16_roundtrip": (_round_trip("16", -32768, 32767), _round_trip_sql(-32768, 32767, 1, "[a & 255, (a >> 8) & 255]")),
     "s15_fmt61_roundtrip": (_round_trip("61", -32768, 32767), _round_trip_sql(-32768, 32767, 1, "[(a >> 8) & 255, a & 255]")),

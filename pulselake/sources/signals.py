@@ -7,6 +7,7 @@ blocks. Channels of a file are interleaved by frame and share its format.
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -23,6 +24,8 @@ from pulselake.sources.files import listed, read_range, write_parts
 #: Frames of a block; a multiple of 6, so that blocks of all formats begin at whole bytes.
 BLOCK_FRAMES = 6 * 16384
 
+# Fixed value: bytes of an EDF data record.
+EDF_BLOCK = 61440
 # Bytes of six samples, and samples and bytes of a group that is packed together.
 SIX = {"8": 6, "80": 6, "16": 12, "61": 12, "160": 12, "24": 18, "32": 24, "212": 9, "310": 8, "311": 8}
 MISSING = {f[0]: f[5] for f in dims.DAT_FORMATS}
@@ -345,18 +348,25 @@ def write_mat(samples: DataFrame, channels: DataFrame, records: DataFrame, folde
 
 def write_edf(samples: DataFrame, channels: DataFrame, records: DataFrame, folder: str, seconds: int = 1) -> DataFrame:
     """An EDF file for each record, ``<record>.edf``: data records of ``seconds``, the last one filled up
-    with missing samples. ``channels`` has sig_name, units, adc_gain, baseline, spf; fs is whole."""
+    with missing samples. ``channels`` has sig_name, units, adc_gain, baseline, spf; fs is whole. The date is
+    that of base_date and base_time (``DD/MM/YYYY``, ``HH:MM:SS``), or 01.01.85 without them. Data records
+    have at most 61,440 bytes."""
     named = channels.withColumn("file_name", F.concat(F.col("record").cast("string"), F.lit(".edf"))).withColumn("fmt", F.lit("16"))
     heads, parts, spark = [], None, samples.sparkSession
     layout = named.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("ch", "sig_name", "units", "adc_gain", "baseline", "spf"))).alias("chs"))
-    rows = records.join(layout, "record").select("record", "fs", "sig_len", "chs").collect()  # a row a file
+    dated = [F.col(c) if c in records.columns else F.lit(None).cast("string").alias(c) for c in ("base_date", "base_time")]
+    rows = records.join(layout, "record").select("record", "fs", "sig_len", "chs", *dated).collect()  # a row a file
     for r in rows:
         frames = int(r["fs"]) * seconds
         blocks, chs = -(-r["sig_len"] // frames), r["chs"]
+        if 2 * frames * sum(c["spf"] for c in chs) > EDF_BLOCK:
+            raise ValueError(f"record {r['record']}: data records of over {EDF_BLOCK} bytes, take fewer seconds")
+        day = (r["base_date"] or "01/01/1985").split("/")
+        began = ".".join([*day[:2], day[2][-2:]]) + (r["base_time"] or "00:00:00")[:8].replace(":", ".")
         fields = [(16, [c["sig_name"] for c in chs]), (80, [""] * len(chs)), (8, [c["units"] for c in chs])]
         fields += [(8, [f"{(x - c['baseline']) / c['adc_gain']:.6g}"[:8] for c in chs]) for x in (-32768, 32767)]
         fields += [(8, [-32768] * len(chs)), (8, [32767] * len(chs)), (80, [""] * len(chs)), (8, [frames * c["spf"] for c in chs]), (32, [""] * len(chs))]
-        head = _text(0, 8) + _text("", 160) + b"01.01.8500.00.00" + _text(256 * (len(chs) + 1), 8) + _text("", 44) + _text(blocks, 8) + _text(seconds, 8) + _text(len(chs), 4)
+        head = _text(0, 8) + _text("", 160) + _text(began, 16) + _text(256 * (len(chs) + 1), 8) + _text("", 44) + _text(blocks, 8) + _text(seconds, 8) + _text(len(chs), 4)
         heads.append((f"{r['record']}.edf", -1, bytearray(head + b"".join(_text(v, w) for w, vs in fields for v in vs))))
     for fs in sorted({r["fs"] for r in rows}):
         frames = int(fs) * seconds
@@ -371,13 +381,15 @@ def write_edf(samples: DataFrame, channels: DataFrame, records: DataFrame, folde
     return write_parts(lead if parts is None else parts.unionByName(lead), folder)
 
 
-_EDF = "record string, file_name string, path string, ch int, sig_name string, units string, adc_gain double, baseline long, per_block int, before int, block_samples int, header_bytes long, n_blocks long, seconds double, kind string, base string"
+_EDF = "record string, file_name string, path string, ch int, sig_name string, units string, adc_gain double, baseline long, per_block int, before int, block_samples int, header_bytes long, n_blocks long, seconds double, kind string, base string, spf int, fs double"
 
 
 def edf_channels(spark: SparkSession, path: str) -> DataFrame:
     """The signals of EDF files, from their headers: gain and baseline by the digital and physical
     extremes, per_block (samples in a data record) and where they lie. kind is ``signal`` or
-    ``annotations``."""
+    ``annotations``. Channels of a file may have different rates: its frames are as many as the greatest
+    common divisor of their rates (fs), and each has spf samples of a frame. A channel with equal physical
+    limits has gain 1, and its lowest digital value there."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -392,13 +404,15 @@ def edf_channels(spark: SparkSession, path: str) -> DataFrame:
                     at += width * n
                 per = [int(x) for x in columns[8]]
                 held = (length - 256 * (n + 1)) // (2 * sum(per))
-                blocks = int(first[236:244])
+                blocks, seconds = int(first[236:244]), float(first[244:252])
+                frames = math.gcd(*[p for p, name_ in zip(per, columns[0], strict=True) if name_ != "EDF Annotations"])
                 for ch in range(n):
                     p_lo, p_hi, d_lo, d_hi = (float(columns[i][ch]) for i in (3, 4, 5, 6))
-                    gain = (d_hi - d_lo) / (p_hi - p_lo)
+                    gain = (d_hi - d_lo) / (p_hi - p_lo) if p_hi != p_lo else 1.0
+                    baseline = int(d_hi - p_hi * gain + 1) if p_hi != p_lo else int(d_lo - p_lo)
                     units = {"": "mV"}.get(columns[2][ch], columns[2][ch]).replace("µ", "u")
                     kind = "annotations" if columns[0][ch] == "EDF Annotations" else "signal"
-                    rows.append((name.rsplit(".", 1)[0], name, file_path, ch, columns[0][ch], units, gain, int(d_hi - p_hi * gain + 1), per[ch], sum(per[:ch]), sum(per), 256 * (n + 1), held if blocks < 0 else min(held, blocks), float(first[244:252]), kind, first[168:184]))
+                    rows.append((name.rsplit(".", 1)[0], name, file_path, ch, columns[0][ch], units, gain, baseline, per[ch], sum(per[:ch]), sum(per), 256 * (n + 1), held if blocks < 0 else min(held, blocks), seconds, kind, first[168:184], per[ch] // frames if kind == "signal" and frames else 1, frames / seconds if seconds else None))
             types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
             fields = [c.split() for c in _EDF.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * len(fields), fields, strict=True)], names=[f[0] for f in fields])
@@ -408,7 +422,7 @@ def edf_channels(spark: SparkSession, path: str) -> DataFrame:
 
 def _edf_blocks(channels: DataFrame, kind: str, first: int, last: int | None, blocks: int) -> DataFrame:
     """Ranges of data records [first, last) of files: record, path, place of each, and its channels."""
-    chs = F.array_sort(F.collect_list(F.struct("ch", "before", "per_block")))
+    chs = F.array_sort(F.collect_list(F.struct("ch", "before", "per_block", "spf")))
     files = channels.where(F.col("kind") == kind).groupBy("record", "path").agg(chs.alias("chs"), F.first("block_samples").alias("block_samples"), F.first("header_bytes").alias("header_bytes"), F.first("n_blocks").alias("n_blocks"))
     hi = F.col("n_blocks") if last is None else F.least(F.col("n_blocks"), F.lit(last))
     out = files.withColumn("hi", hi).where(F.col("hi") > first).withColumn("block", F.explode(F.sequence(F.lit(first).cast("long"), F.col("hi") - 1, F.lit(blocks).cast("long"))))
@@ -416,8 +430,9 @@ def _edf_blocks(channels: DataFrame, kind: str, first: int, last: int | None, bl
 
 
 def read_edf(spark: SparkSession, path: str, first: int = 0, last: int | None = None, blocks: int = 256) -> DataFrame:
-    """record, ch, sample, dval of the signals of EDF files, in data records [first, last); each task
-    reads ``blocks`` data records at a time."""
+    """record, ch, frame, sub, sample, dval of the signals of EDF files, in data records [first, last); each
+    task reads ``blocks`` data records at a time. Frames are those of ``edf_channels``, so channels of
+    different rates go into signal files as they are."""
     plan = _edf_blocks(edf_channels(spark, path), "signal", first, last, blocks)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -429,10 +444,10 @@ def read_edf(spark: SparkSession, path: str, first: int = 0, last: int | None =
                 for c in row["chs"]:
                     v = values[:, c["before"] : c["before"] + c["per_block"]].ravel().astype(np.int64)
                     sample = np.arange(len(v)) + row["block"] * c["per_block"]
-                    arrays = [pa.array([row["record"]] * len(v)), pa.array(np.full(len(v), c["ch"], np.int32)), pa.array(sample), pa.array(v)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["record", "ch", "sample", "dval"])
+                    arrays = [pa.array([row["record"]] * len(v)), pa.array(np.full(len(v), c["ch"], np.int32)), pa.array(sample // c["spf"]), pa.array((sample % c["spf"]).astype(np.int32)), pa.array(sample), pa.array(v)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["record", "ch", "frame", "sub", "sample", "dval"])
 
-    return plan.mapInArrow(run, "record string, ch int, sample long, dval long")
+    return plan.mapInArrow(run, "record string, ch int, frame long, sub int, sample long, dval long")
 
 
 def time_stamped_notes(raw: bytes) -> list[tuple[float, float | None, str]]:
@@ -457,9 +472,10 @@ def read_edf_annotations(spark: SparkSession, path: str, blocks: int = 256) -> D
             rows = []
             for row in batch.to_pylist():
                 size = 2 * row["block_samples"]
+                whole = read_range(row["path"], row["header_bytes"] + size * row["block"], size * row["n"])
                 for k in range(row["n"]):
                     for c in row["chs"]:
-                        raw = read_range(row["path"], row["header_bytes"] + size * (row["block"] + k) + 2 * c["before"], 2 * c["per_block"])
+                        raw = whole[size * k + 2 * c["before"] : size * k + 2 * (c["before"] + c["per_block"])]
                         rows += [(row["record"], row["block"] + k, *note) for note in time_stamped_notes(raw)]
             kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["record", "block", "onset", "duration", "aux_note"])

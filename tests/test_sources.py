@@ -58,6 +58,22 @@ def test_tables(spark, tmp_path):
     assert {(r.record, r.description) for r in tables.read_record_list(spark, f"{tmp_path}/RECORDS").collect()} == {("100", "first one"), ("101", None)}
 
 
+def test_csv_files_in_splits(spark, tmp_path):
+    for name, n in (("a", 400), ("b", 3), ("c", 0)):
+        (tmp_path / f"{name}.csv").write_text("I,II\n" + "".join(f"{i / 4},{-i}\n" if i % 5 else f"{i / 4},\n" for i in range(n)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        got = tables.read_signal_csv(spark, f"{tmp_path}/*.csv", ["I", "II"], numbered=False)
+        rows = {(r.record, r.sig_name, r["sample"]): r.pval for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert rows == {(f, s, i): (i / 4 if s == "I" else -i if i % 5 else None) for f, n in (("a", 400), ("b", 3)) for s in ("I", "II") for i in range(n)}
+    samples, channels = tables.csv_record(got, fmt=["16", "212"], baseline=5)
+    assert {r.dval for r in samples.where("record = 'b'").collect()} == {5, 55, 105, -195, -395, -2048}
+    assert {(r.record, r.ch, r.fmt, r.adc_gain) for r in channels.collect()} == {(f, c, t, 200.0) for f in "ab" for c, t in ((0, "16"), (1, "212"))}
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, i, i, "N" if i % 3 else "V") for i in range(0, 200, 2)] + [(2, 5, 900, "N")]
     df = spark.createDataFrame(rows, "record long, s long, ann_no long, symbol string").select("record", F.timestamp_seconds("s").alias("ts"), "ann_no", "symbol")
