@@ -147,14 +147,16 @@ def filter_urls(pages: DataFrame, rules: list[Rule] | None = None, default: str
     ``MAX_RULE_CHARS``) go to the tasks, the urls don't move.
 
     Null urls and urls without ``://`` have an empty host and path, and so get the default unless a
-    pattern fits the empty text. Other columns are kept; those named host, path, rule or verdict are
-    replaced. Repeated rows each get their verdict.
+    pattern fits the empty text; urls of any length are read whole. Rules of equal rank can't both be
+    longest: of equal ones the first counts. Other columns are kept; those named host, path, rule or
+    verdict, in whatever letter case, are replaced. Repeated rows each get their verdict; an empty table
+    gives no rows.
     """
     rules = [path_rule(*r) for r in PATH_RULES] + [pattern_rule("block", p) for p in SPAM_PATTERNS] if rules is None else rules
     if sum(len(r.pattern) for r in rules) > MAX_RULE_CHARS:
         raise ValueError("too many rules to send to every task; filter by parts of the rules")
     host, path = url_parts(url)
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     parts = pages.select(*kept, host.alias("host"), path.alias("path"))
     vocabulary = sorted(set().union(*(literal_tokens(r.pattern) for r in rules)))
     token = F.explode(F.array_distinct(F.regexp_extract_all(F.concat("host", "path"), F.lit(r"([0-9A-Za-z]+)"), F.lit(1)))).alias("token")

@@ -3,6 +3,8 @@ import random
 import numpy as np
 
 import corpus_pipeline
+from pulselake.llm import decontaminate
+from tests.llm.edges import odd_documents
 from tests.llm.test_text_ops import QUESTION, bpe_ids
 
 
@@ -42,3 +44,35 @@ def test_stages_take_effect_and_keep_clean_documents(spark, tmp_path):
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         got.setdefault(r.doc_id, []).append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
     assert {i: sum((x for _, x in sorted(p)), []) for i, p in got.items()} == {i: bpe_ids(t) for i, t in seen[3].items()}
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing names go through all stages;
+    so does a table without rows."""
+    docs = odd_documents(spark)
+    spark.createDataFrame([(1, QUESTION), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.union(docs).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        path = f"{tmp_path}/{name}"
+        kept.write.parquet(path)
+        kept = spark.read.parquet(path)
+    ids = [r.doc_id for r in kept.collect()]
+    assert not {0, 1, 2, 10} & set(ids) and {5, 6} <= set(ids) and ids.count(6) == 1 and sum(i in (8, 9) for i in ids) == 1
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == set(ids)
+    empty = f"{tmp_path}/none"
+    spark.read.parquet(f"{tmp_path}/benchmark.parquet").write.parquet(f"{empty}/benchmark.parquet")
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+def test_a_window_that_many_items_have(spark):
+    """A document is kept or goes once, however many items begin alike."""
+    lead = "please read the following text with care and then answer the question below in one word"
+    items = spark.createDataFrame([(i, f"{lead} item{i} a{i} b{i}") for i in range(40)], "item_id long, text string")
+    rows = [(i, f"{lead} something else {i} " * 2) for i in range(30)] + [(100, "nothing of it at all in this text")]
+    kept = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    assert [r.doc_id for r in kept.collect()] == [100]

@@ -71,6 +71,8 @@ def test_url_rules_match_brute_force(spark):
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule), u
         assert got[i].verdict == (action or ("block" if host.startswith("casino-") else "allow"))
     assert urls.filter_urls(df.limit(0)).collect() == []
+    clash = df.selectExpr("page_id", "url", "'own' AS HOST", "'own' AS Verdict", "'own' AS paths")
+    assert {r.page_id: (r.host, r.verdict, r.paths) for r in urls.filter_urls(clash).collect()} == {i: (r.host, r.verdict, "own") for i, r in got.items()}
 
 
 def test_only_fetched_rules_run(spark):
