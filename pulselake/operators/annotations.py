@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulselake.functions.ordered import with_known, with_neighbours, with_previous, with_running_sum
+from pulselake.functions.times import parse_time
 
 #: Samples of a block in which a record's rows are handled together: some hours at usual frequencies.
 BLOCK = 1 << 22
@@ -109,13 +110,28 @@ def apply_range(ann: DataFrame, start: int, end: int, shift: bool = False) -> Da
     return out.withColumn("sample", F.col("sample") - start) if shift else out
 
 
-def merge(first: DataFrame, second: DataFrame, method: str, start: int, end: int) -> DataFrame:
+def _bound(time: int | float | str, fs: float | None) -> int | Column:
+    """A sample: a whole number is one, a fraction seconds, a text a clock time or ``e`` for the end."""
+    if isinstance(time, int):
+        return time
+    if fs is None:
+        raise ValueError("times in seconds or by the clock need fs")
+    return int(time * fs) if isinstance(time, float) else parse_time(F.lit(time), fs, 1 << 62)
+
+
+def merge(first: DataFrame, second: DataFrame, method: str, start: int | float | str, end: int | float | str, fs: float | None = None, channels: tuple[int | None, int | None] = (None, None)) -> DataFrame:
     """Bag union of two annotation sets, with ``source`` 1 or 2 (ties of a sample: by source, ann_no).
 
     ``combine`` takes both within the closed range, ``delete`` both outside of it, ``replace1`` the
-    first set within and the second outside, ``replace2`` the other way round.
+    first set within and the second outside, ``replace2`` the other way round. The range is in samples,
+    seconds (fractions) or clock times (``e``: the end), with ``fs``. ``channels`` sets chan of either set.
     """
-    inside, both = F.col("sample").between(start, end), (first.withColumn("source", F.lit(1)), second.withColumn("source", F.lit(2)))
+    if any(c is not None and c < 0 for c in channels):
+        raise ValueError("channels are numbered from 0")
+    if start == "e":
+        raise ValueError("a range doesn't begin at the end")
+    both = [df.withColumn("source", F.lit(i)) if c is None else df.withColumns({"source": F.lit(i), "chan": F.lit(c)}) for i, df, c in ((1, first, channels[0]), (2, second, channels[1]))]
+    inside = F.col("sample").between(_bound(start, fs), _bound(end, fs))
     rules = {"combine": (inside, inside), "delete": (~inside, ~inside), "replace1": (inside, ~inside), "replace2": (~inside, inside)}
     if method not in rules:
         raise ValueError(f"merge method {method}: one of {', '.join(rules)}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
@@ -150,6 +151,29 @@ def average_around(samples: DataFrame, beats: DataFrame, before: int, after: int
     return sums.join(counts, "record").select("record", "ch", "lag", F.col("n_beats").alias("n"), (F.col("total") / F.col("n_beats")).alias("mean"))
 
 
+def signal_average(samples: DataFrame, ann: DataFrame, channels: DataFrame, labels: DataFrame, fs: float, start_range: float = -0.05, stop_range: float = 0.05, symbols: list[str] | None = None, start: float = 0.0, stop: float | None = None) -> DataFrame:
+    """record, ch, lag, seconds, n, mean: the mean physical signal around QRS annotations (all, or those of
+    ``symbols``) between ``start`` and ``stop`` seconds, from ``start_range`` to before ``stop_range``
+    seconds from them.
+
+    ``labels`` (symbol, is_qrs) say what is a QRS; ``channels`` has record, ch, adc_gain, baseline. Every
+    channel has a row for each lag; beyond a record's ends the digital signal counts as zero, the beat still
+    counts. Means are rounded to five digits. Records without such annotations have no rows.
+    """
+    if start_range >= stop_range or (stop is not None and start >= stop) or start < 0:
+        raise ValueError("ranges end after they begin, and times begin at 0 or later")
+    lo, hi = int(start_range * fs), math.ceil(round(stop_range * fs, 9))
+    chosen = labels.where("is_qrs").select("symbol") if symbols is None else labels.where(F.col("is_qrs") & F.col("symbol").isin(symbols)).select("symbol")
+    beats = ann.join(F.broadcast(chosen), "symbol").where(F.col("sample") >= int(start * fs))  # fewer than 50 rows
+    beats = beats if stop is None else beats.where(F.col("sample") <= int(stop * fs))
+    counts = beats.groupBy("record").agg(F.count("*").alias("n"))
+    moved = beats.select("record", "sample", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))).alias("lag")).select("record", "lag", (F.col("sample") + F.col("lag")).alias("sample"))
+    sums = moved.join(samples.select("record", "ch", "sample", "dval"), ["record", "sample"]).groupBy("record", "ch", "lag").agg(F.sum("dval").alias("total"))
+    grid = channels.select("record", "ch", "adc_gain", "baseline").join(counts, "record").withColumn("lag", F.explode(F.sequence(F.lit(lo), F.lit(hi - 1))))
+    mean = (F.coalesce("total", F.lit(0)) / F.col("n") - F.col("baseline")) / F.col("adc_gain")
+    return grid.join(sums, ["record", "ch", "lag"], "left").select("record", "ch", "lag", F.round(F.col("lag") / fs, 5).alias("seconds"), "n", F.round(mean, 5).alias("mean"))
+
+
 def values_at(samples: DataFrame, ann: DataFrame, value: str = "dval") -> DataFrame:
     """Annotations with the signal's value at their sample; those outside of the record drop out."""
     return ann.join(samples.select("record", "ch", "sample", value), ["record", "sample"])

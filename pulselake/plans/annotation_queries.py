@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulselake import dims
 from pulselake.operators import annotations as ann
 from pulselake.operators import beats
-from pulselake.plans.tables import ANN_SQL, FS, annotations, table
+from pulselake.plans.tables import ANN_SQL, FS, REC_SQL, annotations, recording_channels, recordings, table
 
 LABELS = f"{dims.sql_values([(*r, r[0] in dims.QRS_LABELS) for r in dims.ANN_LABELS])} AS lab(label_store, symbol, short_description, description, is_qrs)"
 WITH = f"WITH ann AS {ANN_SQL}, rr AS (SELECT record, sample, ann_no, sample - lag(sample) OVER (PARTITION BY record ORDER BY sample, ann_no) AS rr FROM ann)"
@@ -232,6 +232,25 @@ def m9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.ann_classes(spark).join(found, "extension", "left").select("extension", "description", "human_reviewed", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("n_records", F.lit(0)).alias("n_records"))
 
 
+def _from_clock(a: DataFrame) -> str:
+    """The full second at which a quarter of all samples' span is over."""
+    return f"{_bounds(a)[0] // int(FS) // 3600}:{_bounds(a)[0] // int(FS) // 60 % 60:02d}:{_bounds(a)[0] // int(FS) % 60:02d}"
+
+
+def u4_merge_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two annotators from a clock time to the end, the second one on a channel of its own."""
+    one, two = _two(spark, sf_dir)
+    out = ann.merge(one, two, "combine", _from_clock(annotations(spark, sf_dir)), "e", FS, (None, 7))
+    return out.select("record", "sample", "ann_no", F.col("chan").cast("long").alias("chan"), F.col("source").cast("long").alias("source"))
+
+
+def g3_signal_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings around events that are beats, within and beyond their ends."""
+    a = annotations(spark, sf_dir).select(F.concat(F.lit("r"), (F.col("ann_no") % 5).cast("string")).alias("record"), (F.col("ann_no") * 7 % 2500).alias("sample"), "symbol")
+    out = beats.signal_average(recordings(spark, sf_dir), a, recording_channels(spark), dims.ann_labels(spark), FS, -0.02, 0.03, start=0.5)
+    return out.select("record", F.col("ch").cast("long").alias("ch"), F.col("lag").cast("long").alias("lag"), "seconds", "n", F.round("mean", 4).alias("mean"))
+
+
 def g10_label_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = annotations(spark, sf_dir).cube("symbol", "chan").agg(F.count("*").alias("n"), F.count_distinct("record").alias("n_records"))
     return out.select("symbol", "chan", "n", "n_records")
@@ -301,6 +320,8 @@ QUERIES = {
     "g4_greedy_stats": (g4_greedy_stats, f"{GREEDY}, s AS (SELECT sides.record, (SELECT count(*) FROM m WHERE m.record = sides.record) AS tp, len(coalesce(r, [])) AS r, len(coalesce(t, [])) AS t FROM sides) SELECT record, tp, t - tp AS fp, r - tp AS fn, round(tp / nullif(r, 0), 6) AS sensitivity, round(tp / nullif(t, 0), 6) AS positive_predictivity FROM s"),
     "g4_match_stats": (g4_match_stats, f"{STATS} SELECT record, tp, fp, fn, round(se, 6) AS sensitivity, round(pp, 6) AS positive_predictivity FROM s"),
     "g5_benchmark": (g5_benchmark, f"{STATS} SELECT round(avg(se), 6) AS sensitivity, round(avg(pp), 6) AS positive_predictivity, count(*) AS n_records FROM s"),
+    "u4_merge_times": (u4_merge_times, f"WITH ann AS {ANN_SQL}, {BOUNDS} SELECT record, sample, ann_no, CASE WHEN ann_no % 2 = 0 THEN chan ELSE 7 END AS chan, 1 + ann_no % 2 AS source FROM ann, b WHERE sample >= lo // 360 * 360"),
+    "g3_signal_average": (g3_signal_average, f"WITH ann AS {ANN_SQL}, q AS (SELECT 'r' || ann_no % 5 AS record, ann_no * 7 % 2500 AS sample FROM ann JOIN {LABELS} ON lab.symbol = ann.symbol WHERE is_qrs AND ann_no * 7 % 2500 >= 180), c AS (SELECT record, count(*) AS n FROM q GROUP BY record), rec AS {REC_SQL}, l AS (SELECT record, sample, unnest(range(-7, 11)) AS lag FROM q), s AS (SELECT l.record, ch, lag, sum(dval) AS total FROM l JOIN rec ON rec.record = l.record AND rec.frame = l.sample + lag GROUP BY l.record, ch, lag) SELECT c.record, CAST(k.ch AS BIGINT) AS ch, g.lag, round(g.lag / 360.0::DOUBLE, 5) AS seconds, n, round(round((coalesce(total, 0) / n - 10 * k.ch) / (200.0::DOUBLE + 50 * k.ch), 5), 4) AS mean FROM c, (VALUES (0), (1)) AS k(ch), (SELECT unnest(range(-7, 11)) AS lag) g LEFT JOIN s ON s.record = c.record AND s.ch = k.ch AND s.lag = g.lag"),
     "m7_labels": (m7_labels, f"WITH ann AS {ANN_SQL}, u AS (SELECT symbol, count(*) AS n FROM ann GROUP BY symbol) SELECT CAST(label_store AS BIGINT) AS label_store, lab.symbol, short_description, description, is_qrs, coalesce(n, 0) AS n_used FROM {LABELS} LEFT JOIN u ON u.symbol = lab.symbol"),
     "m9_classes": (m9_classes, f"WITH ann AS {ANN_SQL}, u AS (SELECT record % {len(dims.ANN_CLASSES)} AS k, count(*) AS n, count(DISTINCT record) AS n_records FROM ann GROUP BY 1) SELECT extension, description, human_reviewed, coalesce(n, 0) AS n, coalesce(n_records, 0) AS n_records FROM {dims.sql_values([(i, *c) for i, c in enumerate(dims.ANN_CLASSES)])} AS c(k, extension, description, human_reviewed) LEFT JOIN u ON u.k = c.k"),
     "g10_label_cube": (g10_label_cube, f"{WITH} SELECT symbol, chan, count(*) AS n, count(DISTINCT record) AS n_records FROM ann GROUP BY CUBE (symbol, chan)"),
