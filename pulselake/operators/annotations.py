@@ -230,7 +230,7 @@ def by_onset(ann: DataFrame, index: str = "ann_no") -> DataFrame:
 
 
 # Notes at sample 0 that say something of the whole record.
-FS_NOTE, LABELS_BEGIN, LABELS_END = r"^## time resolution:\s*(\d+\.?\d*)", "## annotation type definitions", "## end of definitions"
+FS_NOTE, LABELS_BEGIN, LABELS_END = "## time resolution:", "## annotation type definitions", "## end of definitions"
 
 
 def definitions(ann: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -239,7 +239,8 @@ def definitions(ann: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     two marks, in the order of ann_no."""
     at_zero = (F.col("sample") == 0) & (F.col("label_store") == 22)
     notes = ann.where(at_zero).select("record", "ann_no", "aux_note")
-    fs = F.regexp_extract("aux_note", FS_NOTE, 1).try_cast("double")
+    rest = F.trim(F.substring("aux_note", len(FS_NOTE) + 1, 255))
+    fs = F.when(F.col("aux_note").startswith(FS_NOTE), F.get(F.split(rest, " "), F.lit(0)).try_cast("double"))
     rates = notes.where(fs.isNotNull()).groupBy("record").agg(F.min(F.struct("ann_no", fs.alias("fs")))["fs"].alias("fs"))
     marks = notes.groupBy("record").agg(F.min(F.when(F.col("aux_note") == LABELS_BEGIN, F.col("ann_no"))).alias("_a"), F.min(F.when(F.col("aux_note") == LABELS_END, F.col("ann_no"))).alias("_z"))
     parts = F.split(F.trim("aux_note"), r"\s+", 3)

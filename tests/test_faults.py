@@ -82,3 +82,22 @@ def test_a_flat_channel_has_no_peaks(spark):
     rows = [("flat", 0, i, 5.0) for i in range(30)] + [("hill", 0, i, float(-abs(i - 9))) for i in range(30)]
     df = spark.createDataFrame(rows, "record string, ch int, sample long, pval double")
     assert [tuple(r) for r in sig.local_peaks(df, 4).collect()] == [("hill", 0, 9, 0.0)]
+
+
+def test_names_of_records_and_files(spark):
+    good_records, bad_records = ["100", "a-b_C", "-"], ["", "a b", "a.b", "é", "a/b"]
+    good_files, bad_files = ["a.dat", "100_1.dat", "ab", "a-b.d_1", "-.x", "a-1"], ["", "a", "a.", ".dat", "a.b.c", "a b.dat", "a.d-t", "ab-", "~"]
+    df = spark.createDataFrame([(n,) for n in good_records + bad_records], "record string")
+    assert {r.record for r in sig.record_violations(df).collect()} == set(bad_records)
+    fields = "record long, ch int, file_name string, fmt string, spf int, skew int, byte_offset long, adc_gain double, baseline int, units string, adc_res int, block_size int, sig_name string"
+    files = spark.createDataFrame([(i, 0, n, "16", 1, 0, 0, 1.0, 0, "mV", 1, 0, "x") for i, n in enumerate([*good_files, *bad_files, None])], fields)
+    from pulselake import dims
+
+    assert {r.record for r in sig.channel_violations(files, dims.dat_formats(spark)).where("rule = 'file_name'").collect()} == set(range(len(good_files), len(good_files) + len(bad_files)))
+
+
+def test_frequency_notes(spark):
+    texts = ["## time resolution: 360", "## time resolution:250.5 ", "## time resolution: x", "time resolution: 1"]
+    rows = [(f"r{i}", 0, 0, 22, t) for i, t in enumerate(texts)]
+    rates = ann.definitions(spark.createDataFrame(rows, "record string, ann_no long, sample long, label_store int, aux_note string"))[0]
+    assert {(r.record, r.fs) for r in rates.collect()} == {("r0", 360.0), ("r1", 250.5)}
