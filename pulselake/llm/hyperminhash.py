@@ -43,6 +43,8 @@ LARGE = 24
 SIGMAS = 6
 #: Most bits of a table of wanted keys (16 MB).
 MOST_BITS = 1 << 27
+#: Registers or sets of at most this many bytes in all are broadcast to the pairs; larger ones are shuffled.
+BROADCAST = 16 << 20
 #: Buckets of the table of common shingles: a power of two. It orders shingles only; links don't depend on it.
 SKETCH = 1 << 22
 
@@ -186,9 +188,16 @@ def candidates(classes: DataFrame, bands: tuple[int, int], large: int) -> tuple[
     return pairs.union(stars).distinct(), rest.select("key", "fp")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp")))
+
+
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that their registers allow."""
+    members = _ends(pairs).distinct()
     side = classes.select("fp", "size", "regs")
+    if 2 * REGISTERS * members.count() <= BROADCAST:
+        side = F.broadcast(side.join(members, "fp", "left_semi"))
     both = pairs.join(side.toDF("b", "size_b", "regs_b"), "b").join(side.toDF("a", "size_a", "regs_a"), "a").select("a", "b", "size_a", "size_b", "regs_a", "regs_b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,6 +235,8 @@ def similar(a: bytes, b: bytes, percent: int = PERCENT) -> bool:
 
 def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of which the sets are similar."""
+    if (sets.agg(F.sum(F.length("s"))).first()[0] or 0) <= BROADCAST:
+        sets = F.broadcast(sets)
     both = pairs.join(sets.select(F.col("fp").alias("b"), F.col("s").alias("t")), "b").join(sets.withColumnRenamed("fp", "a"), "a").select("a", "b", "s", "t")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,12 +341,13 @@ class _Groups:
         """Compares pairs that haven't been compared, and joins the groups of those that are similar."""
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = self._kept(estimated(pairs, self.classes), "pairs")
+        pairs = self._kept(estimated(self._kept(pairs, "candidates"), self.classes), "pairs")
         self.tested = pairs if self.tested is None else self.tested.union(pairs)
         if not pairs.limit(1).count():
             return
-        sets = self._fetch(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))))
-        links = self._kept(checked(pairs, sets), "links")
+        members = _ends(pairs).distinct()
+        sets = self._fetch(members).join(members, "fp", "left_semi")
+        links = self._kept(checked(pairs, self._kept(sets, "pair-sets")), "links")
         if links.limit(1).count():
             self.links = links if self.links is None else self.links.union(links)
             self.roots = self._kept(connected_components(self.links), "roots")
