@@ -208,7 +208,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, least:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, least: int = 6) -> DataFrame:
     """Documents, with all their columns, that hold no window of any benchmark item: those without a
-    row in ``contaminated``. Nulls, empty texts, repeated rows and other columns as there."""
+    row in ``contaminated``. Nulls, empty and long texts and repeated rows as there; other columns stay,
+    whatever their names."""
     items, items_path = write_table(benchmark_windows(benchmark, window, least), "benchmark-windows")
     kinds = [(r["kind"], r["k"]) for r in items.select("kind", "k").distinct().orderBy("kind", "k").collect()]  # two a length up to window
     same = ["kind", "k", "h", "seen", "pattern"]  # however many items have a window, a document's is kept once

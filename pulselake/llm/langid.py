@@ -359,7 +359,9 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """Documents, with all their columns, whose language is told with a score of ``least`` or more:
     texts without letters go, and those of which no language has that share of the words. Where no
-    document has a language to learn, only those without letters go."""
+    document has a language to learn, only those without letters go. Null and empty texts go; very long
+    ones are read whole; repeated rows are told each; columns of any other name stay as they are; an empty
+    table gives no rows."""
     model = train(docs)
 
     @F.arrow_udf("boolean")

@@ -174,8 +174,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] | None = None, templa
     distinct, sorted, comma-joined), score (share of the words that lie in license wording) and
     spans (label, start, n_words). One pass without a shuffle.
 
-    Null or empty text: no words, empty labels, null first_word and last_word, score 0. Repeated
-    rows each give a row; other columns are ignored; an empty table gives no rows.
+    Null or empty text: no words, empty labels, null first_word and last_word, score 0. Very long texts
+    are read whole. Repeated rows each give a row; other columns are ignored; an empty table gives no rows.
     """
     phrases = BASE_PHRASES if phrases is None else phrases
     automata = [compile_template(*t) for t in (TEMPLATES if templates is None else templates)]

@@ -76,7 +76,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0)
 
     Texts are tokenized once, into a scratch table. Ranks come from range partitions by length and
     doc_id, so that a length that a third of the documents have is ranked by many tasks.
-    Null and empty texts are ``end_id`` alone. Repeated rows are packed each; rows with a null doc_id
+    Null and empty texts are ``end_id`` alone; very long ones are cut into as many pieces as they need. Repeated rows are packed each; rows with a null doc_id
     too. Other columns are ignored. An empty table gives no rows.
     """
     spark = docs.sparkSession

@@ -160,7 +160,8 @@ def keep_one(docs: DataFrame, max_bits: int = 2, shingle: int = 3) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The first document of each root of ``found`` (doc_id, text_hash, root), as in ``keep_one``."""
+    """The first document of each root of ``found`` (doc_id, text_hash, root), as in ``keep_one``. Other
+    columns stay, whatever their names."""
     own, hashed, mark = (fresh(docs, n) for n in ("kept_id", "kept_hash", "text_mark"))
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
     kept = found.groupBy("root").agg(F.min(first).alias("k"), F.count("*").alias("c")).select(F.col("k.id").alias(own), F.col("k.h").alias(hashed))

@@ -226,7 +226,8 @@ def cut_repeats(docs: DataFrame, min_words: int = 50, window: int = 24, gram: in
     of which no word is left go; all others stay as they are.
 
     Null, empty and short texts stay; very long ones are read whole. Rows alike in doc_id and text are
-    one document and are cut alike; a null doc_id comes last in the order. An empty table gives no rows.
+    one document and are cut alike; a null doc_id comes last in the order. Other columns stay, whatever
+    their names. An empty table gives no rows.
     """
     _, recurring = repeated_windows(docs, min_words, window, gram, firsts=False)
     key, spans = fresh(docs, "text_key"), fresh(docs, "text_repeats")

@@ -358,7 +358,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     """Writes token files of all documents and reads them back: see the two functions above.
 
-    Null and empty texts hold ``end_id`` alone; rows with a null doc_id come last; repeated rows each
+    Null and empty texts hold ``end_id`` alone; very long ones are one row; rows with a null doc_id come last; repeated rows each
     keep their ids; other columns are ignored; an empty table gives no rows.
     """
     return read_token_files(docs.sparkSession, write_token_files(docs, tokenizer, end_id=end_id))

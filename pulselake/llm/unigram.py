@@ -146,7 +146,7 @@ def count_tokens(docs: DataFrame, piece_file: str) -> DataFrame:
     ``piece_file`` is the path of a vocabulary of the sentencepiece library, on every machine; its
     pieces and scores are taken as a unigram model. One pass without a shuffle.
 
-    Null and empty texts have no tokens and score 0. Repeated rows each give a row; other columns are
+    Null and empty texts have no tokens and score 0; very long ones are counted whole. Repeated rows each give a row; other columns are
     ignored; an empty table gives no rows.
     """
     src = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), utf8().alias("text"))
