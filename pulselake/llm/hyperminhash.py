@@ -293,10 +293,12 @@ class _Groups:
 
     def __init__(self, docs: DataFrame, width: int):
         self.docs, self.width, self.paths = docs, width, []
-        self.found, _ = write_table(sketches(docs, width), "sketches")
+        found, path = write_table(sketches(docs, width), "sketches")
         first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
-        classes = self.found.where("fp <> 0").groupBy("fp").agg(F.min(first).alias("k"), F.first("size").alias("size"), F.first("regs").alias("regs"))
+        classes = found.where("fp <> 0").groupBy("fp").agg(F.min(first).alias("k"), F.first("size").alias("size"), F.first("regs").alias("regs"))
         self.classes = self._kept(classes, "classes")
+        self.found, _ = write_table(found.drop("regs"), "found")  # registers are kept once for each class alone
+        drop_path(docs.sparkSession, path)
         self.repeated = self.found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
         self.tested = self.links = self.sets = self.roots = None
 
