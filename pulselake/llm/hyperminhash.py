@@ -21,7 +21,7 @@ So no link is lost but for the chance that two texts share no band: below 0.0000
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,23 +98,29 @@ def may_link(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return estimate >= least - SIGMAS * deviation
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, fp (hash of the shingle set, 0 without words), size and regs of every document."""
+def sketches(docs: DataFrame, width: int, fingerprint: Callable[[bytes], int] | None = None) -> DataFrame:
+    """doc_id, text_hash, fp (hash of the shingle set, 0 without words), size and regs of every document;
+    and print, where there is a function for it."""
     src = docs.select("doc_id", doc_hash().alias("text_hash"), utf8().alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim(WORD_HASHES)
         for batch in slices(batches, "text", 4 << 20):
-            rows = []
-            for text in columns(batch, "text")[0]:
+            rows, texts = [], columns(batch, "text")[0]
+            for text in texts:
                 s = shingles(text, width)
                 rows.append((xxhash.xxh64_intdigest(s.tobytes(), 5) if len(s) else 0, len(s), registers(s).tobytes() if len(s) else None))
             fp, size, regs = zip(*rows, strict=True)
             schema = pa.schema([batch.schema.field(0), batch.schema.field(1), ("fp", pa.int64()), ("size", pa.int64()), ("regs", pa.binary())])
-            yield record_batch(schema, [batch.column(0), batch.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), size, regs])
+            values = [batch.column(0), batch.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), size, regs]
+            if fingerprint is not None:
+                schema = schema.append(pa.field("print", pa.int64()))
+                values.append(pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)))
+            yield record_batch(schema, values)
         trim()
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long, size long, regs binary")
+    ddl = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long, size long, regs binary"
+    return src.mapInArrow(run, ddl if fingerprint is None else ddl + ", print long")
 
 
 def _regs(col: pa.Array) -> np.ndarray:
@@ -291,16 +297,17 @@ def rare_pairs(sets: DataFrame) -> DataFrame:
 class _Groups:
     """Links and groups of a table of documents, round by round."""
 
-    def __init__(self, docs: DataFrame, width: int):
+    def __init__(self, docs: DataFrame, width: int, fingerprint: Callable[[bytes], int] | None = None):
         self.docs, self.width, self.paths = docs, width, []
-        found, path = write_table(sketches(docs, width), "sketches")
+        found, path = write_table(sketches(docs, width, fingerprint), "sketches")
         first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
-        classes = found.where("fp <> 0").groupBy("fp").agg(F.min(first).alias("k"), F.first("size").alias("size"), F.first("regs").alias("regs"))
+        prints = [] if fingerprint is None else [F.min("print").alias("print")]
+        classes = found.where("fp <> 0").groupBy("fp").agg(F.min(first).alias("k"), F.first("size").alias("size"), F.first("regs").alias("regs"), *prints)
         self.classes = self._kept(classes, "classes")
-        self.found, _ = write_table(found.drop("regs"), "found")  # registers are kept once for each class alone
+        self.found, _ = write_table(found.drop("regs", "print"), "found")  # registers are kept once for each class alone
         drop_path(docs.sparkSession, path)
         self.repeated = self.found.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count() > 0
-        self.tested = self.links = self.sets = self.roots = None
+        self.tested = self.sets = self.roots = None
 
     def _kept(self, df: DataFrame, name: str) -> DataFrame:
         df, path = write_table(df, name)
@@ -339,8 +346,8 @@ class _Groups:
         sets = self._fetch(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))))
         links = self._kept(checked(pairs, sets), "links")
         if links.limit(1).count():
-            self.links = links if self.links is None else self.links.union(links)
-            self.roots = self._kept(connected_components(self.links), "roots")
+            joined = links if self.roots is None else links.union(self.roots.where("node <> root").select("node", "root"))
+            self.roots = self._kept(connected_components(joined), "roots")
 
     def still_open(self, many: DataFrame) -> DataFrame:
         """fp of classes in keys (key, fp) whose classes aren't in one group."""
@@ -353,7 +360,7 @@ class _Groups:
             drop_path(self.docs.sparkSession, path)
 
 
-def near_groups(docs: DataFrame, width: int, large: int = LARGE) -> DataFrame:
+def near_groups(docs: DataFrame, width: int, large: int = LARGE, fingerprint: Callable[[bytes], int] | None = None, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id, text_hash, fp (of its shingle set; 0 without words), size (shingles) and root (a number of
     the group) of every document: groups are connected by links of a similarity of at least ``PERCENT``
     hundredths over distinct shingles of ``width`` words. Texts of equal sets are one from the start, so
@@ -362,10 +369,18 @@ def near_groups(docs: DataFrame, width: int, large: int = LARGE) -> DataFrame:
     Null, empty and blank texts have no shingles, and one root; very long texts are read whole. Rows with
     a null doc_id take part; repeated rows each give a row. Other columns are ignored. An empty table
     gives no rows.
+
+    With ``fingerprint`` (of a text, 64 bits) candidates (a, b) of round 0 come from ``first`` instead of
+    bands: from a table of classes fp and their prints, the least of their texts' fingerprints as longs.
     """
-    groups = _Groups(docs, width)
-    if found := candidates(groups.rooted(), FIRST, 1):
-        groups.add(found[0])
+    groups = _Groups(docs, width, fingerprint)
+    if first is not None:
+        pairs = first(groups.classes.select("fp", "print"))
+    else:
+        found = candidates(groups.rooted(), FIRST, 1)
+        pairs = found and found[0]
+    if pairs is not None:
+        groups.add(pairs)
         if found := candidates(groups.rooted(), ALL, large):
             groups.add(found[0])
             opened = groups.still_open(found[1])

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from pulselake.llm import nearcopies
+from pulselake.llm import components, hyperminhash, nearcopies, simhash
 from tests.llm.edges import no_documents, odd_documents
 
 
@@ -67,6 +67,37 @@ def test_stage_finds_all_at_a_similarity_of_four_fifths_and_nothing_below(spark)
     assert sorted(r.doc_id for r in kept.collect()) == [*want, 1000, 1001]
 
 
+def test_fingerprint_links_alone_join_close_copies(spark, monkeypatch):
+    """Round 0 is SimHash with pigeonring chains, each link checked by whole sets; without any band it must
+    join texts whose fingerprints are at most two bits apart, and only those that are similar too."""
+    rng = random.Random(14)
+    texts = []
+    for _ in range(25):
+        words = [f"v{rng.randrange(3000)}" for _ in range(400)]
+        texts += [" ".join(words), " ".join(changed(rng, words, 1)), " ".join(changed(rng, words, 2))]
+    texts += ["a b c d e f", "a b c d e f a b c d e f a b c d e f a b c d e f"]  # not similar by sets
+    prints = [simhash.fingerprint(t.encode()) for t in texts]
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2 and jaccard(texts[i], texts[j]) >= 0.8}
+    assert len(want) > 15
+    monkeypatch.setattr(hyperminhash, "candidates", lambda *_: None)
+    got = {r.doc_id: r.root for r in nearcopies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i] == got[j] for i, j in want) and got[75] != got[76]
+    assert all(got[i] != got[j] for i in range(len(texts)) for j in range(i) if i // 3 != j // 3)
+
+
+def test_small_link_tables_take_few_tasks(spark):
+    """Each round of components shuffles several times: tasks grow with the links, not with the session's setting."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 60)
+    try:
+        rows = [(i, i + 1) for i in range(50)] + [(100, 101)]
+        found = components.connected_components(spark.createDataFrame(rows, "a long, b long").repartition(60, "a"))
+        assert found.rdd.getNumPartitions() < 60
+        assert {r.node: r.root for r in found.collect()} == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_odd_documents(spark):
     docs = odd_documents(spark)
     assert len(nearcopies.near_copies(docs).collect()) == docs.count()
