@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,6 +36,9 @@ _OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Marks that are cut from a word before them (but for apostrophes, which begin endings like 's).
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
+#: By byte: 0 in printable ASCII without the apostrophe, 1 in other Latin letters (below U+0240), else 2.
+_KINDS = np.array([0 if 33 <= b < 127 and b != 39 else 1 if 128 <= b < 0xC9 else 2 for b in range(256)], np.uint8)
+
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 #: Characters that stand for the 256 bytes in vocabularies of this kind: printable ones for themselves,
@@ -81,7 +85,8 @@ class PieceEncoder:
     A text with other white space next to a space or line break, or with the string of a special
     token, is encoded whole. New pieces are encoded as lines of one text, which saves much of the
     cost of small calls; where ``keeps_apart`` holds, plain ones go without the pre-tokenizer, which
-    takes half of the time. Only ids are kept: 2 bytes each, or 4 for vocabularies above 65,536.
+    takes half of the time. Known pieces are an Arrow table and their ids one array, 2 bytes an id, or 4
+    for vocabularies above 65,536: no piece that is known becomes an object of Python.
     """
 
     def __init__(self, path: str):
@@ -95,8 +100,8 @@ class PieceEncoder:
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.bare = len(self.line) == 1 and keeps_apart(settings)
         self.cut = self.tokenizer.pre_tokenizer
-        self.pieces: dict[str, bytes] = {}  # by the line break and what follows, or by what follows a space
-        self.marks: dict[str, bytes] = {}
+        self.table = pa.array([], pa.string())  # pieces by the line break and what follows, or by what follows a space
+        self.ids, self.sizes = np.zeros(0, self.code), np.zeros(0, np.int64)
 
     @classmethod
     def at(cls, path: str) -> "PieceEncoder":
@@ -127,9 +132,9 @@ class PieceEncoder:
             self.tokenizer.pre_tokenizer = self.cut
         return out
 
-    def _new(self, pieces: list[str]) -> None:
-        """Encodes pieces that aren't known yet."""
-        known, marked = self.pieces, []
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that aren't known yet."""
+        known, marked = {}, []
         fast: dict[bool, list[str]] = {False: [], True: []}  # whether they begin with a line break
         rest: dict[bool, list[str]] = {False: [], True: []}
         cores = set()
@@ -158,32 +163,125 @@ class PieceEncoder:
             known.update(zip(broken, [line + ids for ids in self._lines([p[1:] for p in broken], "", bare)], strict=True))
         left = [p for p in [*rest[False], *rest[True]] if p not in known]
         known.update(zip(left, self._whole([p if p[0] == "\n" else " " + p for p in left]), strict=True))
-        marks = list({m for _, _, m in marked}.difference(self.marks))
-        self.marks.update(zip(marks, self._whole(marks), strict=True))
-        known.update((p, known[core] + self.marks[m]) for p, core, m in marked)
+        marks = list({m for _, _, m in marked})
+        ids = dict(zip(marks, self._whole(marks), strict=True))
+        known.update((p, known[core] + ids[m]) for p, core, m in marked)
+        return [known[p] for p in pieces]
+
+    def _plain(self, pieces: pa.Array) -> np.ndarray:
+        """Which pieces are printable ASCII without apostrophes, or Latin letters, so that ``_bare`` takes them."""
+        size = pc.binary_length(pieces).to_numpy()
+        if not self.bare or not len(size):
+            return np.zeros(len(size), bool)
+        kind = np.maximum.reduceat(np.append(_KINDS[raw_bytes(pieces)], np.uint8(0)), np.cumsum(size, dtype=np.int64) - size)
+        return (size > 0) & ((kind == 0) | ((kind == 1) & np.asarray(pc.utf8_is_alpha(pieces).to_numpy(zero_copy_only=False), bool)))
+
+    def _bare(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain pieces after a space, one after another, and their numbers: as lines of 64, without the
+        pre-tokenizer."""
+        n = len(pieces)
+        if not n:
+            return np.zeros(0, self.code), np.zeros(0, np.int64)
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([*range(0, n, 64), n], pa.int32()), pieces), "\n ")
+        self.tokenizer.pre_tokenizer = None
+        try:
+            found = self.tokenizer.encode_batch_fast([_byte_chars(f" {t}") for t in lines.to_pylist()], add_special_tokens=False)
+        finally:
+            self.tokenizer.pre_tokenizer = self.cut
+        ids = np.concatenate([np.array([*e.ids, *self.line], self.code) for e in found])
+        ends = np.flatnonzero(ids == self.line[0])
+        if len(ends) != n:
+            raise ValueError("this tokenizer doesn't cut at line breaks")
+        return ids[ids != self.line[0]], np.diff(ends, prepend=-1) - 1
+
+    def _add(self, pieces: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Places of pieces that come to the table."""
+        at = len(self.table) + np.arange(len(pieces))
+        if len(pieces):
+            self.table = pa.concat_arrays([self.table, pieces])
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+        return at
+
+    def _keep(self, at: np.ndarray) -> None:
+        """Only these places of the table stay."""
+        self.ids = _gathered(self.ids, self.sizes, at)
+        self.table, self.sizes = self.table.take(pa.array(at)), self.sizes[at]
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Places of distinct pieces that weren't in the table. Marks after a word are encoded apart from it."""
+        out = np.empty(len(pieces), np.int64)
+        cores = pc.utf8_rtrim(pieces, characters=_MARKS)
+        plain = self._plain(cores)
+        rest = pieces.filter(pa.array(~plain))
+        found = self._new(rest.to_pylist())
+        out[~plain] = self._add(rest, np.frombuffer(b"".join(found), self.code), np.fromiter(map(len, found), np.int64, len(found)) // self.ids.itemsize)
+        words, coded = pieces.filter(pa.array(plain)), cores.filter(pa.array(plain)).dictionary_encode()
+        at = pc.fill_null(pc.index_in(coded.dictionary, value_set=self.table), -1).to_numpy().astype(np.int64)
+        fresh = coded.dictionary.filter(pa.array(at < 0))
+        at[at < 0] = self._add(fresh, *self._bare(fresh))
+        at = at[coded.indices.to_numpy()]
+        more = pc.binary_length(words).to_numpy() - pc.binary_length(cores.filter(pa.array(plain))).to_numpy()
+        marked = np.flatnonzero(more)
+        words = words.take(pa.array(marked))
+        marks = [p[-n:] for p, n in zip(words.to_pylist(), more[marked].tolist(), strict=True)]
+        index = {m: i for i, m in enumerate(dict.fromkeys(marks))}
+        found = self._whole(list(index))
+        source = np.concatenate([self.ids, np.frombuffer(b"".join(found), self.code)])
+        sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found)) // self.ids.itemsize])
+        parts = np.stack([at[marked], len(self.sizes) + np.fromiter(map(index.__getitem__, marks), np.int64, len(marks))], 1).ravel()
+        at[marked] = self._add(words, _gathered(source, sizes, parts), sizes[parts].reshape(-1, 2).sum(1))
+        out[plain] = at
+        return out
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Places of distinct pieces in the table."""
+        at = pc.fill_null(pc.index_in(pieces, value_set=self.table), -1).to_numpy().astype(np.int64)
+        new = at < 0
+        if len(self.table) + new.sum() > CACHE_PIECES:  # what this batch has stays
+            self._keep(at[~new])
+            at[~new] = np.arange(len(at) - new.sum())
+        at[new] = self._learn(pieces.filter(pa.array(new)))
+        return at
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[t] if _has_runs(t) or any(s in t for s in self.special) else t.replace("\n", " \n").split(" ") for t in texts]
-        heads = self._whole([s[0] for s in split])
-        known = self.pieces
-        for s in split:
-            s[0] = ""
-        seen = set().union(*split)
-        seen.discard("")
-        new = list(seen.difference(known))
-        if len(known) + len(new) > CACHE_PIECES:  # what this batch has stays
-            kept = {p: known[p] for p in seen if p in known}
-            known.clear()
-            known.update(kept)
-        if len(self.marks) > CACHE_PIECES:
-            self.marks = {}
-        self._new(new)
-        known[""] = b""
-        out = [h + b"".join(map(known.__getitem__, s)) for h, s in zip(heads, split, strict=True)]
-        for p in new:
-            if len(p) > CACHE_CHARS:
-                del known[p]
-        return out
+        apart = [_has_runs(t) or any(s in t for s in self.special) for t in texts]
+        whole = iter(self._whole([t for t, x in zip(texts, apart, strict=True) if x]))
+        cut = iter(self._pieces([t for t, x in zip(texts, apart, strict=True) if not x]))
+        return [next(whole if x else cut) for x in apart]
+
+    def _pieces(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts that are cut into pieces: each distinct piece is looked up once, the first one of a
+        text, which no space precedes, is encoded for itself."""
+        if not texts:
+            return []
+        split = pc.split_pattern(pa.array([t.replace("\n", " \n") for t in texts], pa.string()), " ")
+        at = split.offsets.to_numpy()
+        distinct = split.values.dictionary_encode()
+        which, pieces = distinct.indices.to_numpy().astype(np.int64), distinct.dictionary
+        heads = self._whole(pieces.take(pa.array(which[at[:-1]])).to_pylist())
+        inner = np.ones(len(which), bool)
+        inner[at[:-1]] = False
+        used = np.zeros(len(pieces), bool)
+        used[which[inner]] = True
+        place = np.zeros(len(pieces), np.int64)
+        place[used] = self._places(pieces.filter(pa.array(used)))
+        which[inner] = place[which[inner]]
+        which[~inner] = len(self.sizes) + np.arange(len(texts))
+        source = np.concatenate([self.ids, np.frombuffer(b"".join(heads), self.code)])
+        sizes = np.concatenate([self.sizes, np.fromiter(map(len, heads), np.int64, len(heads)) // source.itemsize])
+        out = _gathered(source, sizes, which).tobytes()
+        cuts = [0, *(np.cumsum(sizes[which])[at[1:] - 1] * source.itemsize).tolist()]
+        short = pc.less_equal(pc.utf8_length(self.table), CACHE_CHARS).to_numpy(zero_copy_only=False)
+        if not short.all():
+            self._keep(np.flatnonzero(short))
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+
+
+def _gathered(ids: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Ids of the pieces at these places, one after another."""
+    n = sizes[at]
+    ends = np.cumsum(n)
+    return ids[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n) + np.arange(n.sum())]
 
 
 def _has_runs(text: str) -> bool:

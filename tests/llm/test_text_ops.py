@@ -35,6 +35,29 @@ def test_piece_encoder_matches_the_library():
             assert np.frombuffer(got, np.uint16).tolist() == bpe().encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_known_pieces_cost_nothing_and_a_full_table_is_right(monkeypatch):
+    """Only words that aren't known go to the library, with their marks apart; a small table forgets, but rightly."""
+    encoder, rng = tokens.PieceEncoder(BPE), random.Random(8)
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            given.extend(texts)
+            return bpe().encode_batch_fast(texts, **kw)
+
+    words = ["".join(rng.choice("abcdeé") for _ in range(9)) for _ in range(300)]
+    encoder.encode(["of " + " ".join(words)])
+    encoder.tokenizer = Counted()
+    again = "of " + " ".join(w + "," for w in words) + " " + " ".join(words)
+    assert np.frombuffer(encoder.encode([again])[0], np.uint16).tolist() == bpe_ids(again)[:-1]
+    assert sum(map(len, given)) < 100
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 40)
+    encoder = tokens.PieceEncoder(BPE)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(words) + rng.choice(["", ",", "!?", "\n", "'s"]) for _ in range(rng.randrange(60))) for _ in range(3)]
+        assert [np.frombuffer(b, np.uint16).tolist() for b in encoder.encode(texts)] == [bpe_ids(t)[:-1] for t in texts]
+
+
 def test_merges_that_cross_are_seen():
     cut = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
