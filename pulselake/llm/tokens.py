@@ -395,7 +395,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     """Tokenizes all documents and writes the file format above; returns the folder.
 
     Texts are tokenized once, into a scratch table that is dropped afterwards; the same pass counts
-    ids. They are coded before the sort, so the shuffle carries the compact form. The order is
+    ids. They are coded after the sort: sampling for its range partitions then reads keys alone, where it
+    would code all documents a second time. The order is
     doc_id (null last), then text hash; range partitions split a doc_id that many rows repeat.
     """
     spark = docs.sparkSession
@@ -407,25 +408,19 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str | None = None,
     id_type = tokenized.schema["doc_id"].dataType.simpleString()
 
     def code(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids", 1 << 20):
-            n = batch.column(3).to_numpy()
-            control, data = encode_values(rank_of[as_ids(raw_bytes(batch.column(4)), int(n.sum()))], n)
-            schema = pa.schema([*[batch.schema.field(i) for i in range(4)], pa.field("control", pa.binary()), pa.field("data", pa.binary())])
-            yield record_batch(schema, [*batch.columns[:4], control, data])
-
-    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in slices(batches, "ids", 1 << 20):
             n = batch.column(1).to_numpy()
             ends = start + np.cumsum(n)
-            schema = pa.schema([batch.schema.field(0), pa.field("shard", pa.int64()), pa.field("start_in_shard", pa.int64()), *[batch.schema.field(i) for i in (1, 2, 3)]])
-            yield record_batch(schema, [batch.column(0), pa.array(np.full(len(n), shard)), pa.array(ends - n), *batch.columns[1:]])
-            start = int(ends[-1]) if len(n) else start
+            control, data = encode_values(rank_of[as_ids(raw_bytes(batch.column(2)), int(n.sum()))], n)
+            schema = pa.schema([batch.schema.field(0), pa.field("shard", pa.int64()), pa.field("start_in_shard", pa.int64()), batch.schema.field(1), pa.field("control", pa.binary()), pa.field("data", pa.binary())])
+            yield record_batch(schema, [batch.column(0), pa.array(np.full(len(n), shard)), pa.array(ends - n), batch.column(1), control, data])
+            start = int(ends[-1])
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("text_hash"), F.col("row_id")]
-    coded = tokenized.where("id_counts is null").select("doc_id", "text_hash", "row_id", "n_tokens", "ids").mapInArrow(code, f"doc_id {id_type}, text_hash long, row_id long, n_tokens long, control binary, data binary")
-    placed = coded.repartitionByRange(parallel(spark), *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "control", "data")
-    placed.mapInArrow(place, f"doc_id {id_type}, shard long, start_in_shard long, n_tokens long, control binary, data binary").write.option("compression", "none").parquet(f"{path}/shards.parquet")
+    rows = tokenized.where("id_counts is null").select("doc_id", "text_hash", "row_id", "n_tokens", "ids")
+    placed = rows.repartitionByRange(parallel(spark), *order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "ids")
+    placed.mapInArrow(code, f"doc_id {id_type}, shard long, start_in_shard long, n_tokens long, control binary, data binary").write.option("compression", "none").parquet(f"{path}/shards.parquet")
     ranks = spark.createDataFrame([(i, int(x)) for i, x in enumerate(counts)], "rank long, id long")
     ranks.coalesce(1).write.parquet(f"{path}/ranks.parquet")
     drop_path(spark, temp)

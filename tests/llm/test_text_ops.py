@@ -58,6 +58,16 @@ def test_known_pieces_cost_nothing_and_a_full_table_is_right(monkeypatch):
         assert [np.frombuffer(b, np.uint16).tolist() for b in encoder.encode(texts)] == [bpe_ids(t)[:-1] for t in texts]
 
 
+def test_ids_are_coded_once(spark, monkeypatch):
+    """Range partitions sample their input first: what lies below must be a plain scan."""
+    frame, below = type(spark.range(1)), []
+    deal = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda df, *a: (below.append(df._jdf.queryExecution().toString()), deal(df, *a))[1])
+    rows = tokens.round_trip(odd_documents(spark), BPE).collect()
+    assert len(rows) == odd_documents(spark).count()
+    assert below and not any("MapInArrow" in plan for plan in below)
+
+
 def test_merges_that_cross_are_seen():
     cut = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
