@@ -9,7 +9,7 @@ from pulselake import dims
 from pulselake.functions import header, times
 from pulselake.operators import segments as seg
 from pulselake.operators import signals as sig
-from pulselake.plans.tables import CHAN_SQL, SEG_SQL, channels, segments, table
+from pulselake.plans.tables import CHAN_SQL, SEG_SQL, channels, lengths, segments, signal_names, table
 from pulselake.sources import headers, tables
 from pulselake.sources.files import settled
 
@@ -95,11 +95,9 @@ def g9_file_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def u6_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums over the stitched record of each signal, at a twentieth of the segments' frequency."""
-    s = seg.offsets(segments(spark, sf_dir).withColumn("seg_len", F.expr("seg_len div 20")).drop("seg_start", "seg_end"))
-    own = channels(s.where("not is_gap")).join(s, ["record", "seg_no"]).where("seg_len > 0")
-    own = own.select("record", "seg_no", "sig_name", F.explode(F.sequence(F.lit(0).cast("long"), F.col("seg_len") - 1)).alias("sample"))
-    own = own.withColumn("dval", F.col("seg_no") * 100 + F.col("sample"))
-    whole = seg.stitch(s, own, channels(s).select("record", "sig_name").distinct(), -32768)
+    s = settled(seg.offsets(lengths(spark, sf_dir).withColumn("seg_len", F.expr("seg_len div 20"))))
+    names = channels(s).select("record", "sig_name").distinct()
+    whole = seg.stitch(s.withColumn("signals", signal_names()), names, F.col("seg_no") * 100 + F.col("sample"), -32768)
     return whole.groupBy("record", "sig_name").agg(F.count("*").alias("n"), F.count(F.when(F.col("dval") != -32768, 1)).alias("n_valid"), F.sum("dval").alias("total"), F.sum(F.col("dval") * (F.col("sample") % 997)).alias("weighted"))
 
 

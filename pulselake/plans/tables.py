@@ -5,7 +5,7 @@ Each is given twice: as a DataFrame and as the SQL that makes the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulselake.operators import segments as seg
@@ -58,17 +58,26 @@ SIGNALS = {"1": ["I", "II", "V"], "2": ["I", "III"], "3": ["I", "II"], "4": ["II
 CHAN_SQL = """(SELECT record, seg_no, unnest(CASE substr(priority, 1, 1) WHEN '1' THEN ['I', 'II', 'V'] WHEN '2' THEN ['I', 'III'] WHEN '3' THEN ['I', 'II'] WHEN '4' THEN ['II'] ELSE ['V'] END) AS sig_name FROM seg)"""
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments without their offsets."""
     numbered = F.expr("row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) - 1").cast("long")
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("record"), numbered.alias("seg_no"), (F.col("o_totalprice").cast("long") % 5000).alias("seg_len"), (F.col("o_orderstatus") == "P").alias("is_gap"), F.col("o_orderpriority").alias("priority"))
-    return seg.offsets(o)
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("record"), numbered.alias("seg_no"), (F.col("o_totalprice").cast("long") % 5000).alias("seg_len"), (F.col("o_orderstatus") == "P").alias("is_gap"), F.col("o_orderpriority").alias("priority"))
 
 
-def channels(placed: DataFrame) -> DataFrame:
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seg.offsets(lengths(spark, sf_dir))
+
+
+def signal_names() -> Column:
+    """The signals that a segment has."""
     names = F.array(*[F.lit(n) for n in SIGNALS["5"]])
     for code, own in SIGNALS.items():
         names = F.when(F.substring("priority", 1, 1) == code, F.array(*[F.lit(n) for n in own])).otherwise(names)
-    return placed.select("record", "seg_no", F.explode(names).alias("sig_name"))
+    return names
+
+
+def channels(placed: DataFrame) -> DataFrame:
+    return placed.select("record", "seg_no", F.explode(signal_names()).alias("sig_name"))
 
 
 # --- recordings in files: five records of two channels, the components of every fifth vector ---
