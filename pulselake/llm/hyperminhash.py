@@ -360,7 +360,7 @@ class _Groups:
             drop_path(self.docs.sparkSession, path)
 
 
-def near_groups(docs: DataFrame, width: int, large: int = LARGE, fingerprint: Callable[[bytes], int] | None = None, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def near_groups(docs: DataFrame, width: int, large: int = LARGE, *, fingerprint: Callable[[bytes], int] | None = None, first: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id, text_hash, fp (of its shingle set; 0 without words), size (shingles) and root (a number of
     the group) of every document: groups are connected by links of a similarity of at least ``PERCENT``
     hundredths over distinct shingles of ``width`` words. Texts of equal sets are one from the start, so

@@ -37,7 +37,7 @@ def near_copies(docs: DataFrame, large_group: int = hyperminhash.LARGE) -> DataF
     """doc_id, text_hash and root (a number of the group) of every document: see ``near_groups``, with
     its rules for nulls, empty and long texts, repeated rows, other columns and empty tables. Documents
     without words are one group."""
-    found = hyperminhash.near_groups(docs, WIDTH, large_group, simhash.fingerprint, fingerprint_pairs)
+    found = hyperminhash.near_groups(docs, WIDTH, large_group, fingerprint=simhash.fingerprint, first=fingerprint_pairs)
     return found.select("doc_id", "text_hash", "root")
 
 
